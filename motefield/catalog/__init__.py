@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("similarity", "embeddings")
+MODULES = ("similarity", "embeddings", "clean", "joins", "sampling")
 
 
 def load() -> tuple[dict, dict]:
