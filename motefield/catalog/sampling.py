@@ -39,10 +39,16 @@ STAGE_SPANS = """spans AS (SELECT stage, any_value(duration) AS duration FROM st
      ranges AS (SELECT stage, coalesce(sum(duration) OVER (ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_epoch, duration FROM spans)"""
 
 
-@query("d4_stage_table", f"WITH {STAGE_SPANS} SELECT stage, start_epoch, coalesce(start_epoch + duration, -1)::BIGINT AS end_epoch FROM ranges, (SELECT count(*) FROM events) AS c", ("stages",))
+@query(
+    "d4_stage_table",
+    """WITH spans AS (SELECT snr::INT AS stage, count(*) % 7 + 1 AS duration FROM particles GROUP BY 1)
+       SELECT stage, coalesce(sum(duration) OVER (ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_epoch,
+              sum(duration) OVER (ORDER BY stage)::BIGINT AS end_epoch FROM spans""",
+    ("particles",),
+)
 def d4_stage_table(spark, sf):
-    spec = t.read(spark, sf, "events").limit(0).select(F.lit(0).alias("stage"), F.lit(0).alias("duration")).union(t.stages(spark).select("stage", "duration"))
-    return ops.stage_table(spec).withColumn("end_epoch", F.coalesce("end_epoch", F.lit(-1).cast("long")))
+    sources = t.particles(spark, sf).groupBy(F.col("snr").cast("int").alias("stage"))
+    return ops.stage_table(sources.agg((F.count(F.lit(1)) % 7 + 1).alias("duration")))
 
 
 @query(
