@@ -109,19 +109,19 @@ def fsc_resolution(curve: DataFrame, keys: Sequence[str], threshold: float = 0.5
     else the first shell below; the finest shell when none is below and the
     coarsest when none is above. A curve has at most n/2 shells.
     """
-    packed = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("shell", "fsc", "resolution"))).alias("c"))
-    count = F.size("c")
+    packed = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("shell", "fsc", "resolution"))).alias("__c"))
+    count = F.size("__c")
     places = F.sequence(F.lit(0), count - 1)
-    above = F.array_max(F.filter(places, lambda i: F.get("c", i)["fsc"] >= threshold))
-    below = F.array_min(F.filter(places, lambda i: F.get("c", i)["fsc"] < threshold))
-    marked = packed.withColumns({"n": count, "above": above, "below": below})
-    hi, lo = F.get("c", F.col("above")), F.get("c", F.col("below"))
+    above = F.array_max(F.filter(places, lambda i: F.get("__c", i)["fsc"] >= threshold))
+    below = F.array_min(F.filter(places, lambda i: F.get("__c", i)["fsc"] < threshold))
+    marked = packed.withColumns({"__n": count, "__above": above, "__below": below})
+    hi, lo = F.get("__c", F.col("__above")), F.get("__c", F.col("__below"))
     part = (F.lit(threshold) - hi["fsc"]) / (lo["fsc"] - hi["fsc"])
     crossing = hi["resolution"] + part * (lo["resolution"] - hi["resolution"])
     value = (
-        F.when((F.col("n") == 1) | F.col("above").isNull(), F.get("c", F.lit(0))["resolution"])
-        .when(F.col("below").isNull(), F.get("c", F.col("n") - 1)["resolution"])
-        .when(F.col("below") == F.col("above") + 1, crossing)
+        F.when((F.col("__n") == 1) | F.col("__above").isNull(), F.get("__c", F.lit(0))["resolution"])
+        .when(F.col("__below").isNull(), F.get("__c", F.col("__n") - 1)["resolution"])
+        .when(F.col("__below") == F.col("__above") + 1, crossing)
         .otherwise(lo["resolution"])
     )
     return marked.select(*keys, value.alias("resolution"))
