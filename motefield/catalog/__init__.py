@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("similarity", "embeddings", "clean", "joins", "sampling", "volumes", "poses")
+MODULES = ("similarity", "embeddings", "clean", "joins", "sampling", "volumes", "poses", "classification")
 
 
 def load() -> tuple[dict, dict]:

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.functions.hashing import order_hash
 from motefield.functions.labels import snr_of
-from motefield.functions.vectors import cosine, norm
+from motefield.functions.vectors import norm
+from motefield.operators.classification import centroid_scores
 from motefield.operators.embeddings import centroids
 from motefield.operators.ranking import rank_by_hash, rank_by_value
 
@@ -280,16 +280,9 @@ def folds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str, dims: int = 64) -> DataFrame:
-    """Cosine of every row to every class centroid; the classes travel as one array row per class set."""
+    """Cosine of every row to every class centroid."""
     rows = folds(spark, sf)
-    table = centroids(rows, "e", "label").select(F.struct(F.col("label").alias("class"), "centroid").alias("c"))
-    all_classes = table.agg(F.sort_array(F.collect_list("c")).alias("classes")).withColumn("__one", F.lit(1))
-    each = rows.withColumn("__one", F.lit(1)).join(all_classes, "__one").select("fold", F.col("vec_id").alias("id"), "label", "e", F.explode("classes").alias("c"))
-    return each.select(
-        "fold", "id", "label", F.col("c.class").alias("class"),
-        F.round(cosine(F.slice("e", 1, dims), F.slice("c.centroid", 1, dims)), 9).alias("score"),
-        (F.col("label") == F.col("c.class")).cast("int").alias("y"),
-    )
+    return centroid_scores(rows, centroids(rows, "e", "label"), "vec_id", "e", "label", dims)
 
 
 def metric_log(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from motefield.functions.vectors import dot, norm
+from motefield.functions.vectors import dot, let, norm
 
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 
@@ -35,46 +35,55 @@ def scalar_first(q: Column) -> Column:
 
 def axis_angle_to_quaternion(a: Column) -> Column:
     """[angle, x, y, z] to a unit quaternion; a zero axis is no rotation."""
-    axis = F.slice(a, 2, 3)
-    length, half = norm(axis), F.get(a, 0) / 2.0
-    turned = F.concat(F.array(F.cos(half)), F.transform(axis, lambda v: v / length * F.sin(half)))
-    return F.when(length > 0, turned).otherwise(_array([1, 0, 0, 0]))
+    half = F.get(a, 0) / 2.0
+
+    def turned(length: Column) -> Column:
+        scaled = F.transform(F.slice(a, 2, 3), lambda v: v / length * F.sin(half))
+        return F.when(length > 0, F.concat(F.array(F.cos(half)), scaled)).otherwise(_array([1, 0, 0, 0]))
+
+    return let(norm(F.slice(a, 2, 3)), turned)
 
 
 def axis_angle_to_matrix(a: Column) -> Column:
     """[angle, x, y, z] to a matrix; a missing pose or a zero axis is the identity."""
-    return F.when(a.isNull() | (F.size(a) != 4), _array(IDENTITY)).otherwise(quaternion_to_matrix(axis_angle_to_quaternion(a)))
+    turned = let(axis_angle_to_quaternion(a), quaternion_to_matrix)
+    return F.when(a.isNull() | (F.size(a) != 4), _array(IDENTITY)).otherwise(turned)
 
 
 def matrix_to_quaternion(m: Column) -> Column:
-    """Unit quaternion of a rotation matrix with a scalar that is not negative, from its largest component."""
-    r = [F.get(m, i) for i in range(9)]
-    squares = {
-        "w": 1.0 + r[0] + r[4] + r[8], "x": 1.0 + r[0] - r[4] - r[8], "y": 1.0 - r[0] + r[4] - r[8], "z": 1.0 - r[0] - r[4] + r[8],
-    }
-    sums = {"wx": r[7] - r[5], "wy": r[2] - r[6], "wz": r[3] - r[1], "xy": r[1] + r[3], "xz": r[2] + r[6], "yz": r[5] + r[7]}
-    largest = F.greatest(*squares.values())
+    """Unit quaternion of a rotation matrix with a scalar that is not negative.
 
-    def by(lead: str) -> Column:
-        parts = [squares[lead] if c == lead else sums["".join(sorted((lead, c)))] for c in "wxyz"]
-        scale = 2.0 * F.sqrt(squares[lead])
-        sign = F.when(parts[0] < 0, -1.0).otherwise(1.0)
-        return F.array(*[sign * p / scale for p in parts])
-
-    out = F.when(squares["w"] >= largest, by("w"))
-    for lead in "xy":
-        out = out.when(squares[lead] >= largest, by(lead))
-    return out.otherwise(by("z"))
+    The four diagonal combinations are the squared components times four; the
+    row belonging to the largest one is scaled to unit length.
+    """
+    r = [F.get(m, i) for i in range(9)]
+    wx, wy, wz = r[7] - r[5], r[2] - r[6], r[3] - r[1]
+    xy, xz, yz = r[1] + r[3], r[2] + r[6], r[5] + r[7]
+    rows = F.array(
+        F.array(1.0 + r[0] + r[4] + r[8], wx, wy, wz),
+        F.array(wx, 1.0 + r[0] - r[4] - r[8], xy, xz),
+        F.array(wy, xy, 1.0 - r[0] + r[4] - r[8], yz),
+        F.array(wz, xz, yz, 1.0 - r[0] - r[4] + r[8]),
+    )
+    largest = let(rows, lambda q: F.array_max(F.transform(q, lambda row, i: F.struct(F.get(row, i).alias("size"), row.alias("row")))))
+    return let(
+        largest["row"],
+        lambda row: let(norm(row) * F.when(F.get(row, 0) < 0, -1.0).otherwise(1.0), lambda size: F.transform(row, lambda v: v / size)),
+    )
 
 
 def matrix_to_axis_angle(m: Column) -> Column:
     """[angle, x, y, z] with the angle in [0, pi]; no rotation has the x axis."""
-    q = matrix_to_quaternion(m)
-    axis = F.slice(q, 2, 3)
-    length = norm(axis)
-    angle = 2.0 * F.atan2(length, F.get(q, 0))
-    unit = F.transform(axis, lambda v: v / length)
-    return F.when(length < 1e-12, _array([0, 1, 0, 0])).otherwise(F.concat(F.array(angle), unit))
+
+    def from_quaternion(q: Column) -> Column:
+        def turned(length: Column) -> Column:
+            unit = F.transform(F.slice(q, 2, 3), lambda v: v / length)
+            angle = 2.0 * F.atan2(length, F.get(q, 0))
+            return F.when(length < 1e-12, _array([0, 1, 0, 0])).otherwise(F.concat(F.array(angle), unit))
+
+        return let(norm(F.slice(q, 2, 3)), turned)
+
+    return let(matrix_to_quaternion(m), from_quaternion)
 
 
 def matrix_to_euler(m: Column) -> Column:

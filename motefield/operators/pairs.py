@@ -95,3 +95,45 @@ def moments_by_flag(values: np.ndarray, flag: np.ndarray, keep: np.ndarray | Non
         part = values[chosen]
         if part.size:
             yield state, int(part.size), float(part.sum()), float((part * part).sum())
+
+
+def small_table(df: DataFrame, bound: int) -> pd.DataFrame | None:
+    """The rows of ``df`` if there are at most ``bound``, else None. Never brings more than that to the driver."""
+    rows = df.limit(bound + 1).toPandas()
+    return rows if len(rows) <= bound else None
+
+
+def map_with_table(
+    left: DataFrame,
+    right: DataFrame,
+    kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    schema: str,
+    bound: int = 4096,
+    block_rows: int = 4096,
+    id_col: str = "id",
+    right_id: str = "cls",
+) -> DataFrame:
+    """Apply ``kernel(rows, table)`` to all rows against all rows of a table.
+
+    A table of at most ``bound`` rows (class prototypes) travels with the task
+    and nothing is shuffled. A larger one is cut into blocks, and the kernel
+    sees each block of rows with each block of the table.
+    """
+    table = small_table(right, bound)
+    if table is not None:
+
+        def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for start in range(0, len(batch), block_rows):
+                    yield kernel(batch.iloc[start : start + block_rows].reset_index(drop=True), table)
+
+        return left.mapInPandas(narrow, schema)
+    n_left, n_right = (max(1, math.ceil(df.count() / block_rows)) for df in (left, right))
+    a = left.withColumn("__l", F.pmod(F.xxhash64(id_col), F.lit(n_left))).withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
+    b = right.withColumn("__r", F.pmod(F.xxhash64(right_id), F.lit(n_right))).withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+    a, b = (df.withColumn("__l", F.col("__l").cast("long")).withColumn("__r", F.col("__r").cast("long")) for df in (a, b))
+
+    def meet(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        return kernel(rows.reset_index(drop=True), block.reset_index(drop=True))
+
+    return a.groupBy("__l", "__r").cogroup(b.groupBy("__l", "__r")).applyInPandas(meet, schema)
