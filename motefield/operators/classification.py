@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from motefield.functions.tails import t_quantile, t_two_sided
 from motefield.operators.pairs import map_with_table, stack, unit_rows
 from motefield.operators.ranking import rank_by_hash, rank_by_value
+from motefield.session import written
 
 # Number of folds, seed, weights of the two sources.
 N_FOLDS = 10
@@ -62,32 +65,35 @@ def scale_test_rows(df: DataFrame, vec_col: str = "feature") -> DataFrame:
     return df.join(fold_scalers(df, vec_col), "fold").withColumn(vec_col, scaled(F.col(vec_col), F.col("mean"), F.col("std"))).drop("mean", "std")
 
 
-def fit_predict_folds(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls", max_iter: int = 100, c: float = 1.0) -> DataFrame:
+def fit_predict_folds(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls", max_iter: int = 100, c: float = 1.0, parallel_fits: int = 4) -> DataFrame:
     """Multinomial logistic regression per fold; class probabilities of the test rows as ``(fold, id, class, score, y)``.
 
-    Each fit is a distributed Spark ML job; the loop runs over folds only.
-    Classes are numbered by their rank, a list as short as the label set.
+    Each fit is a distributed Spark ML job; a few folds are fitted at a time. The
+    rows are written once to the shared folder, so the fits do not repeat their lineage.
     """
-    labels = sorted(r[0] for r in df.select(class_col).distinct().collect())
-    folds = sorted(r[0] for r in df.select("fold").distinct().collect())
-    number = F.create_map(*[F.lit(x) for pair in ((l, float(i)) for i, l in enumerate(labels)) for x in pair])
+    base = written(df.select("fold", id_col, class_col, vec_col), "folds")
+    labels = sorted(r[0] for r in base.select(class_col).distinct().collect())
+    folds = sorted(r[0] for r in base.select("fold").distinct().collect())
     names = F.array(*[F.lit(l) for l in labels])
-    scalers = fold_scalers(df, vec_col)
-    out = None
-    for fold in folds:
+    number = (F.array_position(names, F.col(class_col)) - 1).cast("double")
+    scalers = written(fold_scalers(base, vec_col), "scalers")
+
+    def one_fold(fold: int) -> DataFrame:
         one = scalers.filter(F.col("fold") == fold).select(F.col("mean").alias("__m"), F.col("std").alias("__s"), F.lit(fold).alias("__f"))
-        rows = df.withColumn("__f", F.lit(fold)).join(one, "__f")
-        ready = rows.select(
-            "fold", id_col, class_col, array_to_vector(scaled(F.col(vec_col), F.col("__m"), F.col("__s"))).alias("features"), number[F.col(class_col)].alias("label")
-        )
+        rows = base.withColumn("__f", F.lit(fold)).join(one, "__f")
+        ready = rows.select("fold", id_col, class_col, array_to_vector(scaled(F.col(vec_col), F.col("__m"), F.col("__s"))).alias("features"), number.alias("label"))
         train = ready.filter(F.col("fold") != fold).persist()
         model = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(train.count(), 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6).fit(train)
         train.unpersist()
-        tested = model.transform(ready.filter(F.col("fold") == fold)).select(
-            "fold", F.col(id_col).alias("id"), F.col(class_col).alias("label"), F.explode(F.arrays_zip(names.alias("class"), vector_to_array("probability").alias("score"))).alias("p")
-        )
-        part = tested.select("fold", "id", "label", F.col("p.class").alias("class"), F.col("p.score").alias("score"), (F.col("label") == F.col("p.class")).cast("int").alias("y"))
-        out = part if out is None else out.unionByName(part)
+        each = F.explode(F.arrays_zip(names.alias("class"), vector_to_array("probability").alias("score"))).alias("p")
+        tested = model.transform(ready.filter(F.col("fold") == fold)).select("fold", F.col(id_col).alias("id"), F.col(class_col).alias("label"), each)
+        return tested.select("fold", "id", "label", F.col("p.class").alias("class"), F.col("p.score").alias("score"), (F.col("label") == F.col("p.class")).cast("int").alias("y"))
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, len(folds)))) as pool:
+        parts = list(pool.map(inheritable_thread_target(df.sparkSession)(one_fold), folds))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
