@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("similarity", "embeddings", "clean", "joins", "sampling", "volumes", "poses", "classification", "logs")
+MODULES = ("similarity", "embeddings", "clean", "joins", "sampling", "volumes", "poses", "classification", "logs", "sources")
 
 
 def load() -> tuple[dict, dict]:
