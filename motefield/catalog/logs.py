@@ -9,6 +9,7 @@ from motefield.catalog.registry import query, rounded
 from motefield.catalog.similarity import class_affinity
 from motefield.operators import metric_log as ml
 from motefield.operators import prototypes as pr
+from motefield.session import only_row
 from motefield.streaming.metric_stream import epoch_metric_stream
 from motefield.streaming.prototype_stream import prototype_stream, step_prototype_stream
 
@@ -125,20 +126,21 @@ def k5_prototypes_v2_stream(spark, sf):
 
 def _weights(spark, sf, protos, by="step"):
     classes = t.features(spark, sf).select("cls").distinct()
-    return pr.prototype_weights(classes, protos, 600.0, by=by)
+    now = only_row(t.read(spark, sf, "embeddings").agg(F.max("vec_id").alias("m")))["m"] + 100.0
+    return pr.prototype_weights(classes, protos, now, by=by)
 
 
-@query("k6_prototype_weights_by_step", f"WITH {_EMA}, l AS (SELECT DISTINCT cls, last_order FROM ema) SELECT DISTINCT label - 1 AS cls, round(coalesce(exp(-0.0001 * (600 - last_order)), 0), 6) AS weight FROM emb LEFT JOIN l ON cls = label - 1", ("emb",))
+@query("k6_prototype_weights_by_step", f"WITH {_EMA}, l AS (SELECT DISTINCT cls, last_order FROM ema) SELECT DISTINCT label - 1 AS cls, round(coalesce(exp(-0.0001 * ((SELECT max(vec_id) + 100 FROM emb) - last_order)), 0), 6) AS weight FROM emb LEFT JOIN l ON cls = label - 1", ("emb",))
 def k6_prototype_weights_by_step(spark, sf):
     return rounded(_weights(spark, sf, pr.prototypes(t.features(spark, sf), "id")))
 
 
-@query("k6_prototype_weights_by_time", f"WITH {_EMA}, l AS (SELECT DISTINCT cls, last_order FROM ema) SELECT DISTINCT label - 1 AS cls, round(coalesce(exp(-0.01 * (600 - last_order)), 0), 6) AS weight FROM emb LEFT JOIN l ON cls = label - 1", ("emb",))
+@query("k6_prototype_weights_by_time", f"WITH {_EMA}, l AS (SELECT DISTINCT cls, last_order FROM ema) SELECT DISTINCT label - 1 AS cls, round(coalesce(exp(-0.01 * ((SELECT max(vec_id) + 100 FROM emb) - last_order)), 0), 6) AS weight FROM emb LEFT JOIN l ON cls = label - 1", ("emb",))
 def k6_prototype_weights_by_time(spark, sf):
     return rounded(_weights(spark, sf, pr.prototypes(t.features(spark, sf), "id"), "time"))
 
 
-_SCORED = f"""{_EMA}, p AS (SELECT cls, list(v ORDER BY i) AS p, exp(-0.01 * (600 - any_value(last_order))) AS w FROM ema GROUP BY cls),
+_SCORED = f"""{_EMA}, p AS (SELECT cls, list(v ORDER BY i) AS p, exp(-0.01 * ((SELECT max(vec_id) + 100 FROM emb) - any_value(last_order))) AS w FROM ema GROUP BY cls),
      x AS (SELECT label - 1 AS cls, list_transform(e, lambda v: v / sqrt(list_dot_product(e, e))) AS e FROM emb WHERE label > 0),
      j AS (SELECT x.cls, list_distance(x.e, p.p) AS d, list_dot_product(x.e, p.p) AS s, w, CASE WHEN x.cls = p.cls THEN 1.0 ELSE affinity END::DOUBLE AS t
            FROM x CROSS JOIN p LEFT JOIN class_aff ON id1 = least(x.cls, p.cls) AND id2 = greatest(x.cls, p.cls))"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motefield.functions.labels import snr_of
-from motefield.functions.vectors import norm
+from motefield.functions.vectors import let, norm
 from motefield.operators.classification import centroid_scores
 from motefield.operators.embeddings import centroids
 from motefield.operators.ranking import rank_by_hash, rank_by_value
@@ -269,7 +269,7 @@ def templates(spark: SparkSession, sf: str) -> DataFrame:
 def poses(spark: SparkSession, sf: str) -> DataFrame:
     def scaled(start: int):
         part = F.slice("e", start, 4)
-        return F.transform(part, lambda v: v / norm(part))
+        return let(norm(part), lambda n: F.transform(part, lambda v: v / n))
 
     return emb(spark, sf).select("vec_id", "label", scaled(1).alias("q_true"), scaled(5).alias("q_pred"))
 

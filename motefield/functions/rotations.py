@@ -15,12 +15,15 @@ def _array(values) -> Column:
 
 
 def quaternion_to_matrix(q: Column) -> Column:
-    w, x, y, z = (F.get(q, i) for i in range(4))
-    return _array([
-        1.0 - 2.0 * (y * y + z * z), 2.0 * (x * y - w * z), 2.0 * (x * z + w * y),
-        2.0 * (x * y + w * z), 1.0 - 2.0 * (x * x + z * z), 2.0 * (y * z - w * x),
-        2.0 * (x * z - w * y), 2.0 * (y * z + w * x), 1.0 - 2.0 * (x * x + y * y),
-    ])
+    def cells(v: Column) -> Column:
+        w, x, y, z = (F.get(v, i) for i in range(4))
+        return _array([
+            1.0 - 2.0 * (y * y + z * z), 2.0 * (x * y - w * z), 2.0 * (x * z + w * y),
+            2.0 * (x * y + w * z), 1.0 - 2.0 * (x * x + z * z), 2.0 * (y * z - w * x),
+            2.0 * (x * z - w * y), 2.0 * (y * z + w * x), 1.0 - 2.0 * (x * x + y * y),
+        ])
+
+    return let(q, cells)
 
 
 def scalar_last(q: Column) -> Column:
@@ -56,20 +59,24 @@ def matrix_to_quaternion(m: Column) -> Column:
     The four diagonal combinations are the squared components times four; the
     row belonging to the largest one is scaled to unit length.
     """
-    r = [F.get(m, i) for i in range(9)]
-    wx, wy, wz = r[7] - r[5], r[2] - r[6], r[3] - r[1]
-    xy, xz, yz = r[1] + r[3], r[2] + r[6], r[5] + r[7]
-    rows = F.array(
-        F.array(1.0 + r[0] + r[4] + r[8], wx, wy, wz),
-        F.array(wx, 1.0 + r[0] - r[4] - r[8], xy, xz),
-        F.array(wy, xy, 1.0 - r[0] + r[4] - r[8], yz),
-        F.array(wz, xz, yz, 1.0 - r[0] - r[4] + r[8]),
-    )
-    largest = let(rows, lambda q: F.array_max(F.transform(q, lambda row, i: F.struct(F.get(row, i).alias("size"), row.alias("row")))))
-    return let(
-        largest["row"],
-        lambda row: let(norm(row) * F.when(F.get(row, 0) < 0, -1.0).otherwise(1.0), lambda size: F.transform(row, lambda v: v / size)),
-    )
+
+    def candidates(v: Column) -> Column:
+        r = [F.get(v, i) for i in range(9)]
+        wx, wy, wz = r[7] - r[5], r[2] - r[6], r[3] - r[1]
+        xy, xz, yz = r[1] + r[3], r[2] + r[6], r[5] + r[7]
+        rows = [
+            (1.0 + r[0] + r[4] + r[8], wx, wy, wz),
+            (wx, 1.0 + r[0] - r[4] - r[8], xy, xz),
+            (wy, xy, 1.0 - r[0] + r[4] - r[8], yz),
+            (wz, xz, yz, 1.0 - r[0] - r[4] + r[8]),
+        ]
+        return F.array(*[F.struct(row[i].alias("size"), F.array(*row).alias("row")) for i, row in enumerate(rows)])
+
+    def scaled(row: Column) -> Column:
+        size = norm(row) * F.when(F.get(row, 0) < 0, -1.0).otherwise(1.0)
+        return let(size, lambda n: F.transform(row, lambda v: v / n))
+
+    return let(F.array_max(let(m, candidates))["row"], scaled)
 
 
 def matrix_to_axis_angle(m: Column) -> Column:
@@ -88,20 +95,27 @@ def matrix_to_axis_angle(m: Column) -> Column:
 
 def matrix_to_euler(m: Column) -> Column:
     """Extrinsic x-y-z angles in degrees."""
-    x = F.atan2(F.get(m, 7), F.get(m, 8))
-    y = F.asin(F.least(F.greatest(-F.get(m, 6), F.lit(-1.0)), F.lit(1.0)))
-    z = F.atan2(F.get(m, 3), F.get(m, 0))
-    return F.array(F.degrees(x), F.degrees(y), F.degrees(z))
+
+    def angles(v: Column) -> Column:
+        y = F.asin(F.least(F.greatest(-F.get(v, 6), F.lit(-1.0)), F.lit(1.0)))
+        return F.array(F.degrees(F.atan2(F.get(v, 7), F.get(v, 8))), F.degrees(y), F.degrees(F.atan2(F.get(v, 3), F.get(v, 0))))
+
+    return let(m, angles)
 
 
 def euler_to_matrix(e: Column) -> Column:
     """Matrix of extrinsic x-y-z angles in degrees."""
-    (cx, sx), (cy, sy), (cz, sz) = ((F.cos(F.radians(F.get(e, i))), F.sin(F.radians(F.get(e, i)))) for i in range(3))
-    return F.array(
-        cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx,
-        sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx,
-        -sy, cy * sx, cy * cx,
-    )
+
+    def cells(t: Column) -> Column:
+        (cx, sx), (cy, sy), (cz, sz) = ((F.get(t, i), F.get(t, 3 + i)) for i in range(3))
+        return F.array(
+            cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx,
+            sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx,
+            -sy, cy * sx, cy * cx,
+        )
+
+    radians = F.transform(e, lambda v: F.radians(v))
+    return let(F.concat(F.transform(radians, lambda v: F.cos(v)), F.transform(radians, lambda v: F.sin(v))), cells)
 
 
 def transform_to_rotation(t: Column) -> Column:
@@ -110,11 +124,15 @@ def transform_to_rotation(t: Column) -> Column:
     return F.when(F.size(t) == 16, upper).when(F.size(t) == 9, t).otherwise(_array(IDENTITY))
 
 
-def matrix_product(a: Column, b: Column, transpose_a: bool = False) -> Column:
-    def cell(i: int, j: int) -> Column:
-        return sum(F.get(a, 3 * k + i if transpose_a else 3 * i + k) * F.get(b, 3 * k + j) for k in range(3))
+def matrix_product(a: Column, b: Column, transpose_b: bool = False) -> Column:
+    """Product of two matrices, the second one transposed on request."""
+
+    def cells(x: Column, y: Column) -> Column:
+        return F.array(*[
+            sum(F.get(x, 3 * i + k) * F.get(y, 3 * j + k if transpose_b else 3 * k + j) for k in range(3)) for i in range(3) for j in range(3)
+        ])
 
-    return F.array(*[cell(i, j) for i in range(3) for j in range(3)])
+    return let(a, lambda x: let(b, lambda y: cells(x, y)))
 
 
 def geodesic(a: Column, b: Column) -> Column:

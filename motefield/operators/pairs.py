@@ -103,6 +103,20 @@ def small_table(df: DataFrame, bound: int) -> pd.DataFrame | None:
     return rows if len(rows) <= bound else None
 
 
+def _meet(a: DataFrame, b: DataFrame, cells: Sequence[str], kernel: Callable, schema: str) -> DataFrame:
+    """Cogroup by the cells; the right side gets new column names, because both sides may be the same table."""
+    renamed = b.select(*[F.col(c).alias(f"__x_{c}") for c in b.columns])
+    names = [field.strip().split(" ")[0] for field in schema.split(",")]
+
+    def run(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(block):
+            return pd.DataFrame(columns=names)
+        block.columns = [c.removeprefix("__x_") for c in block.columns]
+        return kernel(rows.reset_index(drop=True), block.reset_index(drop=True))
+
+    return a.groupBy(*cells).cogroup(renamed.groupBy(*[f"__x_{c}" for c in cells])).applyInPandas(run, schema)
+
+
 def map_with_table(
     left: DataFrame,
     right: DataFrame,
@@ -133,7 +147,37 @@ def map_with_table(
     b = right.withColumn("__r", F.pmod(F.xxhash64(right_id), F.lit(n_right))).withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
     a, b = (df.withColumn("__l", F.col("__l").cast("long")).withColumn("__r", F.col("__r").cast("long")) for df in (a, b))
 
-    def meet(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        return kernel(rows.reset_index(drop=True), block.reset_index(drop=True))
+    return _meet(a, b, ["__l", "__r"], kernel, schema)
+
+
+
+def cogroup_blocks(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_id: str,
+    right_id: str,
+    kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    schema: str,
+    block_rows: int = 4096,
+) -> DataFrame:
+    """Apply ``kernel(left block, right block)`` to the rows that share the keys.
+
+    Both sides of a key are cut into blocks by id hash, as many as their own
+    size asks for, and every block meets every block of the other side. A key
+    that holds a third of all rows becomes many tasks; a small key stays one.
+    """
+    keys = list(keys)
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
+
+    sizes = blocks(left, "__nl").join(blocks(right, "__nr"), keys)
+
+    def placed(df: DataFrame, ident: str, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(ident), F.col(f"__n{own}")).cast("int").alias(f"__{own}")
+        theirs = F.explode(F.sequence(F.lit(0), F.col(f"__n{other}") - 1)).alias(f"__{other}")
+        return df.join(sizes, keys).select(*df.columns, mine, theirs)
 
-    return a.groupBy("__l", "__r").cogroup(b.groupBy("__l", "__r")).applyInPandas(meet, schema)
+    a, b = placed(left, left_id, "l", "r"), placed(right, right_id, "r", "l")
+    return _meet(a, b, [*keys, "__l", "__r"], kernel, schema)

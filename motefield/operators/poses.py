@@ -24,9 +24,7 @@ def relative_errors(df: DataFrame, id_col: str, predicted: str = "r_pred", true:
     The trace of (Pi' Pj)' (Ti' Tj) is the product of Pi Ti' with Pj Tj' summed
     over the elements, so a pair of blocks is one matrix product and only sums leave a task.
     """
-    turned = df.select(id_col, F.array(*[
-        sum(F.get(F.col(predicted), 3 * i + k) * F.get(F.col(true), 3 * j + k) for k in range(3)) for i in range(3) for j in range(3)
-    ]).alias("__pt"))
+    turned = df.select(id_col, matrix_product(F.col(predicted), F.col(true), transpose_b=True).alias("__pt"))
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, keep: np.ndarray | None) -> pd.DataFrame:
         trace = np.clip(stack(left["__pt"]) @ stack(right["__pt"]).T, -1.0, 3.0)

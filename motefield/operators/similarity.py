@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motefield.functions.labels import BACKGROUND
-from motefield.operators.pairs import STRIP, distances, map_block_pairs, stack, unit_rows
+from motefield.operators.pairs import STRIP, cogroup_blocks, distances, map_block_pairs, stack, unit_rows
 from motefield.operators.ranking import first_per_group
 from motefield.session import only_row
 
@@ -136,48 +136,27 @@ def top_k_similar(
     many tasks. A task returns only its best k per query; the final ranking
     sees k rows per query and block. Exact for any block size.
     """
-    id_type, group_type = dict(corpus.dtypes)[id_col], dict(corpus.dtypes)[group]
+    types = dict(corpus.dtypes)
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
-
-    sizes = blocks(corpus, "__nc").join(blocks(queries, "__nq"), group)
-
-    def placed(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64(id_col), F.col("__nc" if own == "__cb" else "__nq")).cast("int")
-        theirs = F.explode(F.sequence(F.lit(0), F.col("__nq" if own == "__cb" else "__nc") - 1))
-        out = df.select(group, id_col, vec_col).join(sizes, group)
-        return out.withColumn(own, mine).withColumn(other, theirs).select(
-            group, id_col, vec_col, "__cb", "__qb", F.lit(side).alias("__side")
-        )
-
-    both = placed(corpus, "__cb", "__qb", 0).unionByName(placed(queries, "__qb", "__cb", 1))
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        right, left = rows[rows["__side"] == 0], rows[rows["__side"] == 1]
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(id_col, kind="stable")
+        vectors, r_ids = unit_rows(stack(right[vec_col])), right[id_col].to_numpy()
         parts = []
-        if len(left) and len(right):
-            r = unit_rows(stack(right[vec_col]))
-            r_ids = right[id_col].to_numpy()
-            by_id = np.argsort(r_ids, kind="stable")
-            r, r_ids = r[by_id], r_ids[by_id]
-            for start in range(0, len(left), STRIP):
-                part = left.iloc[start : start + STRIP]
-                q_ids = part[id_col].to_numpy()
-                sim = unit_rows(stack(part[vec_col])) @ r.T
-                sim[q_ids[:, None] == r_ids[None, :]] = -np.inf
-                order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                rows_ = np.repeat(np.arange(len(part)), order.shape[1])
-                cols_ = order.ravel()
-                found = sim[rows_, cols_] > -np.inf
-                rows_, cols_ = rows_[found], cols_[found]
-                parts.append(pd.DataFrame({
-                    group: part[group].to_numpy()[rows_], "query_id": q_ids[rows_], "id": r_ids[cols_], "similarity": sim[rows_, cols_],
-                }))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[group, "query_id", "id", "similarity"])
-
-    schema = f"{group} {group_type}, query_id {id_type}, id {id_type}, similarity double"
-    found = both.groupBy(group, "__cb", "__qb").applyInPandas(best, schema)
+        for start in range(0, len(left), STRIP):
+            part = left.iloc[start : start + STRIP]
+            q_ids = part[id_col].to_numpy()
+            sim = unit_rows(stack(part[vec_col])) @ vectors.T
+            sim[q_ids[:, None] == r_ids[None, :]] = -np.inf
+            order = np.argsort(-np.round(sim, 9), axis=1, kind="stable")[:, :k]
+            rows, cols = np.repeat(np.arange(len(part)), order.shape[1]), order.ravel()
+            found = sim[rows, cols] > -np.inf
+            rows, cols = rows[found], cols[found]
+            parts.append(pd.DataFrame({group: part[group].to_numpy()[rows], "query_id": q_ids[rows], "id": r_ids[cols], "similarity": sim[rows, cols]}))
+        return pd.concat(parts, ignore_index=True)
+
+    schema = f"{group} {types[group]}, query_id {types[id_col]}, id {types[id_col]}, similarity double"
+    sides = [df.select(group, id_col, vec_col) for df in (queries, corpus)]
+    found = cogroup_blocks(*sides, [group], id_col, id_col, best, schema, block_rows)
     order = [F.round("similarity", 9).desc(), F.col("id")]
     return first_per_group(found, [group, "query_id"], order, k)
 
