@@ -20,10 +20,14 @@ STEP_STATE = "cls int, last_step long, prototype array<double>"
 
 def merge_segment(state: DataFrame, segment: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """State after one micro-batch: two small tables, one row per class, joined by class."""
-    both = state.select("cls", F.col("n").alias("n0"), F.col("last_order").alias("o0"), "prototype").join(segment, "cls", "full")
-    after = F.when(F.col("n").isNull(), F.col("prototype")).otherwise(apply_segment(F.col("prototype"), F.col("n"), F.col("tail"), F.col("first"), alpha))
+    before = state.select("cls", F.col("n").alias("n_before"), F.col("last_order").alias("order_before"), F.col("prototype").alias("p_before"))
+    both = before.join(segment.withColumnsRenamed({"n": "n_new", "last_order": "order_new"}), "cls", "full")
+    after = apply_segment(F.col("p_before"), F.col("n_new"), F.col("tail"), F.col("first"), alpha)
     return both.select(
-        "cls", (F.coalesce("n0", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("n"), F.greatest("o0", "last_order").cast("long").alias("last_order"), after.alias("prototype")
+        "cls",
+        (F.coalesce("n_before", F.lit(0)) + F.coalesce("n_new", F.lit(0))).cast("long").alias("n"),
+        F.greatest("order_before", "order_new").cast("long").alias("last_order"),
+        F.when(F.col("n_new").isNull(), F.col("p_before")).otherwise(after).alias("prototype"),
     )
 
 
