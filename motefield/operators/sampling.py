@@ -18,19 +18,29 @@ def cap_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return first_per_group(df, keys, order, n)
 
 
+def _keep(df: DataFrame, chosen: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose ids were chosen. Ranks are taken on the ids alone, so wide rows (volumes) are not sorted."""
+    return df.join(chosen.select(*ids), list(ids), "left_semi")
+
+
 def even_sample(df: DataFrame, keys: Sequence[str], order_col: str, n: int) -> DataFrame:
-    """n rows per group at evenly spaced places of its order; groups of at most n rows stay whole."""
-    ranked = rank_by_value(df, keys, order_col, group_size="__n")
+    """n rows per group at evenly spaced places of its order; groups of at most n rows stay whole.
+
+    ``order_col`` is unique within a group.
+    """
+    ids = [*keys, order_col]
+    ranked = rank_by_value(df.select(*ids), keys, order_col, group_size="__n")
     place, last = F.col("rn") - 1, F.greatest(F.col("__n") - 1, F.lit(1))
     step = F.floor((place * (n - 1) + last - 1) / last)
     hit = (step <= n - 1) & (F.floor(step * last / (n - 1)) == place) if n > 1 else place == 0
-    return ranked.filter((F.col("__n") <= n) | hit).drop("rn", "__n")
+    return _keep(df, ranked.filter((F.col("__n") <= n) | hit), ids)
 
 
 def balance(df: DataFrame, key: str, id_col: str, seed) -> DataFrame:
     """As many rows of every class as the smallest class has, without replacement."""
     smallest = only_row(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n")))["n"] or 0
-    return rank_by_hash(df, [key], [id_col], seed).filter(F.col("rn") <= smallest).drop("rn")
+    ranked = rank_by_hash(df.select(key, id_col), [key], [id_col], seed)
+    return _keep(df, ranked.filter(F.col("rn") <= smallest), [key, id_col])
 
 
 def stage_table(stages: DataFrame) -> DataFrame:
@@ -157,7 +167,7 @@ def mix_background(df: DataFrame, background: DataFrame, ratio: float, seed, id_
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed) -> DataFrame:
     """n random rows without replacement; the original order column stays usable."""
-    return rank_by_hash(df, [], [id_col], seed).filter(F.col("rn") <= n).drop("rn")
+    return _keep(df, rank_by_hash(df.select(id_col), [], [id_col], seed).filter(F.col("rn") <= n), [id_col])
 
 
 def is_object(col: str = "molecule_id") -> Column:

@@ -157,12 +157,12 @@ def wedge_error(df: DataFrame, angle: float = 90.0, floor: float = 0.3, a: str =
 def convergence(df: DataFrame, reference: DataFrame, counts: Sequence[int], key: str, order_col: str, voxel: float, mask=None) -> DataFrame:
     """Mean of the first n volumes of each group against its reference, for each n the group can fill.
 
-    Only the first ``max(counts)`` volumes of a group take part, so the voxel
-    rows are bounded by the number of groups.
+    Ranks are taken on ids alone. Only the first ``max(counts)`` volumes of a
+    group take part, so the voxel rows are bounded by the number of groups.
     """
-    ranked = rank_by_value(df, [key], order_col, group_size="__n")
+    ranked = rank_by_value(df.select(key, order_col), [key], order_col, group_size="__n").filter(F.col("rn") <= max(counts))
     sizes = F.explode(F.array(*[F.lit(int(c)) for c in counts]))
-    used = ranked.filter(F.col("rn") <= max(counts)).withColumn("n", sizes).filter((F.col("rn") <= F.col("n")) & (F.col("n") <= F.col("__n")))
+    used = df.join(ranked, [key, order_col]).withColumn("n", sizes).filter((F.col("rn") <= F.col("n")) & (F.col("n") <= F.col("__n")))
     means = packed_by_position(mean_voxels(used, [key, "n"]), [key, "n"], out="data_a")
     pairs = means.join(reference.select(key, "shape", F.col("data").alias("data_b")), key)
     resolution = fsc_resolution(fsc_curve(pairs, voxel, mask), [key, "n"])

@@ -77,13 +77,18 @@ def particle_catalog(spark: SparkSession, root: str) -> DataFrame:
 
 
 def latest_version(spark: SparkSession, folder: str) -> str:
-    """The folder itself if it holds files, else the last of the sorted ``<folder>_*`` versions."""
+    """The folder itself if it holds files, else the last of the sorted ``<folder>_*`` versions.
+
+    Only paths are listed; the content column of the listing is never read.
+    """
+    name = folder.rstrip("/").split("/")[-1]
     for pattern in (folder, f"{folder}_*"):
         try:
             listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern).select("path")
-            last = only_row(listing.agg(F.max(F.regexp_extract("path", f"({folder.rstrip('/')}(?:_[^/]*)?)/", 1)).alias("p")))["p"]
-            if last:
-                return last
+            suffix = F.regexp_extract("path", rf"/\Q{name}\E(_[^/]*)?/", 1)
+            row = only_row(listing.agg(F.max(suffix).alias("suffix")))
+            if row["suffix"] is not None:
+                return folder.rstrip("/") + row["suffix"]
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
