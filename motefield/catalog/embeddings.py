@@ -75,7 +75,24 @@ def g3_class_separation(spark, sf):
     return rounded(ops.class_separation(t.features(spark, sf)))
 
 
-@query("g4_mahalanobis_overlap")
+# d' A^-1 d by elimination: what is left of [[A, d], [d', 0]] after removing all rows of A is its negative.
+# The chi-square tail of 16 dimensions is a finite sum.
+_OVERLAP = """cov AS (SELECT label, i, j, covar_samp(e[i], e[j]) + CASE WHEN i = j THEN 1e-6 ELSE 0 END AS c FROM emb, UNNEST(range(1, 17)) AS r(i), UNNEST(range(1, 17)) AS s(j) GROUP BY label, i, j),
+     cov_rows AS (SELECT label, i, list(c ORDER BY j) AS r FROM cov GROUP BY label, i),
+     start AS (SELECT a.label AS i, b.label AS j, list_append(list(list_append(r, b.c[cov_rows.i] - a.c[cov_rows.i]) ORDER BY cov_rows.i),
+               list_append(list_transform(range(1, 17), lambda k: any_value(b.c)[k] - any_value(a.c)[k]), 0.0)) AS m
+               FROM centers a JOIN centers b ON a.label <> b.label JOIN cov_rows ON cov_rows.label = a.label GROUP BY a.label, b.label),
+     steps AS (SELECT i, j, m, 0 AS n FROM start UNION ALL
+       SELECT i, j, list_transform(m[2:], lambda r: list_transform(range(2, len(r) + 1), lambda k: r[k] - r[1] * m[1][k] / m[1][1])), n + 1 FROM steps WHERE n < 16),
+     half AS (SELECT i, j, -m[1][1] / 2 AS h FROM steps WHERE n = 16),
+     tail AS (SELECT i, j, least(exp(-h) * list_sum(list_transform(range(0, 8), lambda k: h ** k / factorial(k::INT))), 1) AS overlap FROM half)"""
+
+
+@query(
+    "g4_mahalanobis_overlap",
+    f"WITH {_OVERLAP} SELECT i - 1 AS i, j - 1 AS j, round(overlap, 6) AS overlap FROM tail UNION ALL SELECT label - 1, label - 1, 1.0 FROM centers",
+    ("centers",),
+)
 def g4_mahalanobis_overlap(spark, sf):
     short = t.features(spark, sf).withColumn("feature", F.slice("feature", 1, 16))
     return rounded(ops.mahalanobis_overlap(short))
@@ -106,7 +123,15 @@ def g5_diversity_pairwise(spark, sf):
     return rounded(ops.diversity(t.features(spark, sf), "pairwise"))
 
 
-@query("g5_diversity_determinant")
+@query(
+    "g5_diversity_determinant",
+    """WITH cov AS (SELECT i, j, covar_samp(e[i], e[j]) + CASE WHEN i = j THEN 1e-10 ELSE 0 END AS c FROM emb, UNNEST(range(1, 65)) AS r(i), UNNEST(range(1, 65)) AS s(j) GROUP BY i, j),
+       rows_ AS (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i),
+       steps AS (SELECT list(r ORDER BY i) AS m, 0.0::DOUBLE AS logdet, 0 AS n FROM rows_ UNION ALL
+         SELECT list_transform(m[2:], lambda r: list_transform(range(2, len(r) + 1), lambda k: r[k] - r[1] * m[1][k] / m[1][1])), logdet + ln(m[1][1]), n + 1 FROM steps WHERE n < 64)
+       SELECT round(logdet, 6) AS diversity FROM steps WHERE n = 64""",
+    ("emb",),
+)
 def g5_diversity_determinant(spark, sf):
     return rounded(ops.diversity(t.features(spark, sf), "determinant"))
 

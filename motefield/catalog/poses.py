@@ -130,12 +130,31 @@ def j5_rotation_metrics(spark, sf):
     return rounded(ops.rotation_metrics(rotations(spark, sf), "vec_id"))
 
 
-@query("j6_align_rotations")
+# The best global rotation as a quaternion: the leading eigenvector of a 4x4 matrix, by repeated squaring of the shifted matrix.
+_S = {f"s{a}{b}": " + ".join(f"rp[{3 * a + c + 1}] * rt[{3 * b + c + 1}]" for c in range(3)) for a in range(3) for b in range(3)}
+_GLOBAL = f"""hs AS (SELECT count(*) AS n, {', '.join(f"sum({v}) / count(*) AS {k}" for k, v in _S.items())} FROM rotations),
+     nm AS (SELECT 0 AS step, [s00 + s11 + s22 + 9, s12 - s21, s20 - s02, s01 - s10, s12 - s21, s00 - s11 - s22 + 9, s01 + s10, s20 + s02,
+            s20 - s02, s01 + s10, s11 - s00 - s22 + 9, s12 + s21, s01 - s10, s20 + s02, s12 + s21, s22 - s00 - s11 + 9]::DOUBLE[] AS m FROM hs
+       UNION ALL SELECT step + 1, list_transform(range(0, 16), lambda p: list_sum(list_transform(range(0, 4), lambda k: m[(p // 4) * 4 + k + 1] * m[k * 4 + p % 4 + 1])) / list_dot_product(m, m)) FROM nm WHERE step < 25),
+     qv AS (SELECT list_transform(range(0, 4), lambda k: m[k * 4 + 1] + 0.3 * m[k * 4 + 2] + 0.2 * m[k * 4 + 3] + 0.1 * m[k * 4 + 4]) AS v FROM nm WHERE step = 25),
+     qn AS (SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS q FROM qv),
+     gr AS (SELECT [1 - 2*(q[3]*q[3] + q[4]*q[4]), 2*(q[2]*q[3] - q[1]*q[4]), 2*(q[2]*q[4] + q[1]*q[3]), 2*(q[2]*q[3] + q[1]*q[4]), 1 - 2*(q[2]*q[2] + q[4]*q[4]), 2*(q[3]*q[4] - q[1]*q[2]),
+            2*(q[2]*q[4] - q[1]*q[3]), 2*(q[3]*q[4] + q[1]*q[2]), 1 - 2*(q[2]*q[2] + q[3]*q[3])] AS g FROM qn),
+     al AS (SELECT vec_id, rt, list_transform(range(0, 9), lambda p: g[(p // 3) * 3 + 1] * rp[p % 3 + 1] + g[(p // 3) * 3 + 2] * rp[p % 3 + 4] + g[(p // 3) * 3 + 3] * rp[p % 3 + 7]) AS ra FROM rotations, gr),
+     ae AS (SELECT vec_id, list_distance(ra, rt) ** 2 / 3 AS d2, degrees(acos((least(greatest(list_dot_product(ra, rt), -1), 3) - 1) / 2)) AS error FROM al)"""
+
+
+@query("j6_align_rotations", f"WITH {_GLOBAL} SELECT vec_id, round(error, 6) AS error FROM ae", ("rotations",))
 def j6_align_rotations(spark, sf):
     return rounded(ops.align_rotations(rotations(spark, sf))[0].select("vec_id", "error"))
 
 
-@query("j6_alignment_summary")
+@query(
+    "j6_alignment_summary",
+    f"""WITH {_GLOBAL} SELECT round(sqrt(avg(d2)), 6) AS rmsd, round(avg(error), 6) AS mean_angular_error, round(stddev_pop(error), 6) AS std_angular_error,
+        round(max(error), 6) AS max_angular_error, round(min(error), 6) AS min_angular_error FROM ae""",
+    ("rotations",),
+)
 def j6_alignment_summary(spark, sf):
     return rounded(ops.alignment_summary(rotations(spark, sf)))
 
@@ -194,6 +213,28 @@ def _with_template(spark, sf):
     return sets, template
 
 
+_CELLS = [("xx", "xy", "xz"), ("xy", "yy", "yz"), ("xz", "yz", "zz")]
+_OTHERS = {1: (2, 3), 2: (1, 3), 3: (1, 2)}
+
+
+def _projector(axis, a, b):
+    """Entry (a, b) of the projector on one eigenvector: the product of (A - m) over the other two eigenvalues, scaled."""
+    p, q = _OTHERS[axis]
+    product = " + ".join(f"({_CELLS[a][k]} - {f'm{p}' if a == k else '0'}) * ({_CELLS[k][b]} - {f'm{q}' if k == b else '0'})" for k in range(3))
+    return f"({product}) / ((m{axis} - m{p}) * (m{axis} - m{q}))"
+
+
+_PROJECTED = " UNION ALL ".join(f"SELECT set_id, {i - 1} AS axis, {a * 3 + b} AS pos, round({_projector(i, a, b)}, 4) AS v FROM eig JOIN m USING (set_id)" for i in (1, 2, 3) for a in range(3) for b in range(3))
+
+
+@query("j9_axis_projectors", f"WITH {_MOMENTS}, {_EIGEN} {_PROJECTED}", ("splats",))
+def j9_axis_projectors(spark, sf):
+    """Outer product of each principal axis with itself: free of the sign an eigenvector leaves open."""
+    pca = sp.weighted_pca(t.splats(spark, sf)).select("set_id", "axes", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("axis"))
+    cell = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda p: F.get("axes", F.floor(p / 3).cast("int") * 3 + F.col("axis")) * F.get("axes", F.pmod(p, F.lit(3)) * 3 + F.col("axis")))
+    return rounded(pca.select("set_id", "axis", F.posexplode(cell).alias("pos", "v")), 4)
+
+
 @query("j10_align_sets_pca")
 def j10_align_sets_pca(spark, sf):
     sets, template = _with_template(spark, sf)

@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motefield.functions.labels import BACKGROUND
-from motefield.operators.pairs import STRIP, cogroup_blocks, distances, map_block_pairs, stack, unit_rows
+from motefield.operators.pairs import STRIP, cogroup_blocks, distances, map_block_pairs, small_table, stack, unit_rows
 from motefield.operators.ranking import first_per_group
 from motefield.session import only_row
 
 # Target similarity of two background rows and of background with anything else.
 BACKGROUND_SIM = 0.2
 BACKGROUND_OTHER_SIM = 0.01
+TARGET_BOUND = 200_000  # class pairs that may travel with a task
 
 
 def pairwise_affinity(
@@ -196,6 +197,15 @@ def _class_pair_sums(left, right, keep, class_col, values: dict[str, np.ndarray]
     return pd.DataFrame(out)
 
 
+def _lookup_by_class(table: pd.DataFrame) -> dict:
+    """Affinities of a small class table as ``{class: {other class: affinity}}``."""
+    known: dict = {}
+    for a, b, value in zip(table["id1"], table["id2"], table["affinity"]):
+        known.setdefault(a, {})[b] = value
+        known.setdefault(b, {})[a] = value
+    return known
+
+
 def contrastive_score(
     df: DataFrame, class_aff: DataFrame, margin: float = 4.0, ratio_dims: int | None = None, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls"
 ) -> DataFrame:
@@ -222,31 +232,35 @@ def affinity_agreement(
 ) -> DataFrame:
     """L1 distance of pair similarity and target, by unordered pair of classes.
 
-    The absolute value ties each pair to its target, so the target travels with
-    the row: every row carries the targets of its own class against the classes,
-    as one map per row, bounded by the number of classes.
+    The absolute value ties each pair to its target. A class table of at most
+    ``TARGET_BOUND`` pairs travels with the tasks; beyond it every row carries
+    the targets of its own class as a map.
     """
     kind = dict(df.dtypes)[class_col]
-    classes = df.select(F.col(class_col).alias("__c")).distinct()
-    known = directed(class_aff).groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "affinity"))).alias("__known"))
-    table = classes.join(known, F.col("__c") == F.col("i"), "left").drop("i")
-    carried = df.join(table, F.col(class_col) == F.col("__c")).drop("__c")
+    table = small_table(class_aff.select("id1", "id2", "affinity"), TARGET_BOUND)
+    if table is not None:
+        known = _lookup_by_class(table)
+        carried, columns = df, [vec_col, class_col]
+    else:
+        known = None
+        maps = directed(class_aff).groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "affinity"))).alias("__known"))
+        carried = df.join(maps, F.col(class_col) == F.col("i"), "left").drop("i")
+        columns = [vec_col, class_col, "__known"]
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, keep: np.ndarray | None) -> pd.DataFrame:
         a, b = stack(left[vec_col])[:, :ratio_dims], stack(right[vec_col])[:, :ratio_dims]
         sim = unit_rows(a) @ unit_rows(b).T
         sim = (sim + 1.0) / 2.0 if rescale else sim
-        r_cls = right[class_col].to_numpy()
-        r_names, r_codes = np.unique(r_cls, return_inverse=True)
-        target = np.empty(sim.shape)
-        for cls, known_map in {c: m for c, m in zip(left[class_col], left["__known"])}.items():
-            lookup = dict(known_map) if known_map is not None else {}
-            row = np.array([
-                1.0 if (c == cls and cls != -1) else BACKGROUND_SIM if (c == -1 and cls == -1) else BACKGROUND_OTHER_SIM if -1 in (c, cls) else lookup.get(c, 0.0)
-                for c in r_names
-            ])
-            target[(left[class_col] == cls).to_numpy()] = row[r_codes]
-        return _class_pair_sums(left, right, keep, class_col, {"l1": np.abs(sim - target)})
-
-    sums = map_block_pairs(carried, id_col, [vec_col, class_col, "__known"], kernel, f"c1 {kind}, c2 {kind}, n long, l1 double")
+        l_names, l_first, l_codes = np.unique(left[class_col].to_numpy(), return_index=True, return_inverse=True)
+        r_names, r_codes = np.unique(right[class_col].to_numpy(), return_inverse=True)
+        target = np.zeros((len(l_names), len(r_names)))
+        for i, cls in enumerate(l_names):
+            own = known.get(cls, {}) if known is not None else dict(left["__known"].iloc[l_first[i]] or {})
+            target[i] = [own.get(other, 0.0) for other in r_names]
+        l_back, r_back = l_names[:, None] == -1, r_names[None, :] == -1
+        target = np.where(l_names[:, None] == r_names[None, :], 1.0, target)
+        target = np.where(l_back & r_back, BACKGROUND_SIM, np.where(l_back | r_back, BACKGROUND_OTHER_SIM, target))
+        return _class_pair_sums(left, right, keep, class_col, {"l1": np.abs(sim - target[l_codes][:, r_codes])})
+
+    sums = map_block_pairs(carried, id_col, columns, kernel, f"c1 {kind}, c2 {kind}, n long, l1 double")
     return sums.groupBy("c1", "c2").agg(F.sum("n").alias("n_pairs"), (F.sum("l1") / F.sum("n")).alias("mean_l1"))

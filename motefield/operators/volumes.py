@@ -30,6 +30,8 @@ AUGMENT_DEFAULTS = {
     "brightness_range": (-0.1, 0.1),
 }
 
+SLICE_VOXELS = 1_000_000  # voxels handled at a time, so that large boxes do not pile up in a Python worker
+
 
 def per_volume(df: DataFrame, fn: Callable, outputs: dict[str, str], inputs: Sequence[str] = ("data",), extra: Sequence[str] = ()) -> DataFrame:
     """Replace or add columns by ``fn(*volumes, *extra values)``, one tuple per row.
@@ -40,18 +42,24 @@ def per_volume(df: DataFrame, fn: Callable, outputs: dict[str, str], inputs: Seq
     types = dict(df.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{c}` {k}" for c, k in outputs.items()])
 
+    def apply(batch: pd.DataFrame) -> pd.DataFrame:
+        shapes = [tuple(int(s) for s in shape) for shape in batch["shape"]]
+        volumes = [[np.asarray(v, dtype=np.float64).reshape(s) for v, s in zip(batch[c], shapes)] for c in inputs]
+        rows = [fn(*args) for args in zip(*volumes, *[batch[c] for c in extra])]
+        out = batch[kept].copy()
+        for i, (name, kind) in enumerate(outputs.items()):
+            values = [row[i] for row in rows]
+            if kind == "array<double>":
+                values = [np.asarray(v, dtype=np.float64).ravel() for v in values]
+            out[name] = pd.Series(values, index=out.index, dtype=object if kind.startswith("array") else None)
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            shapes = [tuple(int(s) for s in shape) for shape in batch["shape"]]
-            volumes = [[np.asarray(v, dtype=np.float64).reshape(s) for v, s in zip(batch[c], shapes)] for c in inputs]
-            rows = [fn(*args) for args in zip(*volumes, *[batch[c] for c in extra])]
-            out = batch[kept].copy()
-            for i, (name, kind) in enumerate(outputs.items()):
-                values = [row[i] for row in rows]
-                if kind == "array<double>":
-                    values = [np.asarray(v, dtype=np.float64).ravel() for v in values]
-                out[name] = pd.Series(values, index=out.index, dtype=object if kind.startswith("array") else None)
-            yield out
+            if len(batch):
+                step = max(1, SLICE_VOXELS // max(1, len(batch[inputs[0]].iloc[0])))
+                for start in range(0, len(batch), step):
+                    yield apply(batch.iloc[start : start + step])
 
     return df.mapInPandas(run, schema)
 

@@ -166,3 +166,14 @@ def test_second_prototypes_can_be_continued(spark):
     for c in whole:
         assert np.allclose(whole[c]["prototype"], parts[c]["prototype"]) and whole[c]["last_step"] == parts[c]["last_step"]
         assert np.linalg.norm(whole[c]["prototype"]) == pytest.approx(1.0)
+
+
+def test_agreement_with_a_table_beyond_the_bound(spark, clusters, monkeypatch):
+    x, y, _ = clusters
+    df = table(spark, x, np.arange(90) % 4 - 1)
+    aff = spark.createDataFrame([(0, 1, 0.3), (1, 2, 0.8)], "id1 int, id2 int, affinity double")
+    near = {(r["c1"], r["c2"]): (r["n_pairs"], r["mean_l1"]) for r in sim.affinity_agreement(df, aff).collect()}
+    monkeypatch.setattr(sim, "TARGET_BOUND", 0)
+    far = {(r["c1"], r["c2"]): (r["n_pairs"], r["mean_l1"]) for r in sim.affinity_agreement(df, aff).collect()}
+    assert set(near) == set(far) and len(near) == 10
+    assert all(near[k][0] == far[k][0] and near[k][1] == pytest.approx(far[k][1]) for k in near)

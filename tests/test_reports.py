@@ -154,3 +154,21 @@ def test_rerun_replaces_only_its_runs(spark):
     sinks.write_embeddings(df, path)
     sinks.write_embeddings(spark.createDataFrame([("b", 9)], "run string, v int"), path)
     assert sorted((r["run"], r["v"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 9)]
+
+
+def test_comparison_of_two_sources(spark):
+    from motefield.plans.classification import compare_sources
+
+    rng = np.random.default_rng(12)
+    y = np.repeat([0, 1, 2], 24)
+
+    def source(noise, shift):
+        x = np.eye(3)[y] * 2 + rng.normal(size=(72, 3)) * noise
+        return spark.createDataFrame([(i + shift, int(c), [float(v) for v in r]) for i, (r, c) in enumerate(zip(x, y))], "id int, cls int, feature array<double>")
+
+    reports = compare_sources(source(0.3, 0), source(2.0, 500).filter("id <> 500"), k=3, max_iter=10, balanced=True)
+    summary = {r["method"]: r for r in reports["summary"].collect()}
+    assert summary["first"]["mean_accuracy"] > summary["second"]["mean_accuracy"]
+    assert reports["scores"].count() == 3 * 69 * 3
+    assert reports["per_class"].count() == 9 and reports["class_improvement"].count() == 3
+    assert reports["improvement"].first()["mean_improvement"] > 0
