@@ -10,6 +10,8 @@ rows is spread over all tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -45,7 +47,11 @@ def _over_buckets(
     )
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = df.join(offsets, [*keys, _BUCKET]).withColumn(out, F.row_number().over(inside) + F.col("__off"))
+    # Null keys and null buckets are groups too, so the join is null-safe.
+    cells_of = {c: f"__k_{c}" for c in (*keys, _BUCKET)}
+    match = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in cells_of.items()])
+    joined = df.join(offsets.withColumnsRenamed(cells_of), match).drop(*cells_of.values())
+    ranked = joined.withColumn(out, F.row_number().over(inside) + F.col("__off"))
     for name, column in running.items():
         ranked = ranked.withColumn(name, F.sum(column).over(upto) + F.col(f"__o_{name}"))
     return ranked.drop(_BUCKET, "__off", *[f"__o_{name}" for name in running])
@@ -79,7 +85,7 @@ def with_cut_buckets(df: DataFrame, column: str, buckets: int, descending: bool
     splits = [float("-inf"), *cuts, float("inf")]
     if len(splits) < 3:
         splits = [float("-inf"), 0.0, float("inf")]
-    return Bucketizer(splits=splits, inputCol="__key", outputCol=_BUCKET).transform(valued).drop("__key")
+    return Bucketizer(splits=splits, inputCol="__key", outputCol=_BUCKET, handleInvalid="keep").transform(valued).drop("__key")
 
 
 def rank_by_value(

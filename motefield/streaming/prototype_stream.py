@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from motefield.operators.pairs import stack
 from motefield.operators.prototypes import ALPHA, apply_segment, ema_segment, fold_rows
-from motefield.session import scratch_path
+from motefield.session import only_row, scratch_path
 
 STATE_SCHEMA = "cls int, n long, last_order long, prototype array<double>"
 STEP_STATE = "cls int, last_step long, prototype array<double>"
@@ -51,8 +51,13 @@ def run_prototype_stream(rows: DataFrame, order_col: str, state_path: str, check
 
     query = rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    progress = [p.batchId for p in query.recentProgress if p.numInputRows > 0]
-    return f"{state_path}/batch={max(progress)}" if progress else f"{state_path}/batch=0"
+    return f"{state_path}/batch={last_batch(spark, state_path)}"
+
+
+def last_batch(spark: SparkSession, state_path: str) -> int:
+    """Number of the newest state, from a listing of paths; a restarted stream goes on from there."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(state_path)
+    return only_row(listing.agg(F.max(F.regexp_extract("path", "/batch=([0-9]+)/", 1).cast("long")).alias("b")))["b"]
 
 
 def prototype_stream(spark: SparkSession, rows: DataFrame, order_col: str, alpha: float = ALPHA) -> DataFrame:

@@ -76,3 +76,12 @@ def test_uniform_and_normal_have_the_right_moments(spark):
     ).first()
     assert abs(row["u"] - 0.5) < 0.01 and abs(row["n"]) < 0.03 and abs(row["s"] - 1) < 0.03
     assert 0 <= row["lo"] and row["hi"] < 1
+
+
+def test_null_keys_and_values_are_ranked_too(spark):
+    rows = [("a", 1, 0.5), ("a", 2, None), ("a", 3, 0.1), (None, 4, 2.0), (None, 5, 1.0), (None, 6, None)]
+    df = spark.createDataFrame(rows, "k string, id int, v double")
+    got = {r["id"]: (r["rn"], r["n"]) for r in rank_by_value(df, ["k"], "v", ["id"], group_size="n").collect()}
+    assert got == {2: (1, 3), 3: (2, 3), 1: (3, 3), 6: (1, 3), 5: (2, 3), 4: (3, 3)}  # nulls first, as Spark sorts
+    hashed = rank_by_hash(df, ["k"], ["id"], 1).collect()
+    assert sorted(r["rn"] for r in hashed if r["k"] is None) == [1, 2, 3] and len(hashed) == 6

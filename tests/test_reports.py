@@ -172,3 +172,21 @@ def test_comparison_of_two_sources(spark):
     assert reports["scores"].count() == 3 * 69 * 3
     assert reports["per_class"].count() == 9 and reports["class_improvement"].count() == 3
     assert reports["improvement"].first()["mean_improvement"] > 0
+
+
+def test_restarted_stream_goes_on(spark):
+    from motefield.streaming.prototype_stream import STATE_SCHEMA, run_prototype_stream
+
+    rng = np.random.default_rng(21)
+    rows = [(i, int(i % 3) - 1, [float(v) for v in rng.normal(size=2)]) for i in range(12)]
+    df = spark.createDataFrame(rows, "step long, cls int, feature array<double>")
+    path, state, checkpoint = (scratch_path(spark, n) for n in ("restart", "restart-state", "restart-checkpoint"))
+    for low, high in ((0, 6), (6, 12), (12, 12)):
+        if high > low:
+            df.filter(f"step >= {low} AND step < {high}").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(df.schema).parquet(path)
+        last = run_prototype_stream(stream, "step", state, checkpoint)
+    got = {r["cls"]: r for r in spark.read.schema(STATE_SCHEMA).parquet(last).collect()}
+    want = {r["cls"]: r for r in pr.prototypes(df, "step").collect()}
+    assert set(got) == set(want) == {0, 1}
+    assert all(np.allclose(got[c]["prototype"], want[c]["prototype"]) and got[c]["n"] == 4 for c in want)
