@@ -16,7 +16,6 @@ from motefield.catalog.poses import ROTATION_METRICS_SQL, rotations
 from motefield.catalog.registry import query, rounded
 from motefield.catalog.volumes import _EDGE8, _MOMENTS, _SMOOTH
 from motefield.functions.vectors import total
-from motefield.operators.clean import encode_volumes
 from motefield.operators.joins import best_spacing
 from motefield.operators.scoring import score
 from motefield.plans.evaluation import evaluate

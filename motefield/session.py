@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -25,6 +27,20 @@ def get_session(app: str = "motefield", cpus: int | None = None) -> SparkSession
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, as ``--py-files`` would."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='motefield-')}/{here.name}", "zip", here.parent, here.name)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
 
