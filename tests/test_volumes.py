@@ -99,7 +99,7 @@ def test_boxes_equal_slices(spark):
     chunks = [(0, z, y, x, [float(v) for v in tomogram[z * 8 : z * 8 + 8, y * 8 : y * 8 + 8, x * 8 : x * 8 + 8].ravel()]) for z in range(2) for y in range(1) for x in range(3)]
     chunk_df = spark.createDataFrame(chunks, "run int, cz int, cy int, cx int, data array<double>")
     size = spark.createDataFrame([(0, 16, 8, 24)], "run int, nz int, ny int, nx int")
-    points = [(0, i, float(p[0]), float(p[1]), float(p[2])) for i, p in enumerate(rng.uniform(-20, 260, (300, 3)))]
+    points = [(0, i, float(p[0]), float(p[1]), float(p[2])) for i, p in enumerate(rng.uniform(-20, 260, (3000, 3)))]
     picks = jo.pick_voxels(spark.createDataFrame(points, "run int, pick_id long, x double, y double, z double"), F.lit(10.0))
     got = {r["pick_id"]: np.asarray(r["data"]) for r in jo.extract_boxes(picks, size, chunk_df, box, edge).collect()}
     want = {}
