@@ -62,3 +62,50 @@ def op6_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from motefield.llm.pieces import round_trip_digests
 
     return round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motefield.llm.packing import pack, token_count
+
+    return pack(read_table(spark, sf_dir, "documents"), token_count(F.col("text")))
+
+
+@query("""
+WITH l AS (
+    SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL),
+t AS (
+    SELECT doc_id, text, n, line, list_transform(string_split(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), ' '),
+        lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tok FROM l),
+k AS (
+    SELECT doc_id, text, n, line, CASE WHEN len(tok) < 4 THEN [] WHEN len(tok) < 10 THEN ['-1|' || array_to_string(tok, ' ')]
+        ELSE list_transform(range(0, 5), lambda i: i || '|' || len(tok) || '|' || array_to_string(list_slice(tok, 1, 3), ' ') || '|'
+            || array_to_string(list_slice(tok, 4, 3 + CAST(floor((len(tok) - 3) * i / 5) AS INTEGER)), ' ') || '|'
+            || array_to_string(list_slice(tok, 4 + CAST(floor((len(tok) - 3) * (i + 1) / 5) AS INTEGER), len(tok)), ' ')) END AS keys FROM t),
+c AS (
+    SELECT key, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM (SELECT doc_id, unnest(keys) AS key FROM k) GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+gone AS (
+    SELECT DISTINCT doc_id, n FROM (SELECT doc_id, n, unnest(keys) AS key FROM k) JOIN c USING (key) WHERE doc_id <> first)
+SELECT k.doc_id, count(*) AS n_lines, count(gone.n) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY k.n) FILTER (WHERE gone.n IS NULL), '')) AS text_sha256
+FROM k LEFT JOIN gone ON k.doc_id = gone.doc_id AND k.n = gone.n GROUP BY k.doc_id
+""")
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motefield.llm.linededup import drop_recurring_lines
+
+    left = drop_recurring_lines(read_table(spark, sf_dir, "documents"), min_docs=3)
+    return left.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("dropped_lines").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motefield.llm.tokens import encoded_lengths, length_histogram, suffix_sums
+
+    return suffix_sums(length_histogram(encoded_lengths(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))))
+
+
+@query()
+def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motefield.llm.quality import quality
+
+    return quality(read_table(spark, sf_dir, "documents"))
