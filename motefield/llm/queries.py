@@ -109,3 +109,10 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from motefield.llm.quality import quality
 
     return quality(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motefield.llm.neardup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
