@@ -116,3 +116,59 @@ def op8_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from motefield.llm.neardup import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT * FROM (VALUES
+        ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+'), ('ip', 1, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'),
+        ('card', 2, '[0-9]([\\x20-]?[0-9])+'), ('phone', 3, '\\+[0-9][\\x20().0-9-]+[0-9]')) AS t(kind, ord, pat)),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+h AS (
+    SELECT doc_id, kind, ord, hits, regexp_split_to_array(text, pat) AS gaps
+    FROM (SELECT doc_id, text, kind, ord, pat, regexp_extract_all(text, pat) AS hits FROM d, p) WHERE len(hits) > 0),
+m AS (
+    SELECT doc_id, kind, ord, unnest(hits) AS v, unnest(list_transform(range(1, len(hits) + 1), lambda i:
+        list_sum(list_transform(gaps[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0))) AS s FROM h),
+b AS (
+    SELECT doc_id, kind, ord, CAST(s AS BIGINT) AS s, CAST(s AS BIGINT) + length(v) AS e, v, regexp_replace(v, '[^0-9]', '', 'g') AS dg FROM m),
+ok AS (
+    SELECT doc_id, kind, ord, s, e, CASE kind WHEN 'email' THEN 'email:' || lower(v) WHEN 'ip' THEN 'ip:' || v ELSE kind || ':' || dg END AS entity FROM b WHERE CASE kind WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0
+    WHEN 'phone' THEN length(dg) BETWEEN 10 AND 15
+    ELSE length(dg) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(dg)), lambda i: (
+        CASE WHEN i % 2 = 0 THEN CAST(substr(dg, CAST(length(dg) - i AS INTEGER), 1) AS INTEGER)
+        WHEN CAST(substr(dg, CAST(length(dg) - i AS INTEGER), 1) AS INTEGER) > 4 THEN 2 * CAST(substr(dg, CAST(length(dg) - i AS INTEGER), 1) AS INTEGER) - 9
+        ELSE 2 * CAST(substr(dg, CAST(length(dg) - i AS INTEGER), 1) AS INTEGER) END))) % 10 = 0 END),
+tl AS (
+    SELECT doc_id, length(text) AS n, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS hits, regexp_split_to_array(text, '[\\p{L}\\p{N}]+') AS gaps FROM d),
+tu AS (SELECT doc_id, n, unnest(hits) AS v, unnest(list_transform(gaps[:len(hits)], lambda g: length(g))) AS g, unnest(range(0, len(hits))) AS i FROM tl),
+tp AS (
+    SELECT doc_id, n, v, CAST(sum(g) OVER w + sum(length(v)) OVER w - length(v) AS BIGINT) AS s FROM tu WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+tm AS (SELECT doc_id, n, lower(v) AS term, s, s + length(v) AS e FROM tp WHERE regexp_full_match(v, '\\p{L}{3,}')),
+nr AS (
+    SELECT ok.doc_id, ok.entity, tm.term, tm.s, tm.e FROM ok JOIN tm ON ok.doc_id = tm.doc_id
+    WHERE (tm.s > ok.s - 100 OR (ok.s <= 100 AND tm.s >= 0)) AND (tm.e < ok.e + 100 OR (ok.e + 100 >= tm.n AND tm.e <= tm.n))
+    AND NOT EXISTS (SELECT 1 FROM ok o2 WHERE o2.doc_id = tm.doc_id AND o2.s < tm.e AND o2.e > tm.s)),
+j AS (SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM nr GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2),
+oe AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM ok GROUP BY ALL),
+ot AS (SELECT term, count(DISTINCT doc_id) AS n_t FROM tm GROUP BY ALL),
+al AS (SELECT CAST(count(*) AS DOUBLE) AS n_all FROM d),
+rk AS (
+    SELECT entity, term FROM j JOIN oe USING (entity) JOIN ot USING (term), al
+    WHERE n_all > n_e AND log2(n_all * n_both / (n_e * n_t)) / log2(n_all / n_e) >= 0.7),
+st AS (SELECT DISTINCT doc_id, 'term' AS kind, 4 AS ord, s, e FROM nr JOIN rk USING (entity, term)),
+sp AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans, count(*) FILTER (WHERE kind = 'term') AS n_terms
+    FROM (SELECT doc_id, kind, ord, s, e FROM ok UNION ALL SELECT * FROM st) GROUP BY doc_id)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card,
+    count(*) FILTER (WHERE kind = 'phone') AS n_phone, sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord), '')) AS base_sha256,
+    coalesce(any_value(sp.spans), '') AS spans, coalesce(any_value(sp.n_terms), 0) AS n_terms
+FROM d LEFT JOIN ok ON d.doc_id = ok.doc_id LEFT JOIN sp ON d.doc_id = sp.doc_id GROUP BY d.doc_id
+""")
+def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motefield.llm.pii import KINDS, sanitize, span_list
+
+    marked = sanitize(read_table(spark, sf_dir, "documents"))
+    kinds = F.transform("entities", lambda x: x["kind"])
+    counts = [(F.size("entities") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    base = F.sha2(span_list(F.col("entities")), 256).alias("base_sha256")
+    return marked.select("doc_id", *counts, base, span_list(F.col("entities"), F.col("terms")).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
