@@ -172,3 +172,11 @@ def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [(F.size("entities") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     base = F.sha2(span_list(F.col("entities")), 256).alias("base_sha256")
     return marked.select("doc_id", *counts, base, span_list(F.col("entities"), F.col("terms")).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+
+
+@query()
+def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motefield.llm.secrets import scan
+
+    found = scan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), F.round("probability", 6).alias("probability"), "secret")
