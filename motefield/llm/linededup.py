@@ -28,7 +28,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 def tokens_of(line: Column) -> Column:
     """Tokens of a line, those with a digit as ``<*>``."""
     plain = F.trim(F.regexp_replace(line, _SPACE, " "))
-    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<! )[^0-9 ]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
+    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^0-9 ]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
     return F.split(masked, " ")
 
 
