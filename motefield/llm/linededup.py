@@ -11,6 +11,8 @@ each template is a plain aggregation, added up in each task before rows move.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,26 +27,41 @@ WILD_TOKENS = 10
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def tokens_of(line: Column) -> Column:
-    """Tokens of a line, those with a digit as ``<*>``."""
-    plain = F.trim(F.regexp_replace(line, _SPACE, " "))
-    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^0-9 ]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
-    return F.split(masked, " ")
+def tokens_of(lines: Column) -> Column:
+    """Tokens of every line, those with a digit as ``<*>``. Each step is its own pass, so nothing is worked out twice."""
+    plain = F.transform(lines, lambda x: F.when(x.rlike(r"[\x09-\x0D]|  |^ | $"), F.trim(F.regexp_replace(x, _SPACE, " "))).otherwise(x))
+    masked = F.transform(plain, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^ ])[^0-9 ]*+[0-9][^ ]*+", "<*>")).otherwise(x))
+    return F.transform(masked, lambda x: F.split(x, " "))
+
+
+def _joined(hashes: Column, start: Column, length: Column) -> Column:
+    return F.aggregate(F.slice(hashes, start, length), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+
 
+def _parts(hashes: Column) -> Column:
+    """Size of a line, hash of its head, and hashes of the five blocks of its tail; short lines have one block."""
+    n = F.size(hashes)
+    tail = F.greatest(n - DEPTH, F.lit(0))
+    ends = [F.floor(tail * i / BLOCKS).cast("int") for i in range(BLOCKS + 1)]
+    blocks = [_joined(hashes, ends[i] + (DEPTH + 1), ends[i + 1] - ends[i]) for i in range(BLOCKS)]
+    return F.array(n.cast("bigint"), _joined(hashes, F.lit(1), F.lit(DEPTH)), *blocks)
 
-def _templates(tokens: Column) -> Column:
-    n = F.size(tokens)
-    tail = n - DEPTH
-    head = F.slice(tokens, 1, DEPTH)
-    exact = F.array(F.xxhash64(F.lit(-1), n, head, tokens))
+
+def _templates(part: Column) -> Column:
+    n, head, blocks = part[0], part[1], [part[2 + i] for i in range(BLOCKS)]
 
     def wild(i: int) -> Column:
-        start, end = F.floor(tail * i / BLOCKS).cast("int"), F.floor(tail * (i + 1) / BLOCKS).cast("int")
-        before = F.slice(tokens, F.lit(DEPTH + 1), start)
-        after = F.slice(tokens, end + (DEPTH + 1), F.greatest(tail - end, F.lit(0)))
-        return F.xxhash64(F.lit(i), n, head, before, after)
+        rest = reduce(lambda a, b: a.bitwiseXOR(b), [b for j, b in enumerate(blocks) if j != i])
+        return F.xxhash64(F.lit(i), n, head, rest)
+
+    none = F.array().cast("array<bigint>")
+    return F.when(n < LEAST_TOKENS, none).when(n < WILD_TOKENS, F.array(wild(-1))).otherwise(F.array(*[wild(i) for i in range(BLOCKS)]))
+
 
-    return F.when(n < LEAST_TOKENS, F.array().cast("array<bigint>")).when(n < WILD_TOKENS, exact).otherwise(F.array(*[wild(i) for i in range(BLOCKS)]))
+def line_templates(lines: Column) -> Column:
+    """For each line the hashes of its templates. A token is hashed once, with its place; blocks are joined by exclusive or."""
+    hashed = F.transform(tokens_of(lines), lambda t: F.transform(t, lambda x, j: F.xxhash64(j, x)))
+    return F.transform(F.transform(hashed, _parts), _templates)
 
 
 def drop_recurring_lines(df: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,7 +78,7 @@ def drop_recurring_lines(df: DataFrame, min_docs: int = 3, id_col: str = "doc_id
     n_lines = F.size(F.split(F.col(text_col), "\n"))
     row = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__sum": F.hash(F.coalesce(F.col(text_col), F.lit("")))}
     texts = df.filter(F.col(text_col).isNotNull()).select(*[c.alias(n) for n, c in row.items()], F.split(F.col(text_col), "\n").alias("lines"))
-    found = written(texts.select("__id", "__sum", F.transform("lines", lambda x: _templates(tokens_of(x))).alias("templates")), "templates")
+    found = written(texts.select("__id", "__sum", line_templates(F.col("lines")).alias("templates")), "templates")
     counted = (
         found.select("__id", F.explode(F.array_distinct(F.flatten("templates"))).alias("template"))
         .groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))
