@@ -1,0 +1,202 @@
+"""Personal data, top-k, archives, secrets and near-duplicates."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from motefield.llm import neardup, pii, secrets, topk, warc
+from motefield.session import scratch_path, written
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        n = int(d) * (2 if i % 2 else 1)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+def plain_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else True, "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((m.start(), k, m.end(), kind))
+    return ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(out))
+
+
+def test_base_spans_equal_plain_ones(spark):
+    rng = random.Random(11)
+    bits = ["a", "b.c", "@", "x-y", ".com", ".", "+1", " (212) 555-0100", "4111 1111 1111 1111", "4111111111111111", "-", " ", "255.1.2.3", "256.1.1.1", "0010.2.3.4", "1.2.3.4.5.6.7.8", "é", "😀", "_d", "%", "12", "3 ", "\n", "+442071234567", "5500-0000-0000-0004"]
+    texts = [None, "", "a@b.c_d@e.f", "a" * 50_000, "1 " * 20_000, "@" * 5000, "+" * 5000, "9" * 30_000] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.find_entities(df).select("doc_id", pii.span_list(F.col("entities")).alias("s")).collect()
+    assert {r["doc_id"]: r["s"] for r in rows} == {i: plain_spans(t) for i, t in enumerate(texts)}
+
+
+def test_revealing_terms(spark, odd, none):
+    rows = [(i, f"filler text number {i} about nothing", "k") for i in range(40)]
+    rows += [(100 + i, f"Contact Zimbabwe the account ann@host.org about the text{i}", "k") for i in range(3)] + [(200, "Mail bob@host.org for the text", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, entities string")
+    marked = written(pii.sanitize(df), "marked")
+    spans = {r["doc_id"]: r for r in marked.collect()}
+    words = {rows[40][1][t["start"] : t["end"]]: t["action"] for t in spans[100]["terms"]}
+    assert words["Zimbabwe"] == words["Contact"] == words["account"] == "remove" and "the" not in words.keys() - {"the"} and "text" not in words
+    assert spans[200]["terms"] == [] and spans[0]["terms"] == []
+    texts = {r["doc_id"]: r["text"] for r in pii.sanitized_text(df, marked).collect()}
+    assert "Zimbabwe" not in texts[100] and "[EMAIL]" in texts[100] and texts[200] == "Mail [EMAIL] for the text" and texts[0] == rows[0][1]
+    assert len(texts) == len(rows)
+    assert pii.sanitize(odd).count() == odd.count() and pii.sanitize(none).collect() == []
+
+
+def plain_top(rows, k):
+    best = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and x == x and abs(x) != float("inf") for x in v):
+            q = [int(float(x) * 1024 // 1) for x in v]
+            best[i] = max(best.get(i, q), q)
+    out = []
+    for q in sorted(best):
+        if q % 100 == 0:
+            s = sorted((-sum(a * b for a, b in zip(best[q], v, strict=True)), i) for i, v in best.items() if i != q and len(v) == len(best[q]))
+            out += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s[:k])]
+    return out
+
+
+def test_top_k_equals_all_products(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "TILE_ROWS", 2)
+    monkeypatch.setattr(topk, "FAN", 3)
+    rng = random.Random(1)
+    rows = [(i, [rng.choice([-1.0, -0.5, 0.0, 0.25, 1.0]) for _ in range(3)]) for i in range(450)]
+    rows += [(3, rows[3][1]), (100, [1.0, 1.0, 1.0]), (7, None), (500, None), (501, [1.0, None, 0.0]), (502, [float("nan"), 0.0, 1.0]), (503, [float("inf"), 0.0, 1.0]), (None, [1.0, 1.0, 1.0])]
+    rows += [(600, [0.5, 0.5]), (601, [1e30, 1e30]), (602, [-1.0, 2.0]), (700, [])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, dim string, shard int")
+    got = sorted(tuple(r) for r in topk.top_k(df.filter("vec_id is null or vec_id <> 601"), F.col("vec_id") % 100 == 0, k=10).collect())
+    assert got == plain_top([r for r in rows if r[0] != 601], 10)
+    huge = topk.top_k(df.filter("vec_id in (600, 601)"), F.col("vec_id") % 100 == 0).collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in huge] == [(600, 601, 2**63 - 1)]
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_archive_round_trip(spark):
+    pages = [(1, "http://www.Example.org/a?b=1#c", "<p>one</p>"), (2, "http://example.org/", "same"), (9, "https://example.org:8080/x", "same"), (5, None, None), (6, "no url", ""), (7, "http://e.org/ü\n", "é" * 70_000), (8, "http://h/", "same"), (8, "http://h/", "same"), (9, "https://example.org:8080/x", "same"), (None, "http://n/", "lone")]
+    df = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, archive string, at int")
+    got = sorted(warc.archive_round_trip(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect(), key=str)
+    want = []
+    for i, _, html in pages:
+        raw = (html or "").encode()
+        last = max((p[0] for p in pages if (p[2] or "") == (html or "") and p[0] is not None), default=None)
+        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == last else "revisit", None if i == last else last))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert warc.archive_round_trip(df.limit(0)).collect() == []
+    small = warc.archive_round_trip(df, min_bytes=5).select("record_type", "payload_bytes").collect()
+    assert all(r["record_type"] == "response" for r in small if r["payload_bytes"] < 5)
+
+
+def test_two_level_index(spark):
+    folder = scratch_path(spark, "idx")
+    captures = spark.createDataFrame([(i, warc.url_key(f"http://h{i % 7}.org/{i}"), "a", i, 1) for i in range(500)], "page_id long, url_key string, archive string, at long, size long")
+    parts = written(warc.write_index(captures, folder, block_lines=16), "parts")
+    wanted = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i}") for i in range(0, 600, 3)] + [(1, "http://other.org/")], "page_id long, url string")
+    assert sorted(r["at"] for r in warc.lookup(wanted, parts, folder).collect()) == list(range(0, 500, 3))
+    assert warc.url_key("http://www.Example.org:80/a?b#c") == "org,example,www)/a?b" and warc.url_key(None) == ""
+
+
+def test_secrets_are_learnt(spark, odd, none):
+    rng = random.Random(4)
+
+    def token(n, letters="0123456789abcdef"):
+        return "".join(rng.choice(letters) for _ in range(n - 1)) + "7"
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    rows = []
+    for i in range(120):
+        rows.append((i, [f'so token = "{token(40)}" it is', f"in the AKIA{token(16, upper)} is", f"pay {token(16, '0123456789')} now and then", f"see x{i}@mail77example{i}.org or http://a.b/{token(14)}"][i % 4], "path", "src/app.py"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, path string")
+    got = secrets.scan(df).collect()
+    assert len(got) == sum(1 for r in rows for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}=*", r[1]) if re.search("[0-9]", m.group()))
+    wrong = [r for r in got if r["secret"] != (r["doc_id"] % 4 < 2)]
+    assert len(wrong) <= 0.02 * len(got)
+    # held out: labels of half of the values, verdict on the other half
+    labels = spark.createDataFrame([(r["value"], int(r["doc_id"] % 4 < 2)) for r in got if r["doc_id"] % 8 < 4], "value string, label int")
+    held = [r for r in secrets.scan(df, labelled=labels).collect() if r["doc_id"] % 8 >= 4]
+    assert sum(r["secret"] == (r["doc_id"] % 4 < 2) for r in held) >= 0.95 * len(held)
+    found = written(secrets.scan(df), "found")
+    texts = {r["doc_id"]: r["text"] for r in secrets.redacted(df, found).collect()}
+    assert len(texts) == len(rows) and texts[0] == 'so token = "[SECRET]" it is' and texts[2] == rows[2][1]
+    assert secrets.scan(none).collect() == [] and secrets.scan(odd).collect() == []
+    assert secrets.redacted(odd, secrets.scan(odd)).count() == odd.count()
+
+
+def plain_classes(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else None
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_near_duplicates_equal_all_pairs(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 25)  # several blocks for the large groups
+    rng = random.Random(8)
+
+    def words(n):
+        return [f"w{rng.randint(0, 400)}" for _ in range(n)]
+
+    rows, base, passage = [], words(150), words(40)
+    for i in range(90):  # one large group of near copies, some further apart than others
+        copy = list(base)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(100 + i, " ".join(passage + words(rng.randint(10, 80)))) for i in range(60)]  # a shared passage is no copy
+    rows += [(200 + i, " ".join(words(60))) for i in range(40)] + [(300 + i, rows[95 + i][1].replace(" ", "\n", 3)) for i in range(10)]
+    rows += [(400, "a b"), (401, "a b"), (402, "a c"), (403, None), (404, ""), (405, " \t")]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows)
+    classes = neardup.near_duplicates(odd).collect()
+    assert len(classes) == odd.count()
+    assert {r["class_id"] for r in classes if r["doc_id"] in (1, 2)} == {1} and all(r["class_id"] == r["doc_id"] for r in classes if r["doc_id"] in (3, 4, 5, 6, 7))
+    assert neardup.near_duplicates(none).collect() == []
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(20, 200), st.integers(0, 100))
+def test_registers_estimate_similarity(size, shared):
+    import numpy as np
+
+    rng = np.random.default_rng(size * 1000 + shared)
+    common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (shared, size, size))
+    element = np.concatenate([common, a, common, b])
+    owner = np.repeat([0, 1], [shared + size, shared + size])
+    with np.errstate(over="ignore"):
+        register = neardup.prob_min_hash(element, np.ones(len(element)), owner, 2, m=2000)
+    assert (register[0] == register[1]).mean() == pytest.approx(shared / (shared + 2 * size), abs=0.06)
