@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 from motefield.catalog import tables as t
 from motefield.catalog.embeddings import CLASS_SEPARATION_SQL
-from motefield.catalog.joins import BOXES_SQL
+from motefield.catalog.joins import _INSIDE, BOXES_SQL
 from motefield.catalog.poses import ROTATION_METRICS_SQL, rotations
 from motefield.catalog.registry import query, rounded
 from motefield.catalog.volumes import _EDGE8, _MOMENTS, _SMOOTH
 from motefield.functions.vectors import total
-from motefield.operators.joins import best_spacing
 from motefield.operators.scoring import score
 from motefield.plans.evaluation import evaluate
 from motefield.plans.extraction import extract_embeddings
@@ -209,46 +208,74 @@ def l1_score(spark, sf):
 
 
 def _extraction_inputs(spark, sf):
-    """Ten runs with the spacings of the part table; a run's picks are scaled by its spacing."""
-    spacings = t.read(spark, sf, "part").select(
-        F.pmod("p_partkey", F.lit(10)).cast("int").alias("run"), F.col("p_partkey").alias("ord"),
-        F.when(F.col("p_partkey") % 10 == 6, F.col("p_size") + 60).otherwise(F.col("p_size")).cast("double").alias("size"), F.col("p_type").alias("tomo_type"),
+    """Ten runs with two spacings of two tomograms each; only the finer ``SMALL`` one holds the values of the label's vectors.
+
+    Run 6 has no spacing near the target, run 2 lacks a chunk, and run 1 has a voxel that is not a number.
+    """
+    runs = t.read(spark, sf, "part").select(F.pmod("p_partkey", F.lit(10)).cast("int").alias("run")).distinct()
+    kinds = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(s).alias("add"), F.lit(k).alias("tomo_type"), F.lit(w).alias("off")) for o, s, k, w in
+                      ((0, 5.0, "RAW", 100.0), (1, 5.0, "SMALL", 200.0), (2, 0.0, "RAW", 300.0), (3, 0.0, "SMALL", 0.0))])
+    base = F.when(F.col("run") == 6, F.lit(60.0)).otherwise(F.lit(9.0))
+    listed = runs.select("run", F.explode(kinds).alias("k")).select("run", "k.ord", (base + F.col("k.add")).alias("size"), "k.tomo_type", "k.off")
+    values = F.transform("data", lambda v, i: F.when((F.col("off") == 0) & (F.col("run") == 1) & (F.col("cz") + F.col("cy") + F.col("cx") + i == 0), F.lit(float("nan"))).otherwise(v + F.col("off")))
+    chunks = t.tomo_chunks(spark, sf).filter(~((F.col("run") == 2) & (F.col("cz") == 1) & (F.col("cy") == 1) & (F.col("cx") == 1)))
+    keyed = chunks.join(listed, "run").select("run", "size", "tomo_type", "cz", "cy", "cx", values.alias("data"))
+    sizes = t.tomograms(spark, sf).join(listed, "run").select("run", "size", "tomo_type", "nz", "ny", "nx")
+    turn = F.array(*[F.when(F.lit(i % 5 == 0), F.lit(1.0)).when(F.lit(i == 3), F.col("x")).otherwise(F.lit(0.0)) for i in range(16)])
+    picks = t.picks(spark, sf).withColumns({a: F.col(a) * 9.0 for a in "xyz"}).withColumn("transform", turn)
+    return picks, dict(
+        spacings=listed.drop("off"), tomograms=sizes, chunks=keyed, encoder=pooling_encoder, box=4, edge=4, target=10.0, tolerance=1.0, wanted=F.col("tomo_type") == "SMALL"
     )
-    best = best_spacing(spacings, 10.0, 1.0).select("run", "size")
-    scaled = t.picks(spark, sf).join(best, "run", "left").withColumns({a: F.col(a) * F.coalesce("size", F.lit(1.0)) for a in "xyz"}).drop("size")
-    return scaled, spacings
 
 
-_EXTRACTED = f"""{BOXES_SQL}, s AS (SELECT run, pick_id, avg(v) AS m, stddev_pop(v) AS sd FROM boxes GROUP BY ALL),
-     z AS (SELECT run, pick_id, pos, (v - m) / sd AS v FROM boxes JOIN s USING (run, pick_id)),
+_HOLED = """hole AS (SELECT run, pick_id FROM inside WHERE run = 2 AND z0 + 4 > 4 AND z0 < 8 AND y0 + 4 > 4 AND x0 + 4 > 4)"""
+_EXTRACTED = f"""{BOXES_SQL}, {_HOLED},
+     nb AS (SELECT b.run, b.pick_id, pos, CASE WHEN b.run = 1 AND i.z0 = 0 AND i.y0 = 0 AND i.x0 = 0 AND pos = 0 THEN 'NaN'::DOUBLE ELSE v END AS v FROM boxes b JOIN inside i ON b.run = i.run AND b.pick_id = i.pick_id
+            WHERE (b.run, b.pick_id) NOT IN (SELECT (run, pick_id) FROM hole)),
+     s AS (SELECT run, pick_id, avg(v) AS m, CASE WHEN isnan(max(v)) THEN 'NaN'::DOUBLE ELSE stddev_pop(CASE WHEN isnan(v) THEN NULL ELSE v END) END AS sd FROM nb GROUP BY ALL),
+     z AS (SELECT run, pick_id, pos, (v - m) / sd AS v FROM nb JOIN s USING (run, pick_id)),
      emb8 AS (SELECT run, pick_id, ((pos // 32) * 4 + ((pos // 8) % 2) * 2 + (pos // 2) % 2)::INT AS k, avg(v) AS mu FROM z GROUP BY ALL)"""
 
 
 @query(
     "l2_extract_embeddings",
-    f"WITH {_EXTRACTED} SELECT run, pick_id, structure, k AS pos, round(mu, 6) AS mu FROM emb8 JOIN picks USING (run, pick_id) WHERE run <> 6",
+    f"WITH {_EXTRACTED} SELECT run, pick_id, structure, user_id, k AS pos, round(mu, 6) AS mu, 3.0::DOUBLE AS trace FROM emb8 JOIN picks USING (run, pick_id) WHERE run <> 6",
     ("picks", "tomograms", "tomo_voxels"),
 )
 def l2_extract_embeddings(spark, sf):
     path = scratch_path(spark, "extracted")
-    picks, spacings = _extraction_inputs(spark, sf)
-    inputs = dict(
-        spacings=spacings, tomograms=t.tomograms(spark, sf), chunks=t.tomo_chunks(spark, sf), encoder=pooling_encoder, box=4, edge=4, target=10.0, tolerance=1.0, wanted=F.col("tomo_type") == "SMALL"
-    )
+    picks, inputs = _extraction_inputs(spark, sf)
     # The first call does some runs only; the second one finds them done and adds the rest.
     extract_embeddings(spark, path, picks.filter("run < 3"), **inputs)
     extract_embeddings(spark, path, picks, **inputs)
     out = spark.read.parquet(path)
-    return rounded(out.select("run", "pick_id", "structure", F.posexplode("embedding").alias("pos", "mu")))
+    trace = sum(F.get("orientation", i) for i in (0, 4, 8)).alias("trace")
+    return rounded(out.select("run", "pick_id", "structure", "user_id", trace, F.posexplode("embedding").alias("pos", "mu")))
 
 
-@query("l2_failed_runs", "SELECT (user_id % 10)::INT AS run, 'no matching voxel spacing' AS error FROM events WHERE user_id % 10 = 6 GROUP BY ALL")
+@query(
+    "l2_failed_runs",
+    f"""WITH {_INSIDE}, {_HOLED} SELECT run, pick_id, 'incomplete box' AS error FROM hole
+        UNION ALL SELECT DISTINCT (user_id % 10)::INT, NULL::BIGINT, 'no matching voxel spacing' FROM events WHERE user_id % 10 = 6""",
+    ("picks", "tomograms"),
+)
 def l2_failed_runs(spark, sf):
-    picks, spacings = _extraction_inputs(spark, sf)
-    return extract_embeddings(
-        spark, scratch_path(spark, "extracted"), picks, spacings=spacings, tomograms=t.tomograms(spark, sf), chunks=t.tomo_chunks(spark, sf), encoder=pooling_encoder,
-        box=4, edge=4, target=10.0, tolerance=1.0, wanted=F.col("tomo_type") == "SMALL",
-    )
+    picks, inputs = _extraction_inputs(spark, sf)
+    return extract_embeddings(spark, scratch_path(spark, "extracted"), picks, **inputs)
+
+
+@query(
+    "l2_metadata",
+    f"""WITH {_INSIDE}, {_HOLED}, k AS (SELECT run, structure FROM inside WHERE run <> 6 AND structure IN ('click', 'view') AND (run, pick_id) NOT IN (SELECT (run, pick_id) FROM hole))
+        SELECT structure, count(*) AS n, (SELECT count(*) FROM k) AS total, (SELECT count(DISTINCT run) FROM k) AS runs,
+            '{{"box":"4","normalization":"z-score","target_spacing":"10.0","tolerance":"1.0"}}' AS config FROM k GROUP BY structure""",
+    ("picks", "tomograms"),
+)
+def l2_metadata(spark, sf):
+    path = scratch_path(spark, "extracted")
+    picks, inputs = _extraction_inputs(spark, sf)
+    extract_embeddings(spark, path, picks, only={"structure": ["click", "view"]}, **inputs)
+    return spark.read.schema("structure string, n long, total long, runs long, config string").json(f"{path}/_summary")
 
 
 _RECON_NAMES = {"mean_intensity": "m", "std_intensity": "sd", "dynamic_range": "hi - lo", "active_fraction": "act", "contrast": "CASE WHEN abs(m) > 1e-10 THEN sd / abs(m) ELSE 0 END", "edge_strength": "edge",

@@ -84,70 +84,93 @@ def pick_voxels(picks: DataFrame, spacing: Column) -> DataFrame:
     return picks.select("*", *[(F.col(a) / spacing).cast("int").alias(f"v{a}") for a in "zyx"])
 
 
-def boxes_inside(picks: DataFrame, tomograms: DataFrame, box: int) -> DataFrame:
-    """Picks whose box ``[p-h, p+h)`` lies inside the volume, with the box corner."""
+def boxes_inside(picks: DataFrame, tomograms: DataFrame, box: int, keys: Sequence[str] = ("run",)) -> DataFrame:
+    """Picks whose box ``[p-h, p+h)`` lies inside the volume of the same keys, with the box corner."""
     half = box // 2
-    inside = picks.join(tomograms, "run")
+    inside = picks.join(tomograms.select(*keys, "nz", "ny", "nx"), list(keys))
     for a in "zyx":
         inside = inside.filter((F.col(f"v{a}") >= half) & (F.col(f"v{a}") + half <= F.col(f"n{a}")))
     return inside.select("*", *[(F.col(f"v{a}") - half).alias(f"{a}0") for a in "zyx"]).drop("nz", "ny", "nx")
 
 
-def _piece_of(row, box: int, edge: int) -> tuple[list[int], np.ndarray]:
+#: Picks cut out of one copy of a chunk at most, on average.
+PICKS_PER_CHUNK = 256
+
+
+def _touched(picks: DataFrame, tomograms: DataFrame, box: int, edge: int, keys: Sequence[str]) -> DataFrame:
+    """One row for every chunk that a pick's box overlaps; at most eight when ``edge >= box``."""
+    placed = boxes_inside(picks, tomograms, box, keys).select(*keys, "pick_id", "z0", "y0", "x0")
+    for a in "zyx":
+        first, last = F.floor(F.col(f"{a}0") / edge), F.floor((F.col(f"{a}0") + box - 1) / edge)
+        placed = placed.withColumn(f"c{a}", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    return placed
+
+
+def _cut(chunk: np.ndarray, corner: Sequence[int], index: Sequence[int], box: int, edge: int) -> tuple[list[int], np.ndarray]:
     """Part of a box that one chunk covers: its place in the box and its values."""
-    chunk = np.asarray(row.data).reshape(edge, edge, edge)
     place, take = [], []
-    for corner, index in ((row.z0, row.cz), (row.y0, row.cy), (row.x0, row.cx)):
-        start, stop = max(corner, index * edge), min(corner + box, (index + 1) * edge)
-        place += [start - corner, stop - corner]
-        take.append(slice(start - index * edge, stop - index * edge))
+    for low, i in zip(corner, index, strict=True):
+        start, stop = max(low, i * edge), min(low + box, (i + 1) * edge)
+        place += [start - low, stop - low]
+        take.append(slice(start - i * edge, stop - i * edge))
     return place, chunk[tuple(take)].ravel()
 
 
-def extract_boxes(picks: DataFrame, tomograms: DataFrame, chunks: DataFrame, box: int, edge: int, normalize: bool = False) -> DataFrame:
-    """Cut the box of every pick out of chunked tomograms.
+def incomplete_picks(picks: DataFrame, tomograms: DataFrame, chunks: DataFrame, box: int, edge: int, keys: Sequence[str] = ("run",)) -> DataFrame:
+    """Picks whose box lies inside the volume but needs a chunk that isn't there. Reads no voxels."""
+    cell = [*keys, "cz", "cy", "cx"]
+    return _touched(picks, tomograms, box, edge, keys).join(chunks.select(*cell), cell, "left_anti").select(*keys, "pick_id").distinct()
+
+
+def extract_boxes(
+    picks: DataFrame, tomograms: DataFrame, chunks: DataFrame, box: int, edge: int, normalize: bool = False, keys: Sequence[str] = ("run",)
+) -> DataFrame:
+    """Cut the box of every pick out of chunked tomograms; ``keys`` name a tomogram.
 
     The spatial join is an equi join: each pick lists the chunks its box
-    touches (at most eight when ``edge >= box``). Only the overlapping parts
-    are shuffled to the pick, and a box is put together from those few parts.
-    Needs columns ``run, pick_id, vz, vy, vx``.
+    touches, the picks of a chunk are gathered into lists of a few hundred, and
+    a chunk is read once for each list. Only the overlapping parts are shuffled
+    to the pick. A box that isn't covered completely is left out (see
+    ``incomplete_picks``); NaN voxels are values like any others. Needs columns
+    ``pick_id, vz, vy, vx`` beside the keys; a pick id is unique within them.
     """
-    placed = boxes_inside(picks, tomograms, box).select("run", "pick_id", "z0", "y0", "x0")
-    for a in "zyx":
-        first, last = F.floor(F.col(f"{a}0") / edge), F.floor((F.col(f"{a}0") + box - 1) / edge)
-        placed = placed.withColumn(f"c{a}", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-    touched = placed.join(chunks, ["run", "cz", "cy", "cx"])
-    run_type = dict(picks.dtypes)["run"]
-    pick_type = dict(picks.dtypes)["pick_id"]
+    keys = list(keys)
+    cell = [*keys, "cz", "cy", "cx"]
+    touched = _touched(picks, tomograms, box, edge, keys)
+    lists = touched.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / PICKS_PER_CHUNK).cast("int").alias("__lists"))
+    placed = touched.join(lists, cell).withColumn("__list", F.pmod(F.xxhash64("pick_id"), F.col("__lists")))
+    gathered = placed.groupBy(*cell, "__list").agg(F.collect_list(F.struct("pick_id", "z0", "y0", "x0")).alias("__picks"))
+    types = dict(picks.dtypes)
+    named = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "pick_id"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [_piece_of(row, box, edge) for row in batch.itertuples()]
-            yield pd.DataFrame({"run": batch["run"], "pick_id": batch["pick_id"], "place": [p for p, _ in parts], "part": [v for _, v in parts]})
+            for row in batch.to_dict("records"):
+                chunk = np.asarray(row["data"]).reshape(edge, edge, edge)
+                index = [row[f"c{a}"] for a in "zyx"]
+                parts = [_cut(chunk, [p["z0"], p["y0"], p["x0"]], index, box, edge) for p in row["__picks"]]
+                out = {k: [row[k]] * len(parts) for k in keys}
+                yield pd.DataFrame({**out, "pick_id": [p["pick_id"] for p in row["__picks"]], "place": [p for p, _ in parts], "part": [v for _, v in parts]})
 
-    pieces = touched.mapInPandas(cut, f"run {run_type}, pick_id {pick_type}, place array<int>, part array<double>")
-    grouped = pieces.groupBy("run", "pick_id").agg(F.collect_list(F.struct("place", "part")).alias("parts"))
-    expected = box**3
+    pieces = gathered.join(chunks, cell).select(*cell, "__picks", "data").mapInPandas(cut, f"{named}, place array<int>, part array<double>")
+    grouped = pieces.groupBy(*keys, "pick_id").agg(F.collect_list(F.struct("place", "part")).alias("parts"), F.sum(F.size("part")).alias("covered"))
 
     def paste(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for parts in batch["parts"]:
-                volume = np.full((box, box, box), np.nan)
+                volume = np.empty((box, box, box))
                 for piece in parts:
                     z0, z1, y0, y1, x0, x1 = piece["place"]
                     volume[z0:z1, y0:y1, x0:x1] = np.asarray(piece["part"]).reshape(z1 - z0, y1 - y0, x1 - x0)
-                if np.isnan(volume).any():
-                    out.append(None)
-                    continue
                 if normalize:
                     std = volume.std()
-                    volume = (volume - volume.mean()) / (std if std > 1e-6 else 1.0)
+                    volume = (volume - volume.mean()) / (std if not std <= 1e-6 else 1.0)
                 out.append(volume.ravel())
-            yield pd.DataFrame({"run": batch["run"], "pick_id": batch["pick_id"], "data": out})
+            yield batch[[*keys, "pick_id"]].assign(data=out)
 
-    boxes = grouped.mapInPandas(paste, f"run {run_type}, pick_id {pick_type}, data array<double>")
-    return boxes.filter(F.size("data") == expected).withColumn("shape", F.array(*[F.lit(box)] * 3))
+    boxes = grouped.filter(F.col("covered") == box**3).select(*keys, "pick_id", "parts").mapInPandas(paste, f"{named}, data array<double>")
+    return boxes.withColumn("shape", F.array(*[F.lit(box)] * 3))
 
 
 def filter_picks(picks: DataFrame, **wanted) -> DataFrame:

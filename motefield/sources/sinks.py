@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,19 @@ def embedding_summary(df: DataFrame, key: str = "structure") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_embedding_metadata(spark: SparkSession, path: str, config: dict, key: str = "structure", run: str = "run") -> DataFrame:
+    """Counts per structure, totals and settings of an embedding output, as JSON lines in its ``_summary`` folder.
+
+    The leading underscore keeps the folder out of reads of the embeddings.
+    """
+    rows = spark.read.parquet(path).select(run, *([key] if key else []))
+    totals = rows.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(run).alias("runs"))
+    settings = F.to_json(F.create_map(*[F.lit(str(x)) for pair in sorted(config.items()) for x in pair]))
+    out = embedding_summary(rows, key).join(totals).withColumn("config", settings)
+    out.write.mode("overwrite").json(f"{path}/_summary")
+    return out
+
+
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 

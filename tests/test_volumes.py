@@ -135,3 +135,17 @@ def test_rendered_splats_match_a_plain_sum(spark):
     for s in (0, 1):
         want = sum(r.w * np.exp(-0.5 * (np.linalg.norm(grid - [r.x, r.y, r.z], axis=-1) / r.sigma) ** 2) for r in frame[frame["set_id"] == s].itertuples())
         assert np.allclose(got[s], want)
+
+
+def test_boxes_keep_nan_and_never_mix_tomograms(spark):
+    keys, nan = ["run", "tomo_type"], float("nan")
+    chunks = [(0, kind, z, 0, 0, [value + z] * 64) for kind, value in (("a", 1.0), ("b", 7.0)) for z in range(3) if (kind, z) != ("b", 2)]
+    chunks[0] = (0, "a", 0, 0, 0, [nan] + [1.0] * 63)
+    chunk_df = spark.createDataFrame(chunks, "run int, tomo_type string, cz int, cy int, cx int, data array<double>")
+    size = spark.createDataFrame([(0, k, 12, 4, 4) for k in "ab"], "run int, tomo_type string, nz int, ny int, nx int")
+    picks = spark.createDataFrame([(0, k, n, v, 2, 2) for k in "ab" for n, v in ((1, 2), (2, 4), (3, 8))], "run int, tomo_type string, pick_id int, vz int, vy int, vx int")
+    got = {(r["tomo_type"], r["pick_id"]): np.asarray(r["data"]) for r in jo.extract_boxes(picks, size, chunk_df, 4, 4, keys=keys).collect()}
+    assert np.isnan(got["a", 1]).sum() == 1 and set(got) == {("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)}
+    assert set(got["a", 2]) == {1.0, 2.0} and set(got["b", 2]) == {7.0, 8.0}
+    holes = jo.incomplete_picks(picks, size, chunk_df, 4, 4, keys).collect()
+    assert [(r["tomo_type"], r["pick_id"]) for r in holes] == [("b", 3)]
