@@ -9,7 +9,7 @@ from motefield.catalog.registry import query, rounded
 from motefield.catalog.similarity import class_affinity
 from motefield.operators import metric_log as ml
 from motefield.operators import prototypes as pr
-from motefield.session import only_row
+from motefield.session import only_row, scratch_path
 from motefield.streaming.metric_stream import epoch_metric_stream
 from motefield.streaming.prototype_stream import prototype_stream, step_prototype_stream
 
@@ -46,7 +46,8 @@ def k1_last_per_epoch(spark, sf):
 def k1_epoch_metrics_stream(spark, sf):
     schema = t.read(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return epoch_metric_stream(spark, events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("step"), F.col("event_type").alias("key"), "value"))
+    log = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("step"), F.col("event_type").alias("key"), "value")
+    return epoch_metric_stream(spark, log, scratch_path(spark, "epoch-metrics"), scratch_path(spark, "epoch-metrics-checkpoint"))
 
 
 _AT = ", ".join(f"max(step) FILTER (key = '{k}') OVER w AS s_{k}" for k in KEYS)

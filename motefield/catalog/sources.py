@@ -38,10 +38,9 @@ def _tree(spark, sf, layout):
     """Write the rows as ``<structure>/snr_<x>`` or ``<structure>_snr_<x>`` folders."""
     root = scratch_path(spark, "tree")
     rows = _particle_rows(spark, sf)
-    for s in range(10):
-        for level in ("0.0", "1.0", "2.0"):
-            part = rows.filter((F.col("structure") == f"s{s}") & (F.col("snr") == float(level))).drop("structure", "snr")
-            part.coalesce(1).write.parquet(f"{root}/s{s}/snr_{level}" if layout == "nested" else f"{root}/s{s}_snr_{level}")
+    for s, level in sorted(tuple(r) for r in rows.select("structure", "snr").distinct().collect()):
+        part = rows.filter((F.col("structure") == s) & (F.col("snr") == level)).drop("structure", "snr")
+        part.coalesce(1).write.parquet(f"{root}/{s}/snr_{level}" if layout == "nested" else f"{root}/{s}_snr_{level}")
     return root
 
 
@@ -55,6 +54,14 @@ def a1_read_particles(spark, sf):
     return rounded(df.select("vec_id", "structure", "snr", "has_pose", total(F.col("volume")).alias("total")))
 
 
+@query("a1_rejected_files", "SELECT DISTINCT 's' || label AS structure, 'no readable rows' AS reason, 1::BIGINT AS n FROM embeddings WHERE label = 4")
+def a1_rejected_files(spark, sf):
+    root = _tree(spark, sf, "nested")
+    t.read(spark, sf, "embeddings").select(F.col("label").cast("string")).coalesce(1).write.text(f"{root}/s4/snr_1.0/broken.parquet")
+    found = src.rejected_files(spark, f"{root}/*/snr_*/*.parquet")
+    return found.groupBy(F.regexp_extract("path", "/([^/]+)/snr_", 1).alias("structure"), "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "a1_read_particles_flat",
     "SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS row_index FROM emb WHERE label = 7 AND vec_id % 3 = 2 ORDER BY vec_id LIMIT 5",
@@ -101,6 +108,11 @@ def a4_load_sources(spark, sf):
     return src.load_sources(spark, _training_files(spark, sf))[0].select("vec_id", "source_type", "sample_id", "dataset_source")
 
 
+@query("a4_skipped_sources", "SELECT DISTINCT 2::INT AS position, 'c.parquet' AS dataset_source, 'missing columns: shape' AS reason FROM embeddings")
+def a4_skipped_sources(spark, sf):
+    return src.load_sources(spark, _training_files(spark, sf))[2]
+
+
 @query("a4_source_counts", f"WITH {_SOURCES} SELECT source_type, molecule AS molecule_id, count(*) AS n FROM s GROUP BY ALL")
 def a4_source_counts(spark, sf):
     return src.load_sources(spark, _training_files(spark, sf))[1]

@@ -21,8 +21,9 @@ def own_metrics(log: DataFrame) -> DataFrame:
 
 
 def last_per_epoch(log: DataFrame) -> DataFrame:
-    """Last value of each metric in each epoch, long form. One aggregate with partial maxima."""
-    return own_metrics(log).groupBy("epoch", "key").agg(F.max("step").alias("step"), F.max_by("value", "step").alias("value"))
+    """Last value of each metric in each epoch, long form; of equal steps the largest value. One aggregate with partial maxima."""
+    last = own_metrics(log).groupBy("epoch", "key").agg(F.max(F.struct("step", "value")).alias("s"))
+    return last.select("epoch", "key", "s.step", "s.value")
 
 
 def epoch_metrics(log: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:

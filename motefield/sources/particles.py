@@ -34,20 +34,41 @@ def _located(reader, paths: list[str]) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("batch_file"), F.col("_metadata.row_index").alias("row_index"))
 
 
-def _reader(spark: SparkSession):
-    return spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true")
+def _reader(spark: SparkSession, skip_corrupt: bool = False):
+    """A file that can't be read is an error, unless the caller asks to skip it and looks at ``rejected_files``."""
+    return spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", str(skip_corrupt).lower())
 
 
-def read_particles(spark: SparkSession, root: str, structure: str, snr: float | str, n: int | None = None) -> DataFrame:
+def rejected_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(path, reason)`` of files below a path pattern that give no rows: broken or empty ones."""
+
+    def same(path: Column) -> Column:
+        return F.regexp_replace(path, "^file:/+", "file:/")
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern).select(same(F.col("path")).alias("path"))
+    try:
+        read = _reader(spark, True).parquet(pattern).select(same(F.col("_metadata.file_path")).alias("path")).distinct()
+        missing = listed.join(read, "path", "left_anti")
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        missing = listed
+    return missing.withColumn("reason", F.lit("no readable rows"))
+
+
+def read_particles(spark: SparkSession, root: str, structure: str, snr: float | str, n: int | None = None, skip_corrupt: bool = False) -> DataFrame:
     """Particles of one structure and SNR from ``<root>/<structure>/snr_<x>/`` or ``<root>/<structure>_snr_<x>/``.
 
+    A broken file is an error; with ``skip_corrupt`` it is left out, and
+    ``rejected_files`` names it.
+
     Files with 'metadata' in their name are skipped. With ``n`` the first n
     rows in file-name and row order are taken, as a top-n and not a sort.
     """
     df = None
     for path in (f"{root}/{structure}/snr_{snr}/*.parquet", f"{root}/{structure}_snr_{snr}/*.parquet"):
         try:
-            df = _located(_reader(spark), [path])
+            df = _located(_reader(spark, skip_corrupt), [path])
             break
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
@@ -95,16 +116,18 @@ def latest_version(spark: SparkSession, folder: str) -> str:
     raise FileNotFoundError(folder)
 
 
-def load_sources(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Union of several training files, and row counts per (source, molecule).
+def load_sources(spark: SparkSession, paths: Sequence[str], skip_corrupt: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Union of several training files, row counts per (source, molecule), and the sources that were left out with the reason.
 
     A source without the required columns is left out as a whole. Rows keep
     their own ``source_type``; where there is none it is ``source_<i>``.
     """
-    parts = []
+    parts, skipped = [], []
     for i, path in enumerate(paths):
-        df = _reader(spark).parquet(path)
+        df = _reader(spark, skip_corrupt).parquet(path)
         if not has_columns(df, TRAINING_COLUMNS):
+            missing = sorted(set(TRAINING_COLUMNS) - set(df.columns))
+            skipped.append((i, path.rstrip("/").split("/")[-1], "missing columns: " + ", ".join(missing)))
             continue
         own = F.col("source_type") if "source_type" in df.columns else F.lit(None).cast("string")
         parts.append(df.withColumn("source_type", F.coalesce(own, F.lit(f"source_{i}"))).withColumn("dataset_source", F.lit(path.rstrip("/").split("/")[-1])))
@@ -115,7 +138,8 @@ def load_sources(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame,
         out = out.unionByName(part, allowMissingColumns=True)
     molecule = F.coalesce(F.col("molecule_id"), F.lit("background"))
     out = out.withColumn("sample_id", F.concat_ws(":", "source_type", molecule))
-    return out, out.groupBy("source_type", molecule.alias("molecule_id")).agg(F.count(F.lit(1)).alias("n"))
+    left_out = spark.createDataFrame(skipped, "position int, dataset_source string, reason string")
+    return out, out.groupBy("source_type", molecule.alias("molecule_id")).agg(F.count(F.lit(1)).alias("n")), left_out
 
 
 def _existing(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
@@ -131,7 +155,7 @@ def _existing(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
     return found
 
 
-def read_validation(spark: SparkSession, root: str, snr: str, structures: Sequence[str] | None = None, n: int | None = None) -> DataFrame:
+def read_validation(spark: SparkSession, root: str, snr: str, structures: Sequence[str] | None = None, n: int | None = None, skip_corrupt: bool = False) -> DataFrame:
     """Rows of ``validation_*_snr<x>.parquet`` (files or folders) with a lower-case id.
 
     On request some structures only, and their first n rows.
@@ -139,7 +163,7 @@ def read_validation(spark: SparkSession, root: str, snr: str, structures: Sequen
     paths = _existing(spark, [f"{root}{level}/validation_*_snr{snr}.parquet" for level in ("", "/*")])
     if not paths:
         raise FileNotFoundError(f"no validation files of snr {snr} below {root}")
-    df = _located(_reader(spark), paths)
+    df = _located(_reader(spark, skip_corrupt), paths)
     ident = _first_present(df, ID_COLUMNS)
     if ident is None:
         raise ValueError("no id column")

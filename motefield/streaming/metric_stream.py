@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.operators.metric_log import own_metrics
-from motefield.session import scratch_path
+from motefield.operators.metric_log import last_per_epoch
 
 SCHEMA = "epoch int, key string, step long, value double, batch long"
 
 
-def epoch_metric_stream(spark: SparkSession, log: DataFrame, delay: str = "2 days") -> DataFrame:
+def _state(spark: SparkSession, out: str, slot: int) -> DataFrame:
+    try:
+        return spark.read.schema(SCHEMA).parquet(f"{out}/state={slot}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMA)
+
+
+def epoch_metric_stream(spark: SparkSession, log: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Stream of ``(ts, step, key, value)`` to the last value per (day, metric), long form.
 
-    The day is an event-time window, so the watermark drops finished days from
-    the state. Each micro-batch writes only the changed rows; the newest row of
-    a (day, metric) is the result.
+    The result is a small table, one row for each (day, metric), that every
+    micro-batch merges its own last values into, so rows of any lateness count
+    and the result equals the batch one. Two copies are kept in turn: a batch
+    reads the copy of the batch before it and replaces the other, so a repeated
+    batch finds its input unchanged. Calling it again with the same paths goes on where the last call ended.
     """
-    daily = own_metrics(log).withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "key")
-    last = daily.agg(F.max("step").alias("step"), F.max_by("value", "step").alias("value"))
-    rows = last.select(F.unix_date(F.to_date("window.start")).alias("epoch"), "key", "step", "value")
-    out, checkpoint = scratch_path(spark, "epoch-metrics"), scratch_path(spark, "epoch-metrics-checkpoint")
+    rows = log.select(F.unix_date(F.to_date("ts")).alias("epoch"), "key", F.col("step").cast("long").alias("step"), F.col("value").cast("double").alias("value"))
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = _state(session, out, (batch_id + 1) % 2).drop("batch")
+        merged = last_per_epoch(batch.unionByName(before)).withColumn("batch", F.lit(batch_id).cast("long"))
+        merged.write.mode("overwrite").parquet(f"{out}/state={batch_id % 2}")
 
-    query = rows.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    written = spark.read.schema(SCHEMA).parquet(out)
-    newest = written.groupBy("epoch", "key").agg(F.max_by(F.struct("step", "value"), "batch").alias("s"))
+    both = _state(spark, out, 0).unionByName(_state(spark, out, 1))
+    newest = both.groupBy("epoch", "key").agg(F.max_by(F.struct("step", "value"), "batch").alias("s"))
     return newest.select("epoch", "key", "s.step", "s.value")

@@ -13,9 +13,11 @@ from motefield.functions.labels import canonical_label, snr_of, stem_id
 from motefield.operators import classification as cl
 from motefield.operators import clean
 from motefield.operators import sampling as sa
+from motefield.operators.metric_log import last_per_epoch
 from motefield.session import scratch_path
 from motefield.sources import particles as src
 from motefield.sources import sinks
+from motefield.streaming.metric_stream import epoch_metric_stream
 from motefield.streaming.prototype_stream import prototype_stream, step_prototype_stream
 from motefield.operators import prototypes as pr
 
@@ -190,3 +192,39 @@ def test_restarted_stream_goes_on(spark):
     want = {r["cls"]: r for r in pr.prototypes(df, "step").collect()}
     assert set(got) == set(want) == {0, 1}
     assert all(np.allclose(got[c]["prototype"], want[c]["prototype"]) and got[c]["n"] == 4 for c in want)
+
+
+def test_broken_files_are_errors_and_are_named(spark):
+    path = scratch_path(spark, "broken")
+    good = spark.createDataFrame([([1.0], [1, 1, 1], "m")], "subvolume array<double>, shape array<int>, molecule_id string")
+    good.coalesce(1).write.parquet(f"{path}/s/snr_1.0/good.parquet")
+    spark.createDataFrame([("no parquet",)], "t string").coalesce(1).write.text(f"{path}/s/snr_1.0/bad.parquet")
+    with pytest.raises(Exception):  # noqa: B017  whichever reader error comes first
+        src.read_particles(spark, path, "s", "1.0").collect()
+    assert src.read_particles(spark, path, "s", "1.0", skip_corrupt=True).count() == 1
+    rejected = src.rejected_files(spark, f"{path}/s/snr_1.0/*.parquet").collect()
+    assert len(rejected) == 1 and "bad.parquet" in rejected[0]["path"]
+
+
+def test_metric_stream_takes_late_rows_and_restarts(spark):
+    folder, out, check = (scratch_path(spark, n) for n in ("log", "out", "check"))
+    schema = "ts timestamp, step long, key string, value double"
+    days = [5, 1, 9, 3, 1]
+
+    def add(i):
+        rows = [(f"2024-01-0{days[i]} 0{h}:00:00", 10 * i + h, "loss", float(100 * i + h)) for h in range(3)]
+        spark.createDataFrame(rows, "ts string, step long, key string, value double").selectExpr("cast(ts as timestamp) ts", "step", "key", "value").coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        return epoch_metric_stream(spark, stream, out, check)
+
+    for i in range(3):
+        add(i)
+    run()
+    add(3)
+    add(4)
+    got = {(r["epoch"], r["key"]): (r["step"], r["value"]) for r in run().collect()}
+    batch = spark.read.parquet(folder).selectExpr("unix_date(to_date(ts)) epoch", "key", "step", "value")
+    want = {(r["epoch"], r["key"]): (r["step"], r["value"]) for r in last_per_epoch(batch).collect()}
+    assert got == want and len(want) == 4
