@@ -26,6 +26,18 @@ def d2_even_sample(spark, sf):
     return ops.even_sample(t.read(spark, sf, "events").select("event_type", "event_id"), ["event_type"], "event_id", 37)
 
 
+@query(
+    "d2_even_sample_string_ids",
+    """WITH e AS (SELECT event_type, 'p' || event_id AS id FROM events),
+            r AS (SELECT event_type, id, row_number() OVER (PARTITION BY event_type ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM e),
+            w AS (SELECT DISTINCT event_type, k * (n - 1) // 36 AS i FROM r, UNNEST(range(37)) AS u(k))
+       SELECT event_type, id FROM r SEMI JOIN w USING (event_type, i)""",
+)
+def d2_even_sample_string_ids(spark, sf):
+    rows = t.read(spark, sf, "events").select("event_type", F.concat(F.lit("p"), "event_id").alias("id"))
+    return ops.even_sample(rows, ["event_type"], "id", 37)
+
+
 @query(
     "d3_balance",
     f"""WITH n AS (SELECT min(c) AS c FROM (SELECT count(*) AS c FROM documents GROUP BY lang))
@@ -107,6 +119,18 @@ def d6_epoch_sample(spark, sf):
     return ops.epoch_sample(_samples(spark, sf), _weights(spark), 997, S)
 
 
+@query(
+    "d6_epoch_sample_string_ids",
+    f"""WITH {_EPOCH}, r AS (SELECT 'p' || id AS id, sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY 'p' || id) AS rn FROM s),
+        d AS (SELECT sample_id, class_size, UNNEST(range(1, quota + 1)) AS draw FROM quota),
+        p AS (SELECT sample_id, draw, floor(('0x' || substr(md5(concat_ws('|', sample_id, draw, {S})), 1, 8))::UBIGINT / 4294967296.0 * class_size)::BIGINT + 1 AS rn FROM d)
+        SELECT sample_id, draw, id, md5(concat_ws('|', sample_id, draw, '{S}s')) AS shuffle_key FROM p JOIN r USING (sample_id, rn)""",
+    ("stages",),
+)
+def d6_epoch_sample_string_ids(spark, sf):
+    return ops.epoch_sample(_samples(spark, sf).withColumn("id", F.concat(F.lit("p"), "id")), _weights(spark), 997, S)
+
+
 @query(
     "d7_panel_sample",
     f"""WITH g AS (SELECT doc_id AS id, source, lang, count(*) OVER (PARTITION BY source, lang) AS n FROM documents),
@@ -161,6 +185,19 @@ def d10_mix_background(spark, sf):
     return ops.mix_background(docs.filter("lang <> 'de'"), docs.filter("lang = 'de'"), 0.2, S)
 
 
+@query(
+    "d10_mix_background_string_ids",
+    f"""WITH docs AS (SELECT 'p' || doc_id AS doc_id, n_chars, lang FROM documents),
+        pool AS (SELECT doc_id AS source_id, row_number() OVER (ORDER BY doc_id) AS rn FROM docs WHERE lang = 'de'),
+        u AS (SELECT doc_id AS id, n_chars % 5 AS cls, ('0x' || substr(md5(concat_ws('|', doc_id, {S})), 1, 8))::UBIGINT / 4294967296.0 AS u,
+              floor(('0x' || substr(md5(concat_ws('|', doc_id, '{S}b')), 1, 8))::UBIGINT / 4294967296.0 * (SELECT count(*) FROM pool))::BIGINT + 1 AS rn FROM docs WHERE lang <> 'de')
+        SELECT id, cls, id AS source_id FROM u WHERE u >= 0.2 UNION ALL SELECT id, -1, source_id FROM u JOIN pool USING (rn) WHERE u < 0.2""",
+)
+def d10_mix_background_string_ids(spark, sf):
+    docs = t.read(spark, sf, "documents").select(F.concat(F.lit("p"), "doc_id").alias("id"), (F.col("n_chars") % 5).alias("cls"), "lang")
+    return ops.mix_background(docs.filter("lang <> 'de'"), docs.filter("lang = 'de'"), 0.2, S)
+
+
 @query("d11_sample_n", f"SELECT event_id, event_type FROM events ORDER BY md5(concat_ws('|', event_id, {S})), event_id LIMIT 500")
 def d11_sample_n(spark, sf):
     return ops.sample_n(t.read(spark, sf, "events").select("event_id", "event_type"), "event_id", 500, S).orderBy("event_id")

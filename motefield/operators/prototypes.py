@@ -38,7 +38,7 @@ def ema_segment(df: DataFrame, order_col: str, class_col: str = "cls", vec_col:
     its first row. Background rows (-1) are left out.
     """
     rows = df.filter(F.col(class_col) >= 0)
-    ranked = rank_by_value(rows, [class_col], order_col, group_size="__n")
+    ranked = rank_by_value(rows, [class_col], order_col, [vec_col], group_size="__n")
     weight = F.lit(alpha) * F.pow(F.lit(1.0 - alpha), F.col("__n") - F.col("rn"))
     weighted = ranked.withColumn("__w", weight).withColumn("__v", array_to_vector(F.col(vec_col).cast("array<double>")))
     # The weighted mean times the weight sum is the weighted sum; tiny weights underflow to zero harmlessly.

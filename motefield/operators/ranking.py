@@ -1,8 +1,8 @@
 """Ranks and running sums inside groups of any size.
 
 A plain ``row_number() over (partition by class order by ...)`` sorts a whole
-class in one task. Here every group is cut into ordered buckets first: rows are
-ranked inside (group, bucket), and the bucket totals, a small table, give the
+class in one task. Here every group is cut into ordered buckets first (leading
+digits of a hash, or sampled ranges): rows are ranked inside (group, bucket), and the bucket totals, a small table, give the
 offset of each bucket. Results are exact and a class holding a third of all
 rows is spread over all tasks.
 """
@@ -13,12 +13,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motefield.functions.hashing import order_hash
-from motefield.session import only_row
+from motefield.session import written
 
 _BUCKET = "__bucket"
 
@@ -71,23 +70,6 @@ def rank_by_hash(
     return _over_buckets(hashed, keys, order, out, {}, group_size).drop("__h")
 
 
-def with_cut_buckets(df: DataFrame, column: str, buckets: int, descending: bool = False) -> DataFrame:
-    """Add an ordered bucket number cut at quantiles of a numeric column.
-
-    Buckets of a skewed column are balanced by rows, not by value. The cuts are
-    one aggregate row of at most ``buckets`` numbers.
-    """
-    sign = F.lit(-1.0 if descending else 1.0)
-    valued = df.withColumn("__key", F.col(column).cast("double") * sign)
-    shares = [i / buckets for i in range(1, buckets)]
-    row = only_row(valued.agg(F.percentile_approx("__key", shares, 10000).alias("cuts")))
-    cuts = sorted({float(c) for c in (row["cuts"] or [])})
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    return Bucketizer(splits=splits, inputCol="__key", outputCol=_BUCKET, handleInvalid="keep").transform(valued).drop("__key")
-
-
 def rank_by_value(
     df: DataFrame,
     keys: Sequence[str],
@@ -96,13 +78,21 @@ def rank_by_value(
     descending: bool = False,
     out: str = "rn",
     running: dict[str, str] | None = None,
-    buckets: int = 256,
+    buckets: int | None = None,
     group_size: str | None = None,
 ) -> DataFrame:
-    """1-based rank by a numeric column, with running sums of other columns on request."""
-    cut = with_cut_buckets(df, column, buckets, descending)
-    first = F.col(column).desc() if descending else F.col(column).asc()
-    order = [first, *[F.col(c) for c in ties]]
+    """1-based rank by a column of any sortable type, with running sums of other columns on request.
+
+    The buckets are ranges of (keys, column, ties), cut at sampled quantiles:
+    one value held by a third of the rows is split by its ties, and nulls like
+    any value. There are as many as the session has shuffle partitions, or
+    ``buckets``. The bucketed rows are written once, so that counting and
+    ranking see the same cuts.
+    """
+    order = [F.col(column).desc() if descending else F.col(column).asc(), *[F.col(c) for c in ties]]
+    sorting = [*[F.col(k) for k in keys], *order]
+    ranged = df.repartitionByRange(buckets, *sorting) if buckets else df.repartitionByRange(*sorting)
+    cut = written(ranged.withColumn(_BUCKET, F.spark_partition_id()), "ranges")
     return _over_buckets(cut, keys, order, out, running or {}, group_size)
 
 

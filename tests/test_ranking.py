@@ -85,3 +85,14 @@ def test_null_keys_and_values_are_ranked_too(spark):
     assert got == {2: (1, 3), 3: (2, 3), 1: (3, 3), 6: (1, 3), 5: (2, 3), 4: (3, 3)}  # nulls first, as Spark sorts
     hashed = rank_by_hash(df, ["k"], ["id"], 1).collect()
     assert sorted(r["rn"] for r in hashed if r["k"] is None) == [1, 2, 3] and len(hashed) == 6
+
+
+def test_one_value_of_half_of_the_rows_is_split(spark):
+    rows = [("k", None if i % 7 == 0 else "same" if i % 2 else f"v{i:05d}", f"id{i:05d}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, v string, id string").repartition(6)
+    got = rank_by_value(df, ["k"], "v", ["id"], buckets=16)
+    want = {r[2]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[2])))}
+    assert {r["id"]: r["rn"] for r in got.select("id", "rn").collect()} == want
+    # the ranges the rows were written by: the common value lies in several of them
+    ranged = df.repartitionByRange(16, "k", "v", "id").filter("v = 'same'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert ranged >= 6
