@@ -10,8 +10,8 @@ Jaccard similarity. Bands of registers give candidate buckets.
 Buckets of any size are compared block against block inside tasks, on the
 registers only; what leaves a task is a spanning forest of the likely pairs.
 Those pairs are verified exactly, linked texts become components, and a closing
-round verifies every likely pair that still lies across two components of a
-bucket. So copies by the thousand cost a forest, not all pairs, and no link
+round verifies, inside the tasks, every likely pair that still lies across two
+components of a bucket. So copies by the thousand cost a forest, not all pairs, and no link
 between candidates is lost.
 """
 
@@ -35,7 +35,8 @@ BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
 #: Pairs that agree on fewer registers are not verified: 3.5 deviations below the threshold.
 LIKELY = 66
-BLOCK = 4096
+#: Texts and bytes of shingles in one block of a bucket.
+BLOCK, BLOCK_BYTES = 4096, 64 << 20
 #: Bits of the filter that tells which texts are needed for verification (16 MB).
 FILTER_BITS = 1 << 27
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -149,83 +150,115 @@ def forest(registers: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def across(registers: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
-    """All likely pairs whose texts are of different groups."""
+def links_across(registers: np.ndarray, sizes: np.ndarray, group: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between texts of different groups: likely pairs, verified on the shingles, until their groups are joined."""
+    root = list(range(int(group.max()) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
     edges = []
-    if (group == group[0]).all():
-        return edges
     for i in range(len(sizes) - 1):
         same = _likely(registers[i], registers[i + 1 :], int(sizes[i]), sizes[i + 1 :])
-        edges += [(i, i + 1 + int(j)) for j in np.flatnonzero((same > 0) & (group[i + 1 :] != group[i]))]
+        for j in (np.flatnonzero((same > 0) & (group[i + 1 :] != group[i])) + i + 1).tolist():
+            x, y = find(int(group[i])), find(int(group[j]))
+            if x != y and _alike(sets[i], sets[j]):
+                root[y] = x
+                edges.append((i, j))
     return edges
 
 
-def _bucket_pairs(members: DataFrame, closing: bool) -> DataFrame:
-    """Distinct likely pairs ``(a, b)`` of the buckets' blocks: a forest, or all across components."""
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= THRESHOLD * (len(x) + len(y) - both)
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        registers = np.frombuffer(b"".join([r[2] for r in rows]), np.uint16).reshape(len(rows), -1)
-        sizes = np.array([r[1] for r in rows])
-        if closing:
-            names = {c: i for i, c in enumerate(dict.fromkeys(r[3] for r in rows))}
-            edges = across(registers, sizes, np.array([names[r[3]] for r in rows]))
-        else:
-            edges = forest(registers, sizes)
-        for i, j in edges:
-            a, b = rows[i][0], rows[j][0]
-            yield (a, b) if a < b else (b, a)
+
+def _per_bucket(members: DataFrame, columns: list[str], edges_of) -> DataFrame:
+    """Distinct pairs ``(a, b)`` that ``edges_of(rows)`` finds in each block pair of a bucket; rows begin with the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        names = ["node", "n", "registers", "component"][: 4 if closing else 3]
+        key, rows, found = None, [], set()
+
+        def close() -> None:
+            if len(rows) > 1:
+                for i, j in edges_of(rows):
+                    found.add((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
 
-        def emit(found: set) -> pa.RecordBatch:
-            found = sorted(found)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], ["a", "b"])
+        def emit() -> pa.RecordBatch:
+            pairs = sorted(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
-        found: set = set()
         for batch in batches:
-            keys = list(zip(*[batch.column(c).to_pylist() for c in ("key", "lo", "hi")], strict=True))
-            for k, row in zip(keys, zip(*[batch.column(c).to_pylist() for c in names], strict=True), strict=True):
+            keys = zip(*[batch.column(c).to_pylist() for c in ("key", "lo", "hi")], strict=True)
+            for k, row in zip(keys, zip(*[batch.column(c).to_pylist() for c in columns], strict=True), strict=True):
                 if k != key:
-                    if len(rows) > 1:
-                        found.update(pairs(rows))
+                    close()
                     key, rows = k, []
                 rows.append(row)
-            if found:
-                yield emit(found)
-                found = set()
-        if len(rows) > 1:
-            found.update(pairs(rows))
-        yield emit(found)
+            yield emit()
+        close()
+        yield emit()
 
     near = members.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    columns = ["key", "lo", "hi", "node", "n", "registers", *(["component"] if closing else [])]
-    return near.select(*columns).mapInArrow(run, "a binary, b binary").distinct()
+    return near.select("key", "lo", "hi", *columns).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _registers(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join([r[2] for r in rows]), np.uint16).reshape(len(rows), -1), np.array([r[1] for r in rows])
+
+
+def likely_forests(members: DataFrame) -> DataFrame:
+    """Pairs of a spanning forest of the likely pairs of every bucket."""
+    return _per_bucket(members, ["node", "n", "registers"], lambda rows: forest(*_registers(rows)))
+
+
+def closing_links(members: DataFrame, groups: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Verified links between different components that still share a bucket.
+
+    Only buckets of several components are looked at. Their shingle sets go to
+    the bucket's tasks, which verify there and return links, never pairs.
+    """
+    named = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    open_ = written(named.join(mixed, "key", "left_semi"), "open-buckets")
+    sets = shingle_sets(df, open_.select("node").distinct(), id_col, text_col)
+
+    def edges_of(rows: list[tuple]) -> list[tuple[int, int]]:
+        names = {c: i for i, c in enumerate(dict.fromkeys(r[3] for r in rows))}
+        if len(names) < 2:
+            return []
+        return links_across(*_registers(rows), np.array([names[r[3]] for r in rows]), [np.frombuffer(r[4], np.uint64) for r in rows])
+
+    return _per_bucket(open_.join(sets, "node"), ["node", "n", "registers", "component", "shingles"], edges_of)
 
 
 def _members(nodes: DataFrame) -> DataFrame:
     """Nodes of every bucket that holds at least two, cut into blocks; a bucket of many blocks has every pair of them."""
-    banded = nodes.select("node", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("g")).filter(F.col("g") > 1).withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int"))
-    placed = banded.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    banded = nodes.select("node", "n", F.explode("bands").alias("key"))
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("shingles")).filter(F.col("g") > 1)
+    sizes = sizes.select("key", F.greatest(F.ceil(F.col("g") / BLOCK), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = banded.drop("n").join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     return placed.select("key", "node", "own", other).select("key", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
 
-def _needed(pairs: DataFrame) -> np.ndarray:
-    """Bit filter of the texts in the pairs: 16 MB at most, whatever their number."""
+def _needed(nodes: DataFrame) -> np.ndarray:
+    """Bit filter of the wanted texts: 16 MB at most, whatever their number."""
     bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).select((bit / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))").alias("v"))
+    ends = nodes.select((bit / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))").alias("v"))
     table = ends.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[table["w"].to_numpy()] = table["v"].to_numpy()
     return out
 
 
-def shingle_sets(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(node, shingles)``: sorted 64-bit shingle hashes of the texts that the pairs need."""
-    sent = df.sparkSession.sparkContext.broadcast(_needed(pairs))
+def shingle_sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(node, shingles)``: sorted 64-bit shingle hashes of the wanted texts, and of few others."""
+    sent = df.sparkSession.sparkContext.broadcast(_needed(nodes))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known: dict[bytes, int] = {}
@@ -251,16 +284,14 @@ def _spark_hash(node: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs ``(a, b)`` whose shingle sets have a Jaccard similarity of at least the threshold."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = shingle_sets(df, ends, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= THRESHOLD * (len(x) + len(y) - both))
+            keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -304,12 +335,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = written(signatures(df, id_col, text_col), "signatures")
     nodes = signed.filter(F.col("node").isNotNull()).drop("doc_id").dropDuplicates(["node"])
     members = written(_members(nodes).join(nodes.select("node", "n", "registers"), "node"), "members")
-    pairs = written(_bucket_pairs(members, closing=False), "pairs")
-    links = written(verified(pairs, shingle_sets(df, pairs, id_col, text_col)), "verified")
+    pairs = written(likely_forests(members), "pairs")
+    links = written(verified(pairs, df, id_col, text_col), "verified")
     groups = written(components(links), "components")
-    grouped = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = written(_bucket_pairs(grouped, closing=True).join(pairs, ["a", "b"], "left_anti"), "closing")
-    closed = written(verified(more, shingle_sets(df, more, id_col, text_col)), "verified")
+    closed = written(closing_links(members, groups, df, id_col, text_col), "closing")
     if only_row(closed.agg(F.count(F.lit(1)).alias("n")))["n"]:
         groups = written(components(links.union(closed)), "components")
     named = signed.select("doc_id", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
