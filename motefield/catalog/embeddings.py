@@ -60,7 +60,7 @@ def g2_silhouette_cosine(spark, sf):
     ("emb",),
 )
 def g3_separation(spark, sf):
-    return rounded(ops.separation(t.features(spark, sf)))
+    return rounded(ops.separation(ops.pair_moments(t.features(spark, sf))))
 
 
 CLASS_SEPARATION_SQL = f"""WITH {_PAIRS}, {_SEPARATION}, {_DBI}, {_SILHOUETTE}

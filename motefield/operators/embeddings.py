@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motefield.functions.tails import chi2_upper
-from motefield.functions.vectors import euclidean
-from motefield.operators.pairs import distances, map_block_pairs, moments_by_flag, stack, unit_rows
-from motefield.session import only_row
+from motefield.functions.vectors import euclidean, let
+from motefield.operators.pairs import distances, map_block_pairs, map_with_table, stack
+from motefield.session import only_row, written
 
 
 def centroids(df: DataFrame, vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
@@ -53,38 +53,62 @@ def davies_bouldin(df: DataFrame, vec_col: str = "feature", class_col: str = "cl
     return worst.agg(F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("davies_bouldin"))
 
 
-def _pair_distance(metric: str):
-    if metric == "euclidean":
-        return distances
-    if metric == "cosine":
-        return lambda a, b: 1.0 - unit_rows(a) @ unit_rows(b).T
-    raise ValueError(f"unknown metric {metric}")
+def distance_sums(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
+    """``(id, own, other, n, s, q)``: count, sum and sum of squares of the distances of each row to each class.
 
-
-def silhouette_samples(df: DataFrame, metric: str = "euclidean", id_col: str = "id", vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
-    """Silhouette of every row; a row alone in its class scores 0.
-
-    Tasks return one sum per row and class, never single pairs.
+    The one all-pairs pass behind separation, silhouette and pairwise
+    diversity. A task adds up its strips, so a row leaves a block pair once for each class.
     """
-    measure = _pair_distance(metric)
     id_type, kind = dict(df.dtypes)[id_col], dict(df.dtypes)[class_col]
 
     def one_way(rows: pd.DataFrame, cols: pd.DataFrame, d: np.ndarray, used: np.ndarray) -> pd.DataFrame:
         names, codes = np.unique(cols[class_col].to_numpy(), return_inverse=True)
         hot = np.eye(len(names))[codes]
-        sums, counts = (d * used) @ hot, used.astype(float) @ hot
+        d = d * used
+        sums, squares, counts = d @ hot, (d * d) @ hot, used.astype(float) @ hot
         r, c = np.nonzero(counts)
         return pd.DataFrame({
-            "id": rows[id_col].to_numpy()[r], "own": rows[class_col].to_numpy()[r], "other": names[c], "n": counts[r, c].astype("int64"), "s": sums[r, c],
+            "id": rows[id_col].to_numpy()[r], "own": rows[class_col].to_numpy()[r], "other": names[c],
+            "n": counts[r, c].astype("int64"), "s": sums[r, c], "q": squares[r, c],
         })
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, keep: np.ndarray | None) -> pd.DataFrame:
-        d = measure(stack(left[vec_col]), stack(right[vec_col]))
+        d = distances(stack(left[vec_col]), stack(right[vec_col]))
         used = np.ones(d.shape, bool) if keep is None else keep
         return pd.concat([one_way(left, right, d, used), one_way(right, left, d.T, used.T)], ignore_index=True)
 
-    sums = map_block_pairs(df, id_col, [vec_col, class_col], kernel, f"id {id_type}, own {kind}, other {kind}, n long, s double")
-    means = sums.groupBy("id", "own", "other").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("d"))
+    def combine(parts: pd.DataFrame) -> pd.DataFrame:
+        return parts.groupby(["id", "own", "other"], as_index=False, sort=False)[["n", "s", "q"]].sum()
+
+    schema = f"id {id_type}, own {kind}, other {kind}, n long, s double, q double"
+    sums = map_block_pairs(df, id_col, [vec_col, class_col], kernel, schema, combine=combine)
+    return sums.groupBy("id", "own", "other").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
+
+
+def cosine_sums(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
+    """``(id, own, other, n, s)`` of cosine distances without any pair: a row against the sum of the unit rows of each class."""
+    kind = dict(df.dtypes)
+    unit = df.select(id_col, class_col, F.col(vec_col).cast("array<double>").alias("__u"))
+    length = F.sqrt(F.aggregate("__u", F.lit(0.0), lambda a, x: a + x * x))
+    unit = unit.withColumn("__u", let(length, lambda n: F.transform("__u", lambda x: F.when(n > 0, x / n).otherwise(x))))
+    classes = centroids(unit, "__u", class_col)
+
+    def against(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        x, total = stack(rows["__u"]), stack(table["centroid"]) * table["n"].to_numpy()[:, None]
+        n = np.broadcast_to(table["n"].to_numpy(), (len(x), len(total))).copy()
+        own = rows[class_col].to_numpy()[:, None] == table[class_col].to_numpy()[None, :]
+        n[own] -= 1
+        near = x @ total.T - own * np.einsum("ij,ij->i", x, x)[:, None]
+        r, c = np.nonzero(n)
+        return pd.DataFrame({"id": rows[id_col].to_numpy()[r], "own": rows[class_col].to_numpy()[r], "other": table[class_col].to_numpy()[c], "n": n[r, c], "s": n[r, c] - near[r, c]})
+
+    schema = f"id {kind[id_col]}, own {kind[class_col]}, other {kind[class_col]}, n long, s double"
+    return map_with_table(unit, classes, against, schema, id_col=id_col, right_id=class_col)
+
+
+def silhouettes_of(sums: DataFrame) -> DataFrame:
+    """Silhouette of every row from its sums of distances; a row alone in its class scores 0."""
+    means = sums.withColumn("d", F.col("s") / F.col("n"))
     inner = F.max(F.when(F.col("own") == F.col("other"), F.col("d")))
     outer = F.min(F.when(F.col("own") != F.col("other"), F.col("d")))
     both = means.groupBy("id", "own").agg(inner.alias("a"), outer.alias("b"))
@@ -93,28 +117,38 @@ def silhouette_samples(df: DataFrame, metric: str = "euclidean", id_col: str = "
     return both.select("id", F.col("own").alias("cls"), "a", "b", score.alias("silhouette"))
 
 
-def silhouette(df: DataFrame, metric: str = "euclidean", **columns) -> DataFrame:
-    """Mean silhouette; 0 with fewer than two classes."""
-    return silhouette_samples(df, metric, **columns).agg(F.coalesce(F.avg("silhouette"), F.lit(0.0)).alias("silhouette"))
+def silhouette_samples(df: DataFrame, metric: str = "euclidean", id_col: str = "id", vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
+    """Silhouette of every row; cosine distances need no pairs."""
+    passes = {"euclidean": distance_sums, "cosine": cosine_sums}
+    if metric not in passes:
+        raise ValueError(f"unknown metric {metric}")
+    return silhouettes_of(passes[metric](df, id_col, vec_col, class_col))
 
 
-def pair_moments(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
-    """Count, mean and population deviation of pair distances, within and between classes."""
+def _mean_silhouette(samples: DataFrame) -> DataFrame:
+    return samples.agg(F.coalesce(F.avg("silhouette"), F.lit(0.0)).alias("silhouette"))
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, keep: np.ndarray | None) -> pd.DataFrame:
-        d = distances(stack(left[vec_col]), stack(right[vec_col]))
-        same = left[class_col].to_numpy()[:, None] == right[class_col].to_numpy()[None, :]
-        return pd.DataFrame(list(moments_by_flag(d, same, keep)), columns=["same", "n", "s", "q"])
 
-    sums = map_block_pairs(df, id_col, [vec_col, class_col], kernel, "same boolean, n long, s double, q double")
+def silhouette(df: DataFrame, metric: str = "euclidean", **columns) -> DataFrame:
+    """Mean silhouette; 0 with fewer than two classes."""
+    return _mean_silhouette(silhouette_samples(df, metric, **columns))
+
+
+def moments_of(sums: DataFrame) -> DataFrame:
+    """Count, mean and population deviation of pair distances within and between classes; every pair is in the sums twice."""
     mean = F.sum("s") / F.sum("n")
     spread = F.sqrt(F.greatest(F.sum("q") / F.sum("n") - mean * mean, F.lit(0.0)))
-    return sums.groupBy("same").agg(F.sum("n").alias("n_pairs"), mean.alias("mean_distance"), spread.alias("std_distance"))
+    return sums.groupBy((F.col("own") == F.col("other")).alias("same")).agg(
+        (F.sum("n") / 2).cast("long").alias("n_pairs"), mean.alias("mean_distance"), spread.alias("std_distance")
+    )
 
 
-def separation(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
+def pair_moments(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
+    return moments_of(distance_sums(df, id_col, vec_col, class_col))
+
+
+def separation(moments: DataFrame) -> DataFrame:
     """Within and between distances and their ratio, as one row."""
-    moments = pair_moments(df, id_col, vec_col, class_col)
     picked = {}
     for name, flag in (("within", F.col("same")), ("between", ~F.col("same"))):
         for stat, source in (("mean", "mean_distance"), ("std", "std_distance"), ("n", "n_pairs")):
@@ -130,13 +164,17 @@ def separation(df: DataFrame, id_col: str = "id", vec_col: str = "feature", clas
     return row.withColumn("separation_ratio", ratio)
 
 
-def class_separation(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
-    """Long report ``(metric, value)``: separation, Davies-Bouldin index and mean silhouette."""
-    wide = separation(df, id_col, vec_col, class_col)
+def class_separation(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls", sums: DataFrame | None = None) -> DataFrame:
+    """Long report ``(metric, value)``: separation, Davies-Bouldin index and mean silhouette, from one all-pairs pass.
+
+    ``sums`` are ``distance_sums`` of the same rows if the caller has them.
+    """
+    sums = written(distance_sums(df, id_col, vec_col, class_col), "distances") if sums is None else sums
+    wide = separation(moments_of(sums))
     metrics = ["mean_within", "std_within", "mean_between", "std_between", "separation_ratio"]
     long = wide.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("m")).select("m.*")
     index = davies_bouldin(df, vec_col, class_col).select(F.lit("davies_bouldin").alias("metric"), F.col("davies_bouldin").alias("value"))
-    score = silhouette(df, id_col=id_col, vec_col=vec_col, class_col=class_col).select(F.lit("silhouette").alias("metric"), F.col("silhouette").alias("value"))
+    score = _mean_silhouette(silhouettes_of(sums)).select(F.lit("silhouette").alias("metric"), F.col("silhouette").alias("value"))
     return long.unionByName(index).unionByName(score)
 
 
@@ -203,6 +241,11 @@ def mahalanobis_overlap(df: DataFrame, vec_col: str = "feature", class_col: str
     return off.unionByName(same)
 
 
+def mean_distance_of(sums: DataFrame) -> DataFrame:
+    """Mean distance of all pairs from ``distance_sums``."""
+    return sums.agg(F.coalesce(F.sum("s") / F.sum("n"), F.lit(0.0)).alias("diversity"))
+
+
 def diversity(df: DataFrame, method: str = "variance", id_col: str = "id", vec_col: str = "feature") -> DataFrame:
     """Mean variance per dimension, mean pair distance, or log-determinant of the covariance; 0 below two rows."""
     if method == "variance":
@@ -212,8 +255,7 @@ def diversity(df: DataFrame, method: str = "variance", id_col: str = "id", vec_c
         return row.select(F.when(F.col("n") < 2, F.lit(0.0)).otherwise(mean).alias("diversity"))
     everyone = df.withColumn("__all", F.lit(0))
     if method == "pairwise":
-        moments = pair_moments(everyone, id_col, vec_col, "__all")
-        return moments.agg(F.coalesce(F.max("mean_distance"), F.lit(0.0)).alias("diversity"))
+        return mean_distance_of(distance_sums(everyone, id_col, vec_col, "__all"))
     if method == "determinant":
         row = only_row(class_covariance(everyone, vec_col, "__all"))
         if row is None or row["n"] < 2:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from motefield.operators.pairs import cogroup_blocks
 from motefield.operators.ranking import rank_by_hash
-from motefield.operators.similarity import pairwise_affinity
+from motefield.operators.similarity import unordered_pairs
 from motefield.session import only_row, written
 
 
@@ -53,7 +53,7 @@ def missing_ids(ids: DataFrame, table: DataFrame, col: str = "id") -> DataFrame:
 
 def missing_pairs(features: DataFrame, aff: DataFrame) -> DataFrame:
     """Unordered pairs of ids that have no affinity yet, found block by block."""
-    return pairwise_affinity(features).select("id1", "id2").join(aff, ["id1", "id2"], "left_anti")
+    return unordered_pairs(features).join(aff, ["id1", "id2"], "left_anti")
 
 
 def unfinished(runs: DataFrame, done: DataFrame, col: str = "run") -> DataFrame:

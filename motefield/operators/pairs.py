@@ -16,12 +16,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motefield.session import only_row
+
 STRIP = 256
 
 
-def block_count(df: DataFrame, block_rows: int) -> int:
-    """Blocks of about ``block_rows`` rows, and at least as many block pairs as there are task slots."""
-    rows = df.count()
+#: Bytes of vectors in one block, so that wide rows make small blocks and narrow rows are sent to few of them.
+BLOCK_BYTES = 32 << 20
+
+
+def block_count(df: DataFrame, block_rows: int | None, vec_col: str | None = None) -> int:
+    """Blocks of about ``block_rows`` rows (or ``BLOCK_BYTES``), and at least as many block pairs as there are task slots."""
+    width = F.max(F.size(vec_col)) if vec_col else F.lit(64)
+    row = only_row(df.agg(F.count(F.lit(1)).alias("n"), width.alias("width")))
+    rows = row["n"]
+    block_rows = block_rows or min(16384, max(256, BLOCK_BYTES // (8 * max(row["width"] or 1, 1))))
     slots = df.sparkSession.sparkContext.defaultParallelism
     least = math.ceil(math.sqrt(2 * slots))
     return max(1, math.ceil(rows / block_rows), min(least, rows // 64))
@@ -33,15 +42,18 @@ def map_block_pairs(
     columns: Sequence[str],
     kernel: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray | None], pd.DataFrame],
     schema: str,
-    block_rows: int = 2048,
+    block_rows: int | None = None,
     blocks: int | None = None,
+    combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
 ) -> DataFrame:
     """Apply ``kernel(left, right, keep)`` to strips of every pair of blocks.
 
-    ``keep`` is a boolean matrix that leaves each unordered pair once when a
+    ``combine`` adds up what the strips of a block pair return, before it
+    leaves the task. ``keep`` is a boolean matrix that leaves each unordered pair once when a
     block meets itself, and None when two different blocks meet.
     """
-    n = blocks or block_count(df, block_rows)
+    arrays = [c for c in columns if dict(df.dtypes)[c].startswith("array")]
+    n = blocks or block_count(df, block_rows, arrays[0] if arrays else None)
     placed = df.select(id_col, *columns).withColumn("__b", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int"))
     sent = placed.withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(
         "*", F.least("__b", "__o").alias("__lo"), F.greatest("__b", "__o").alias("__hi")
@@ -60,7 +72,10 @@ def map_block_pairs(
             if len(right):
                 parts.append(kernel(strip, right, keep))
         parts = [p for p in parts if len(p)]
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
+        if not parts:
+            return pd.DataFrame(columns=names)
+        whole = pd.concat(parts, ignore_index=True)
+        return combine(whole) if combine else whole
 
     names = [field.strip().split(" ")[0] for field in schema.split(",")]
     return sent.drop("__o").groupBy("__lo", "__hi").applyInPandas(run, schema)

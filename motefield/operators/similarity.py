@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from motefield.functions.labels import BACKGROUND
 from motefield.operators.pairs import STRIP, cogroup_blocks, distances, map_block_pairs, small_table, stack, unit_rows
 from motefield.operators.ranking import first_per_group
-from motefield.session import only_row
+from motefield.session import only_row, written
 
 # Target similarity of two background rows and of background with anything else.
 BACKGROUND_SIM = 0.2
@@ -23,7 +23,7 @@ TARGET_BOUND = 200_000  # class pairs that may travel with a task
 
 
 def pairwise_affinity(
-    features: DataFrame, id_col: str = "id", vec_col: str = "feature", existing: DataFrame | None = None, block_rows: int = 2048
+    features: DataFrame, id_col: str = "id", vec_col: str = "feature", existing: DataFrame | None = None, block_rows: int | None = None
 ) -> DataFrame:
     """Cosine of every unordered pair; pairs already present in ``existing`` keep their value."""
     spark_type = dict(features.dtypes)[id_col]
@@ -42,6 +42,18 @@ def pairwise_affinity(
     return fresh.join(existing, ["id1", "id2"], "left_anti").unionByName(existing.select("id1", "id2", "affinity"))
 
 
+def unordered_pairs(rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """All unordered pairs of ids, without any arithmetic on their vectors."""
+    spark_type = dict(rows.dtypes)[id_col]
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame, keep: np.ndarray | None) -> pd.DataFrame:
+        r, c = np.nonzero(np.ones((len(left), len(right)), bool) if keep is None else keep)
+        a, b = left[id_col].to_numpy()[r], right[id_col].to_numpy()[c]
+        return pd.DataFrame({"id1": np.where(a > b, b, a), "id2": np.where(a > b, a, b)})
+
+    return map_block_pairs(rows.select(id_col), id_col, [], kernel, f"id1 {spark_type}, id2 {spark_type}")
+
+
 def directed(aff: DataFrame) -> DataFrame:
     """Both directions of every pair; the diagonal is 1 by definition and is not stored."""
     return aff.select(F.explode(F.array(
@@ -57,6 +69,7 @@ def background_rows(matrix: DataFrame) -> DataFrame:
 
 
 def _minmax(matrix: DataFrame, signed: bool) -> DataFrame:
+    matrix = written(matrix, "affinities")  # all pairs are computed once, for the range and for the result
     row = only_row(matrix.agg(F.min("affinity").alias("lo"), F.max("affinity").alias("hi")))
     if row["lo"] is None or abs(row["hi"] - row["lo"]) <= 1e-6:
         return matrix
@@ -111,6 +124,7 @@ def extreme_pairs(aff: DataFrame, k: int) -> DataFrame:
 
 def affinity_histogram(aff: DataFrame, bins: int = 20) -> DataFrame:
     """Equal-width bins between the smallest and the largest affinity; the last bin is closed."""
+    aff = written(aff.select("affinity"), "affinities")
     row = only_row(aff.agg(F.min("affinity").alias("lo"), F.max("affinity").alias("hi")))
     lo, hi = row["lo"], row["hi"]
     width = (hi - lo) / bins if hi > lo else 1.0

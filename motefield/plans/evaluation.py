@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motefield.operators.embeddings import class_separation, diversity
+from motefield.operators.embeddings import class_separation, distance_sums, diversity, mean_distance_of
 from motefield.operators.poses import rotation_metrics
 from motefield.operators.volume_metrics import PAIR, QUALITY, pair_of, quality_of
 from motefield.operators.volumes import per_volume
+from motefield.session import written
 
 
 def volume_report(pairs: DataFrame) -> DataFrame:
@@ -29,9 +30,10 @@ def evaluate(embeddings: DataFrame | None = None, pairs: DataFrame | None = None
     """One long report ``(part, metric, value)`` of whatever tables are given."""
     parts = []
     if embeddings is not None:
-        parts.append(("embedding", class_separation(embeddings)))
-        for method in ("variance", "pairwise"):
-            parts.append(("diversity", diversity(embeddings, method).select(F.lit(method).alias("metric"), F.col("diversity").alias("value"))))
+        sums = written(distance_sums(embeddings), "distances")
+        parts.append(("embedding", class_separation(embeddings, sums=sums)))
+        for method, value in (("variance", diversity(embeddings, "variance")), ("pairwise", mean_distance_of(sums))):
+            parts.append(("diversity", value.select(F.lit(method).alias("metric"), F.col("diversity").alias("value"))))
     if pairs is not None:
         parts.append(("reconstruction", over_volumes(volume_report(pairs), (*QUALITY, *PAIR))))
     if rotations is not None:
