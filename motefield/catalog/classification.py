@@ -53,7 +53,15 @@ def h3_scale_by_fold(spark, sf):
 @query("h4_fit_predict_folds")
 def h4_fit_predict_folds(spark, sf):
     rows = t.folds(spark, sf).select("fold", F.col("vec_id").alias("id"), F.col("label").alias("cls"), F.col("e").alias("feature"))
-    return rounded(ops.fit_predict_folds(rows, max_iter=30), 4)
+    return rounded(ops.fit_predict_folds(rows), 4)
+
+
+@query("h4_calibration", "SELECT f.fold, label AS class, count(*)::DOUBLE AS expected FROM folds x, (SELECT DISTINCT fold FROM folds) f WHERE x.fold <> f.fold GROUP BY ALL", ("folds",))
+def h4_calibration(spark, sf):
+    """At the optimum the probabilities of a class over the training rows add up to its rows, as the intercept is free."""
+    rows = t.folds(spark, sf).select("fold", F.col("vec_id").alias("id"), F.col("label").alias("cls"), F.col("e").alias("feature"))
+    fitted = ops.fit_predict_folds(rows, on="train")
+    return fitted.groupBy("fold", "class").agg(F.round(F.sum("score"), 1).alias("expected"))
 
 
 _PRED = "pred AS (SELECT fold, id, label, class AS pred FROM scores QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, class) = 1)"

@@ -45,6 +45,11 @@ def c2_align_tables(spark, sf):
     return aligned(spark, sf).select("label", "pair_rank", "id_a", "id_b")
 
 
+@query("c2_align_by_id", f"WITH {ALIGN_SQL} SELECT a.label, id_a, id_b FROM a JOIN b ON a.label = b.label AND id_a = id_b", ("emb",))
+def c2_align_by_id(spark, sf):
+    return ops.align_by_id(*_two_sources(spark, sf), "label", "id_a", "id_b").select("label", "id_a", "id_b")
+
+
 @query("c3_common_structures", "SELECT label FROM embeddings WHERE label <> 3 INTERSECT SELECT label FROM embeddings WHERE label <> 5 AND vec_id % 3 <> 0")
 def c3_common_structures(spark, sf):
     return ops.common_values(*_two_sources(spark, sf), "label")

@@ -130,6 +130,29 @@ def j5_rotation_metrics(spark, sf):
     return rounded(ops.rotation_metrics(rotations(spark, sf), "vec_id"))
 
 
+@query("j5_rotation_metrics_radians", f"WITH {ROTATION_METRICS_SQL} SELECT metric, round(radians(value), 6) AS value FROM rm", ("rotations",))
+def j5_rotation_metrics_radians(spark, sf):
+    return rounded(ops.rotation_metrics(rotations(spark, sf), "vec_id", degrees=False))
+
+
+@query(
+    "j6_align_points",
+    """SELECT label AS set_id, count(*) AS n, pos, CASE pos WHEN 1 THEN -1.0 WHEN 3 THEN 1.0 WHEN 8 THEN 1.0 ELSE 0.0 END::DOUBLE AS r, 1.0::DOUBLE AS tx, (2.0 + label)::DOUBLE AS ty, 3.0::DOUBLE AS tz, 0.0::DOUBLE AS rmsd
+       FROM embeddings, (SELECT UNNEST(range(9))::INT AS pos) GROUP BY label, pos""",
+)
+def j6_align_points(spark, sf):
+    """Points turned by a quarter about z and moved; the motion is found again for each label."""
+    e = [F.get("e", i) for i in range(3)]
+    points = t.emb(spark, sf).select(
+        F.col("label").alias("set_id"), *[c.alias(n) for c, n in zip(e, ("px", "py", "pz"), strict=True)],
+        (1.0 - e[1]).alias("qx"), (e[0] + 2.0 + F.col("label")).alias("qy"), (e[2] + 3.0).alias("qz"),
+    )
+    found = ops.align_points(points)
+    moved = [F.round(F.get("translation", i), 6).alias(n) for i, n in enumerate(("tx", "ty", "tz"))]
+    cells = found.select("set_id", "n", *moved, F.round("rmsd", 4).alias("rmsd"), F.posexplode("rotation").alias("pos", "r"))
+    return cells.withColumn("r", F.round("r", 6) + 0.0)
+
+
 # The best global rotation as a quaternion: the leading eigenvector of a 4x4 matrix, by repeated squaring of the shifted matrix.
 _S = {f"s{a}{b}": " + ".join(f"rp[{3 * a + c + 1}] * rt[{3 * b + c + 1}]" for c in range(3)) for a in range(3) for b in range(3)}
 _GLOBAL = f"""hs AS (SELECT count(*) AS n, {', '.join(f"sum({v}) / count(*) AS {k}" for k, v in _S.items())} FROM rotations),

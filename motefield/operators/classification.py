@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,19 +42,20 @@ def stratified_folds(df: DataFrame, key: str, id_col: str, k: int = N_FOLDS, see
 def fold_scalers(df: DataFrame, vec_col: str = "feature") -> DataFrame:
     """Mean and population deviation per dimension over the training rows of each fold (all other folds).
 
-    One pass takes the sums per (fold, dimension); a training set is the total
-    minus its own fold, so rows are not repeated per fold.
+    One pass takes centred moments of each fold. They are one row for each
+    fold, and a training set is put together from those of the other folds.
     """
-    cells = df.select("fold", F.posexplode(vec_col).alias("pos", "v"))
-    sums = cells.groupBy("fold", "pos").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    totals = sums.groupBy("pos").agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
-    both = sums.join(totals, "pos")
-    n = F.col("tn") - F.col("n")
-    mean = (F.col("ts") - F.col("s")) / n
-    spread = F.sqrt(F.greatest((F.col("tq") - F.col("q")) / n - mean * mean, F.lit(0.0)))
-    stats = both.select("fold", "pos", mean.alias("mean"), F.when(spread > 1e-12, spread).otherwise(F.lit(1.0)).alias("std"))
-    packed = stats.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "std"))).alias("s"))
-    return packed.select("fold", F.col("s")["mean"].alias("mean"), F.col("s")["std"].alias("std"))
+    summary = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.col(vec_col).cast("array<double>"))).alias("s")
+    rows = df.groupBy("fold").agg(summary).select("fold", F.col("s.count").alias("n"), vector_to_array("s.mean").alias("m"), vector_to_array("s.variance").alias("v")).collect()
+    out = []
+    for fold in (r["fold"] for r in rows):
+        rest = [(r["n"], np.array(r["m"]), np.array(r["v"])) for r in rows if r["fold"] != fold]
+        if rest:
+            total = sum(n for n, _, _ in rest)
+            mean = sum(n * m for n, m, _ in rest) / total
+            spread = np.sqrt(sum((n - 1) * v + n * (m - mean) ** 2 for n, m, v in rest) / total)
+            out.append((fold, mean.tolist(), np.where(spread > 1e-12, spread, 1.0).tolist()))
+    return df.sparkSession.createDataFrame(out, f"fold {dict(df.dtypes)['fold']}, mean array<double>, std array<double>")
 
 
 def scaled(vec: Column, mean: Column, std: Column) -> Column:
@@ -65,8 +67,8 @@ def scale_test_rows(df: DataFrame, vec_col: str = "feature") -> DataFrame:
     return df.join(fold_scalers(df, vec_col), "fold").withColumn(vec_col, scaled(F.col(vec_col), F.col("mean"), F.col("std"))).drop("mean", "std")
 
 
-def fit_predict_folds(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls", max_iter: int = 100, c: float = 1.0, parallel_fits: int = 4) -> DataFrame:
-    """Multinomial logistic regression per fold; class probabilities of the test rows as ``(fold, id, class, score, y)``.
+def fit_predict_folds(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls", max_iter: int = 1000, c: float = 1.0, parallel_fits: int = 4, on: str = "test") -> DataFrame:
+    """Multinomial logistic regression per fold; class probabilities of the test rows (or training rows) as ``(fold, id, class, score, y)``.
 
     Each fit is a distributed Spark ML job; a few folds are fitted at a time. The
     rows are written once to the shared folder, so the fits do not repeat their lineage.
@@ -86,7 +88,8 @@ def fit_predict_folds(df: DataFrame, id_col: str = "id", vec_col: str = "feature
         model = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(train.count(), 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6).fit(train)
         train.unpersist()
         each = F.explode(F.arrays_zip(names.alias("class"), vector_to_array("probability").alias("score"))).alias("p")
-        tested = model.transform(ready.filter(F.col("fold") == fold)).select("fold", F.col(id_col).alias("id"), F.col(class_col).alias("label"), each)
+        wanted = F.col("fold") == fold if on == "test" else F.col("fold") != fold
+        tested = model.transform(ready.filter(wanted)).select(F.lit(fold).alias("fold"), F.col(id_col).alias("id"), F.col(class_col).alias("label"), each)
         return tested.select("fold", "id", "label", F.col("p.class").alias("class"), F.col("p.score").alias("score"), (F.col("label") == F.col("p.class")).cast("int").alias("y"))
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, len(folds)))) as pool:

@@ -147,8 +147,8 @@ def pair_moments(df: DataFrame, id_col: str = "id", vec_col: str = "feature", cl
     return moments_of(distance_sums(df, id_col, vec_col, class_col))
 
 
-def separation(moments: DataFrame) -> DataFrame:
-    """Within and between distances and their ratio, as one row."""
+def separation_of(moments: DataFrame) -> DataFrame:
+    """Within and between distances and their ratio, as one row, from ``pair_moments``."""
     picked = {}
     for name, flag in (("within", F.col("same")), ("between", ~F.col("same"))):
         for stat, source in (("mean", "mean_distance"), ("std", "std_distance"), ("n", "n_pairs")):
@@ -164,13 +164,17 @@ def separation(moments: DataFrame) -> DataFrame:
     return row.withColumn("separation_ratio", ratio)
 
 
+def separation(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
+    return separation_of(pair_moments(df, id_col, vec_col, class_col))
+
+
 def class_separation(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls", sums: DataFrame | None = None) -> DataFrame:
     """Long report ``(metric, value)``: separation, Davies-Bouldin index and mean silhouette, from one all-pairs pass.
 
     ``sums`` are ``distance_sums`` of the same rows if the caller has them.
     """
     sums = written(distance_sums(df, id_col, vec_col, class_col), "distances") if sums is None else sums
-    wide = separation(moments_of(sums))
+    wide = separation_of(moments_of(sums))
     metrics = ["mean_within", "std_within", "mean_between", "std_between", "separation_ratio"]
     long = wide.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("m")).select("m.*")
     index = davies_bouldin(df, vec_col, class_col).select(F.lit("davies_bouldin").alias("metric"), F.col("davies_bouldin").alias("value"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from motefield.operators.pairs import cogroup_blocks
 from motefield.operators.ranking import rank_by_hash
 from motefield.operators.similarity import unordered_pairs
-from motefield.session import only_row, written
+from motefield.session import written
 
 
 def join_coordinates(coords: DataFrame, embeddings: DataFrame, required: bool = False) -> DataFrame:
@@ -35,6 +37,11 @@ def align_tables(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str, see
     return left.join(right, [key, "pair_rank"])
 
 
+def align_by_id(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str) -> DataFrame:
+    """Pair rows of two tables that are the same particle: equal class and equal id."""
+    return a.join(b.withColumnRenamed(key, "__key"), (F.col(key) == F.col("__key")) & (F.col(a_id) == F.col(b_id))).drop("__key")
+
+
 def common_values(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
     return a.select(col).intersect(b.select(col))
 
@@ -170,7 +177,8 @@ def extract_boxes(
             yield batch[[*keys, "pick_id"]].assign(data=out)
 
     boxes = grouped.filter(F.col("covered") == box**3).select(*keys, "pick_id", "parts").mapInPandas(paste, f"{named}, data array<double>")
-    return boxes.withColumn("shape", F.array(*[F.lit(box)] * 3))
+    # Arrow turns a NaN of a pandas result into a null; it is a NaN here.
+    return boxes.withColumn("data", F.transform("data", lambda v: F.coalesce(v, F.lit(float("nan"))))).withColumn("shape", F.array(*[F.lit(box)] * 3))
 
 
 def filter_picks(picks: DataFrame, **wanted) -> DataFrame:
@@ -180,26 +188,26 @@ def filter_picks(picks: DataFrame, **wanted) -> DataFrame:
     return picks
 
 
-def nearest_pick(points: DataFrame, picks: DataFrame, cell: float | None = None, growth: float = 2.0, group: str = "run", block_rows: int = 4096) -> DataFrame:
+def nearest_pick(points: DataFrame, picks: DataFrame, cell: float | None = None, growth: float = 3.0, group: str = "run", block_rows: int = 4096) -> DataFrame:
     """Nearest pick of the same run for each point ``(run, point_id, x, y, z)``; the lowest id wins a tie.
 
-    A point looks at the picks of the 27 grid cells around its own. A match
-    closer than the cell edge is final; the remaining points are tried again
-    with larger cells until one cell covers the volume, so the result is exact.
-    Distances are taken block against block inside the tasks: a crowded cell
-    is cut into blocks, and only one candidate per point and block comes out.
-    Without ``cell`` the edge is chosen for about 200 picks per cell.
+    A point is sent to the 27 grid cells around it. A match closer than the
+    cell edge is final; what is left is tried again with larger cells until
+    one cell covers the run, so the result is exact. Every run has a cell edge
+    of its own (about 200 picks a cell, or ``cell``), and points of runs
+    without picks never take part. Distances are taken block against block
+    inside the tasks: a crowded cell is cut into blocks, and only one candidate
+    per point and block comes out.
     """
     axes = ["x", "y", "z"]
     types = dict(points.dtypes)
-    unique = picks.groupBy(group, *axes).agg(F.min("pick_id").alias("pick_id"))
-    both = unique.select(*axes).unionByName(points.select(*axes))
-    row = only_row(both.agg(*[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes]))
-    spans = [0.0 if row["lo_x"] is None else float(row[f"hi_{a}"] - row[f"lo_{a}"]) for a in axes]
-    if cell is None:
-        size = only_row(unique.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("runs")))
-        volume = float(np.prod([max(s, 1e-9) for s in spans]))
-        cell = (200.0 * volume * max(size["runs"], 1) / max(size["n"], 1)) ** (1.0 / 3.0)
+    unique = written(picks.groupBy(group, *axes).agg(F.min("pick_id").alias("pick_id")), "picks")
+    spans = {a: F.max(a) - F.min(a) for a in axes}
+    both = unique.select(group, *axes, F.lit(1).alias("__n")).unionByName(points.select(group, *axes, F.lit(0).alias("__n")))
+    runs = both.groupBy(group).agg(*[F.min(a).alias(f"__lo_{a}") for a in axes], F.greatest(*spans.values(), F.lit(1e-9)).alias("__span"), *[s.alias(f"__w_{a}") for a, s in spans.items()], F.sum("__n").alias("__picks"))
+    volume = reduce(mul, [F.greatest(F.col(f"__w_{a}"), F.col("__span") / 100) for a in axes])
+    edge = F.lit(float(cell)) if cell is not None else F.least(F.pow(200.0 * volume / F.col("__picks"), F.lit(1.0 / 3.0)), F.col("__span") * 1.01)
+    runs = written(runs.filter(F.col("__picks") > 0).select(group, *[f"__lo_{a}" for a in axes], "__span", edge.alias("__cell")), "runs")
     schema = f"{group} {types[group]}, point_id {types['point_id']}, d2 double, pick_id {dict(picks.dtypes)['pick_id']}"
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -215,29 +223,24 @@ def nearest_pick(points: DataFrame, picks: DataFrame, cell: float | None = None,
         at = np.concatenate(best)
         return pd.DataFrame({group: left[group].to_numpy(), "point_id": left["point_id"].to_numpy(), "d2": np.concatenate(size), "pick_id": ids[at]})
 
-    open_points, results = points.select(group, "point_id", *axes), []
-    while True:
-        final = cell > max(spans)
+    def celled(df: DataFrame, scale: float, around: bool) -> DataFrame:
+        df = df.join(runs, group).withColumn("__edge", F.col("__cell") * scale)
+        for a in axes:
+            base = F.floor((F.col(a) - F.col(f"__lo_{a}")) / F.col("__edge")).cast("long")
+            # no cell lies before the first one of the run
+            df = df.withColumn(f"c{a}", F.explode(F.sequence(F.greatest(base - 1, F.lit(0)), base + 1)) if around else base)
+        return df.select(*[c for c in df.columns if not c.startswith("__")])
 
-        def celled(df: DataFrame, around: bool) -> DataFrame:
-            for a in axes:
-                base = F.floor((F.col(a) - F.lit(row[f"lo_{a}"] or 0.0)) / cell).cast("long")
-                df = df.withColumn(f"c{a}", F.explode(F.sequence(base - 1, base + 1)) if around else base)
-            return df
-
-        found = cogroup_blocks(celled(open_points, False), celled(unique, True), [group, "cx", "cy", "cz"], "point_id", "pick_id", nearest, schema, block_rows)
+    open_points, results, scale = points.select(group, "point_id", *axes), [], 1.0
+    while True:
+        found = cogroup_blocks(celled(open_points, scale, True), celled(unique, scale, False), [group, "cx", "cy", "cz"], "point_id", "pick_id", nearest, schema, block_rows)
         best = found.groupBy(group, "point_id").agg(F.min(F.struct("d2", "pick_id")).alias("b"))
-        best = best.select(group, "point_id", "b.pick_id", F.sqrt("b.d2").alias("distance"))
-        if final:
-            results.append(best)
-            break
-        closed = written(best.filter(F.col("distance") <= cell), "nearest")
+        best = best.select(group, "point_id", "b.pick_id", F.sqrt("b.d2").alias("distance")).join(runs, group)
+        edge = F.col("__cell") * scale
+        closed = written(best.filter((F.col("distance") <= edge) | (edge > F.col("__span"))).select(group, "point_id", "pick_id", "distance"), "nearest")
         results.append(closed)
-        open_points = written(open_points.join(closed, [group, "point_id"], "left_anti"), "open-points")
+        left = open_points.join(runs.filter(F.col("__cell") * scale <= F.col("__span")), group, "left_semi")
+        open_points = written(left.join(closed, [group, "point_id"], "left_anti"), "open-points")
         if open_points.isEmpty():
-            break
-        cell *= growth
-    out = results[0]
-    for part in results[1:]:
-        out = out.unionByName(part)
-    return out
+            return reduce(DataFrame.unionByName, results)
+        scale *= growth

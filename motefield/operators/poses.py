@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,14 +40,15 @@ def relative_errors(df: DataFrame, id_col: str, predicted: str = "r_pred", true:
     return sums.agg(F.coalesce(mean, F.lit(0.0)).alias("mean_relative_error"), F.coalesce(spread, F.lit(0.0)).alias("std_relative_error"))
 
 
-def rotation_metrics(df: DataFrame, id_col: str, predicted: str = "r_pred", true: str = "r_true") -> DataFrame:
-    """Long report ``(metric, value)`` of geodesic errors and relative errors, in degrees."""
+def rotation_metrics(df: DataFrame, id_col: str, predicted: str = "r_pred", true: str = "r_true", degrees: bool = True) -> DataFrame:
+    """Long report ``(metric, value)`` of geodesic errors and relative errors, in degrees or radians."""
     errors = rotation_errors(df, predicted, true)
     names = {"mean": F.avg("error"), "std": F.stddev_pop("error"), "max": F.max("error"), "min": F.min("error")}
     wide = errors.agg(*[c.alias(f"{n}_geodesic_error") for n, c in names.items()])
     long = _long(wide)
     median = exact_percentiles(errors.select(id_col, "error"), [], "error", [0.5], [id_col]).select(F.lit("median_geodesic_error").alias("metric"), "value")
-    return long.unionByName(median).unionByName(_long(relative_errors(df, id_col, predicted, true)))
+    report = long.unionByName(median).unionByName(_long(relative_errors(df, id_col, predicted, true)))
+    return report if degrees else report.withColumn("value", F.radians("value"))
 
 
 def _long(wide: DataFrame) -> DataFrame:
@@ -70,6 +73,34 @@ def global_rotation(df: DataFrame, predicted: str = "r_pred", true: str = "r_tru
     return rotation, float(np.sqrt(max(square, 0.0) / (3.0 * row["n"])))
 
 
+def align_points(df: DataFrame, set_col: str = "set_id", p: Sequence[str] = ("px", "py", "pz"), q: Sequence[str] = ("qx", "qy", "qz")) -> DataFrame:
+    """``(set_id, n, rotation, translation, rmsd)``: the rigid motion that maps the points p of each set onto q best.
+
+    Centroids and centred covariances are one aggregate for each set; the 3x3
+    decomposition happens on that row. A set of one point is only shifted.
+    """
+    cross = {f"c{i}{j}": F.covar_pop(p[i], q[j]) for i in range(3) for j in range(3)}
+    size = sum(F.var_pop(c) for c in (*p, *q))
+    means = {f"{name}{i}": F.avg(c) for name, cols in (("p", p), ("q", q)) for i, c in enumerate(cols)}
+    sums = df.groupBy(set_col).agg(F.count(F.lit(1)).alias("n"), size.alias("size"), *[c.alias(k) for k, c in {**cross, **means}.items()])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = {"rotation": [], "translation": [], "rmsd": []}
+            for row in batch.to_dict("records"):
+                h = np.array([[row[f"c{i}{j}"] for j in range(3)] for i in range(3)])
+                u, s, vt = np.linalg.svd(h)
+                sign = np.sign(np.linalg.det(vt.T @ u.T)) or 1.0
+                turn = vt.T @ np.diag([1.0, 1.0, sign]) @ u.T
+                from_, to = (np.array([row[f"{c}{i}"] for i in range(3)]) for c in "pq")
+                out["rotation"].append(turn.ravel())
+                out["translation"].append(to - turn @ from_)
+                out["rmsd"].append(float(np.sqrt(max(row["size"] - 2.0 * (s[0] + s[1] + sign * s[2]), 0.0))))
+            yield batch[[set_col, "n"]].assign(**out)
+
+    return sums.mapInPandas(solve, f"`{set_col}` {dict(df.dtypes)[set_col]}, n long, rotation array<double>, translation array<double>, rmsd double")
+
+
 def align_rotations(df: DataFrame, predicted: str = "r_pred", true: str = "r_true") -> tuple[DataFrame, float]:
     """Rows with the prediction turned by the global rotation and the remaining error in degrees, and the RMSD."""
     rotation, rmsd = global_rotation(df, predicted, true)

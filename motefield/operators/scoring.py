@@ -19,7 +19,8 @@ def score(df: DataFrame, encoder: Callable[[], Callable], batch_size: int = 64,
 
     ``encoder()`` is called once per task and returns a function from a batch
     of volumes (n, z, y, x) to the four arrays. Volumes are passed on in
-    batches of at most ``batch_size``; the volume column is dropped.
+    batches of one shape and at most ``batch_size``; the volume column is dropped.
+    A null volume is an error.
     """
     kept = [c for c in df.columns if c not in (data_col, "shape")]
     types = dict(df.dtypes)
@@ -28,12 +29,15 @@ def score(df: DataFrame, encoder: Callable[[], Callable], batch_size: int = 64,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = encoder()
         for batch in batches:
-            for start in range(0, len(batch), batch_size):
-                part = batch.iloc[start : start + batch_size]
-                shape = tuple(int(s) for s in part["shape"].iloc[0])
-                volumes = np.stack([np.asarray(v, dtype=np.float64).reshape(shape) for v in part[data_col]])
-                mu, log_var, pose, weight = model(volumes)
-                yield part[kept].assign(embedding=list(np.asarray(mu)), log_var=list(np.asarray(log_var)), pose=list(np.asarray(pose)), global_weight=np.asarray(weight, dtype=float))
+            if batch[data_col].isna().any() or batch["shape"].isna().any():
+                raise ValueError("a volume or its shape is null; set such rows apart with validate() first")
+            shapes = batch["shape"].map(lambda s: tuple(int(x) for x in s))
+            for shape, rows in batch.groupby(shapes, sort=False):
+                for start in range(0, len(rows), batch_size):
+                    part = rows.iloc[start : start + batch_size]
+                    volumes = np.stack([np.asarray(v, dtype=np.float64).reshape(shape) for v in part[data_col]])
+                    mu, log_var, pose, weight = model(volumes)
+                    yield part[kept].assign(embedding=list(np.asarray(mu)), log_var=list(np.asarray(log_var)), pose=list(np.asarray(pose)), global_weight=np.asarray(weight, dtype=float))
 
     return df.mapInPandas(run, schema)
 

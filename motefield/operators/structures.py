@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,21 +19,24 @@ KERNEL_REACH = 4.0
 
 
 def structure_info(atoms: DataFrame, key: str = "structure") -> DataFrame:
-    """Atoms, chains, mass, centre of mass, extent, radius of gyration and diameter per structure, in one aggregate."""
+    """Atoms, chains, mass, centre of mass, extent, radius of gyration and diameter per structure, in one aggregate.
+
+    The radius comes from centred moments, so it holds far from the origin too.
+    """
     mass = F.sum("mass")
-    center = {a: F.sum(F.col("mass") * F.col(a)) / mass for a in "xyz"}
-    square = sum(F.sum(F.col("mass") * F.col(a) * F.col(a)) / mass - center[a] * center[a] for a in "xyz")
+    place = array_to_vector(F.array(*[F.col(a).cast("double") for a in "xyz"]))
+    moments = Summarizer.metrics("mean", "variance").summary(place, F.col("mass").cast("double"))
     extent = {a: F.max(a) - F.min(a) for a in "xyz"}
     info = atoms.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_atoms"),
-        F.size(F.collect_set("chain")).alias("n_chains"),
-        mass.alias("mass"),
-        *[center[a].alias(f"center_{a}") for a in "xyz"],
-        *[extent[a].alias(f"extent_{a}") for a in "xyz"],
-        F.sqrt(F.greatest(square, F.lit(0.0))).alias("radius_of_gyration"),
+        F.count(F.lit(1)).alias("n_atoms"), mass.alias("mass"), F.sum(F.col("mass") * F.col("mass")).alias("__ww"), moments.alias("__m"), *[extent[a].alias(f"extent_{a}") for a in "xyz"]
     )
+    chains = atoms.groupBy(key).agg(F.count_distinct("chain").cast("int").alias("n_chains"))
+    center, spread = vector_to_array("__m.mean"), vector_to_array("__m.variance")
+    # the variance divides by the weight less its share of squares; undo that to get the mean square
+    square = sum(F.get(spread, i) for i in range(3)) * (1 - F.col("__ww") / (F.col("mass") * F.col("mass")))
+    info = info.withColumns({**{f"center_{a}": F.get(center, i) for i, a in enumerate("xyz")}, "radius_of_gyration": F.sqrt(F.greatest(square, F.lit(0.0)))}).drop("__m", "__ww")
     longest = F.greatest("extent_x", "extent_y", "extent_z")
-    return info.withColumns({"max_extent": longest, "diameter_nm": longest / 10, "mass_kda": F.col("mass") / 1000})
+    return info.withColumns({"max_extent": longest, "diameter_nm": longest / 10, "mass_kda": F.col("mass") / 1000}).join(chains, key)
 
 
 def rasterize(atoms: DataFrame, box: int, voxel: float, key: str = "structure") -> DataFrame:

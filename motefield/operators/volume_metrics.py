@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motefield.functions.hashing import normal
 from motefield.operators.ranking import rank_by_value
-from motefield.operators.volumes import gradient_size, mean_voxels, packed_by_position, per_volume, radius_grid, soft_sphere
+from motefield.operators.volumes import gradient_size, packed_by_position, per_volume, radius_grid, soft_sphere, voxel_sums
 
 # Constants of the structural similarity, fewest samples of a shell, resolution without any shell.
 SSIM_C1 = 1e-4
@@ -157,13 +157,18 @@ def wedge_error(df: DataFrame, angle: float = 90.0, floor: float = 0.3, a: str =
 def convergence(df: DataFrame, reference: DataFrame, counts: Sequence[int], key: str, order_col: str, voxel: float, mask=None) -> DataFrame:
     """Mean of the first n volumes of each group against its reference, for each n the group can fill.
 
-    Ranks are taken on ids alone. Only the first ``max(counts)`` volumes of a
-    group take part, so the voxel rows are bounded by the number of groups.
+    Ranks are taken on ids alone. A volume is added once, to the slice between
+    two counts it falls in; sums of slices, a few rows for each voxel, add up to the means.
     """
+    counts = sorted({int(c) for c in counts})
     ranked = rank_by_value(df.select(key, order_col), [key], order_col, group_size="__n").filter(F.col("rn") <= max(counts))
-    sizes = F.explode(F.array(*[F.lit(int(c)) for c in counts]))
-    used = df.join(ranked, [key, order_col]).withColumn("n", sizes).filter((F.col("rn") <= F.col("n")) & (F.col("n") <= F.col("__n")))
-    means = packed_by_position(mean_voxels(used, [key, "n"]), [key, "n"], out="data_a")
+    piece = F.lit(None).cast("int")
+    for c in reversed(counts):
+        piece = F.when(F.col("rn") <= c, F.lit(c)).otherwise(piece)
+    sliced = df.join(ranked, [key, order_col]).withColumn("n", piece).filter(F.col("n") <= F.col("__n"))
+    upto = Window.partitionBy(key, "pos").orderBy("c")
+    sums = voxel_sums(sliced.withColumnRenamed("n", "c"), [key, "c"]).select(key, F.col("c").alias("n"), "pos", (F.sum("s").over(upto) / F.sum("n").over(upto)).alias("v"))
+    means = packed_by_position(sums, [key, "n"], out="data_a")
     pairs = means.join(reference.select(key, "shape", F.col("data").alias("data_b")), key)
     resolution = fsc_resolution(fsc_curve(pairs, voxel, mask), [key, "n"])
     return pair_metrics(pairs).join(resolution, [key, "n"])

@@ -286,9 +286,48 @@ def match_stats(df: DataFrame, source_col: str = "source") -> DataFrame:
     return per_volume(df, run, {"data": "array<double>"}, inputs=("data", source_col))
 
 
+#: Bytes of sums a task holds before it hands them on.
+SUM_BYTES = 64 << 20
+
+
+def voxel_sums(df: DataFrame, keys: Sequence[str], col: str = "data") -> DataFrame:
+    """``(keys, pos, n, s)``: voxel sums per group. Volumes are added as arrays inside each task; only the sums are exploded."""
+    types = dict(df.dtypes)
+    names = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[tuple, list] = {}
+        held = 0
+
+        def emit() -> pd.DataFrame:
+            rows = [(*k, n, s) for k, (n, s) in totals.items()]
+            totals.clear()
+            return pd.DataFrame(rows, columns=[*names, "n", "s"])
+
+        for batch in batches:
+            for key, volume in zip(batch[names].itertuples(index=False, name=None), batch[col], strict=True):
+                volume = np.asarray(volume, dtype=np.float64)
+                if key in totals:
+                    totals[key][0] += 1
+                    totals[key][1] += volume
+                else:
+                    totals[key] = [1, volume.copy()]
+                    held += volume.nbytes
+            if held > SUM_BYTES:
+                yield emit()
+                held = 0
+        if totals:
+            yield emit()
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in names) + ", n long, s array<double>"
+    sums = df.select(*names, col).mapInPandas(run, schema)
+    cells = sums.select(*names, "n", F.posexplode("s").alias("pos", "s"))
+    return cells.groupBy(*names, "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
 def mean_voxels(df: DataFrame, keys: Sequence[str], col: str = "data") -> DataFrame:
-    """Voxel-wise mean per group as ``(keys, pos, v)``; partial sums are taken before the shuffle."""
-    return df.select(*keys, F.posexplode(col).alias("pos", "v")).groupBy(*keys, "pos").agg(F.avg("v").alias("v"))
+    """Voxel-wise mean per group as ``(keys, pos, v)``."""
+    return voxel_sums(df, keys, col).select(*keys, "pos", (F.col("s") / F.col("n")).alias("v"))
 
 
 def mean_volume(df: DataFrame, keys: Sequence[str], col: str = "data") -> DataFrame:

@@ -114,3 +114,20 @@ def test_alignment_finds_a_rotated_copy(spark):
     u = np.linalg.eigh(np.cov(points.T, aweights=w))[1]
     assert np.allclose(np.abs(u.T @ product @ u), np.eye(3), atol=1e-2)
     assert sp.chamfer(same, same).first()["chamfer"] == 0.0
+
+
+def test_point_sets_are_aligned_with_translation(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for s in range(3):
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        turn, shift = q * np.sign(np.linalg.det(q)), rng.normal(size=3) * 1e4
+        p = rng.normal(size=(40, 3))
+        want[s] = (turn, shift)
+        rows += [(s, *map(float, a), *map(float, turn @ a + shift)) for a in p]
+    rows.append((9, 1.0, 2.0, 3.0, 2.0, 2.0, 2.0))
+    df = spark.createDataFrame(rows, "set_id int, px double, py double, pz double, qx double, qy double, qz double")
+    got = {r["set_id"]: r for r in ops.align_points(df).collect()}
+    for s, (turn, shift) in want.items():
+        assert np.allclose(np.array(got[s]["rotation"]).reshape(3, 3), turn, atol=1e-6) and np.allclose(got[s]["translation"], shift, rtol=1e-6) and got[s]["rmsd"] < 1e-3
+    assert got[9]["n"] == 1 and got[9]["rmsd"] == 0.0

@@ -11,6 +11,7 @@ from motefield.operators import joins as jo
 from motefield.operators import structures as st
 from motefield.operators import volume_metrics as vm
 from motefield.operators import volumes as ops
+from motefield.operators.scoring import score
 
 
 def packed(spark, volumes, col="data"):
@@ -149,3 +150,16 @@ def test_boxes_keep_nan_and_never_mix_tomograms(spark):
     assert set(got["a", 2]) == {1.0, 2.0} and set(got["b", 2]) == {7.0, 8.0}
     holes = jo.incomplete_picks(picks, size, chunk_df, 4, 4, keys).collect()
     assert [(r["tomo_type"], r["pick_id"]) for r in holes] == [("b", 3)]
+
+
+def test_boxes_of_several_shapes_are_scored_together(spark):
+    rows = [(1, [1.0] * 8, [2, 2, 2]), (2, [2.0] * 12, [1, 3, 4]), (3, [3.0] * 12, [4, 3, 1]), (4, [4.0] * 8, [2, 2, 2])]
+    df = spark.createDataFrame(rows, "vol int, data array<double>, shape array<int>").coalesce(1)
+
+    def encoder():
+        return lambda v: (v.mean(axis=(1, 2, 3))[:, None], np.zeros((len(v), 1)), np.full((len(v), 1), v.shape[3]), np.full(len(v), v.shape[1]))
+
+    got = {r["vol"]: (r["embedding"], r["pose"], r["global_weight"]) for r in score(df, encoder).collect()}
+    assert got == {1: ([1.0], [2.0], 2.0), 2: ([2.0], [4.0], 1.0), 3: ([3.0], [1.0], 4.0), 4: ([4.0], [2.0], 2.0)}
+    with pytest.raises(Exception, match="validate"):
+        score(spark.createDataFrame([(1, None, [2, 2, 2])], df.schema), encoder).collect()
