@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from motefield.operators.pairs import stack
 from motefield.operators.prototypes import ALPHA, apply_segment, ema_segment, fold_rows
 from motefield.session import only_row, scratch_path
 
 STATE_SCHEMA = "cls int, n long, last_order long, prototype array<double>"
-STEP_STATE = "cls int, last_step long, prototype array<double>"
+STEP_STATE = "cls int, last_step long, prototype array<double>, late long"
 
 
 def merge_segment(state: DataFrame, segment: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -67,41 +66,55 @@ def prototype_stream(spark: SparkSession, rows: DataFrame, order_col: str, alpha
 
 
 class OrderedFold(StatefulProcessor):
-    """One unit-length vector per class in the state store; the rows of a micro-batch are folded in step order."""
+    """One unit-length vector per class in the state store; the rows of a micro-batch are folded in step order.
+
+    Steps never go back from one micro-batch to the next. Rows below the last
+    step of their class are not folded in the wrong place but counted as late.
+    """
 
     def __init__(self, warmup: int):
         self.warmup = warmup
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("prototype", "last_step long, vector array<double>")
+        self.state = handle.getValueState("prototype", "last_step long, vector array<double>, late long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        vector, last = None, -1
+        vector, last, late = None, -1, 0
         if self.state.exists():
-            last, stored = self.state.get()
+            last, stored, late = self.state.get()
             vector = np.asarray(stored, dtype=float)
-        batch = pd.concat(rows, ignore_index=True)
-        batch = batch[batch["step"] >= self.warmup].sort_values("step", kind="stable")
-        if len(batch):
-            vector = fold_rows(batch["step"].to_numpy(), stack(batch["feature"]), vector)
-            last = int(batch["step"].iloc[-1])
-            self.state.update((last, [float(v) for v in vector]))
-            yield pd.DataFrame({"cls": [int(key[0])], "last_step": [last], "prototype": [list(vector)]})
+        steps, features = [], []
+        for part in rows:
+            part = part[part["step"] >= self.warmup]
+            in_time = (part["step"] >= last).to_numpy()
+            late += int((~in_time).sum())
+            steps.append(part["step"].to_numpy()[in_time])
+            features += list(part["feature"].to_numpy()[in_time])
+        order = np.argsort(np.concatenate(steps), kind="stable") if steps else np.zeros(0, int)
+        if len(order):
+            step = np.concatenate(steps)[order]
+            vector = fold_rows(step, np.stack([np.asarray(features[i], dtype=float) for i in order]), vector)
+            last = int(step[-1])
+        if vector is not None:
+            self.state.update((last, [float(v) for v in vector], late))
+            yield pd.DataFrame({"cls": [int(key[0])], "last_step": [last], "prototype": [list(vector)], "late": [late]})
 
     def close(self) -> None:
         pass
 
 
-def step_prototype_stream(spark: SparkSession, rows: DataFrame, warmup: int = 0) -> DataFrame:
-    """Prototypes with step-dependent momentum from a stream of ``(cls, step, feature)`` rows.
+def step_prototype_stream(spark: SparkSession, rows: DataFrame, warmup: int = 0, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Prototypes with step-dependent momentum from a stream of ``(cls, step, feature)`` rows, and how many rows came late.
 
-    The fold of a class is ordered, so it is keyed state: a micro-batch bounds
-    how many rows of a class one task sees at a time.
+    The fold of a class is ordered, so it is keyed state, and one task sees the
+    rows a class has in a micro-batch: limit micro-batches at the source (such
+    as ``maxFilesPerTrigger``). With ``out`` and ``checkpoint`` another call
+    goes on where the last one ended; without them the run stands alone.
     """
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    out, checkpoint = scratch_path(spark, "step-prototypes"), scratch_path(spark, "step-prototypes-checkpoint")
+    out, checkpoint = out or scratch_path(spark, "step-prototypes"), checkpoint or scratch_path(spark, "step-prototypes-checkpoint")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -116,5 +129,5 @@ def step_prototype_stream(spark: SparkSession, rows: DataFrame, warmup: int = 0)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     written = spark.read.schema(STEP_STATE + ", batch long").parquet(out)
-    latest = written.groupBy("cls").agg(F.max_by(F.struct("last_step", "prototype"), "batch").alias("s"))
-    return latest.select("cls", "s.last_step", "s.prototype")
+    latest = written.groupBy("cls").agg(F.max_by(F.struct("last_step", "prototype", "late"), "batch").alias("s"))
+    return latest.select("cls", "s.last_step", "s.prototype", "s.late")

@@ -228,3 +228,22 @@ def test_metric_stream_takes_late_rows_and_restarts(spark):
     batch = spark.read.parquet(folder).selectExpr("unix_date(to_date(ts)) epoch", "key", "step", "value")
     want = {(r["epoch"], r["key"]): (r["step"], r["value"]) for r in last_per_epoch(batch).collect()}
     assert got == want and len(want) == 4
+
+
+def test_step_prototype_stream_counts_late_rows_and_restarts(spark):
+    path, out, check = (scratch_path(spark, n) for n in ("late", "late-out", "late-check"))
+    schema = "step long, cls int, feature array<double>"
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 2, [float(v) for v in rng.normal(size=3)]) for i in range(60)]
+
+    def add_and_run(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        return {r["cls"]: r for r in step_prototype_stream(spark, stream, 5, out, check).collect()}
+
+    first = add_and_run(rows[20:40])
+    again = add_and_run(rows[:20])
+    assert all(again[c]["late"] == sum(1 for r in rows[5:20] if r[1] == c) and again[c]["prototype"] == first[c]["prototype"] for c in (0, 1))
+    last = add_and_run(rows[40:])
+    want = {r["cls"]: r for r in pr.prototypes_v2(spark.createDataFrame(rows[20:], schema), "step", "step", warmup=5).collect()}
+    assert all(np.allclose(last[c]["prototype"], want[c]["prototype"]) for c in want)
