@@ -27,8 +27,9 @@ SQL_TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "chunk8": (
         ("emb",),
         f"""SELECT label, label::BIGINT * {_GAP} + rn // 8 AS vol, (rn % 8)::INT AS k, e FROM (
-              SELECT label, e, rn, count(*) OVER (PARTITION BY label, rn // 8) AS n FROM (
-                SELECT label, e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn FROM emb)) WHERE n = 8""",
+              SELECT label, e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn FROM emb)
+            UNION ALL SELECT label, label::BIGINT * {_GAP} + rn // 8, (rn % 8)::INT, list_transform(range(64), lambda i: 0.0::DOUBLE)
+              FROM (SELECT label, UNNEST(range(n, 8 * ((n + 7) // 8))) AS rn FROM (SELECT label, count(*) AS n FROM emb GROUP BY label))""",
     ),
     "vox8": (
         ("chunk8",),
@@ -75,10 +76,11 @@ SQL_TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         ("emb",),
         """SELECT label AS run, ((rn // 4) * 4 + i // 16)::INT AS z, (((rn // 2) % 2) * 4 + (i // 4) % 4)::INT AS y,
                   ((rn % 2) * 4 + i % 4)::INT AS x, e[i + 1] AS v
-           FROM (SELECT label, e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn,
-                        count(*) OVER (PARTITION BY label) AS n FROM emb), UNNEST(range(64)) AS t(i) WHERE rn < 4 * (n // 4)""",
+           FROM (SELECT label, e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn FROM emb
+                 UNION ALL SELECT label, list_transform(range(64), lambda i: 0.0::DOUBLE), UNNEST(range(n, 4 * ((n + 3) // 4)))
+                   FROM (SELECT label, count(*) AS n FROM emb GROUP BY label)), UNNEST(range(64)) AS t(i)""",
     ),
-    "tomograms": (("emb",), "SELECT label AS run, (4 * (count(*) // 4))::INT AS nz, 8 AS ny, 8 AS nx FROM emb GROUP BY label"),
+    "tomograms": (("emb",), "SELECT label AS run, (4 * ((count(*) + 3) // 4))::INT AS nz, 8 AS ny, 8 AS nx FROM emb GROUP BY label"),
     "spacings": ((), "SELECT p_brand AS run, p_partkey AS ord, p_size::DOUBLE AS size, p_type AS tomo_type FROM part"),
     "particles": (
         (),
@@ -163,7 +165,7 @@ def volumes4(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def volumes8(spark: SparkSession, sf: str) -> DataFrame:
-    """Eight vectors of one label as the corners of an 8x8x8 volume; incomplete volumes are dropped."""
+    """Eight vectors of one label as the corners of an 8x8x8 volume; the last volume of a label is filled up with zeros."""
     ranked = rank_by_value(emb(spark, sf), ["label"], "vec_id")
     chunks = ranked.select(
         "label",
@@ -171,13 +173,13 @@ def volumes8(spark: SparkSession, sf: str) -> DataFrame:
         F.pmod(F.col("rn") - 1, F.lit(8)).cast("int").alias("k"),
         "e",
     )
-    whole = chunks.groupBy("label", "vol").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("c")).filter(F.size("c") == 8)
+    whole = chunks.groupBy("label", "vol").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("c"))
 
     def element(p):
         z, y, x = F.shiftright(p, 6), F.pmod(F.shiftright(p, 3), F.lit(8)), F.pmod(p, F.lit(8))
         chunk = F.shiftright(z, 2) * 4 + F.shiftright(y, 2) * 2 + F.shiftright(x, 2)
         inner = F.pmod(z, F.lit(4)) * 16 + F.pmod(y, F.lit(4)) * 4 + F.pmod(x, F.lit(4))
-        return F.get(F.get(F.col("c"), chunk)["e"], inner)
+        return F.coalesce(F.get(F.get(F.col("c"), chunk)["e"], inner), F.lit(0.0))
 
     return whole.select(
         "vol", "label", F.array(*[F.lit(8)] * 3).alias("shape"), F.transform(F.sequence(F.lit(0), F.lit(511)), element).alias("data")
@@ -213,9 +215,12 @@ def picks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tomo_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """4x4x4 chunks of one tomogram per label on a 2x2 grid of columns, complete layers only."""
-    ranked = rank_by_value(emb(spark, sf), ["label"], "vec_id", group_size="n").withColumn("rn", F.col("rn") - 1)
-    return ranked.filter(F.col("rn") < 4 * F.floor(F.col("n") / 4)).select(
+    """4x4x4 chunks of one tomogram per label on a 2x2 grid of columns; the last layer is filled up with zeros."""
+    rows = rank_by_value(emb(spark, sf), ["label"], "vec_id").select("label", (F.col("rn") - 1).cast("long").alias("rn"), "e")
+    n = F.count(F.lit(1))
+    ends = read(spark, sf, "embeddings").groupBy("label").agg(n.alias("n")).filter(F.col("n") % 4 != 0)
+    zeros = ends.select("label", F.explode(F.sequence(F.col("n"), 4 * F.ceil(F.col("n") / 4) - 1)).alias("rn"), F.array_repeat(F.lit(0.0), 64).alias("e"))
+    return rows.unionByName(zeros).select(
         F.col("label").alias("run"),
         F.floor(F.col("rn") / 4).cast("int").alias("cz"),
         F.pmod(F.floor(F.col("rn") / 2), F.lit(2)).cast("int").alias("cy"),
@@ -225,7 +230,7 @@ def tomo_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tomograms(spark: SparkSession, sf: str) -> DataFrame:
-    layers = (4 * F.floor(F.count(F.lit(1)) / 4)).cast("int").alias("nz")
+    layers = (4 * F.ceil(F.count(F.lit(1)) / 4)).cast("int").alias("nz")
     return read(spark, sf, "embeddings").groupBy(F.col("label").alias("run")).agg(layers).select("run", "nz", F.lit(8).alias("ny"), F.lit(8).alias("nx"))
 
 

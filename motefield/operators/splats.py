@@ -70,6 +70,9 @@ def weighted_pca(splats: DataFrame, keys: Sequence[str] = ("set_id",)) -> DataFr
             full = m[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
             values, vectors = np.linalg.eigh(full)
             values, vectors = values[:, ::-1], vectors[:, :, ::-1].copy()
+            # The largest component of the first two axes is positive, and the third one follows; no library decides the signs.
+            largest = np.take_along_axis(vectors, np.abs(vectors).argmax(axis=1)[:, None, :], axis=1)
+            vectors *= np.where(largest < 0, -1.0, 1.0)
             vectors[np.linalg.det(vectors) < 0, :, 2] *= -1.0
             yield batch.assign(eigenvalues=list(values), axes=[v.ravel() for v in vectors])
 
