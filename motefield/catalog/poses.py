@@ -224,11 +224,6 @@ def j9_weighted_covariance(spark, sf):
     return rounded(pca.drop("axes").select("*", *[F.get("eigenvalues", i).alias(f"e{i + 1}") for i in range(3)]).drop("eigenvalues"))
 
 
-@query("j9_weighted_axes")
-def j9_weighted_axes(spark, sf):
-    return cells(sp.weighted_pca(t.splats(spark, sf)), "axes", "set_id")
-
-
 def _with_template(spark, sf):
     sets = t.splats(spark, sf)
     chosen = t.templates(spark, sf).select("label", F.col("template_id").alias("set_id"))
@@ -258,6 +253,25 @@ def j9_axis_projectors(spark, sf):
     return rounded(pca.select("set_id", "axis", F.posexplode(cell).alias("pos", "v")), 4)
 
 
+_AXES = f"""proj AS ({_PROJECTED.replace("round(", "(").replace(", 4) AS v", ") AS v")}),
+     pl AS (SELECT set_id, axis, list(v ORDER BY pos) AS p FROM proj GROUP BY set_id, axis),
+     pm AS (SELECT *, CASE WHEN p[1] >= p[5] AND p[1] >= p[9] THEN 0 WHEN p[5] >= p[9] THEN 1 ELSE 2 END AS k FROM pl),
+     ax AS (SELECT set_id, axis, list_transform(range(0, 3), lambda j: p[j * 3 + k + 1] / sqrt(p[k * 3 + k + 1])) AS v FROM pm),
+     two AS (SELECT a.set_id, a.v AS a, b.v AS b FROM ax a JOIN ax b ON a.set_id = b.set_id AND a.axis = 0 AND b.axis = 1)"""
+
+
+@query(
+    "j9_weighted_axes",
+    f"""WITH {_MOMENTS}, {_EIGEN}, {_AXES} SELECT set_id, pos, round(CASE pos % 3 WHEN 0 THEN a[pos // 3 + 1] WHEN 1 THEN b[pos // 3 + 1]
+            ELSE a[(pos // 3 + 1) % 3 + 1] * b[(pos // 3 + 2) % 3 + 1] - a[(pos // 3 + 2) % 3 + 1] * b[(pos // 3 + 1) % 3 + 1] END, 4) AS v
+        FROM two, (SELECT UNNEST(range(9))::INT AS pos)""",
+    ("splats",),
+)
+def j9_weighted_axes(spark, sf):
+    """The largest component of the first two axes is positive; the third makes the set right-handed."""
+    return rounded(sp.weighted_pca(t.splats(spark, sf)).select("set_id", F.posexplode("axes").alias("pos", "v")), 4)
+
+
 @query("j10_align_sets_pca")
 def j10_align_sets_pca(spark, sf):
     sets, template = _with_template(spark, sf)
