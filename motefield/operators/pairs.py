@@ -112,8 +112,16 @@ def moments_by_flag(values: np.ndarray, flag: np.ndarray, keep: np.ndarray | Non
             yield state, int(part.size), float(part.sum()), float((part * part).sum())
 
 
+#: Bytes of a table that may travel with a task.
+TABLE_BYTES = 32 << 20
+
+
 def small_table(df: DataFrame, bound: int) -> pd.DataFrame | None:
-    """The rows of ``df`` if there are at most ``bound``, else None. Never brings more than that to the driver."""
+    """The rows of ``df`` if there are at most ``bound`` and ``TABLE_BYTES`` of arrays, else None. Never brings more than that to the driver."""
+    wide = [F.coalesce(F.size(c), F.lit(0)) for c, kind in df.dtypes if kind.startswith(("array", "map"))]
+    if wide:
+        width = only_row(df.agg(F.max(sum(wide[1:], wide[0])).alias("w")))["w"] or 1
+        bound = min(bound, TABLE_BYTES // (8 * max(width, 1)))
     rows = df.limit(bound + 1).toPandas()
     return rows if len(rows) <= bound else None
 

@@ -83,12 +83,21 @@ def _weighted_mean(values: np.ndarray, weights: np.ndarray) -> float:
     return float((values * weights).sum() / weights.sum())
 
 
+def distance_strips(a: np.ndarray, b: np.ndarray, strip: int = 256) -> Iterator[np.ndarray]:
+    """Distances of a few points of ``a`` at a time to all of ``b``, so that memory grows with one set only."""
+    for start in range(0, len(a), strip):
+        yield np.sqrt(((a[start : start + strip, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+
+
 def chamfer_of(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> float:
     """Mean of the two weighted mean distances to the nearest point of the other set."""
     if not len(a) or not len(b):
         return float("inf")
-    d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    return (_weighted_mean(d.min(axis=1), wa) + _weighted_mean(d.min(axis=0), wb)) / 2.0
+    there, back = [], np.full(len(b), np.inf)
+    for d in distance_strips(a, b):
+        there.append(d.min(axis=1))
+        back = np.minimum(back, d.min(axis=0))
+    return (_weighted_mean(np.concatenate(there), wa) + _weighted_mean(back, wb)) / 2.0
 
 
 def paired_sets(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -130,8 +139,8 @@ def compare_sets(a: DataFrame, b: DataFrame, on: Sequence[str] = ("set_id",), th
         keep_a, keep_b = np.asarray(row.w_a) > threshold, np.asarray(row.w_b) > threshold
         low = mean = None
         if keep_a.any() and keep_b.any():
-            d = np.sqrt(((_points(row, "a")[keep_a][:, None] - _points(row, "b")[keep_b][None]) ** 2).sum(axis=2))
-            low, mean = float(d.min()), float(d.mean())
+            parts = [(float(d.min()), float(d.sum())) for d in distance_strips(_points(row, "a")[keep_a], _points(row, "b")[keep_b])]
+            low, mean = min(p[0] for p in parts), sum(p[1] for p in parts) / int(keep_a.sum() * keep_b.sum())
         dw, ds = np.abs(np.asarray(row.w_a) - row.w_b), np.abs(np.asarray(row.sigma_a) - row.sigma_b)
         return low, mean, float(dw.mean()), float(dw.max()), float(ds.mean()), float(ds.max())
 

@@ -135,11 +135,15 @@ def fsc_simple(df: DataFrame, keys: Sequence[str], threshold: float = 0.5) -> tu
     return curve, curve.groupBy(*keys).agg(F.coalesce(first, F.max("frequency")).alias("resolution"))
 
 
+# Fixed value: how sharply the weight falls at the edge of the wedge.
+WEDGE_STEEPNESS = 100.0
+
+
 def wedge_mask(n: int, angle: float = 90.0, floor: float = 0.3) -> np.ndarray:
     """Weight of each frequency of the half spectrum: low in the missing wedge, falling with the frequency."""
     kz, ky, kx = np.meshgrid(np.fft.fftfreq(n), np.fft.fftfreq(n), np.fft.rfftfreq(n), indexing="ij")
     tilt = np.where(kz == 0, np.pi / 2.0, np.arctan2(np.abs(kx), np.abs(kz)))
-    gate = 1.0 - 1.0 / (1.0 + np.exp(-np.clip(100.0 * (np.deg2rad(angle / 2.0) - tilt), -700, 700)))
+    gate = 1.0 - 1.0 / (1.0 + np.exp(-np.clip(WEDGE_STEEPNESS * (np.deg2rad(angle / 2.0) - tilt), -700, 700)))
     return (floor + (1.0 - floor) * gate) * np.exp(-np.sqrt(kx**2 + ky**2 + kz**2))
 
 
