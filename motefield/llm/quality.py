@@ -1,11 +1,11 @@
 """Quality rules with n-gram perplexity.
 
 The model is a character n-gram model inside words, one for each language,
-with interpolated modified Kneser-Ney smoothing. Spark counts the n-grams of
-every text, and all of the estimation is joins and aggregations over the counts.
-What scoring needs is one number for each n-gram of the highest order, because
-every n-gram of a scored text was counted. These numbers are stored as sorted
-hash arrays, at most ``SLOTS`` entries, whatever the corpus.
+with interpolated modified Kneser-Ney smoothing. Spark counts the words of
+every text, words first; estimation and values are joins and aggregations over
+tables that grow with the input, keyed by the n-grams themselves. At most
+``HEAD`` of the most frequent n-grams travel to the tasks with their values;
+the others of a text are joined to theirs, so every n-gram has its own value.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from motefield.llm.common import text_slices
 from motefield.session import written
 
 ORDER = 5
-#: Entries of the score table at most, 8 bytes each; n-grams that share a slot share their mean score.
-SLOTS = 1 << 24
+#: N-grams whose values travel to the tasks, as 64-bit hashes, at most; the values of all others are joined.
+HEAD = 1 << 20
+#: Words a task counts, and slices it reads, before it passes its counts on.
+COUNTED_WORDS, COUNTED_SLICES = 300_000, 16
 #: Texts the model learns from: words at least, symbols a word and share of capitals at most.
 LEARN_WORDS, LEARN_SYMBOLS, LEARN_CAPITALS = 50, 0.1, 0.3
 #: Natural log of the probability of a character in a language of which nothing is known.
@@ -76,31 +78,40 @@ def is_prose(text: str, n_words: int) -> bool:
     return changed is None or int((changed != np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)).sum()) <= LEARN_CAPITALS * len(text)
 
 
-def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``(lang, gram, n)`` over the words of all texts; each task counts words first, then their n-grams."""
+def all_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(lang, gram, n, n_prose)`` over the words of all texts: how often, and how often in texts that look like prose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            words: dict[str, Counter] = {}
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                found = _words(text)
-                if is_prose(text, len(found)):
-                    words.setdefault(lang, Counter()).update(found)
-            for lang, counts in words.items():
+        words: dict[tuple[str, bool], Counter] = {}
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for (lang, prose), counts in words.items():
                 if not counts:
                     continue
                 grams, owner = padded_grams([w.decode() for w in counts], order)
                 times = np.fromiter(counts.values(), np.int64, len(counts))[owner]
-                h = gram_hash(grams, "")
-                _, first, same = np.unique(h, return_index=True, return_inverse=True)
+                _, first, same = np.unique(gram_hash(grams, ""), return_index=True, return_inverse=True)
                 total = np.bincount(same, weights=times).astype(np.int64)
                 text = np.ascontiguousarray(grams[first]).tobytes().decode("utf-32-le", "surrogatepass")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(first)), pa.array([text[i : i + order] for i in range(0, len(text), order)]), pa.array(total)], ["lang", "gram", "n"]
-                )
+                columns = [pa.array([lang] * len(first)), pa.array([text[i : i + order] for i in range(0, len(text), order)]), pa.array(total), pa.array(total if prose else total * 0)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n", "n_prose"])
+            words.clear()
+
+        for i, part in enumerate(text_slices(batches), 1):
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                found = _words(text)
+                words.setdefault((lang, is_prose(text, len(found))), Counter()).update(found)
+            if i % COUNTED_SLICES == 0 or sum(map(len, words.values())) > COUNTED_WORDS:
+                yield from emit()
+        yield from emit()
+
+    counted = docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long, n_prose long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_prose").alias("n_prose"))
+
 
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(lang, gram, n)`` over the words of the texts that look like prose."""
+    return all_grams(docs, order).filter("n_prose > 0").select("lang", "gram", F.col("n_prose").alias("n"))
 
 
 def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
@@ -141,42 +152,74 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def _slots(points: np.ndarray, lang: str, k: int, weight: bool, slots: int) -> np.ndarray:
-    return (gram_hash(points, f"{lang}/{k}/{weight}") & np.uint64(slots - 1)).astype(np.int32)
-
+def gram_values(wanted: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """The rows of wanted n-grams with ``value``: the log probability of the last character.
 
-def score_table(model: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted slots and their values; ``slots`` entries at most, so this may travel with the tasks."""
+    One that was not seen backs off to shorter contexts, step by step, by joins.
+    """
+    columns = wanted.columns
+    rest, done = wanted.withColumn("value", F.lit(0.0)), []
+    for k in range(order, 0, -1):
+        level = model.filter(F.col("k") == k)
+        own = level.filter(~F.col("weight")).select("lang", F.col("gram").alias("suffix"), F.col("value").alias("own"))
+        left = level.filter("weight").select("lang", F.col("gram").alias("context"), F.col("value").alias("left"))
+        tried = rest.withColumn("suffix", F.substring("gram", order - k + 1, k)).join(own, ["lang", "suffix"], "left")
+        tried = written(tried.select(*columns, "value", "own"), f"tried{k}")
+        done.append(tried.filter("own is not null").select(*columns, (F.col("value") + F.col("own")).alias("value")))
+        unseen = tried.filter("own is null").withColumn("context", F.substring("gram", order - k + 1, k - 1)).join(left, ["lang", "context"], "left")
+        rest = unseen.select(*columns, (F.col("value") + F.coalesce("left", F.lit(0.0 if k > 1 else UNKNOWN))).alias("value"))
+    return reduce(DataFrame.unionAll, [*done, rest])
+
+
+def head_table(values: DataFrame, head: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and values of the most frequent n-grams, ``head`` at most: those of the upper steps of log frequency that fit."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = values.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("size")).toArrow().sort_by([("step", "descending")])
+    fits = np.cumsum(sizes["size"].to_numpy()) <= head
+    if not fits.any():
+        return np.zeros(0, np.uint64), np.zeros(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds: dict[tuple, list[int]] = {}
-            for i, kind in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True)):
-                kinds.setdefault(kind, []).append(i)
-            grams, slot = batch.column(3).to_pylist(), np.zeros(batch.num_rows, np.int32)
-            for (lang, k, weight), at in kinds.items():
+            grams, langs = batch.column(1).to_pylist(), np.array(batch.column(0).to_pylist(), object)
+            key = np.zeros(len(grams), np.uint64)
+            for lang in set(langs):
+                at = np.flatnonzero(langs == lang)
                 text = "".join([grams[i] for i in at]).encode("utf-32-le", "surrogatepass")
-                slot[at] = _slots(np.frombuffer(text, np.uint32).reshape(len(at), k - weight), lang, k, weight, slots)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column(4)], ["slot", "value"])
+                key[at] = gram_hash(np.frombuffer(text, np.uint32).reshape(len(at), -1), lang)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2)], ["key", "value"])
+
+    least = sizes["step"].to_numpy()[fits][-1]
+    table = values.filter(step >= int(least)).select("lang", "gram", "value").mapInArrow(run, "key long, value double").toArrow()
+    keys, value = table["key"].to_numpy().view(np.uint64), table["value"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], value[order]
+
+
+def _keys(points: np.ndarray, lang: str, k: int, weight: bool) -> np.ndarray:
+    return gram_hash(points, f"{lang}/{k}/{weight}")
+
 
-    placed = model.select("lang", "k", "weight", "gram", "value").mapInArrow(run, "slot int, value double")
-    table = placed.groupBy("slot").agg(F.avg("value").cast("float").alias("value")).toArrow()
-    slot, value = table["slot"].to_numpy(), table["value"].to_numpy()
-    order = np.argsort(slot)
-    return slot[order].astype(np.int32), value[order].astype(np.float32)
+def score_table(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A model as sorted 64-bit hashes and their values, to look up by hand; ``quality`` joins instead, as this has no bound."""
+    table = model.select("lang", "k", "weight", "gram", "value").toArrow().to_pylist()
+    points = [np.frombuffer(r["gram"].encode("utf-32-le"), np.uint32).reshape(1, r["k"] - r["weight"]) for r in table]
+    keys = np.array([_keys(p, r["lang"], r["k"], r["weight"])[0] for p, r in zip(points, table, strict=True)], np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["value"] for r in table])[order]
 
 
-def gram_scores(grams: np.ndarray, lang: str, table: tuple[np.ndarray, np.ndarray], slots: int = SLOTS) -> np.ndarray:
-    """Log probability of the last character of each n-gram, backing off to shorter contexts where it wasn't seen."""
+def gram_scores(grams: np.ndarray, lang: str, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log probability of the last character of each n-gram by such a table, backing off as ``gram_values`` does."""
     keys, values = table
     out = np.zeros(len(grams))
     if not len(keys):
         return out + UNKNOWN
 
     def find(points: np.ndarray, k: int, weight: bool) -> tuple[np.ndarray, np.ndarray]:
-        slot = _slots(points, lang, k, weight, slots)
-        at = np.minimum(np.searchsorted(keys, slot), len(keys) - 1)
-        return keys[at] == slot, values[at]
+        key = _keys(points, lang, k, weight)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return keys[at] == key, values[at]
 
     order, rest = grams.shape[1], np.arange(len(grams))
     for k in range(order, 0, -1):
@@ -212,41 +255,63 @@ def text_rules(text: str, ids: dict[bytes, int] | None = None) -> tuple[int, int
 
 
 _COLUMNS = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "prose", "cross_entropy"]
+
+
 #: Word scores remembered by a task.
 _CACHE = 400_000
 
 
-def score_texts(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], slots: int = SLOTS) -> DataFrame:
-    """Counts of the rules and the cross-entropy (nats a character) of every text; null for a text without words."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+def score_texts(docs: DataFrame, values: DataFrame, head: int = HEAD) -> DataFrame:
+    """Counts of the rules and the cross-entropy (nats a character) of every text; null for a text without words.
+
+    ``values`` holds ``(lang, gram, n, value)`` for every n-gram of the texts.
+    Those that don't travel leave the task as a list and are joined to their values.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(head_table(values, head))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        keys, value = sent.value
         known: dict[str, dict[bytes, float]] = {}
+        others: dict[str, dict[bytes, list[str]]] = {}
+
+        def learn(lang: str, words: list[bytes]) -> None:
+            grams, owner = padded_grams([w.decode() for w in words])
+            h = gram_hash(grams, lang)
+            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+            here = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            score = np.where(here, value[at], 0.0) if len(keys) else np.zeros(len(h))
+            known[lang].update(zip(words, np.bincount(owner, weights=score, minlength=len(words)).tolist(), strict=True))
+            for i in np.flatnonzero(~here).tolist():
+                others[lang].setdefault(words[owner[i]], []).append(grams[i].tobytes().decode("utf-32-le", "surrogatepass"))
+
         for part in text_slices(batches, text=2):
             ids, langs, texts = (part.column(i).to_pylist() for i in range(3))
             split = [_words(t) for t in texts]
             if sum(map(len, known.values())) > _CACHE:
-                known = {}
+                known, others = {}, {}
             for lang in set(langs):
                 seen = known.setdefault(lang, {})
+                others.setdefault(lang, {})
                 new = [w for w in dict.fromkeys(w for words, at in zip(split, langs, strict=True) if at == lang for w in words) if w not in seen]
                 for start in range(0, len(new), 8192):
-                    some = new[start : start + 8192]
-                    grams, owner = padded_grams([w.decode() for w in some])
-                    score = gram_scores(grams, lang, table, slots)
-                    seen.update(zip(some, np.bincount(owner, weights=score, minlength=len(some)).tolist(), strict=True))
+                    learn(lang, new[start : start + 8192])
             numbers: dict[bytes, int] = {}
             rows = []
             for i, lang, text, words in zip(ids, langs, texts, split, strict=True):
                 n, inside, symbols, lines, repeated = text_rules(text, numbers)
-                total = sum(map(known[lang].__getitem__, words))
-                rows.append((i, lang, n, inside, symbols, lines, repeated, is_prose(text, n), -total / (inside + n) if n else None))
-            types = [part.column(0).type, pa.string(), *[pa.int64()] * 5, pa.bool_(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _COLUMNS)
+                rest = [g for w in words if w in others[lang] for g in others[lang][w]]
+                rows.append((i, lang, n, inside, symbols, lines, repeated, is_prose(text, n), float(sum(map(known[lang].__getitem__, words))), rest))
+            types = [part.column(0).type, pa.string(), *[pa.int64()] * 5, pa.bool_(), pa.float64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [*_COLUMNS[:-1], "total", "rest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{c} long" for c in _COLUMNS[2:-2]) + ", prose boolean, cross_entropy double")
+    schema = f"doc_id {kind}, lang string, " + ", ".join(f"{c} long" for c in _COLUMNS[2:-2]) + ", prose boolean, total double, rest array<string>"
+    rows = written(docs.select("doc_id", "lang", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "rows")
+    each = rows.select("row", "lang", F.explode("rest").alias("gram")).join(values.select("lang", "gram", "value"), ["lang", "gram"])
+    more = each.groupBy("row").agg(F.sum("value").alias("more"))
+    total = F.col("total") + F.coalesce("more", F.lit(0.0))
+    entropy = F.when(F.col("n_words") > 0, -total / (F.col("word_chars") + F.col("n_words")))
+    return rows.join(more, "row", "left").withColumn("cross_entropy", entropy).select(*_COLUMNS)
 
 
 def bands(scores: DataFrame, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
@@ -274,10 +339,11 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows are counted and scored as often as they occur. An empty table gives no rows.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    grams = written(count_grams(docs), "grams")
-    table = score_table(kneser_ney(grams))
+    grams = written(all_grams(docs), "grams")
+    model = kneser_ney(grams.filter("n_prose > 0").select("lang", "gram", F.col("n_prose").alias("n")))
+    values = written(gram_values(grams.select("lang", "gram", "n"), model), "values")
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    scores = written(score_texts(docs, table).withColumn("base_failed", base), "scores")
+    scores = written(score_texts(docs, values).withColumn("base_failed", base), "scores")
     judged = scores.join(bands(scores), "lang", "left")
     inside = F.col("cross_entropy").between(F.col("lower"), F.col("upper"))
     return judged.select(

@@ -175,6 +175,29 @@ def test_kneser_ney_equals_a_plain_one(spark):
         assert got.tolist() == pytest.approx(want, abs=2e-4)
 
 
+def test_scores_of_all_words_are_exact(spark):
+    """Unseen n-grams back off, and n-grams beyond the head are joined; once all shared a table of a fixed number of slots."""
+    assert not hasattr(quality, "SLOTS")
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice(["th", "e", "an", "in", "er", "o"]) for _ in range(rng.randint(1, 4))) for _ in range(70)) for _ in range(12)]
+    other = "QXJ zebra then %% é日本 anin " + "x" * 300
+    rows = [(i, t, "en") for i, t in enumerate([*texts, other])] + [(99, "then o", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    grams = quality.written(quality.all_grams(df), "grams")
+    model = quality.kneser_ney(quality.count_grams(df))
+    values = quality.written(quality.gram_values(grams.select("lang", "gram", "n"), model), "values")
+    prob = plain_model(texts, quality.ORDER)
+    pad = " " * (quality.ORDER - 1)
+    want = {w: sum(math.log(prob(f"{pad}{w} "[i : i + quality.ORDER])) for i in range(len(w) + 1)) for t in [*texts, other] for w in t.split()}
+    got = {r["gram"]: r["value"] for r in values.collect() if r["lang"] == "en"}
+    assert got == pytest.approx({g: math.log(prob(g)) for t in [*texts, other] for w in t.split() for g in [f"{pad}{w} "[i : i + quality.ORDER] for i in range(len(w) + 1)]}, rel=1e-9)
+    for head in (0, 20, quality.HEAD):
+        for r in quality.score_texts(df, values, head).collect():
+            if r["lang"] == "en":
+                found = rows[r["doc_id"]][1].split()
+                assert r["cross_entropy"] == pytest.approx(-sum(want[w] for w in found) / sum(len(w) + 1 for w in found), rel=1e-9)
+
+
 def plain_rules(text):
     import re
 
