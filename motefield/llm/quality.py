@@ -109,6 +109,12 @@ def all_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_prose").alias("n_prose"))
 
 
+def learnt(grams: DataFrame) -> DataFrame:
+    """The counted n-grams; a language without a text that looks like prose learns from all its texts."""
+    most = written(grams.groupBy("lang").agg(F.max("n_prose").alias("most")), "languages")
+    return grams.join(most, "lang").withColumn("n_prose", F.when(F.col("most") > 0, F.col("n_prose")).otherwise(F.col("n"))).drop("most")
+
+
 def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``(lang, gram, n)`` over the words of the texts that look like prose."""
     return all_grams(docs, order).filter("n_prose > 0").select("lang", "gram", F.col("n_prose").alias("n"))
@@ -315,11 +321,13 @@ def score_texts(docs: DataFrame, values: DataFrame, head: int = HEAD) -> DataFra
 
 
 def bands(scores: DataFrame, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
-    """``(lang, lower, upper)`` of cross-entropy, from the quartiles of all texts that look like prose.
+    """``(lang, lower, upper)`` of cross-entropy, from the quartiles of all texts that look like prose; of all texts with words where none does.
 
     Quartiles come from an exact histogram in steps of a thousandth.
     """
-    bins = scores.filter(F.col("prose")).groupBy("lang", F.round("cross_entropy", 3).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    every = scores.filter("cross_entropy is not null").groupBy("lang", F.round("cross_entropy", 3).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.count_if("prose").alias("n_prose"))
+    any_prose = F.sum("n_prose").over(Window.partitionBy("lang")) > 0
+    bins = every.withColumn("n", F.when(any_prose, F.col("n_prose")).otherwise(F.col("n"))).filter("n > 0")
     upto = F.sum("n").over(Window.partitionBy("lang").orderBy("v")) / F.sum("n").over(Window.partitionBy("lang"))
     cut = bins.withColumn("share", upto).groupBy("lang").agg(*[F.min(F.when(F.col("share") >= q, F.col("v"))).alias(c) for q, c in ((0.25, "q1"), (0.75, "q3"))])
     reach = F.greatest((F.col("q3") - F.col("q1")) * width, F.lit(least))
@@ -333,14 +341,14 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     n_repeat_words, base_failed, kept, lang, perplexity``. A text fails the base
     rules below ``min_words`` words or with more than ``max_repeat`` of its
     words in repeated three-word windows. Otherwise it is kept while its
-    perplexity lies inside the band of its language (a language without any
-    prose to learn from has no band and rejects nothing). A null text is empty and
+    perplexity lies inside the band of its language; a language without any
+    prose has model and band from all its texts. A null text is empty and
     fails; a null language is a language of its own, shown as null. Repeated
     rows are counted and scored as often as they occur. An empty table gives no rows.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     grams = written(all_grams(docs), "grams")
-    model = kneser_ney(grams.filter("n_prose > 0").select("lang", "gram", F.col("n_prose").alias("n")))
+    model = kneser_ney(learnt(grams).filter("n_prose > 0").select("lang", "gram", F.col("n_prose").alias("n")))
     values = written(gram_values(grams.select("lang", "gram", "n"), model), "values")
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     scores = written(score_texts(docs, values).withColumn("base_failed", base), "scores")

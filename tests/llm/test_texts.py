@@ -198,6 +198,18 @@ def test_scores_of_all_words_are_exact(spark):
                 assert r["cross_entropy"] == pytest.approx(-sum(want[w] for w in found) / sum(len(w) + 1 for w in found), rel=1e-9)
 
 
+def test_a_language_without_prose_has_a_band(spark):
+    """Such a language once kept whatever passed the base rules."""
+    rng = random.Random(7)
+    code = [" ".join("".join(rng.choice(["get", "set", "node", "list", "key"]) for _ in range(3)) + "%" for _ in range(90)) for _ in range(60)]
+    junk = " ".join("".join(rng.choice("QXZJKVWYéñøßþ") for _ in range(rng.randint(3, 9))) + "%" for _ in range(120))
+    df = spark.createDataFrame([(i, t, "code") for i, t in enumerate([*code, junk])], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.quality(df).collect()}
+    assert not any(r["base_failed"] for r in got.values() if r["doc_id"] == 60) and not got[60]["kept"]
+    judged = [r for r in got.values() if r["doc_id"] < 60 and not r["base_failed"]]
+    assert judged and all(r["kept"] for r in judged)
+
+
 def plain_rules(text):
     import re
 
