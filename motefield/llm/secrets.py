@@ -32,6 +32,8 @@ TREES, DEPTH, SEED = 20, 6, 7
 # Published token formats, and words that go with secrets or with harmless tokens.
 FORMATS = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
 ASSIGNED = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[=:]\s{0,3}[\"']?$"
+#: What stands before a password in an address.
+CREDENTIAL = r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/@:]*:$"
 SECRET_WORD = r"(?i)password|passwd|secret|token|key|auth|credential|bearer"
 HARMLESS_WORD = r"(?i)example|sample|dummy|placeholder|commit|checksum|sha|uuid|isbn|phone|card|tel"
 TEST_PATH = r"(?i)test|example|sample|mock|fixture|doc"
@@ -93,7 +95,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         "transition": F.coalesce("transition", rare), "coverage": F.least(F.lit(1.0), F.coalesce(F.col("covered"), F.lit(0)) / n),
         "path_length": F.length("path").cast("double"), "path_depth": F.regexp_count(F.col("path"), F.lit("/")).cast("double"), "test_path": flag(F.col("path").rlike(TEST_PATH)),
         "secret_word": flag(F.col("before").rlike(SECRET_WORD)), "harmless_word": flag(F.concat("before", "after").rlike(HARMLESS_WORD)),
-        "assigned": flag(F.col("before").rlike(ASSIGNED)), "quoted": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")),
+        "assigned": flag(F.col("before").rlike(ASSIGNED) | (F.col("before").rlike(CREDENTIAL) & F.col("after").rlike("^@"))), "quoted": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")),
         "in_address": flag(F.col("before").rlike("[@.:/]$") | F.col("after").rlike("^[@.][A-Za-z0-9]")), "known_format": flag(v.rlike(FORMATS)),
     }
     joined = found.join(usual, "value", "left").join(covered, "value", "left")
@@ -103,8 +105,8 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
 def rule_labels(features: DataFrame) -> Column:
     """Labels that need no reviewer: 1 for published formats and assignments, 0 for numbers and addresses, else null."""
     return (
-        F.when(F.col("in_address") == 1, F.lit(0.0)).when((F.col("known_format") == 1) | ((F.col("assigned") == 1) & (F.col("harmless_word") == 0)), F.lit(1.0))
-        .when((F.col("digits_only") == 1) | (F.col("coverage") > 0.6), F.lit(0.0))
+        F.when((F.col("known_format") == 1) | ((F.col("assigned") == 1) & (F.col("harmless_word") == 0)), F.lit(1.0))
+        .when((F.col("in_address") == 1) | (F.col("digits_only") == 1) | (F.col("coverage") > 0.6), F.lit(0.0))
     )
 
 

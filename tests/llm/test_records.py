@@ -164,6 +164,22 @@ def plain_classes(rows):
     return {i: find(i) for i in ids}
 
 
+def test_secrets_after_a_colon(spark):
+    """Formats and assignments count before addresses: these once were labelled harmless."""
+    rng = random.Random(5)
+
+    def token(n):
+        return "".join(rng.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKMNP23456789") for _ in range(n - 1)) + "7"
+
+    texts = [
+        lambda: f"api_key:sk_live_{token(24)} is", lambda: f"token:ghp_{token(36)} is", lambda: f"by postgres://user:{token(16)}@host1/db it",
+        lambda: f"see http://a.b/{token(14)} there", lambda: "pay " + "".join(rng.choice("123456789") for _ in range(16)) + " now",
+    ]
+    rows = [(i, texts[i % 5](), "src/app.py") for i in range(150)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(r["secret"] == (r["doc_id"] % 5 < 3) for r in got)
+
+
 def test_near_duplicates_equal_all_pairs(spark, odd, none, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 25)  # several blocks for the large groups
     rng = random.Random(8)
