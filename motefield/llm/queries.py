@@ -200,3 +200,17 @@ def op11_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from motefield.llm.rangejoin import similar_vectors
 
     return similar_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op12_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motefield.llm.importance import draw, importance_weights
+
+    return draw(importance_weights(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motefield.llm.alignment import align_tokens
+
+    return align_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
