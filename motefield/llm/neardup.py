@@ -7,6 +7,11 @@ arrived first. A process stops once it is later than all registers of its text
 (early termination). Two texts agree on a register with their probability
 Jaccard similarity. Bands of registers give candidate buckets.
 
+Links are defined on plain sets of shingles, and weights can hide them: texts
+that differ in how often a passage is repeated have a low probability Jaccard.
+So a text with repeated shingles has a second set of registers with equal
+weights, and their bands as well; in a text without repeats both are the same.
+
 Buckets of any size are compared block against block inside tasks, on the
 registers only; what leaves a task is a spanning forest of the likely pairs.
 Those pairs are verified exactly, linked texts become components, and a closing
@@ -33,8 +38,8 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
-#: Pairs that agree on fewer registers are not verified: 3.5 deviations below the threshold.
-LIKELY = 66
+#: Pairs that agree on fewer registers of equal weights are not verified: more than six deviations below the threshold, one link in 50 million.
+LIKELY = 55
 #: Texts and bytes of shingles in one block of a bucket.
 BLOCK, BLOCK_BYTES = 4096, 64 << 20
 #: Bits of the filter that tells which texts are needed for verification (16 MB).
@@ -90,7 +95,16 @@ def _parse(text: str) -> tuple[list[bytes], bytes]:
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, node, n, bands, registers)`` of every row; ``node`` names the text by its words and is null without any."""
+    """``(doc_id, node, n, bands, registers)`` of every row; ``node`` names the text by its words and is null without any.
+
+    ``registers`` are those of equal weights; ``bands`` are of both kinds, each once.
+    """
+
+    def bands_of(register: np.ndarray) -> np.ndarray:
+        key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _C3, (len(register), 1))
+        for r in range(ROWS):
+            key = _mix((key + register.reshape(-1, BANDS, ROWS)[:, :, r]) * _C1)
+        return key
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known: dict[bytes, int] = {}
@@ -110,15 +124,18 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             full = [i for i, s in enumerate(sizes) if s]
             element = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             weight = np.concatenate(weights) if weights else np.zeros(0)
-            owner = np.repeat(np.arange(len(full)), [sizes[i] for i in full])
-            register = prob_min_hash(element, weight, owner, len(full))
-            key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _C3, (len(full), 1))
-            for r in range(ROWS):
-                key = _mix((key + register.reshape(-1, BANDS, ROWS)[:, :, r]) * _C1)
-            short = (_mix(register) & np.uint64(0xFFFF)).astype(np.uint16)
+            size = np.array([sizes[i] for i in full], np.int64)
+            owner = np.repeat(np.arange(len(full)), size)
+            plain = prob_min_hash(element, np.ones(len(element)), owner, len(full))
+            again = np.flatnonzero(np.bincount(owner, weights=weight > 1, minlength=len(full)))
+            inside = np.isin(owner, again)
+            weighted = prob_min_hash(element[inside], weight[inside], np.searchsorted(again, owner[inside]), len(again))
+            key, more = bands_of(plain), dict(zip(again.tolist(), bands_of(weighted), strict=True))
+            short = (_mix(plain) & np.uint64(0xFFFF)).astype(np.uint16)
         bands, registers = [None] * len(nodes), [None] * len(nodes)
         for j, i in enumerate(full):
-            bands[i], registers[i] = key[j].astype(np.int64), short[j].tobytes()
+            own = np.union1d(key[j], more[j]) if j in more else key[j]
+            bands[i], registers[i] = own.astype(np.int64), short[j].tobytes()
         columns = [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(registers, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "bands", "registers"])
 
