@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motefield.llm.common import map_texts
+from motefield.session import written
 
 #: Lengths that share a cell of the two-level running sum.
 CELL = 256
@@ -49,6 +50,8 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     than ``n_tokens``, so the q-quantile is the first length whose share reaches q.
     An empty histogram gives no rows.
     """
+    # The histogram is read twice below, its texts are encoded once.
+    histogram = written(histogram, "histogram")
     # Cells of neighbouring lengths are summed first; only their sums, one row a cell, meet in one place.
     rows = histogram.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("cell", F.expr(f"n_tokens div {CELL}"))
     cells = rows.groupBy("cell").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
