@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from motefield.session import written
 
@@ -64,6 +65,15 @@ def line_templates(lines: Column) -> Column:
     return F.transform(F.transform(hashed, _parts), _templates)
 
 
+def _row_key(df: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
+    """Name and text hash of a row. Names sort like the ids, which may have any type; each text without an id has one of its own, before all others."""
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    if isinstance(df.schema[id_col].dataType, IntegralType):
+        none = F.shiftrightunsigned(text, 2) + F.lit(-(2**63))
+        return {"__id": F.coalesce(F.col(id_col).cast("long"), none), "__sum": text}
+    return {"__id": F.coalesce(F.concat(F.lit("1"), F.col(id_col).cast("string")), F.concat(F.lit("0"), F.hex(text))), "__sum": text}
+
+
 def drop_recurring_lines(df: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with recurring lines taken out of ``text``, plus ``n_lines`` and ``dropped_lines``.
 
@@ -72,11 +82,13 @@ def drop_recurring_lines(df: DataFrame, min_docs: int = 3, id_col: str = "doc_id
     smallest id among those and goes from all others. ``dropped_lines`` are the
     0-based numbers of the lines taken out. Lines of fewer than four tokens
     always stay. A null text stays null and has no lines, an empty text has one
-    empty line. Rows that repeat id and text are treated alike; a null id comes
-    before all others. Input columns named like the two new ones are replaced.
+    empty line. Rows of equal id are one document, and treated alike if they
+    repeat the text too; ids may have any type, and each text without an id is
+    a document of its own, before all others. Input columns named like the two
+    new ones are replaced.
     """
     n_lines = F.size(F.split(F.col(text_col), "\n"))
-    row = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__sum": F.hash(F.coalesce(F.col(text_col), F.lit("")))}
+    row = _row_key(df, id_col, text_col)
     texts = df.filter(F.col(text_col).isNotNull()).select(*[c.alias(n) for n, c in row.items()], F.split(F.col(text_col), "\n").alias("lines"))
     found = written(texts.select("__id", "__sum", line_templates(F.col("lines")).alias("templates")), "templates")
     counted = (
