@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motefield.llm.spans import disjoint, replaced, row_key, term_counts, with_matches
+from motefield.llm.spans import disjoint, parts_of, replaced, row_key, term_counts, with_matches
 from motefield.session import only_row, written
 
 # The patterns of the contract, anchored and possessive so that long runs take linear time; the matches are the same.
@@ -28,8 +28,8 @@ KINDS = [*PATTERNS, "term"]
 _NEEDS = {"email": "@", "phone": "+", "ip": "."}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?!\p{N})"
-#: Code points on each side of an entity in which terms are judged.
-CONTEXT = 100
+#: Code points on each side of an entity in which terms are judged, and code points of a cell of text.
+CONTEXT, CELL = 100, 256
 #: Documents in which a term and an entity meet at least.
 SUPPORT = 2
 GENERALIZE, REMOVE = 0.7, 0.9
@@ -72,24 +72,41 @@ def find_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("__id", "__sum", "doc_id", "text", F.array_sort(F.concat(*[_named(F.col(k), k) for k in PATTERNS])).alias("entities"))
 
 
+def with_windows(found: DataFrame) -> DataFrame:
+    """``__id, __sum, doc_id, entities, windows, length``: the text within ``CONTEXT`` code points of each entity, and no more of it."""
+
+    bounds = F.transform("entities", lambda e: F.struct(F.greatest(F.lit(0), e["start"] - CONTEXT).alias("begin"), (e["end"] + CONTEXT).alias("end")))
+    windows = F.zip_with(bounds, parts_of(F.col("text"), bounds), lambda b, w: F.struct(b["begin"], w.alias("window")))
+    some = F.when(F.size("entities") > 0, windows).otherwise(F.array().cast("array<struct<begin:int,window:string>>"))
+    return found.select("__id", "__sum", "doc_id", "entities", some.alias("windows"), F.length("text").alias("length"))
+
+
+def _cells(begin: Column, end: Column) -> Column:
+    return F.explode(F.sequence(F.floor(begin / CELL), F.floor((end - 1) / CELL))).alias("cell")
+
+
 def context_terms(found: DataFrame) -> DataFrame:
-    """``(__id, __sum, entity, term, start, end)``: terms within ``CONTEXT`` code points of an entity.
+    """``(__id, __sum, entity, term, start, end)``: terms within ``CONTEXT`` code points of an entity; rows of equal id and text once.
 
-    Terms that overlap an entity, or that the edge of the context may have cut, don't count.
+    Terms that overlap an entity, or that the edge of the context may have cut, don't count. A window meets only the
+    entities of the cells of text it covers, so the work follows the number of entities, not its square.
     """
-    near = found.filter(F.size("entities") > 0).select("__id", "__sum", "text", "entities", F.explode("entities").alias("e"))
-    begin = F.greatest(F.lit(0), F.col("e.start") - CONTEXT)
-    near = near.withColumn("begin", begin).withColumn("window", F.substring(F.col("text"), F.col("begin") + 1, F.col("e.end") + CONTEXT - F.col("begin")))
-    near = near.select("__id", "__sum", "entities", "e", "begin", "window", F.length("text").alias("length"))
-    terms = with_matches(near, F.col("window"), {"terms": TERM})
+    keys = ["__id", "__sum"]
+    once = found.filter(F.size("entities") > 0).dropDuplicates(keys)
+    each = once.select(*keys, "length", F.posexplode(F.arrays_zip("entities", "windows")).alias("i", "x"))
+    each = each.select(*keys, "length", "i", F.col("x.entities.entity").alias("entity"), F.col("x.windows.begin").alias("begin"), F.col("x.windows.window").alias("window"))
+    covered = each.select(*keys, "i", _cells(F.col("begin"), F.col("begin") + F.length("window")))
+    spans = once.select(*keys, F.explode("entities").alias("e")).select(*keys, F.struct("e.start", "e.end").alias("span"), _cells(F.col("e.start"), F.col("e.end")))
+    local = covered.join(spans, [*keys, "cell"]).groupBy(*keys, "i").agg(F.collect_set("span").alias("local"))
+    terms = with_matches(each.join(local, [*keys, "i"]), F.col("window"), {"terms": TERM})
     whole = F.filter(
         "terms",
         lambda t: ((t["start"] > 0) | (F.col("begin") == 0))
         & ((t["end"] < F.length("window")) | (F.col("begin") + F.length("window") == F.col("length")))
-        & ~F.exists("entities", lambda x: (x["start"] < t["end"] + F.col("begin")) & (x["end"] > t["start"] + F.col("begin"))),
+        & ~F.exists("local", lambda x: (x["start"] < t["end"] + F.col("begin")) & (x["end"] > t["start"] + F.col("begin"))),
     )
-    each = terms.select("__id", "__sum", F.col("e.entity").alias("entity"), "begin", F.explode(whole).alias("t"))
-    return each.select("__id", "__sum", "entity", F.lower("t.value").alias("term"), (F.col("begin") + F.col("t.start")).alias("start"), (F.col("begin") + F.col("t.end")).alias("end"))
+    near = terms.select(*keys, "entity", "begin", F.explode(whole).alias("t"))
+    return near.select(*keys, "entity", F.lower("t.value").alias("term"), (F.col("begin") + F.col("t.start")).alias("start"), (F.col("begin") + F.col("t.end")).alias("end"))
 
 
 def disclosure(found: DataFrame, near: DataFrame, df: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
@@ -118,8 +135,8 @@ def sanitize(
     disclosure with a threshold count as exceeding. An empty table gives no
     rows. Other columns are left out.
     """
-    found = written(_compact(find_entities(df, id_col, text_col)), "entities")
-    near = found.select("__id", "__sum", F.explode("near").alias("t")).select("__id", "__sum", "t.*")
+    found = written(with_windows(find_entities(df, id_col, text_col)), "entities")
+    near = written(context_terms(found), "near")
     risky = disclosure(found, near, df, text_col, support).filter(F.col("disclosure") >= generalize)
     action = F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalize"))
     marked = near.join(risky, ["entity", "term"]).groupBy("__id", "__sum", "start", "end").agg(F.max(action).alias("action"))
@@ -129,14 +146,6 @@ def sanitize(
     return found.join(terms, ["__id", "__sum"], "left").select("__id", "__sum", "doc_id", "entities", F.coalesce("terms", none).alias("terms"))
 
 
-def _compact(found: DataFrame) -> DataFrame:
-    """Entities of every row with their context terms, without the text."""
-    near = context_terms(found).groupBy("__id", "__sum").agg(F.collect_set(F.struct("entity", "term", "start", "end")).alias("near"))
-    rows = found.select("__id", "__sum", "doc_id", "entities")
-    none = F.array().cast(near.schema["near"].dataType)
-    return rows.join(near, ["__id", "__sum"], "left").withColumn("near", F.coalesce("near", none))
-
-
 def span_list(*spans: Column) -> Column:
     """``kind:start:end`` of all spans by start, then kind, joined by commas."""
     plain = [F.transform(s, lambda x: F.struct(x["start"], x["kind"], x["end"])) for s in spans]

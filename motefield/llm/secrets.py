@@ -1,6 +1,8 @@
 """Secret scan with a random forest against false positives.
 
-Candidates are runs of token characters that hold a digit. Each gets features
+Candidates are runs of token characters that hold a digit, published formats,
+signed tokens as a whole, what is assigned to a name like a password's, and
+passwords in addresses. Each gets features
 of itself (length, kinds of characters, how usual its character transitions
 are in the corpus, how much of it dictionary words cover), of the path it was
 found at, and of the words beside it. A random forest learns from labelled
@@ -16,9 +18,23 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motefield.llm.spans import disjoint, replaced, row_key, term_counts, with_matches
+from motefield.llm.spans import disjoint, parts_of, replaced, row_key, term_counts, with_matches
 from motefield.session import written
 
+_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?"
+_SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*+://[^\s/@:]*+:"
+#: Patterns whose matches end with a candidate, those that win where matches overlap first, and what stands before it in them.
+#: A value that is assigned has six characters at least; without a digit it must follow an equals sign directly.
+WHOLE = {
+    "signed": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", None),
+    "login": (rf"(?<![A-Za-z0-9+.-]){_SCHEME}[^\s/@]++(?=@)", f"^{_SCHEME}"),
+    "assigned": (
+        rf"{_NAME}(?:=[\"']?[^\s\"'<>,;&]{{6,}}+|\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[^\s\"'<>,;0-9]*+[0-9])[^\s\"'<>,;]{{6,}}+)",
+        rf"^{_NAME}\s{{0,3}}[=:]\s{{0,3}}[\"']?",
+    ),
+    "published": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", None),
+}
+_NEEDS = {"signed": "eyJ", "login": "://"}
 #: Token characters with a digit somewhere, 12 at least.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+=*+"
 WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?!\p{N})"
@@ -30,7 +46,7 @@ DICTIONARY_ROWS = 3
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 20, 6, 7
 # Published token formats, and words that go with secrets or with harmless tokens.
-FORMATS = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
+FORMATS = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)$"
 ASSIGNED = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[=:]\s{0,3}[\"']?$"
 #: What stands before a password in an address.
 CREDENTIAL = r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/@:]*:$"
@@ -44,17 +60,38 @@ FEATURES = [
 ]
 
 
+def _tails(matches: str, prefix: str) -> Column:
+    """The matches without what stands before the candidate in them."""
+    values = F.transform(matches, lambda m: F.struct(m["end"], F.regexp_replace(m["value"], prefix, "").alias("value")))
+    return F.transform(values, lambda m: F.struct((m["end"] - F.length(m["value"])).alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+
+
+def _free(matches: str, taken: str) -> Column:
+    """The matches that overlap none of those taken."""
+    return F.filter(matches, lambda m: ~F.exists(taken, lambda x: (x["start"] < m["end"]) & (x["end"] > m["start"])))
+
+
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """``(__id, __sum, doc_id, path, start, end, value, before, after)``: every candidate with its surroundings."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in df.columns else F.lit("")
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), path.alias("path"))
-    found = with_matches(row_key(rows, "doc_id", "text"), F.col("text"), {"found": CANDIDATE})
-    each = found.select("__id", "__sum", "doc_id", "path", "text", F.explode("found").alias("f"))
-    begin = F.greatest(F.lit(0), F.col("f.start") - SIDE)
-    return each.select(
-        "__id", "__sum", "doc_id", "path", "f.*",
-        F.substring(F.col("text"), begin + 1, F.col("f.start") - begin).alias("before"), F.substring(F.col("text"), F.col("f.end") + 1, F.lit(SIDE)).alias("after"),
-    )
+    patterns = {name: pattern for name, (pattern, _) in WHOLE.items()} | {"token": CANDIDATE}
+    found = with_matches(row_key(rows, "doc_id", "text"), F.col("text"), patterns, _NEEDS)
+    for name, (_, prefix) in WHOLE.items():
+        if prefix:
+            found = found.withColumn(name, _tails(name, prefix))
+    taken = "signed"
+    for name in [*list(WHOLE)[1:], "token"]:
+        found = found.withColumn(f"__{name}", F.concat(taken, _free(name, taken)))
+        taken = f"__{name}"
+    found = found.select("__id", "__sum", "doc_id", "path", "text", F.array_sort(taken).alias("found")).filter(F.size("found") > 0)
+    sides = {
+        "before": F.transform("found", lambda m: F.struct(F.greatest(F.lit(0), m["start"] - SIDE).alias("begin"), m["start"].alias("end"))),
+        "after": F.transform("found", lambda m: F.struct(m["end"].alias("begin"), (m["end"] + SIDE).alias("end"))),
+    }
+    around = found.select("__id", "__sum", "doc_id", "path", "found", *[parts_of(F.col("text"), bounds).alias(name) for name, bounds in sides.items()])
+    each = around.select("__id", "__sum", "doc_id", "path", F.explode(F.arrays_zip("found", "before", "after")).alias("x"))
+    return each.select("__id", "__sum", "doc_id", "path", "x.found.*", "x.before", "x.after")
 
 
 def _char_class(value: Column) -> Column:
