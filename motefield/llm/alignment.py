@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motefield.llm.common import text_slices
-from motefield.llm.pieces import MARK, PieceCoder
+from motefield.llm.pieces import MARK, WORDS_AT_ONCE, PieceCoder
 from motefield.session import written
 
 #: Pairs whose counts travel to the tasks, at most (17 bytes each).
 HEAD = 1 << 20
 #: Distinct chunks and their characters remembered by a task.
 CACHE_CHUNKS, CACHE_CHARS = 500_000, 24_000_000
+#: Chunks that are encoded by one set of arrays.
+_SET = 4 * WORDS_AT_ONCE
 #: Unicode white space, and all of it but the space and the newline.
 _WHITE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 _SPACE = "".join(map(chr, _WHITE))
@@ -100,7 +102,9 @@ class Aligner:
             a = list(map(self.ranked.encode_ordinary, chunks))
         else:
             a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
-        return a, self.b.encode_words([c.replace(" ", MARK) for c in chunks])
+        marked = [c.replace(" ", MARK) for c in chunks]
+        b = [ids for start in range(0, len(marked), _SET) for ids in self.b.encode_words(marked[start : start + _SET])]
+        return a, b
 
     def whole(self, chunk: str, a: list[int], b: list[int]) -> bool:
         """Whether the tokens of both spell the chunk."""
