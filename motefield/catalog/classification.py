@@ -40,9 +40,11 @@ def h2_stratified_folds(spark, sf):
 
 @query(
     "h3_scale_by_fold",
-    """WITH x AS (SELECT fold, vec_id, i, e[i] AS v FROM folds, UNNEST(range(1, 65)) AS u(i)),
-       s AS (SELECT f.fold, i, avg(v) AS m, stddev_pop(v) AS sd FROM x, (SELECT DISTINCT fold FROM folds) f WHERE x.fold <> f.fold GROUP BY f.fold, i)
-       SELECT fold, vec_id, (i - 1)::INT AS pos, round((v - m) / sd, 6) AS v FROM x JOIN s USING (fold, i)""",
+    """WITH x AS MATERIALIZED (SELECT fold, vec_id, i, e[i] AS v FROM folds, UNNEST(range(1, 65)) AS u(i)),
+       own AS MATERIALIZED (SELECT fold, i, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM x GROUP BY fold, i),
+       rest AS (SELECT fold, i, sum(n) OVER w - n AS n, sum(s) OVER w - s AS s, sum(q) OVER w - q AS q FROM own WINDOW w AS (PARTITION BY i)),
+       scale AS MATERIALIZED (SELECT fold, i, s / n AS m, sqrt(q / n - (s / n) ** 2) AS sd FROM rest)
+       SELECT x.fold, vec_id, (x.i - 1)::INT AS pos, round((v - m) / sd, 6) AS v FROM x JOIN scale ON x.fold = scale.fold AND x.i = scale.i""",
     ("folds",),
 )
 def h3_scale_by_fold(spark, sf):
@@ -64,6 +66,17 @@ def h4_calibration(spark, sf):
     return fitted.groupBy("fold", "class").agg(F.round(F.sum("score"), 1).alias("expected"))
 
 
+@query(
+    "h4_stationarity",
+    """SELECT f.fold, c.label AS class, (i - 1)::INT AS pos, 0.0::DOUBLE AS residual FROM (SELECT DISTINCT fold FROM folds) f, (SELECT DISTINCT label FROM folds) c, UNNEST(range(1, 65)) AS u(i)""",
+    ("folds",),
+)
+def h4_stationarity(spark, sf):
+    """At the optimum of every fold the gradient of its objective is zero for each class and dimension."""
+    rows = t.folds(spark, sf).select("fold", F.col("vec_id").alias("id"), F.col("label").alias("cls"), F.col("e").alias("feature"))
+    return ops.stationarity(rows).withColumn("residual", F.round("residual", 2) + 0.0)
+
+
 _PRED = "pred AS (SELECT fold, id, label, class AS pred FROM scores QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, class) = 1)"
 _ACC = f"{_PRED}, acc AS (SELECT fold, avg((pred = label)::INT) AS accuracy FROM pred GROUP BY fold)"
 

@@ -75,17 +75,20 @@ def g3_class_separation(spark, sf):
     return rounded(ops.class_separation(t.features(spark, sf)))
 
 
-# d' A^-1 d by elimination: what is left of [[A, d], [d', 0]] after removing all rows of A is its negative.
-# The chi-square tail of 16 dimensions is a finite sum.
-_OVERLAP = """cov AS (SELECT label, i, j, covar_samp(e[i], e[j]) + CASE WHEN i = j THEN 1e-6 ELSE 0 END AS c FROM emb, UNNEST(range(1, 17)) AS r(i), UNNEST(range(1, 17)) AS s(j) GROUP BY label, i, j),
+# d' A^-1 d by elimination, all classes j at once: of [[A, D], [D', 0]] the negative of D' A^-1 D is left after removing all
+# rows of A. The chi-square tail of 64 dimensions is a finite sum.
+_OVERLAP = """cov AS MATERIALIZED (SELECT label, i, j, covar_samp(e[i], e[j]) + CASE WHEN i = j THEN 1e-6 ELSE 0 END AS c FROM emb, UNNEST(range(1, 65)) AS r(i), UNNEST(range(1, 65)) AS s(j) GROUP BY label, i, j),
      cov_rows AS (SELECT label, i, list(c ORDER BY j) AS r FROM cov GROUP BY label, i),
-     start AS (SELECT a.label AS i, b.label AS j, list_append(list(list_append(r, b.c[cov_rows.i] - a.c[cov_rows.i]) ORDER BY cov_rows.i),
-               list_append(list_transform(range(1, 17), lambda k: any_value(b.c)[k] - any_value(a.c)[k]), 0.0)) AS m
-               FROM centers a JOIN centers b ON a.label <> b.label JOIN cov_rows ON cov_rows.label = a.label GROUP BY a.label, b.label),
-     steps AS (SELECT i, j, m, 0 AS n FROM start UNION ALL
-       SELECT i, j, list_transform(m[2:], lambda r: list_transform(range(2, len(r) + 1), lambda k: r[k] - r[1] * m[1][k] / m[1][1])), n + 1 FROM steps WHERE n < 16),
-     half AS (SELECT i, j, -m[1][1] / 2 AS h FROM steps WHERE n = 16),
-     tail AS (SELECT i, j, least(exp(-h) * list_sum(list_transform(range(0, 8), lambda k: h ** k / factorial(k::INT))), 1) AS overlap FROM half)"""
+     delta AS (SELECT a.label AS i, b.label AS j, list_transform(list_zip(a.c, b.c), lambda t: t[2] - t[1]) AS d FROM centers a JOIN centers b ON a.label <> b.label),
+     deltas AS MATERIALIZED (SELECT i, list(j ORDER BY j) AS js, list(d ORDER BY j) AS ds FROM delta GROUP BY i),
+     upper_rows AS (SELECT label AS cls, cov_rows.i AS k, list_concat(r, list_transform(ds, lambda d: d[cov_rows.i])) AS r FROM cov_rows JOIN deltas ON deltas.i = label),
+     start AS (SELECT cls AS i, any_value(js) AS js, list_concat(list(r ORDER BY k), any_value(list_transform(ds, lambda d: list_concat(d, list_transform(ds, lambda x: 0.0::DOUBLE))))) AS m
+               FROM upper_rows JOIN deltas ON deltas.i = cls GROUP BY cls),
+     steps AS (SELECT i, js, m, 0 AS n FROM start UNION ALL
+       SELECT i, js, list_transform(rest, lambda r: list_transform(list_zip(r[2:], first_row), lambda t: t[1] - r[1] * t[2] / first_cell)), n + 1
+       FROM (SELECT i, js, m[2:] AS rest, m[1][2:] AS first_row, m[1][1] AS first_cell, n FROM steps WHERE n < 64)),
+     half AS (SELECT i, js[k] AS j, -m[k][k] / 2 AS h FROM steps, UNNEST(range(1, len(js) + 1)) AS u(k) WHERE n = 64),
+     tail AS (SELECT i, j, CASE WHEN h > 700 THEN 0 ELSE least(exp(-h) * list_sum(list_transform(range(0, 32), lambda k: h ** k / factorial(k::INT))), 1) END AS overlap FROM half)"""
 
 
 @query(
@@ -94,9 +97,7 @@ _OVERLAP = """cov AS (SELECT label, i, j, covar_samp(e[i], e[j]) + CASE WHEN i =
     ("centers",),
 )
 def g4_mahalanobis_overlap(spark, sf):
-    # A class has fewer rows than 64 at the small scale, so that only some dimensions give an invertible covariance.
-    short = t.features(spark, sf).withColumn("feature", F.slice("feature", 1, 16))
-    return rounded(ops.mahalanobis_overlap(short))
+    return rounded(ops.mahalanobis_overlap(t.features(spark, sf)))
 
 
 @query(

@@ -272,7 +272,44 @@ def j9_weighted_axes(spark, sf):
     return rounded(sp.weighted_pca(t.splats(spark, sf)).select("set_id", F.posexplode("axes").alias("pos", "v")), 4)
 
 
-@query("j10_align_sets_pca")
+# Sets and template as selected at each radius, under one number for (set, radius, side), so that the moments and axes above apply.
+_SIDES = """rad AS (SELECT * FROM (VALUES (0, 0.2::DOUBLE), (1, 0.25::DOUBLE), (2, 0.4::DOUBLE)) AS v(ri, radius)),
+     cut AS MATERIALIZED (SELECT set_id, quantile_cont(w, 0.2) AS cut FROM splats GROUP BY set_id),
+     mk AS MATERIALIZED (SELECT s.label, s.set_id, ri, s.x, s.y, s.z, s.w, sqrt(x * x + y * y + z * z) < radius AS inside, sqrt(x * x + y * y + z * z) < radius AND w > cut AS heavy
+           FROM splats s JOIN cut ON s.set_id = cut.set_id, rad),
+     nb AS (SELECT label, set_id, ri, count(*) FILTER (heavy) AS n FROM mk GROUP BY ALL),
+     tpl AS (SELECT DISTINCT s.label, template_id FROM splats s JOIN template_of ON s.set_id = template_id),
+     lo AS MATERIALIZED (SELECT a.label, a.set_id, a.ri, template_id, a.n < 10 OR b.n < 10 AS loose FROM nb a JOIN tpl ON a.label = tpl.label JOIN nb b ON b.set_id = template_id AND b.ri = a.ri),
+     side AS MATERIALIZED (SELECT lo.set_id * 6 + lo.ri * 2 AS set_id, x, y, z, w FROM lo JOIN mk ON mk.set_id = lo.set_id AND mk.ri = lo.ri WHERE CASE WHEN loose THEN inside ELSE heavy END
+           UNION ALL SELECT lo.set_id * 6 + lo.ri * 2 + 1, x, y, z, w FROM lo JOIN mk ON mk.set_id = template_id AND mk.ri = lo.ri WHERE CASE WHEN loose THEN inside ELSE heavy END)"""
+_TURNED = """th AS (SELECT two.set_id AS id, a AS u, b AS v, [a[2] * b[3] - a[3] * b[2], a[3] * b[1] - a[1] * b[3], a[1] * b[2] - a[2] * b[1]] AS t, [cx, cy, cz] AS c FROM two JOIN c ON c.set_id = two.set_id WHERE n >= 3),
+     rot AS MATERIALIZED (SELECT a.id // 6 AS set_id, (a.id % 6) // 2 AS ri, a.c AS ca, b.c AS cb,
+           list_transform(range(0, 9), lambda k: b.u[k // 3 + 1] * a.u[k % 3 + 1] + b.v[k // 3 + 1] * a.v[k % 3 + 1] + b.t[k // 3 + 1] * a.t[k % 3 + 1]) AS r
+           FROM th a JOIN th b ON b.id = a.id + 1 AND a.id % 2 = 0),
+     mv AS (SELECT rot.set_id, rot.ri, s.splat_id AS i, s.w, r[1] * (x - ca[1]) + r[2] * (y - ca[2]) + r[3] * (z - ca[3]) + cb[1] AS x, r[4] * (x - ca[1]) + r[5] * (y - ca[2]) + r[6] * (z - ca[3]) + cb[2] AS y,
+           r[7] * (x - ca[1]) + r[8] * (y - ca[2]) + r[9] * (z - ca[3]) + cb[3] AS z FROM rot JOIN splats s ON s.set_id = rot.set_id),
+     fa AS MATERIALIZED (SELECT mv.*, sqrt(x * x + y * y + z * z) < radius AS inside, sqrt(x * x + y * y + z * z) < radius AND w > cut AS heavy FROM mv JOIN cut ON cut.set_id = mv.set_id JOIN rad ON rad.ri = mv.ri),
+     fb AS MATERIALIZED (SELECT rot.set_id, rot.ri, s.splat_id AS i, s.w, s.x, s.y, s.z, sqrt(x * x + y * y + z * z) < radius AS inside, sqrt(x * x + y * y + z * z) < radius AND w > cut AS heavy
+           FROM rot JOIN lo ON lo.set_id = rot.set_id AND lo.ri = rot.ri JOIN splats s ON s.set_id = template_id JOIN cut ON cut.set_id = template_id JOIN rad ON rad.ri = rot.ri),
+     few AS (SELECT rot.set_id, rot.ri, coalesce(a.n, 0) < 10 OR coalesce(b.n, 0) < 10 AS loose FROM rot
+           LEFT JOIN (SELECT set_id, ri, count(*) FILTER (heavy) AS n FROM fa GROUP BY ALL) a ON a.set_id = rot.set_id AND a.ri = rot.ri
+           LEFT JOIN (SELECT set_id, ri, count(*) FILTER (heavy) AS n FROM fb GROUP BY ALL) b ON b.set_id = rot.set_id AND b.ri = rot.ri),
+     da AS (SELECT fa.* FROM fa JOIN few ON few.set_id = fa.set_id AND few.ri = fa.ri WHERE CASE WHEN loose THEN inside ELSE heavy END),
+     db AS (SELECT fb.* FROM fb JOIN few ON few.set_id = fb.set_id AND few.ri = fb.ri WHERE CASE WHEN loose THEN inside ELSE heavy END),
+     dist AS MATERIALIZED (SELECT da.set_id, da.ri, da.i, db.i AS j, da.w AS wa, db.w AS wb, sqrt((da.x - db.x) ** 2 + (da.y - db.y) ** 2 + (da.z - db.z) ** 2) AS d FROM da JOIN db ON da.set_id = db.set_id AND da.ri = db.ri),
+     there AS (SELECT set_id, ri, sum(d * w) / sum(w) AS m FROM (SELECT set_id, ri, i, min(d) AS d, any_value(wa) AS w FROM dist GROUP BY ALL) GROUP BY ALL),
+     back AS (SELECT set_id, ri, sum(d * w) / sum(w) AS m FROM (SELECT set_id, ri, j, min(d) AS d, any_value(wb) AS w FROM dist GROUP BY ALL) GROUP BY ALL),
+     scored AS (SELECT rot.set_id, radius, coalesce((there.m + back.m) / 2, 'inf'::DOUBLE) AS score FROM rot JOIN rad ON rad.ri = rot.ri
+           LEFT JOIN there ON there.set_id = rot.set_id AND there.ri = rot.ri LEFT JOIN back ON back.set_id = rot.set_id AND back.ri = rot.ri)"""
+
+
+@query(
+    "j10_align_sets_pca",
+    f"""WITH {_SIDES}, {_MOMENTS.replace("splats", "side")}, {_EIGEN}, {_AXES}, {_TURNED}
+        SELECT label, scored.set_id, round(radius, 6) AS radius, round(score, 6) AS score FROM scored JOIN (SELECT DISTINCT label, set_id FROM lo) l ON l.set_id = scored.set_id
+        QUALIFY row_number() OVER (PARTITION BY scored.set_id ORDER BY round(score, 9), radius) = 1""",
+    ("splats", "template_of"),
+)
 def j10_align_sets_pca(spark, sf):
     sets, template = _with_template(spark, sf)
     best = sp.align_sets_pca(sets, template, "label", radii=(0.2, 0.25, 0.4), center=(0.0, 0.0, 0.0), percentile=20.0)

@@ -80,7 +80,7 @@ def a2_catalog(spark, sf):
 def a3_latest_version(spark, sf):
     root = scratch_path(spark, "versions")
     docs = t.read(spark, sf, "documents").select("doc_id", "lang")
-    for lang in ("de", "en", "es", "fr"):
+    for lang in sorted(r["lang"] for r in docs.select("lang").distinct().collect() if r["lang"] is not None):
         docs.filter(F.col("lang") == lang).write.parquet(f"{root}/v_{lang}")
     found = src.latest_version(spark, f"{root}/v")
     return spark.read.parquet(found).agg(F.lit(found.split("/")[-1]).alias("version"), F.count(F.lit(1)).alias("n_rows"))

@@ -237,12 +237,12 @@ def e15_rasterize(spark, sf):
 def _smooth_pass(src, dst, axis):
     others = [a for a in "ijk" if a != axis]
     place = f"((g.{axis} + o + 32) % 32)"
-    return f"""{dst} AS (SELECT g.structure, g.i, g.j, g.k, sum(w * s.density) AS density FROM grid g CROSS JOIN kernel
+    return f"""{dst} AS MATERIALIZED (SELECT g.structure, g.i, g.j, g.k, sum(w * s.density) AS density FROM grid g CROSS JOIN kernel
         JOIN {src} s ON s.structure = g.structure AND s.{others[0]} = g.{others[0]} AND s.{others[1]} = g.{others[1]} AND s.{axis} = CASE WHEN {place} < 16 THEN {place} ELSE 31 - {place} END GROUP BY ALL)"""
 
 
-_SMOOTH = f"""{_RASTER}, kernel AS (SELECT o, exp(-0.5 * (o / (100 / 94.2)) ** 2) / sum(exp(-0.5 * (o / (100 / 94.2)) ** 2)) OVER () AS w FROM UNNEST(range(-4, 5)) AS u(o)),
-     grid AS (SELECT structure, a.i, b.i AS j, d.i AS k FROM c, UNNEST(range(16)) AS a(i), UNNEST(range(16)) AS b(i), UNNEST(range(16)) AS d(i)),
+_SMOOTH = f"""{_RASTER.replace("raster AS (", "raster AS MATERIALIZED (")}, kernel AS (SELECT o, exp(-0.5 * (o / (100 / 94.2)) ** 2) / sum(exp(-0.5 * (o / (100 / 94.2)) ** 2)) OVER () AS w FROM UNNEST(range(-4, 5)) AS u(o)),
+     grid AS MATERIALIZED (SELECT structure, a.i, b.i AS j, d.i AS k FROM c, UNNEST(range(16)) AS a(i), UNNEST(range(16)) AS b(i), UNNEST(range(16)) AS d(i)),
      {_smooth_pass('raster', 's1', 'i')}, {_smooth_pass('s1', 's2', 'j')}, {_smooth_pass('s2', 's3', 'k')},
      dense AS (SELECT g.structure, ((g.i * 16 + g.j) * 16 + g.k)::INT AS pos, coalesce(s3.density, 0) AS v FROM grid g LEFT JOIN s3 ON s3.structure = g.structure AND s3.i = g.i AND s3.j = g.j AND s3.k = g.k)"""
 

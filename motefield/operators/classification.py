@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motefield.functions.tails import t_quantile, t_two_sided
+from motefield.operators.logistic import fit_all_folds
 from motefield.operators.pairs import map_with_table, stack, unit_rows
 from motefield.operators.ranking import rank_by_hash, rank_by_value
 from motefield.session import written
@@ -67,37 +65,69 @@ def scale_test_rows(df: DataFrame, vec_col: str = "feature") -> DataFrame:
     return df.join(fold_scalers(df, vec_col), "fold").withColumn(vec_col, scaled(F.col(vec_col), F.col("mean"), F.col("std"))).drop("mean", "std")
 
 
-def fit_predict_folds(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls", max_iter: int = 1000, c: float = 1.0, parallel_fits: int = 4, on: str = "test") -> DataFrame:
-    """Multinomial logistic regression per fold; class probabilities of the test rows (or training rows) as ``(fold, id, class, score, y)``.
+def fold_coefficients(df: DataFrame, vec_col: str = "feature", class_col: str = "cls", max_iter: int = 1000, c: float = 1.0) -> DataFrame:
+    """``(fold, class, coefficients, intercept)`` of a multinomial logistic regression for each fold, on the rows of all others.
 
-    Each fit is a distributed Spark ML job; a few folds are fitted at a time. The
-    rows are written once to the shared folder, so the fits do not repeat their lineage.
+    Coefficients are for rows scaled by ``fold_scalers``. All folds are fitted
+    together: a pass over the rows serves every fold (``logistic.fit_all_folds``).
+    One row per fold and class comes to the driver.
     """
-    base = written(df.select("fold", id_col, class_col, vec_col), "folds")
+    base = written(df.select("fold", class_col, vec_col), "folds")
     labels = sorted(r[0] for r in base.select(class_col).distinct().collect())
-    folds = sorted(r[0] for r in base.select("fold").distinct().collect())
-    names = F.array(*[F.lit(l) for l in labels])
-    number = (F.array_position(names, F.col(class_col)) - 1).cast("double")
-    scalers = written(fold_scalers(base, vec_col), "scalers")
-
-    def one_fold(fold: int) -> DataFrame:
-        one = scalers.filter(F.col("fold") == fold).select(F.col("mean").alias("__m"), F.col("std").alias("__s"), F.lit(fold).alias("__f"))
-        rows = base.withColumn("__f", F.lit(fold)).join(one, "__f")
-        ready = rows.select("fold", id_col, class_col, array_to_vector(scaled(F.col(vec_col), F.col("__m"), F.col("__s"))).alias("features"), number.alias("label"))
-        train = ready.filter(F.col("fold") != fold).persist()
-        model = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(train.count(), 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6).fit(train)
-        train.unpersist()
-        each = F.explode(F.arrays_zip(names.alias("class"), vector_to_array("probability").alias("score"))).alias("p")
-        wanted = F.col("fold") == fold if on == "test" else F.col("fold") != fold
-        tested = model.transform(ready.filter(wanted)).select(F.lit(fold).alias("fold"), F.col(id_col).alias("id"), F.col(class_col).alias("label"), each)
-        return tested.select("fold", "id", "label", F.col("p.class").alias("class"), F.col("p.score").alias("score"), (F.col("label") == F.col("p.class")).cast("int").alias("y"))
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, len(folds)))) as pool:
-        parts = list(pool.map(inheritable_thread_target(df.sparkSession)(one_fold), folds))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    scalers = {r["fold"]: (np.array(r["mean"]), np.array(r["std"])) for r in fold_scalers(base, vec_col).collect()}
+    folds = sorted(scalers)
+
+    def number(names: list, col: str) -> Column:
+        return (F.array_position(F.array(*[F.lit(n) for n in names]), F.col(col)) - 1).cast("int")
+
+    # Rows of a fold that has no other rows to learn from have no fit.
+    rows = base.select(F.coalesce(number(folds, "fold"), F.lit(-1)).alias("f"), number(labels, class_col).alias("y"), F.col(vec_col).cast("array<double>").alias("x")) if folds else None
+    fitted = fit_all_folds(rows, [scalers[f] for f in folds], len(labels), c, max_iter)[0] if folds else []
+    out = [(f, k, w[:-1].tolist(), float(w[-1])) for f, fit in zip(folds, fitted) for k, w in zip(labels, fit)]
+    types = dict(base.dtypes)
+    return df.sparkSession.createDataFrame(out, f"fold {types['fold']}, class {types[class_col]}, coefficients array<double>, intercept double")
+
+
+def fold_probabilities(df: DataFrame, coefficients: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls", on: str = "test") -> DataFrame:
+    """Class probabilities of the test rows (or training rows) of each fold as ``(fold, id, label, class, score, y)``.
+
+    One row per fold and class travels to the rows as a table of weights.
+    """
+    weights = coefficients.join(fold_scalers(df, vec_col), "fold").groupBy("fold").agg(
+        F.array_sort(F.collect_list(F.struct("class", "coefficients", "intercept"))).alias("__w"), F.first("mean").alias("__m"), F.first("std").alias("__s")
+    )
+    renamed = weights.withColumnRenamed("fold", "__f")
+    folds = F.array(*[F.lit(r[0]) for r in coefficients.select("fold").distinct().collect()])
+    fits = F.array("fold") if on == "test" else F.filter(folds, lambda f: f != F.col("fold"))
+    vector = scaled(F.col(vec_col), F.col("__m"), F.col("__s"))
+    rows = df.select(F.explode(fits).alias("__f"), F.col(id_col).alias("id"), F.col(class_col).alias("label"), F.col(vec_col)).join(F.broadcast(renamed), "__f").withColumn("__x", vector)
+    logits = F.transform("__w", lambda w: w["intercept"] + F.aggregate(F.zip_with(w["coefficients"], F.col("__x"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+    rows = rows.select(F.col("__f").alias("fold"), "id", "label", "__w", logits.alias("__z")).withColumn("__e", F.transform("__z", lambda z: F.exp(z - F.array_max("__z"))))
+    total = F.aggregate("__e", F.lit(0.0), lambda a, b: a + b)
+    each = F.explode(F.zip_with("__w", "__e", lambda w, e: F.struct(w["class"].alias("class"), (e / F.col("__t")).alias("score")))).alias("p")
+    out = rows.withColumn("__t", total).select("fold", "id", "label", each)
+    return out.select("fold", "id", "label", "p.class", "p.score", (F.col("label") == F.col("p.class")).cast("int").alias("y"))
+
+
+def fit_predict_folds(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls", max_iter: int = 1000, c: float = 1.0, on: str = "test") -> DataFrame:
+    """Multinomial logistic regression per fold; class probabilities of the test rows (or training rows) as ``(fold, id, label, class, score, y)``."""
+    base = written(df.select("fold", id_col, class_col, vec_col), "folds")
+    return fold_probabilities(base, fold_coefficients(base, vec_col, class_col, max_iter, c), id_col, vec_col, class_col, on)
+
+
+def stationarity(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls", max_iter: int = 1000, c: float = 1.0) -> DataFrame:
+    """``(fold, class, pos, residual)``: gradient of each fold's objective at its fit, summed over its training rows, by class and dimension.
+
+    Taken from the probabilities of the training rows, not by the solver; zero at the optimum.
+    """
+    base = written(df.select("fold", id_col, class_col, vec_col), "folds")
+    fitted = fold_coefficients(base, vec_col, class_col, max_iter, c)
+    chances = fold_probabilities(base, fitted, id_col, vec_col, class_col, "train").select("fold", "id", "class", (F.col("score") - F.col("y")).alias("__r"))
+    train = chances.join(base.select(F.col(id_col).alias("id"), F.col(vec_col).alias("__x")), "id").join(fold_scalers(base, vec_col), "fold")
+    vectors = train.select("fold", "class", array_to_vector(F.transform(scaled(F.col("__x"), F.col("mean"), F.col("std")), lambda v: v * F.col("__r"))).alias("v"))
+    sums = vectors.groupBy("fold", "class").agg(Summarizer.metrics("sum").summary(F.col("v")).alias("s")).select("fold", "class", vector_to_array("s.sum").alias("g"))
+    both = sums.join(fitted, ["fold", "class"]).select("fold", "class", F.zip_with("g", "coefficients", lambda g, w: g + w / c).alias("g"))
+    return both.select("fold", "class", F.posexplode("g").alias("pos", "residual"))
 
 
 def centroid_scores(rows: DataFrame, centers: DataFrame, id_col: str, vec_col: str, class_col: str, dims: int | None = None) -> DataFrame:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motefield.functions.labels import BACKGROUND, canonical_label, is_background
-from motefield.operators.ranking import rank_by_value
+from motefield.session import only_row, written
 
 # Class index of background and unknown rows; ratio above which classes count as imbalanced.
 NO_CLASS = -1
@@ -158,20 +161,74 @@ def spread_levels(levels: DataFrame, k: int = 6, molecule: str = "molecule_id",
     return ordered.select(molecule, F.explode(F.array_distinct(chosen)).alias(snr))
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], col: str, shares: Sequence[float], ties: Sequence[str] = ()) -> DataFrame:
+#: Leading bits counted first, bits counted in each later pass, and rows that one last pass may take with all bits left.
+FIRST_BITS, MORE_BITS, FEW_ROWS = 20, 20, 1 << 20
+
+
+def _with_bits(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``__b``: an integer that sorts like the double ``__v``, NaN last; the two zeros become one."""
+    kinds = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + ["__v double", "__b long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(len(keys)).to_numpy(zero_copy_only=False) + 0.0
+            v[np.isnan(v)] = np.nan
+            bits = v.view(np.int64)
+            bits = bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(v, pa.float64(), from_pandas=False), pa.array(bits)], [*keys, "__v", "__b"])
+
+    return rows.select(*keys, "__v").mapInArrow(run, kinds)
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], col: str, shares: Sequence[float], ties: Sequence[str] = (), few: int = FEW_ROWS) -> DataFrame:
     """Linearly interpolated percentiles of groups of any size, as ``(keys, share, value)``.
 
-    Rows are ranked by buckets, so no task holds a whole group; only the two
-    neighbours of each cut position are kept.
+    Radix select: a pass counts the values of each group by the leading bits of
+    an integer that sorts like them, and the running counts tell in which
+    bucket a wanted position lies. Only rows of those buckets are counted again,
+    by their next bits, until a bucket is one value, or all buckets together are
+    ``few`` rows, which one pass finishes. So rows are neither sorted nor
+    written, equal values are one bucket, and a task holds counts, never a
+    group. Null values are left out, NaN is the greatest, and the two zeros are
+    equal; nothing depends on ``ties``. A group without values has no rows.
     """
-    ranked = rank_by_value(df.filter(F.col(col).isNotNull()), keys, col, ties, group_size="__n")
-    wanted = ranked.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    place = F.col("share") * (F.col("__n") - 1)
-    near = wanted.filter(F.col("rn") - 1 - F.floor(place) <= 1).filter(F.col("rn") - 1 >= F.floor(place))
-    low = F.max(F.when(F.col("rn") - 1 == F.floor(place), F.col(col)))
-    high = F.max(F.when(F.col("rn") - 1 == F.floor(place) + 1, F.col(col)))
-    part = F.max(place - F.floor(place))
-    return near.groupBy(*keys, "share").agg((low + F.when(part > 0, part * (high - low)).otherwise(F.lit(0.0))).alias("value"))
+    keys = list(keys)
+    rows = _with_bits(df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("__v")), keys)
+    shift = 64 - FIRST_BITS
+
+    def running(counts: DataFrame, within: list[str], order: str) -> Column:
+        return F.sum("__n").over(Window.partitionBy(*(within or [F.lit(0)])).orderBy(order))
+
+    counts = rows.groupBy(*keys, F.shiftright("__b", shift).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    total = F.sum("__n").over(Window.partitionBy(*(keys or [F.lit(0)])))
+    counted = counts.select(*keys, "__p", "__n", running(counts, keys, "__p").alias("__upto"), total.alias("__total"))
+    places = [(float(s), side, F.lit(float(s)) * (F.col("__total") - 1)) for s in shares for side in (0, 1)]
+    wanted = F.array(*[
+        F.struct(F.lit(s).alias("share"), F.lit(side).alias("side"), (place - F.floor(place)).alias("part"), F.least(F.floor(place).cast("long") + side, F.col("__total") - 1).alias("at"))
+        for s, side, place in places
+    ])
+    here = F.filter(wanted, lambda w: (w["at"] < F.col("__upto")) & (w["at"] >= F.col("__upto") - F.col("__n")))
+    found = counted.withColumn("w", F.explode(here))
+    carried = [*keys, "share", "side", "part", "__p", "__at", "__n"]
+    targets = written(found.select(*keys, "w.share", "w.side", "w.part", "__p", (F.col("w.at") - F.col("__upto") + F.col("__n")).alias("__at"), "__n"), "targets")
+    while True:
+        buckets = targets.select(*keys, "__p", "__n").distinct()
+        left = only_row(buckets.agg(F.sum("__n").alias("n")))["n"] or 0
+        below = 0 if left <= few else max(0, shift - MORE_BITS)
+        other = {c: f"__o_{c}" for c in (*keys, "__p")}
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(o)) for c, o in other.items()])
+        inside = rows.withColumn("__p", F.shiftright("__b", shift)).join(buckets.select(*other).withColumnsRenamed(other), same, "left_semi")
+        counts = inside.groupBy(*keys, "__p", F.shiftright("__b", below).alias("__q")).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__v"))
+        counts = counts.select(*keys, "__p", "__q", "__n", "__v", running(counts, [*keys, "__p"], "__q").alias("__upto"))
+        at = targets.drop("__n").withColumnsRenamed(other)
+        hit = counts.join(at, same & (F.col("__at") < F.col("__upto")) & (F.col("__at") >= F.col("__upto") - F.col("__n")))
+        found = hit.select(*keys, "share", "side", "part", F.col("__q").alias("__p"), (F.col("__at") - F.col("__upto") + F.col("__n")).alias("__at"), "__n", "__v")
+        if below == 0:
+            break
+        targets, shift = written(found.select(*carried), "targets"), below
+    low, high = (F.max(F.when(F.col("side") == side, F.col("__v"))) for side in (0, 1))
+    part = F.max("part")
+    return found.groupBy(*keys, "share").agg((low + F.when(part > 0, part * (high - low)).otherwise(F.lit(0.0))).alias("value"))
 
 
 def density_summary(df: DataFrame, keys: Sequence[str], col: str = "density", ties: Sequence[str] = ()) -> DataFrame:

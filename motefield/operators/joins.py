@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from operator import mul
+from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motefield.operators.pairs import cogroup_blocks
+from motefield.operators.pairs import cogroup_blocks, small_table
 from motefield.operators.ranking import rank_by_hash
 from motefield.operators.similarity import unordered_pairs
-from motefield.session import written
+from motefield.session import scratch_path, written
 
 
 def join_coordinates(coords: DataFrame, embeddings: DataFrame, required: bool = False) -> DataFrame:
@@ -129,6 +130,29 @@ def incomplete_picks(picks: DataFrame, tomograms: DataFrame, chunks: DataFrame,
     return _touched(picks, tomograms, box, edge, keys).join(chunks.select(*cell), cell, "left_anti").select(*keys, "pick_id").distinct()
 
 
+def write_chunk_store(chunks: DataFrame, table: str, buckets: int, keys: Sequence[str] = ("run",), path: str | None = None) -> DataFrame:
+    """Save chunks as a table bucketed and sorted by tomogram and place, and read it.
+
+    Boxes are cut out of such a store where it lies: a join on the place needs
+    no exchange of the voxels, whatever the number of picks. The files lie at
+    ``path``, by default below the shared folder.
+    """
+    cell = [*keys, "cz", "cy", "cx"]
+    spark = chunks.sparkSession
+    files = chunks.repartition(buckets, *cell).write.bucketBy(buckets, cell[0], *cell[1:]).sortBy(cell[0], *cell[1:])
+    files.mode("overwrite").option("path", path or scratch_path(spark, table)).saveAsTable(table)
+    return spark.table(table)
+
+
+#: Bytes of box parts in one batch that leaves a task.
+PART_BYTES = 16 << 20
+
+
+def _lists(parts: list[np.ndarray], dtype: type) -> pa.ListArray:
+    ends = np.cumsum([0, *[len(p) for p in parts]])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.from_numpy_dtype(dtype), from_pandas=False))
+
+
 def extract_boxes(
     picks: DataFrame, tomograms: DataFrame, chunks: DataFrame, box: int, edge: int, normalize: bool = False, keys: Sequence[str] = ("run",)
 ) -> DataFrame:
@@ -136,49 +160,71 @@ def extract_boxes(
 
     The spatial join is an equi join: each pick lists the chunks its box
     touches, the picks of a chunk are gathered into lists of a few hundred, and
-    a chunk is read once for each list. Only the overlapping parts are shuffled
-    to the pick. A box that isn't covered completely is left out (see
-    ``incomplete_picks``); NaN voxels are values like any others. Needs columns
-    ``pick_id, vz, vy, vx`` beside the keys; a pick id is unique within them.
+    a chunk is read once for each list. The lists are written first, so their
+    size is known: small ones travel to the chunks, larger ones are shuffled,
+    and the chunks stay where they are if they are a ``write_chunk_store``.
+    Only the overlapping parts are shuffled to the pick. A box that isn't
+    covered completely is left out (see ``incomplete_picks``); NaN voxels are
+    values like any others. Needs columns ``pick_id, vz, vy, vx`` beside the
+    keys; a pick id is unique within them.
     """
     keys = list(keys)
     cell = [*keys, "cz", "cy", "cx"]
-    touched = _touched(picks, tomograms, box, edge, keys)
-    lists = touched.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / PICKS_PER_CHUNK).cast("int").alias("__lists"))
-    placed = touched.join(lists, cell).withColumn("__list", F.pmod(F.xxhash64("pick_id"), F.col("__lists")))
-    gathered = placed.groupBy(*cell, "__list").agg(F.collect_list(F.struct("pick_id", "z0", "y0", "x0")).alias("__picks"))
+    touched = written(_touched(picks, tomograms, box, edge, keys), "touched")
+    counted = touched.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / PICKS_PER_CHUNK).cast("int").alias("__lists"))
+    placed = touched.join(counted, cell).withColumn("__list", F.pmod(F.xxhash64("pick_id"), F.col("__lists")))
+    gathered = written(placed.groupBy(*cell, "__list").agg(F.collect_list(F.struct("pick_id", "z0", "y0", "x0")).alias("__picks")), "lists")
     types = dict(picks.dtypes)
     named = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "pick_id"])
+    n = len(keys)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_dict("records"):
-                chunk = np.asarray(row["data"]).reshape(edge, edge, edge)
-                index = [row[f"c{a}"] for a in "zyx"]
-                parts = [_cut(chunk, [p["z0"], p["y0"], p["x0"]], index, box, edge) for p in row["__picks"]]
-                out = {k: [row[k]] * len(parts) for k in keys}
-                yield pd.DataFrame({**out, "pick_id": [p["pick_id"] for p in row["__picks"]], "place": [p for p, _ in parts], "part": [v for _, v in parts]})
-
-    pieces = gathered.join(chunks, cell).select(*cell, "__picks", "data").mapInPandas(cut, f"{named}, place array<int>, part array<double>")
+            rows, places, parts, ids, held = [], [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                own = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(n)]
+                pick = pa.concat_arrays(ids)
+                return pa.RecordBatch.from_arrays([*own, pick, _lists(places, np.int32), _lists(parts, np.float64)], [*keys, "pick_id", "place", "part"])
+
+            index = list(zip(*[batch.column(n + i).to_pylist() for i in range(3)], strict=True))
+            for row in range(batch.num_rows):
+                chunk = batch.column(n + 4)[row].values.to_numpy(zero_copy_only=False).reshape(edge, edge, edge)
+                here = batch.column(n + 3)[row].values
+                corners = zip(*[here.field(a).to_pylist() for a in ("z0", "y0", "x0")], strict=True)
+                for corner in corners:
+                    place, part = _cut(chunk, corner, index[row], box, edge)
+                    places.append(np.array(place, np.int32))
+                    parts.append(part)
+                    held += part.nbytes
+                rows += [row] * len(here)
+                ids.append(here.field("pick_id"))
+                if held > PART_BYTES:
+                    yield made()
+                    rows, places, parts, ids, held = [], [], [], [], 0
+            if rows:
+                yield made()
+
+    pieces = gathered.join(chunks, cell).select(*cell, "__picks", F.col("data").cast("array<double>").alias("data")).mapInArrow(cut, f"{named}, place array<int>, part array<double>")
     grouped = pieces.groupBy(*keys, "pick_id").agg(F.collect_list(F.struct("place", "part")).alias("parts"), F.sum(F.size("part")).alias("covered"))
 
-    def paste(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def paste(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for parts in batch["parts"]:
+            for parts in batch.column(n + 1):
                 volume = np.empty((box, box, box))
-                for piece in parts:
-                    z0, z1, y0, y1, x0, x1 = piece["place"]
-                    volume[z0:z1, y0:y1, x0:x1] = np.asarray(piece["part"]).reshape(z1 - z0, y1 - y0, x1 - x0)
+                places, values = parts.values.field("place"), parts.values.field("part")
+                for place, part in zip(places, values, strict=True):
+                    z0, z1, y0, y1, x0, x1 = place.values.to_numpy()
+                    volume[z0:z1, y0:y1, x0:x1] = part.values.to_numpy(zero_copy_only=False).reshape(z1 - z0, y1 - y0, x1 - x0)
                 if normalize:
                     std = volume.std()
                     volume = (volume - volume.mean()) / (std if not std <= 1e-6 else 1.0)
                 out.append(volume.ravel())
-            yield batch[[*keys, "pick_id"]].assign(data=out)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], _lists(out, np.float64)], [*keys, "pick_id", "data"])
 
-    boxes = grouped.filter(F.col("covered") == box**3).select(*keys, "pick_id", "parts").mapInPandas(paste, f"{named}, data array<double>")
-    # Arrow turns a NaN of a pandas result into a null; it is a NaN here.
-    return boxes.withColumn("data", F.transform("data", lambda v: F.coalesce(v, F.lit(float("nan"))))).withColumn("shape", F.array(*[F.lit(box)] * 3))
+    boxes = grouped.filter(F.col("covered") == box**3).select(*keys, "pick_id", "parts").mapInArrow(paste, f"{named}, data array<double>")
+    return boxes.withColumn("shape", F.array(*[F.lit(box)] * 3))
 
 
 def filter_picks(picks: DataFrame, **wanted) -> DataFrame:
@@ -188,59 +234,168 @@ def filter_picks(picks: DataFrame, **wanted) -> DataFrame:
     return picks
 
 
-def nearest_pick(points: DataFrame, picks: DataFrame, cell: float | None = None, growth: float = 3.0, group: str = "run", block_rows: int = 4096) -> DataFrame:
+#: Bits of a coordinate on the curve, picks of a leaf inside a tile, and points searched at once.
+CURVE_BITS, LEAF, SEARCHED = 20, 64, 512
+#: Boxes of tiles that may travel with the tasks (64 bytes each); more are joined by run.
+BOXES = 1 << 18
+_AXES = ["x", "y", "z"]
+
+
+def _spread(v: Column) -> Column:
+    """The bits of a number of 21 bits, two apart."""
+    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def pick_tiles(picks: DataFrame, group: str = "run", tile_rows: int = 65_536, cell: float | None = None) -> DataFrame:
+    """Picks packed along a space-filling curve: rows of at most ``tile_rows`` neighbours of one run, with their bounds.
+
+    Columns: run, ``tile``, ``lo_x .. hi_z``, coordinates of one pick (``at_x ..``), and arrays ``x, y, z, pick_id`` in curve
+    order. Places that repeat keep their lowest id. ``cell`` is the finest edge of the curve, a millionth of a run's extent if not given.
+    """
+    real = [F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(a) != float("inf")) for a in _AXES]
+    placed = picks.filter(reduce(and_, real)).groupBy(group, *_AXES).agg(F.min("pick_id").alias("pick_id"))
+    spans = picks.filter(reduce(and_, real)).groupBy(group).agg(*[F.min(a).alias(f"__lo_{a}") for a in _AXES], F.greatest(*[F.max(a) - F.min(a) for a in _AXES]).alias("__span"))
+    most = (1 << CURVE_BITS) - 1
+    edge = F.lit(float(cell)) if cell is not None else F.greatest(F.col("__span") / most, F.lit(1e-300))
+    steps = [_spread(F.least(F.floor((F.col(a) - F.col(f"__lo_{a}")) / edge), F.lit(most)).cast("long")) for a in _AXES]
+    curve = steps[0].bitwiseOR(F.shiftleft(steps[1], 1)).bitwiseOR(F.shiftleft(steps[2], 2))
+    coded = placed.join(spans, group).withColumn("__code", curve).select(group, "__code", *_AXES, "pick_id")
+    ordered = coded.repartitionByRange(group, "__code", "pick_id").sortWithinPartitions(group, "__code", "pick_id")
+    types = dict(picks.dtypes)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = None, None
+
+        def tile(part: pd.DataFrame) -> pa.RecordBatch:
+            xyz = [part[a].to_numpy(np.float64) for a in _AXES]
+            columns = [pa.array([part[group].iloc[0]], schema.field(group).type), *[pa.array([f(v)]) for v in xyz for f in (np.min, np.max)], *[pa.array([v[0]]) for v in xyz], *[pa.array([v]) for v in xyz]]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([part["pick_id"].tolist()], pa.list_(schema.field("pick_id").type))], names)
+
+        for batch in batches:
+            schema = batch.schema
+            frame = batch.to_pandas()
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+            held = None
+            for key, part in frame.groupby(group, sort=False):
+                if held is not None and len(held):
+                    yield tile(held)
+                while len(part) > tile_rows:
+                    yield tile(part.iloc[:tile_rows])
+                    part = part.iloc[tile_rows:]
+                held = part
+        if held is not None and len(held):
+            yield tile(held)
+
+    names = [group, *[f"{e}_{a}" for a in _AXES for e in ("lo", "hi")], *[f"at_{a}" for a in _AXES], *_AXES, "pick_id"]
+    kinds = ", ".join([f"`{group}` {types[group]}", *[f"{c} double" for c in names[1:10]], *[f"{a} array<double>" for a in _AXES], f"pick_id array<{types['pick_id']}>"])
+    packed = ordered.select(group, *_AXES, "pick_id").filter(F.col(group).isNotNull()).mapInArrow(pack, kinds)
+    return written(packed.withColumn("tile", F.monotonically_increasing_id()), "tiles")
+
+
+def _gaps(here: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Squared distances of points to boxes, never above that to any pick inside, rounding included."""
+    return sum(np.maximum(0.0, np.maximum(lo[None, :, i] - here[:, None, i], here[:, None, i] - hi[None, :, i])) ** 2 for i in range(3))
+
+
+def _squares(here: np.ndarray, there: np.ndarray) -> np.ndarray:
+    return sum((here[..., i] - there[..., i]) ** 2 for i in range(3))
+
+
+def reachable_tiles(here: np.ndarray, boxes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of points and of boxes that may hold their nearest pick: no further than some pick that is known."""
+    lo, hi, at = (boxes[[f"{e}_{a}" for a in _AXES]].to_numpy(np.float64) for e in ("lo", "hi", "at"))
+    bound = _squares(here[:, None, :], at[None, :, :]).min(axis=1)
+    return np.nonzero(_gaps(here, lo, hi) <= bound[:, None])
+
+
+def search_tile(here: np.ndarray, picks: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance and number of each point's nearest pick, ties to the lower rank; leaves that can't hold it are left out."""
+    starts = np.arange(0, len(picks), LEAF)
+    lo, hi = np.minimum.reduceat(picks, starts, axis=0), np.maximum.reduceat(picks, starts, axis=0)
+    by_rank = np.argsort(rank)
+
+    def looked(points: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        member = np.minimum(starts[leaf][:, None] + np.arange(LEAF), len(picks) - 1)
+        d2 = _squares(points[:, None, :], picks[member])
+        least = d2.min(axis=1)
+        return least, np.where(d2 == least[:, None], rank[member], len(picks)).min(axis=1)
+
+    best, chosen = np.empty(len(here)), np.empty(len(here), np.int64)
+    for start in range(0, len(here), SEARCHED):
+        part = here[start : start + SEARCHED]
+        gap = _gaps(part, lo, hi)
+        first = gap.argmin(axis=1)
+        least, named = looked(part, first)
+        open_ = gap <= least[:, None]
+        open_[np.arange(len(part)), first] = False
+        rows, leaves = np.nonzero(open_)
+        found = [(np.arange(len(part)), least, named)]
+        for at in range(0, len(rows), 8192):
+            some = rows[at : at + 8192]
+            found.append((some, *looked(part[some], leaves[at : at + 8192])))
+        rows, d2, named = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((named, d2, rows))
+        one = order[np.r_[True, np.diff(rows[order]) > 0]]
+        best[start : start + len(part)], chosen[start : start + len(part)] = d2[one], named[one]
+    return best, by_rank[chosen]
+
+
+def nearest_pick(
+    points: DataFrame, picks: DataFrame, cell: float | None = None, group: str = "run", block_rows: int = 8192, tile_rows: int = 65_536, boxes: int = BOXES
+) -> DataFrame:
     """Nearest pick of the same run for each point ``(run, point_id, x, y, z)``; the lowest id wins a tie.
 
-    A point is sent to the 27 grid cells around it. A match closer than the
-    cell edge is final; what is left is tried again with larger cells until
-    one cell covers the run, so the result is exact. Every run has a cell edge
-    of its own (about 200 picks a cell, or ``cell``), and points of runs
-    without picks never take part. Distances are taken block against block
-    inside the tasks: a crowded cell is cut into blocks, and only one candidate
-    per point and block comes out.
+    Branch and bound in two steps. Picks are packed into tiles along a
+    space-filling curve (``pick_tiles``); a point goes to those tiles of its
+    run whose box is no further than a pick that is known. In a tile the same
+    bound leaves out leaves of a few dozen picks. Tiles hold a bounded number
+    of picks, and the points of a tile are cut into blocks, so a run of any
+    size is many tasks. Points of runs without picks, and points or picks with a
+    coordinate that is null or not finite, take no part.
     """
-    axes = ["x", "y", "z"]
     types = dict(points.dtypes)
-    unique = written(picks.groupBy(group, *axes).agg(F.min("pick_id").alias("pick_id")), "picks")
-    spans = {a: F.max(a) - F.min(a) for a in axes}
-    both = unique.select(group, *axes, F.lit(1).alias("__n")).unionByName(points.select(group, *axes, F.lit(0).alias("__n")))
-    runs = both.groupBy(group).agg(*[F.min(a).alias(f"__lo_{a}") for a in axes], F.greatest(*spans.values(), F.lit(1e-9)).alias("__span"), *[s.alias(f"__w_{a}") for a, s in spans.items()], F.sum("__n").alias("__picks"))
-    volume = reduce(mul, [F.greatest(F.col(f"__w_{a}"), F.col("__span") / 100) for a in axes])
-    edge = F.lit(float(cell)) if cell is not None else F.least(F.pow(200.0 * volume / F.col("__picks"), F.lit(1.0 / 3.0)), F.col("__span") * 1.01)
-    runs = written(runs.filter(F.col("__picks") > 0).select(group, *[f"__lo_{a}" for a in axes], "__span", edge.alias("__cell")), "runs")
-    schema = f"{group} {types[group]}, point_id {types['point_id']}, d2 double, pick_id {dict(picks.dtypes)['pick_id']}"
+    tiles = pick_tiles(picks, group, tile_rows, cell)
+    bounds = [group, "tile", *[f"{e}_{a}" for a in _AXES for e in ("lo", "hi", "at")]]
+    asked = points.select(group, "point_id", *_AXES).filter(reduce(and_, [F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(a) != float("inf")) for a in _AXES]))
+    schema = f"`{group}` {types[group]}, point_id {types['point_id']}, x double, y double, z double, tile long"
+    table = small_table(tiles.select(*bounds), boxes)
+
+    def candidates(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for start in range(0, len(left), SEARCHED):
+            part = left.iloc[start : start + SEARCHED]
+            rows, at = reachable_tiles(part[_AXES].to_numpy(np.float64), right)
+            parts.append(part.iloc[rows].assign(tile=right["tile"].to_numpy()[at]))
+        return pd.concat(parts)[[group, "point_id", *_AXES, "tile"]]
+
+    if table is not None:
+        of_run = dict(list(table.groupby(group)))
+
+        def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for run, part in batch.groupby(group):
+                    if run in of_run:
+                        yield candidates(part, of_run[run])
+
+        near = asked.mapInPandas(sent, schema)
+    else:
+        near = cogroup_blocks(asked, tiles.select(*bounds), [group], "point_id", "tile", candidates, schema)
+    near = written(near, "candidates")
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("pick_id", kind="stable")
-        there, ids = right[axes].to_numpy(dtype=float), right["pick_id"].to_numpy()
-        best, size = [], []
-        for start in range(0, len(left), 512):
-            here = left[axes].iloc[start : start + 512].to_numpy(dtype=float)
-            d2 = sum((here[:, None, i] - there[None, :, i]) ** 2 for i in range(3))
-            at = d2.argmin(axis=1)
-            best.append(at)
-            size.append(d2[np.arange(len(at)), at])
-        at = np.concatenate(best)
-        return pd.DataFrame({group: left[group].to_numpy(), "point_id": left["point_id"].to_numpy(), "d2": np.concatenate(size), "pick_id": ids[at]})
-
-    def celled(df: DataFrame, scale: float, around: bool) -> DataFrame:
-        df = df.join(runs, group).withColumn("__edge", F.col("__cell") * scale)
-        for a in axes:
-            base = F.floor((F.col(a) - F.col(f"__lo_{a}")) / F.col("__edge")).cast("long")
-            # no cell lies before the first one of the run
-            df = df.withColumn(f"c{a}", F.explode(F.sequence(F.greatest(base - 1, F.lit(0)), base + 1)) if around else base)
-        return df.select(*[c for c in df.columns if not c.startswith("__")])
-
-    open_points, results, scale = points.select(group, "point_id", *axes), [], 1.0
-    while True:
-        found = cogroup_blocks(celled(open_points, scale, True), celled(unique, scale, False), [group, "cx", "cy", "cz"], "point_id", "pick_id", nearest, schema, block_rows)
-        best = found.groupBy(group, "point_id").agg(F.min(F.struct("d2", "pick_id")).alias("b"))
-        best = best.select(group, "point_id", "b.pick_id", F.sqrt("b.d2").alias("distance")).join(runs, group)
-        edge = F.col("__cell") * scale
-        closed = written(best.filter((F.col("distance") <= edge) | (edge > F.col("__span"))).select(group, "point_id", "pick_id", "distance"), "nearest")
-        results.append(closed)
-        left = open_points.join(runs.filter(F.col("__cell") * scale <= F.col("__span")), group, "left_semi")
-        open_points = written(left.join(closed, [group, "point_id"], "left_anti"), "open-points")
-        if open_points.isEmpty():
-            return reduce(DataFrame.unionByName, results)
-        scale *= growth
+        tile = right.iloc[0]
+        ids = np.asarray(tile["pick_id"])
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        d2, at = search_tile(left[_AXES].to_numpy(np.float64), np.stack([np.asarray(tile[a], np.float64) for a in _AXES], axis=1), rank)
+        return pd.DataFrame({group: left[group].to_numpy(), "point_id": left["point_id"].to_numpy(), "d2": d2, "pick_id": ids[at]})
+
+    found = cogroup_blocks(
+        near, tiles.select(group, "tile", *_AXES, "pick_id"), [group, "tile"], "point_id", "tile", nearest,
+        f"`{group}` {types[group]}, point_id {types['point_id']}, d2 double, pick_id {dict(picks.dtypes)['pick_id']}", block_rows,
+    )
+    best = found.groupBy(group, "point_id").agg(F.min(F.struct("d2", "pick_id")).alias("b"))
+    return best.select(group, "point_id", F.col("b.pick_id").alias("pick_id"), F.sqrt("b.d2").alias("distance"))

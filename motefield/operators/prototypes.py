@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from motefield.functions.vectors import let, unit
 from motefield.operators.pairs import distances, map_with_table, stack, unit_rows
 from motefield.operators.ranking import rank_by_value
 from motefield.operators.similarity import directed
+from motefield.session import written
 
 # Weight of a new row, decay per second and per step, momentum range and its warm-up,
 # weight above which a prototype counts as fresh, share and noise of the crossover.
@@ -70,6 +72,15 @@ def momentum_at(step: float) -> float:
 
 def fold_rows(steps: np.ndarray, vectors: np.ndarray, state: np.ndarray | None) -> np.ndarray:
     """Unit-length moving average over ordered rows, starting from ``state``."""
+    return fold_with_gain(steps, vectors, state)[0]
+
+
+def fold_with_gain(steps: np.ndarray, vectors: np.ndarray, state: np.ndarray | None, gain: float = 0.0) -> tuple[np.ndarray, float]:
+    """The fold, and the logarithm of what it makes of a small error of its start.
+
+    A row multiplies an error by the momentum over the length before it is
+    scaled to one; that length is small only where a row opposes the prototype.
+    """
     for step, row in zip(steps, unit_rows(vectors)):
         if state is None:
             state = row
@@ -77,52 +88,127 @@ def fold_rows(steps: np.ndarray, vectors: np.ndarray, state: np.ndarray | None)
             m = momentum_at(float(step))
             state = m * state + (1.0 - m) * row
             size = np.linalg.norm(state)
+            gain += math.log(m / size) if size > 0 else math.inf
             state = state / size if size > 0 else state
-    return state
+    return state, gain
+
+
+#: Rows of a segment, and rows before it that its start is guessed from. With a momentum of 0.9 the warm-up forgets all but 1e-20.
+SEGMENT_ROWS, WARM_ROWS = 4096, 448
+#: A seam may differ by so much, and change the end of its segment by so much.
+SEAM, SEAM_END = 1e-7, 1e-13
+#: Times that segments with open seams are folded again side by side, before the rest of their class is folded as one.
+REPEATS = 3
+
+
+def _segment_ends(rows: DataFrame, kind: str) -> DataFrame:
+    """``(cls, seg, start, end, gain, last_step)`` of rows ``(cls, seg, part, rn, step, v)``.
+
+    ``part`` 0 is a given start, 1 the warm-up, 2 the segment's own rows. Rows are sorted on disk-backed partitions and
+    streamed through; a task keeps one vector.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, vector, start, gain, last = None, None, None, 0.0, 0
+
+        def result() -> tuple:
+            return (*key, start, vector, gain, last)
+
+        for batch in batches:
+            done = []
+            keys = batch[["cls", "seg", "part"]].to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
+            steps = batch["step"].to_numpy()
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                cls, seg, part = batch["cls"].iloc[lo], int(batch["seg"].iloc[lo]), int(batch["part"].iloc[lo])
+                if (cls, seg) != key:
+                    if key is not None:
+                        done.append(result())
+                    key, vector, start, gain = (cls, seg), None, None, 0.0
+                vectors = stack(batch["v"].iloc[lo:hi])
+                if part == 0:
+                    vector = start = vectors[0]
+                elif part == 1:
+                    vector = start = fold_rows(steps[lo:hi], vectors, vector)
+                else:
+                    vector, gain = fold_with_gain(steps[lo:hi], vectors, vector, gain)
+                last = int(steps[hi - 1])
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if key is not None:
+            yield pd.DataFrame([result()], columns=names)
+
+    names = ["cls", "seg", "start", "end", "gain", "last_step"]
+    near = rows.repartition("cls", "seg").sortWithinPartitions("cls", "seg", "part", "rn")
+    return near.select("cls", "seg", "part", "step", "v").mapInPandas(run, f"cls {kind}, seg long, start array<double>, end array<double>, gain double, last_step long")
+
+
+def _open_seams(ends: DataFrame) -> DataFrame:
+    """``(cls, seg, at)`` of segments whose start differs from the end before them by more than their own end forgives; ``at`` is that end."""
+    before = ends.select("cls", (F.col("seg") + 1).alias("seg"), F.col("end").alias("at"))
+    both = ends.join(before, ["cls", "seg"])
+    off = F.sqrt(F.aggregate(F.zip_with("start", "at", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
+    closed = (off == 0) | ((off <= SEAM) & (F.log(off) + F.col("gain") <= math.log(SEAM_END)))
+    return both.filter(~F.coalesce(closed, F.lit(False))).select("cls", "seg", "at")
 
 
 def prototypes_v2(
-    df: DataFrame, step_col: str, id_col: str, class_col: str = "cls", vec_col: str = "feature", warmup: int = 0, state: DataFrame | None = None
+    df: DataFrame, step_col: str, id_col: str, class_col: str = "cls", vec_col: str = "feature", warmup: int = 0, state: DataFrame | None = None,
+    segment_rows: int = SEGMENT_ROWS, warm_rows: int = WARM_ROWS, repeats: int = REPEATS,
 ) -> DataFrame:
     """Unit-length prototypes with a momentum that grows with the step; rows before the warm-up are ignored.
 
     Every step divides by a length that depends on all rows before it, so a
-    class is an ordered fold. Rows are sorted by (class, step) on disk-backed
-    partitions and streamed through; a task keeps one vector per class and
-    never a class as a whole. Earlier prototypes may be given as ``state``.
+    class is an ordered fold. It is folded in parallel: rows are ranked in
+    their class and cut into segments, and each segment starts from a guess,
+    the fold of ``warm_rows`` rows before it, which forgets where it began. A
+    seam where the guess differs from the end of the segment before, by more
+    than the segment itself forgets again, is open: its segment is folded again
+    from that end, all of them side by side. Where seams are still open after
+    ``repeats`` times, as rows that oppose their prototype can force, the rest of
+    that class is folded as one. So the result is the ordered fold's. Earlier
+    prototypes may be given as ``state``.
     """
     kind = dict(df.dtypes)[class_col]
     rows = df.filter((F.col(class_col) >= 0) & (F.col(step_col) >= warmup)).select(
-        F.col(class_col).alias("cls"), F.lit(1).alias("__o"), F.col(step_col).cast("long").alias("step"), F.col(id_col).cast("string").alias("__id"), F.col(vec_col).alias("v")
-    )
+        F.col(class_col).alias("cls"), F.col(step_col).cast("long").alias("step"), F.col(id_col).cast("string").alias("__id"), F.col(vec_col).alias("v")
+    ).withColumn("__len", F.length("__id"))
+    ranked = rank_by_value(rows, ["cls"], "step", ["__len", "__id"], group_size="__n").withColumn("rn", F.col("rn").cast("long"))
+    seg = F.expr(f"(rn - 1) div {segment_rows}")
+    # The last rows of a segment are the warm-up of the one after it, if there is one.
+    warms = (F.col("rn") > (F.col("seg") + 1) * segment_rows - warm_rows) & (F.col("__n") > (F.col("seg") + 1) * segment_rows)
+    own, warm = F.struct(F.col("seg"), F.lit(2).alias("part")), F.struct((F.col("seg") + 1).alias("seg"), F.lit(1).alias("part"))
+    placed = ranked.withColumn("seg", seg).withColumn("__to", F.explode(F.when(warms, F.array(own, warm)).otherwise(F.array(own))))
+    placed = placed.select("cls", "__to.seg", "__to.part", "rn", "step", "v")
+
+    def begun(at: DataFrame) -> DataFrame:
+        return at.select("cls", "seg", F.lit(0).alias("part"), F.lit(0).cast("long").alias("rn"), F.lit(0).cast("long").alias("step"), "v")
+
+    first = placed
     if state is not None:
-        rows = rows.unionByName(state.select("cls", F.lit(0).alias("__o"), F.col("last_step").alias("step"), F.lit("").alias("__id"), F.col("prototype").alias("v")))
-    ordered = rows.repartition("cls").sortWithinPartitions("cls", "__o", "step", F.length("__id"), "__id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, vector, last = None, None, 0
-        for batch in batches:
-            done = []
-            cls = batch["cls"].to_numpy()
-            cuts = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1], True])
-            for start, stop in zip(cuts[:-1], cuts[1:]):
-                part = batch.iloc[start:stop]
-                if current is not None and cls[start] != current:
-                    done.append((current, last, vector))
-                    vector = None
-                current = cls[start]
-                if part["__o"].iloc[0] == 0:
-                    vector = np.asarray(part["v"].iloc[0], dtype=float)
-                    last, part = int(part["step"].iloc[0]), part.iloc[1:]
-                if len(part):
-                    vector = fold_rows(part["step"].to_numpy(), stack(part["v"]), vector)
-                    last = int(part["step"].iloc[-1])
-            if done:
-                yield pd.DataFrame(done, columns=["cls", "last_step", "prototype"])
-        if current is not None:
-            yield pd.DataFrame([(current, last, vector)], columns=["cls", "last_step", "prototype"])
-
-    return ordered.mapInPandas(run, f"cls {kind}, last_step long, prototype array<double>")
+        old = state.select("cls", F.lit(0).cast("long").alias("seg"), F.col("prototype").alias("v"))
+        first = placed.unionByName(begun(old.join(placed.select("cls").distinct(), "cls", "left_semi")))
+    ends = written(_segment_ends(first, kind), "segments")
+    for times in range(repeats + 1):
+        seams = written(_open_seams(ends), "seams")
+        if seams.isEmpty():
+            break
+        again = placed.filter(F.col("part") == 2)
+        if times < repeats:
+            again, at = again.join(seams.select("cls", "seg"), ["cls", "seg"], "left_semi"), seams.select("cls", "seg", F.col("at").alias("v"))
+        else:
+            # From the first open seam on a class becomes one segment; its end takes the place of the last one.
+            opened = seams.groupBy("cls").agg(F.min(F.struct("seg", "at")).alias("s")).select("cls", F.col("s.seg").alias("from"), F.col("s.at").alias("v"))
+            again, at = again.join(opened.select("cls", "from"), "cls").filter(F.col("seg") >= F.col("from")).withColumn("seg", F.col("from")).drop("from"), opened.select("cls", F.col("from").alias("seg"), "v")
+        redone = _segment_ends(again.unionByName(begun(at)), kind)
+        if times < repeats:
+            ends = written(ends.join(seams.select("cls", "seg"), ["cls", "seg"], "left_anti").unionByName(redone), "segments")
+        else:
+            ends = written(ends.join(opened, (ends["cls"] == opened["cls"]) & (ends["seg"] >= opened["from"]), "left_anti").unionByName(redone), "segments")
+    out = ends.groupBy("cls").agg(F.max_by(F.struct("last_step", "end"), "seg").alias("s")).select("cls", "s.last_step", F.col("s.end").alias("prototype"))
+    if state is not None:
+        out = out.unionByName(state.select("cls", F.col("last_step").cast("long").alias("last_step"), "prototype").join(out.select("cls"), "cls", "left_anti"))
+    return out
 
 
 def time_weight(now: Column, seen: Column) -> Column:

@@ -1,7 +1,7 @@
 """Weighted point sets: selection, principal axes, alignment, comparison.
 
 Sets come as a long table ``(set_id, splat_id, x, y, z, sigma, w)``. Sums over a
-set are plain aggregates; closing 3x3 decompositions run on one row per set.
+set are plain aggregates; 3x3 decompositions are column expressions on one row per set.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motefield.functions.eigen import symmetric_eigen
 from motefield.operators.structures import pack_splats
 
 # Fewest points kept by both filters, default sphere radii and weight percentile, weight of a significant splat.
@@ -20,6 +21,8 @@ MIN_POINTS = 10
 RADII = (15.0, 18.0, 20.0)
 WEIGHT_PERCENTILE = 70.0
 SIGNIFICANT_WEIGHT = 0.01
+#: Points that axes need at least.
+AXES_POINTS = 3
 
 
 def in_sphere(radius, center: Sequence[float]) -> Column:
@@ -57,26 +60,12 @@ def weighted_moments(splats: DataFrame, keys: Sequence[str] = ("set_id",)) -> Da
 def weighted_pca(splats: DataFrame, keys: Sequence[str] = ("set_id",)) -> DataFrame:
     """Weighted centroid, covariance (reliability weights), eigenvalues falling and a right-handed set of axes.
 
-    ``axes`` holds the eigenvectors as columns of a row-major 3x3 matrix.
+    ``axes`` holds the eigenvectors as columns of a row-major 3x3 matrix. A set
+    of one point has no covariance, and so neither values nor axes.
     """
-    factor = F.col("w_sum") / (F.col("w_sum") - F.col("w2_sum") / F.col("w_sum"))
+    factor = F.try_divide(F.col("w_sum"), F.col("w_sum") - F.try_divide(F.col("w2_sum"), F.col("w_sum")))
     cov = weighted_moments(splats, keys).select(*keys, "n", "cx", "cy", "cz", *[(F.col(m) * factor).alias(m) for m in _MOMENTS])
-    types = dict(cov.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in cov.columns) + ", eigenvalues array<double>, axes array<double>"
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            m = batch[list(_MOMENTS)].to_numpy(dtype=float)
-            full = m[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
-            values, vectors = np.linalg.eigh(full)
-            values, vectors = values[:, ::-1], vectors[:, :, ::-1].copy()
-            # The largest component of the first two axes is positive, and the third one follows; no library decides the signs.
-            largest = np.take_along_axis(vectors, np.abs(vectors).argmax(axis=1)[:, None, :], axis=1)
-            vectors *= np.where(largest < 0, -1.0, 1.0)
-            vectors[np.linalg.det(vectors) < 0, :, 2] *= -1.0
-            yield batch.assign(eigenvalues=list(values), axes=[v.ravel() for v in vectors])
-
-    return cov.mapInPandas(solve, schema)
+    return symmetric_eigen(cov, _MOMENTS)
 
 
 def _weighted_mean(values: np.ndarray, weights: np.ndarray) -> float:
@@ -154,18 +143,8 @@ def structural_metrics(splats: DataFrame, keys: Sequence[str] = ("set_id",)) ->
     With moments m1 >= m2 >= m3: asphericity is m3 - (m1 + m2) / 2 and
     acylindricity m2 - m1, so both are at most zero.
     """
-    moments = weighted_moments(splats, keys)
-    types = dict(moments.dtypes)
     kept = [*keys, "n", "w_sum", "cx", "cy", "cz"]
-    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + ", m1 double, m2 double, m3 double"
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            m = batch[list(_MOMENTS)].to_numpy(dtype=float)
-            values = np.linalg.eigvalsh(m[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3))
-            yield batch[kept].assign(m1=values[:, 2], m2=values[:, 1], m3=values[:, 0])
-
-    solved = moments.mapInPandas(solve, schema)
+    solved = symmetric_eigen(weighted_moments(splats, keys), _MOMENTS).select(*kept, *[F.get("eigenvalues", i).alias(f"m{i + 1}") for i in range(3)])
     return solved.select(
         *kept, F.sqrt(F.greatest(F.col("m1") + F.col("m2") + F.col("m3"), F.lit(0.0))).alias("radius_of_gyration"), "m1", "m2", "m3",
         (F.col("m3") - (F.col("m1") + F.col("m2")) / 2).alias("asphericity"), (F.col("m2") - F.col("m1")).alias("acylindricity"),
@@ -178,7 +157,9 @@ def align_sets_pca(
     """Rotate every set onto the template of its group by principal axes; the radius with the best chamfer score wins.
 
     All radii are tried in one plan: filters, axes and scores carry the radius
-    as a key column. ``template`` has one set per value of ``on``.
+    as a key column. ``template`` has one set per value of ``on``. Fewer than
+    three points have no axes of their own, so a radius that selects fewer on
+    either side is not tried.
     """
     radius = F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("radius")
     mine = splats.select("*", radius)
@@ -195,8 +176,8 @@ def align_sets_pca(
     side_a = a.join(pair_counts, key).filter(keep)
     side_b = b.join(pair_counts, [on, "radius"], "inner").filter(keep)
     columns = ["cx", "cy", "cz", "axes"]
-    axes_a = weighted_pca(side_a.select(*key, "x", "y", "z", "w"), key).select(*key, *[F.col(c).alias(f"{c}_a") for c in columns])
-    axes_b = weighted_pca(side_b.select(*key, "x", "y", "z", "w"), key).select(*key, *[F.col(c).alias(f"{c}_b") for c in columns])
+    axes_a = weighted_pca(side_a.select(*key, "x", "y", "z", "w"), key).filter(F.col("n") >= AXES_POINTS).select(*key, *[F.col(c).alias(f"{c}_a") for c in columns])
+    axes_b = weighted_pca(side_b.select(*key, "x", "y", "z", "w"), key).filter(F.col("n") >= AXES_POINTS).select(*key, *[F.col(c).alias(f"{c}_b") for c in columns])
     turned = axes_a.join(axes_b, key)
 
     points = ("x", "y", "z", "sigma", "w")
@@ -221,7 +202,8 @@ def align_sets_pca(
         return chamfer_of(fixed[both_b], moved[both_a], wb[both_b], wa[both_a]), rotation.ravel()
 
     scored = _over_pairs(pairs, key, score, {"score": "double", "rotation": "array<double>"})
-    best = scored.groupBy(on, "set_id").agg(F.min(F.struct("score", "radius", "rotation")).alias("b"))
+    # Radii that fit equally well but for rounding tie, and the smallest one wins.
+    best = scored.groupBy(on, "set_id").agg(F.min(F.struct(F.round("score", 9).alias("near"), "radius", "score", "rotation")).alias("b"))
     return best.select(on, "set_id", "b.radius", "b.score", "b.rotation")
 
 

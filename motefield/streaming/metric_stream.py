@@ -2,43 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motefield.operators.metric_log import last_per_epoch
+from motefield.streaming.state import VersionedState
 
-SCHEMA = "epoch int, key string, step long, value double, batch long"
-
-
-def _state(spark: SparkSession, out: str, slot: int) -> DataFrame:
-    try:
-        return spark.read.schema(SCHEMA).parquet(f"{out}/state={slot}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], SCHEMA)
+SCHEMA = "epoch int, key string, step long, value double"
+KEYS = ["epoch", "key"]
 
 
 def epoch_metric_stream(spark: SparkSession, log: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Stream of ``(ts, step, key, value)`` to the last value per (day, metric), long form.
 
-    The result is a small table, one row for each (day, metric), that every
-    micro-batch merges its own last values into, so rows of any lateness count
-    and the result equals the batch one. Two copies are kept in turn: a batch
-    reads the copy of the batch before it and replaces the other, so a repeated
-    batch finds its input unchanged. Calling it again with the same paths goes on where the last call ended.
+    The state has one row for each (day, metric). A micro-batch reads the rows
+    of its own days and metrics, merges its last values into them, and appends
+    what that gives (``VersionedState``), so rows of any lateness count and the
+    result equals the batch one. Calling it again with the same paths goes on
+    where the last call ended.
     """
+    state = VersionedState(spark, out, SCHEMA, KEYS)
     rows = log.select(F.unix_date(F.to_date("ts")).alias("epoch"), "key", F.col("step").cast("long").alias("step"), F.col("value").cast("double").alias("value"))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        before = _state(session, out, (batch_id + 1) % 2).drop("batch")
-        merged = last_per_epoch(batch.unionByName(before)).withColumn("batch", F.lit(batch_id).cast("long"))
-        merged.write.mode("overwrite").parquet(f"{out}/state={batch_id % 2}")
+        own = last_per_epoch(batch)
+        touched = own.select(*[F.col(k).alias(f"__{k}") for k in KEYS])
+        same = F.col("epoch").eqNullSafe(F.col("__epoch")) & F.col("key").eqNullSafe(F.col("__key"))
+        known = state.before(batch_id).join(touched, same, "left_semi")
+        state.write(last_per_epoch(own.unionByName(known)), batch_id)
 
     query = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    both = _state(spark, out, 0).unionByName(_state(spark, out, 1))
-    newest = both.groupBy("epoch", "key").agg(F.max_by(F.struct("step", "value"), "batch").alias("s"))
-    return newest.select("epoch", "key", "s.step", "s.value")
+    return state.latest().select("epoch", "key", "step", "value")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from motefield.operators.prototypes import ALPHA, apply_segment, ema_segment, fold_rows
-from motefield.session import only_row, scratch_path
+from motefield.operators.prototypes import ALPHA, apply_segment, ema_segment, prototypes_v2
+from motefield.session import scratch_path
+from motefield.streaming.state import VersionedState
 
 STATE_SCHEMA = "cls int, n long, last_order long, prototype array<double>"
 STEP_STATE = "cls int, last_step long, prototype array<double>, late long"
@@ -34,29 +30,23 @@ def run_prototype_stream(rows: DataFrame, order_col: str, state_path: str, check
     """Fold a stream of ``(cls, <order_col>, feature)`` rows and return the path of the last state.
 
     A micro-batch is reduced to one segment per class with ordinary parallel
-    aggregates, so a hot class is no bottleneck, and merged with the state
-    written by the batch before. Each batch writes its own folder; a repeated
-    batch writes the same folder again, so the result is exactly-once.
+    aggregates, so a hot class is no bottleneck, and merged with the state of
+    its classes; what changed is appended (``VersionedState``), so a repeated
+    batch changes nothing.
     """
-    spark = rows.sparkSession
+    state = VersionedState(rows.sparkSession, state_path, STATE_SCHEMA, ["cls"])
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        if batch_id == 0:
-            state = spark.createDataFrame([], STATE_SCHEMA)
-        else:
-            state = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/batch={batch_id - 1}")
-        merged = merge_segment(state, ema_segment(batch, order_col, alpha=alpha), alpha)
-        merged.select("cls", "n", "last_order", "prototype").write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        segment = ema_segment(batch, order_col, alpha=alpha)
+        known = state.before(batch_id).join(segment.select("cls"), "cls", "left_semi")
+        state.write(merge_segment(known, segment, alpha), batch_id)
 
     query = rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return f"{state_path}/batch={last_batch(spark, state_path)}"
-
-
-def last_batch(spark: SparkSession, state_path: str) -> int:
-    """Number of the newest state, from a listing of paths; a restarted stream goes on from there."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(state_path)
-    return only_row(listing.agg(F.max(F.regexp_extract("path", "/batch=([0-9]+)/", 1).cast("long")).alias("b")))["b"]
+    after = state.next_batch()
+    path = f"{state_path}/last/batch={after - 1}"
+    state.before(after).write.mode("overwrite").parquet(path)
+    return path
 
 
 def prototype_stream(spark: SparkSession, rows: DataFrame, order_col: str, alpha: float = ALPHA) -> DataFrame:
@@ -65,69 +55,39 @@ def prototype_stream(spark: SparkSession, rows: DataFrame, order_col: str, alpha
     return spark.read.schema(STATE_SCHEMA).parquet(last)
 
 
-class OrderedFold(StatefulProcessor):
-    """One unit-length vector per class in the state store; the rows of a micro-batch are folded in step order.
+def merge_steps(state: DataFrame, rows: DataFrame, warmup: int = 0) -> DataFrame:
+    """State ``(cls, last_step, prototype, late)`` after one micro-batch of ``(cls, step, feature)`` rows.
 
-    Steps never go back from one micro-batch to the next. Rows below the last
-    step of their class are not folded in the wrong place but counted as late.
+    Rows below the last step of their class are counted as late; the others are
+    folded in step order by ``prototypes_v2``, which spreads a class over many tasks.
     """
-
-    def __init__(self, warmup: int):
-        self.warmup = warmup
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("prototype", "last_step long, vector array<double>, late long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        vector, last, late = None, -1, 0
-        if self.state.exists():
-            last, stored, late = self.state.get()
-            vector = np.asarray(stored, dtype=float)
-        steps, features = [], []
-        for part in rows:
-            part = part[part["step"] >= self.warmup]
-            in_time = (part["step"] >= last).to_numpy()
-            late += int((~in_time).sum())
-            steps.append(part["step"].to_numpy()[in_time])
-            features += list(part["feature"].to_numpy()[in_time])
-        order = np.argsort(np.concatenate(steps), kind="stable") if steps else np.zeros(0, int)
-        if len(order):
-            step = np.concatenate(steps)[order]
-            vector = fold_rows(step, np.stack([np.asarray(features[i], dtype=float) for i in order]), vector)
-            last = int(step[-1])
-        if vector is not None:
-            self.state.update((last, [float(v) for v in vector], late))
-            yield pd.DataFrame({"cls": [int(key[0])], "last_step": [last], "prototype": [list(vector)], "late": [late]})
-
-    def close(self) -> None:
-        pass
+    known = state.select("cls", "last_step", "late")
+    dated = rows.filter(F.col("step") >= warmup).join(known.select("cls", F.col("last_step").alias("__last")), "cls", "left")
+    missed = F.coalesce(F.col("step") < F.col("__last"), F.lit(False))
+    late = dated.filter(missed).groupBy("cls").agg(F.count(F.lit(1)).alias("missed"))
+    folded = prototypes_v2(dated.filter(~missed).drop("__last"), "step", "step", state=state)
+    both = folded.join(known.select("cls", "late"), "cls", "left").join(late, "cls", "left")
+    return both.select("cls", "last_step", "prototype", (F.coalesce("late", F.lit(0)) + F.coalesce("missed", F.lit(0))).cast("long").alias("late"))
 
 
 def step_prototype_stream(spark: SparkSession, rows: DataFrame, warmup: int = 0, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Prototypes with step-dependent momentum from a stream of ``(cls, step, feature)`` rows, and how many rows came late.
 
-    The fold of a class is ordered, so it is keyed state, and one task sees the
-    rows a class has in a micro-batch: limit micro-batches at the source (such
-    as ``maxFilesPerTrigger``). With ``out`` and ``checkpoint`` another call
-    goes on where the last one ended; without them the run stands alone.
+    Steps never go back from one micro-batch to the next; a row below the last
+    step of its class is not folded in the wrong place but counted as late. A
+    micro-batch is folded by ``prototypes_v2`` on the state of its classes, so a
+    hot class is no bottleneck, and what changed is appended. Rows of equal class and step are folded in any fixed order.
+    With ``out`` and ``checkpoint`` another call goes on where the last one
+    ended; without them the run stands alone.
     """
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
     out, checkpoint = out or scratch_path(spark, "step-prototypes"), checkpoint or scratch_path(spark, "step-prototypes-checkpoint")
+    state = VersionedState(spark, out, STEP_STATE, ["cls"])
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    try:
-        keyed = rows.filter("cls >= 0").withColumn("cls_key", F.col("cls").cast("string"))
-        folded = keyed.groupBy("cls_key").transformWithStateInPandas(
-            statefulProcessor=OrderedFold(warmup), outputStructType=STEP_STATE, outputMode="Update", timeMode="None"
-        )
-        query = folded.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    written = spark.read.schema(STEP_STATE + ", batch long").parquet(out)
-    latest = written.groupBy("cls").agg(F.max_by(F.struct("last_step", "prototype", "late"), "batch").alias("s"))
-    return latest.select("cls", "s.last_step", "s.prototype", "s.late")
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        clean = batch.filter("cls >= 0").select("cls", F.col("step").cast("long").alias("step"), "feature")
+        known = state.before(batch_id).join(clean.select("cls").distinct(), "cls", "left_semi")
+        state.write(merge_steps(known, clean, warmup), batch_id)
+
+    query = rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return state.latest()

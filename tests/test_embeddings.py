@@ -168,6 +168,55 @@ def test_second_prototypes_can_be_continued(spark):
         assert np.linalg.norm(whole[c]["prototype"]) == pytest.approx(1.0)
 
 
+def _plain_fold(steps, rows):
+    state = None
+    for step, row in zip(steps, rows):
+        row = row / np.linalg.norm(row)
+        m = pr.momentum_at(float(step))
+        state = row if state is None else m * state + (1 - m) * row
+        state = state / np.linalg.norm(state)
+    return state
+
+
+def _opposing(n, rng):
+    """Rows that keep a wide angle to the prototype of momentum one half, so that errors grow by a few hundredths a row."""
+    state = np.array([1.0, 0.0, 0.0, 0.0])
+    rows = [state]
+    for _ in range(n - 1):
+        aside = rng.normal(size=4)
+        aside -= (aside @ state) * state
+        row = np.cos(2.15) * state + np.sin(2.15) * aside / np.linalg.norm(aside)
+        rows.append(row)
+        state = (state + row) / np.linalg.norm(state + row)
+    return np.array(rows)
+
+
+@pytest.mark.parametrize("segment, warm, repeats", [(40, 15, 3), (100, 60, 3), (37, 5, 0), (4096, 448, 3)])
+def test_parallel_fold_equals_the_ordered_one(spark, segment, warm, repeats):
+    rng = np.random.default_rng(8)
+    opposing, hot = _opposing(250, rng), rng.normal(size=(900, 4)) + 0.3
+    rows = [(0, 0, f"{i}", r.tolist()) for i, r in enumerate(opposing)] + [(1, 6000 + i, "x", r.tolist()) for i, r in enumerate(hot)] + [(2, 5, "a", [0.0, 3.0, 0.0, 4.0]), (-1, 1, "b", [1.0] * 4)]
+    df = spark.createDataFrame(rows, "cls int, step long, id string, feature array<double>").repartition(5)
+    got = {r["cls"]: r for r in pr.prototypes_v2(df, "step", "id", segment_rows=segment, warm_rows=warm, repeats=repeats).collect()}
+    want = {0: _plain_fold([0] * 250, opposing), 1: _plain_fold(range(6000, 6900), hot), 2: np.array([0.0, 0.6, 0.0, 0.8])}
+    assert set(got) == set(want)
+    for c in want:
+        assert np.allclose(got[c]["prototype"], want[c], atol=1e-9, rtol=0)
+    assert got[1]["last_step"] == 6899 and got[2]["last_step"] == 5
+
+
+def test_seams_tell_segments_that_need_their_start(spark):
+    schema = "cls int, seg long, start array<double>, end array<double>, gain double, last_step long"
+    ends = [
+        (0, 0, None, [1.0, 0.0], 0.0, 1), (0, 1, [1.0, 0.0], [0.0, 1.0], 9.0, 2),  # equal: closed whatever the gain
+        (1, 0, None, [1.0, 0.0], 0.0, 1), (1, 1, [1.0, 1e-9], [0.0, 1.0], -20.0, 2),  # near, and forgotten
+        (2, 0, None, [1.0, 0.0], 0.0, 1), (2, 1, [1.0, 1e-9], [0.0, 1.0], 0.5, 2),  # near, and grows
+        (3, 0, None, [1.0, 0.0], 0.0, 1), (3, 1, [0.0, 1.0], [0.0, 1.0], -90.0, 2),  # far: the gain says nothing
+        (4, 0, None, [1.0, 0.0], 0.0, 1), (4, 1, [1.0, 1e-9], [0.0, 1.0], float("inf"), 2),
+    ]
+    assert sorted(r["cls"] for r in pr._open_seams(spark.createDataFrame(ends, schema)).collect()) == [2, 3, 4]
+
+
 def test_agreement_with_a_table_beyond_the_bound(spark, clusters, monkeypatch):
     x, y, _ = clusters
     df = table(spark, x, np.arange(90) % 4 - 1)

@@ -131,3 +131,26 @@ def test_point_sets_are_aligned_with_translation(spark):
     for s, (turn, shift) in want.items():
         assert np.allclose(np.array(got[s]["rotation"]).reshape(3, 3), turn, atol=1e-6) and np.allclose(got[s]["translation"], shift, rtol=1e-6) and got[s]["rmsd"] < 1e-3
     assert got[9]["n"] == 1 and got[9]["rmsd"] == 0.0
+
+
+def test_eigenvectors_in_columns(spark):
+    """Random, equal, double, flat, zero, tiny and huge matrices; values fall, axes are right-handed and rebuild the matrix."""
+    from motefield.functions.eigen import symmetric_eigen
+
+    rng = np.random.default_rng(12)
+    mats = [m + m.T for m in rng.normal(size=(40, 3, 3))]
+    turns = [np.linalg.qr(m)[0] for m in rng.normal(size=(12, 3, 3))]
+    shapes = [(2, 2, 1), (3, 1, 1), (1, 1, 1), (1, 0, 0), (1, 1, 0), (0, 0, 0), (5, 5 - 1e-9, 1), (1e-12, 0, 0), (1e12, 1, 1e-3), (1, -1, 0), (-1, -1, -2), (2, 1, 1 - 1e-13)]
+    mats += [t @ np.diag(d) @ t.T for t, d in zip(turns, shapes)] + [np.diag(d).astype(float) for d in shapes]
+    cells = [tuple(float(m[i, j]) for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))) for m in mats]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)] + [(-1, None, 0.0, 0.0, 1.0, 0.0, 1.0)], "id int, xx double, xy double, xz double, yy double, yz double, zz double")
+    rows = {r["id"]: r for r in symmetric_eigen(df).collect()}
+    assert rows[-1]["eigenvalues"] is None and rows[-1]["axes"] is None
+    for i, (xx, xy, xz, yy, yz, zz) in enumerate(cells):
+        m = np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]])
+        size = max(np.abs(m).max(), 1e-300)
+        values, axes = np.array(rows[i]["eigenvalues"]), np.array(rows[i]["axes"]).reshape(3, 3)
+        assert np.allclose(values / size, np.linalg.eigvalsh(m)[::-1] / size, atol=1e-9)
+        assert np.allclose(axes @ axes.T, np.eye(3), atol=1e-9) and np.linalg.det(axes) > 0
+        assert np.allclose(axes @ np.diag(values) @ axes.T / size, m / size, atol=1e-9)
+        assert all(axes[np.abs(axes[:, k]).argmax(), k] > 0 for k in (0, 1))

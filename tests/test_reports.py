@@ -97,6 +97,45 @@ def test_regression_beats_the_share_of_the_largest_class(spark):
     assert cl.spread_over_folds(cl.fold_accuracy(cl.predictions(scores)), "accuracy").first()["mean_accuracy"] > 0.85
 
 
+def _labelled(spark, n, folds, seed=6):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 4, n)
+    x = rng.normal(size=(n, 5)) * [1, 10, 0.1, 1, 1] + np.eye(4, 5)[y] * 1.5 + [0, 100, 0, 0, 0]
+    rows = [(i, int(i % folds), f"c{c}", [float(v) for v in r]) for i, (r, c) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "id int, fold int, cls string, feature array<double>").repartition(4)
+
+
+def test_common_solver_finds_each_folds_optimum(spark):
+    """The probabilities of Spark's own classifier, fitted fold by fold, and a gradient of zero."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    df = _labelled(spark, 240, 3)
+    got = {(r["fold"], r["id"], r["class"]): r["score"] for r in cl.fit_predict_folds(df).collect()}
+    assert len(got) == 240 * 4
+    for r in cl.fold_scalers(df).collect():
+        scaled = cl.scaled(F.col("feature"), F.array(*map(F.lit, r["mean"])), F.array(*map(F.lit, r["std"])))
+        rows = df.select("id", "fold", array_to_vector(scaled).alias("features"), F.substring("cls", 2, 1).cast("double").alias("label"))
+        model = LogisticRegression(family="multinomial", regParam=1.0 / 160, standardization=False, maxIter=1000, tol=1e-12).fit(rows.filter(F.col("fold") != r["fold"]))
+        for row in model.transform(rows.filter(F.col("fold") == r["fold"])).select("id", vector_to_array("probability").alias("p")).collect():
+            assert [got[r["fold"], row["id"], f"c{k}"] for k in range(4)] == pytest.approx(row["p"], abs=1e-5)
+    residual = cl.stationarity(df).agg(F.max(F.abs("residual")).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    assert residual["m"] < 1e-3 and residual["n"] == 3 * 4 * 5
+
+
+def test_passes_do_not_grow_with_the_folds(spark):
+    from motefield.operators.logistic import fit_all_folds
+
+    def passes(folds):
+        df = _labelled(spark, 300, folds)
+        scalers = {r["fold"]: (np.array(r["mean"]), np.array(r["std"])) for r in cl.fold_scalers(df).collect()}
+        rows = df.select(F.col("fold").alias("f"), F.substring("cls", 2, 1).cast("int").alias("y"), F.col("feature").alias("x"))
+        return fit_all_folds(rows, [scalers[f] for f in range(folds)], 4)[1]
+
+    few, many = passes(2), passes(10)
+    assert many <= 1.5 * few and many < 120
+
+
 def test_ttest_of_equal_and_shifted_series(spark):
     def series(values):
         return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "fold int, map double")
@@ -247,3 +286,50 @@ def test_step_prototype_stream_counts_late_rows_and_restarts(spark):
     last = add_and_run(rows[40:])
     want = {r["cls"]: r for r in pr.prototypes_v2(spark.createDataFrame(rows[20:], schema), "step", "step", warmup=5).collect()}
     assert all(np.allclose(last[c]["prototype"], want[c]["prototype"]) for c in want)
+
+
+def test_versioned_state_reads_the_newest_rows_and_compacts(spark):
+    from motefield.streaming.state import VersionedState
+
+    rng = np.random.default_rng(2)
+    path = scratch_path(spark, "versioned")
+    state, want = VersionedState(spark, path, "k int, v double", ["k"], every=3), {}
+    for batch in range(8):
+        before = {r["k"]: r["v"] for r in state.before(batch).collect()}
+        assert before == want
+        changed = {int(k): float(rng.normal()) for k in rng.choice(20, 4, replace=False)}
+        for _ in range(2 if batch in (2, 4) else 1):  # a batch that is repeated finds and writes the same
+            assert {r["k"]: r["v"] for r in state.before(batch).collect()} == want
+            state.write(spark.createDataFrame(list(changed.items()), "k int, v double"), batch)
+        want |= changed
+        assert spark.read.parquet(f"{path}/changes/batch={batch}").count() == 4  # what changed, not what there is
+    assert {r["k"]: r["v"] for r in state.latest().collect()} == want and len(want) > 8
+    assert state.next_batch() == 8 and VersionedState(spark, scratch_path(spark, "none"), "k int, v double", ["k"]).latest().count() == 0
+
+
+def test_stream_killed_between_write_and_commit(spark, monkeypatch):
+    from motefield.streaming.state import VersionedState
+
+    rows = [("2024-01-01 00:00:00", 1, "loss", 1.0), ("2024-01-01 01:00:00", 2, "loss", 2.0), ("2024-01-02 00:00:00", 3, "loss", 3.0), ("2024-01-01 02:00:00", 0, "loss", 9.0)]
+    schema = "ts timestamp, step long, key string, value double"
+    path, out, check = (scratch_path(spark, n) for n in ("killed", "killed-out", "killed-check"))
+
+    def add_and_run(part):
+        if part:
+            spark.createDataFrame(part, "ts string, step long, key string, value double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(path)
+        return epoch_metric_stream(spark, spark.readStream.schema(schema).parquet(path), out, check)
+
+    add_and_run(rows[:2])
+    write = VersionedState.write
+
+    def dying(self, changed, batch):
+        write(self, changed, batch)
+        raise RuntimeError("killed after the write")
+
+    monkeypatch.setattr(VersionedState, "write", dying)
+    with pytest.raises(Exception):  # noqa: B017  the stream's own error
+        add_and_run(rows[2:])
+    monkeypatch.setattr(VersionedState, "write", write)
+    got = sorted((r["step"], r["value"]) for r in add_and_run([]).collect())
+    want = sorted((r["step"], r["value"]) for r in last_per_epoch(spark.read.parquet(path).select(F.unix_date(F.to_date("ts")).alias("epoch"), "key", "step", "value")).collect())
+    assert got == want and len(got) == 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -128,6 +130,58 @@ def test_nearest_pick_is_exact_far_away_and_crowded(spark):
         assert got.loc[i, "pick_id"] == d[i].argmin()
 
 
+@pytest.mark.parametrize("tile_rows, boxes, cell", [(40, 1 << 18, None), (25, 0, None), (70_000, 1 << 18, 0.5), (16, 10, 30.0)])
+def test_nearest_pick_by_tiles(spark, tile_rows, boxes, cell):
+    """Crowds, far points, ties, a line, one place repeated, and coordinates that are no numbers."""
+    rng = np.random.default_rng(9)
+    nan, inf = float("nan"), float("inf")
+    clouds = [np.r_[rng.normal(0, 0.1, (200, 3)), rng.uniform(-50, 50, (60, 3))], np.c_[np.arange(80.0), np.zeros(80), np.zeros(80)], np.zeros((30, 3)), rng.integers(0, 4, (300, 3)).astype(float)]
+    picks = [(run, 1000 * run + i, *p.tolist()) for run, cloud in enumerate(clouds) for i, p in enumerate(cloud)] + [(9, 1, nan, 0.0, 0.0), (8, 2, inf, 0.0, 0.0), (None, 3, 0.0, 0.0, 0.0), (0, 99_999, None, 0.0, 0.0)]
+    points = [(run, 1000 * run + i, *p.tolist()) for run in range(4) for i, p in enumerate(np.r_[rng.normal(0, 2, (30, 3)), rng.uniform(-300, 300, (15, 3)), rng.integers(0, 4, (15, 3)), [[0, 0, 0]]])]
+    points += [(7, 1, 0.0, 0.0, 0.0), (0, 90_000, nan, 0.0, 0.0), (0, 90_001, None, 0.0, 0.0), (None, 5, 0.0, 0.0, 0.0)]
+    frames = [spark.createDataFrame(rows, f"run int, {name} long, x double, y double, z double") for rows, name in ((points, "point_id"), (picks, "pick_id"))]
+    got = {(r["run"], r["point_id"]): (r["pick_id"], r["distance"]) for r in jo.nearest_pick(*frames, cell=cell, block_rows=20, tile_rows=tile_rows, boxes=boxes).collect()}
+    want = {}
+    for run, cloud in enumerate(clouds):
+        for r, i, *p in points[: 61 * 4]:
+            if r == run:
+                d2 = ((np.array(p)[None, :] - cloud) ** 2)[:, 0] + ((np.array(p)[None, :] - cloud) ** 2)[:, 1] + ((np.array(p)[None, :] - cloud) ** 2)[:, 2]
+                want[run, i] = (1000 * run + int(d2.argmin()), float(np.sqrt(d2.min())))
+    assert got == want
+
+
+def test_boxes_are_cut_where_the_chunks_lie(spark):
+    """A bucketed store is joined without an exchange of its voxels, small lists without one at all."""
+    rng = np.random.default_rng(3)
+    tomogram = rng.normal(size=(16, 16, 16))
+    chunks = [(0, z, y, x, [float(v) for v in tomogram[z * 8 : z * 8 + 8, y * 8 : y * 8 + 8, x * 8 : x * 8 + 8].ravel()]) for z in range(2) for y in range(2) for x in range(2)]
+    chunk_df = spark.createDataFrame(chunks, "run int, cz int, cy int, cx int, data array<double>")
+    size = spark.createDataFrame([(0, 16, 16, 16)], "run int, nz int, ny int, nx int")
+    picks = spark.createDataFrame([(0, i, *[int(c) for c in p]) for i, p in enumerate(rng.integers(3, 13, (200, 3)))], "run int, pick_id long, vz int, vy int, vx int")
+    want = {r["pick_id"]: r["data"] for r in jo.extract_boxes(picks, size, chunk_df, 6, 8).collect()}
+    assert len(want) == 200 and all(np.array_equal(want[r["pick_id"]], tomogram[r["vz"] - 3 : r["vz"] + 3, r["vy"] - 3 : r["vy"] + 3, r["vx"] - 3 : r["vx"] + 3].ravel()) for r in picks.collect())
+    store = jo.write_chunk_store(chunk_df, f"chunks_{uuid.uuid4().hex}", 4)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = jo.extract_boxes(picks, size, store, 6, 8)
+        text = plan(cut)
+        assert "Bucketed: true" in text and "SortMergeJoin" in text
+        scan = next(i for i, line in enumerate(text.split("\n")) if "Bucketed: true" in line)
+        above = text.split("\n")[:scan]
+        join = max(i for i, line in enumerate(above) if "SortMergeJoin" in line)
+        side = [line for line in above[join:] if "Exchange" in line]
+        assert len(side) <= 1  # the lists', not the store's
+        assert {r["pick_id"]: r["data"] for r in cut.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan(jo.extract_boxes(picks, size, chunk_df, 6, 8))
+
+
 def test_rendered_splats_match_a_plain_sum(spark):
     rng = np.random.default_rng(6)
     frame = pd.DataFrame({"set_id": np.repeat([0, 1], 5), "splat_id": np.tile(np.arange(5), 2), "w": rng.random(10), "sigma": 0.5 + rng.random(10), **{a: rng.uniform(0, 4, 10) for a in "xyz"}})
