@@ -156,3 +156,17 @@ def symmetric_eigen(df: DataFrame, cells: Sequence[str] = ("xx", "xy", "xz", "yy
     """Add ``eigenvalues`` and ``axes`` of the matrix in six columns (``eigen_of``)."""
     solved = df.withColumn("__eigen", eigen_of(*[F.col(c) for c in cells]))
     return solved.select(*df.columns, "__eigen.eigenvalues", "__eigen.axes")
+
+
+def symmetric_eigenvalues(df: DataFrame, cells: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Add the three eigenvalues alone, falling, by the cubic's trigonometric solution."""
+    xx, xy, xz, yy, yz, zz = (F.col(c) for c in cells)
+    out = df.withColumn("__q", (xx + yy + zz) / 3)
+    a, b, c = xx - F.col("__q"), yy - F.col("__q"), zz - F.col("__q")
+    out = out.withColumn("__p", F.sqrt((a * a + b * b + c * c + 2 * (xy * xy + xz * xz + yz * yz)) / 6))
+    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
+    p = F.col("__p")
+    half = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(det, 2 * p * p * p), F.when(p.isNotNull(), F.lit(1.0)))))
+    out = out.withColumn("__turn", F.acos(half) / 3)
+    high, low = F.col("__q") + 2 * p * F.cos("__turn"), F.col("__q") + 2 * p * F.cos(F.col("__turn") + 2 * math.pi / 3)
+    return out.select(*df.columns, high.alias(names[0]), (3 * F.col("__q") - high - low).alias(names[1]), low.alias(names[2]))

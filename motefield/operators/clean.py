@@ -193,13 +193,16 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], col: str, shares: Sequ
     equal; nothing depends on ``ties``. A group without values has no rows.
     """
     keys = list(keys)
-    rows = _with_bits(df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("__v")), keys)
+    values = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("__v"))
     shift = 64 - FIRST_BITS
+    # A table of few rows is counted by its values at once, which is the last pass without the ones before it.
+    at_once = only_row(values.agg(F.count(F.lit(1)).alias("n")))["n"] <= few
+    rows = values if at_once else _with_bits(values, keys)
 
     def running(counts: DataFrame, within: list[str], order: str) -> Column:
         return F.sum("__n").over(Window.partitionBy(*(within or [F.lit(0)])).orderBy(order))
 
-    counts = rows.groupBy(*keys, F.shiftright("__b", shift).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = rows.groupBy(*keys, (F.col("__v") if at_once else F.shiftright("__b", shift)).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     total = F.sum("__n").over(Window.partitionBy(*(keys or [F.lit(0)])))
     counted = counts.select(*keys, "__p", "__n", running(counts, keys, "__p").alias("__upto"), total.alias("__total"))
     places = [(float(s), side, F.lit(float(s)) * (F.col("__total") - 1)) for s in shares for side in (0, 1)]
@@ -210,8 +213,12 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], col: str, shares: Sequ
     here = F.filter(wanted, lambda w: (w["at"] < F.col("__upto")) & (w["at"] >= F.col("__upto") - F.col("__n")))
     found = counted.withColumn("w", F.explode(here))
     carried = [*keys, "share", "side", "part", "__p", "__at", "__n"]
-    targets = written(found.select(*keys, "w.share", "w.side", "w.part", "__p", (F.col("w.at") - F.col("__upto") + F.col("__n")).alias("__at"), "__n"), "targets")
-    while True:
+    found = found.select(*keys, "w.share", "w.side", "w.part", "__p", (F.col("w.at") - F.col("__upto") + F.col("__n")).alias("__at"), "__n")
+    if at_once:
+        found = found.withColumn("__v", F.col("__p"))
+    else:
+        targets = written(found, "targets")
+    while not at_once:
         buckets = targets.select(*keys, "__p", "__n").distinct()
         left = only_row(buckets.agg(F.sum("__n").alias("n")))["n"] or 0
         below = 0 if left <= few else max(0, shift - MORE_BITS)

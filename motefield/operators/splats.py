@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motefield.functions.eigen import symmetric_eigen
+from motefield.functions.eigen import symmetric_eigen, symmetric_eigenvalues
 from motefield.operators.structures import pack_splats
 
 # Fewest points kept by both filters, default sphere radii and weight percentile, weight of a significant splat.
@@ -144,7 +144,7 @@ def structural_metrics(splats: DataFrame, keys: Sequence[str] = ("set_id",)) ->
     acylindricity m2 - m1, so both are at most zero.
     """
     kept = [*keys, "n", "w_sum", "cx", "cy", "cz"]
-    solved = symmetric_eigen(weighted_moments(splats, keys), _MOMENTS).select(*kept, *[F.get("eigenvalues", i).alias(f"m{i + 1}") for i in range(3)])
+    solved = symmetric_eigenvalues(weighted_moments(splats, keys), _MOMENTS, ("m1", "m2", "m3")).select(*kept, "m1", "m2", "m3")
     return solved.select(
         *kept, F.sqrt(F.greatest(F.col("m1") + F.col("m2") + F.col("m3"), F.lit(0.0))).alias("radius_of_gyration"), "m1", "m2", "m3",
         (F.col("m3") - (F.col("m1") + F.col("m2")) / 2).alias("asphericity"), (F.col("m2") - F.col("m1")).alias("acylindricity"),

@@ -135,7 +135,7 @@ def test_point_sets_are_aligned_with_translation(spark):
 
 def test_eigenvectors_in_columns(spark):
     """Random, equal, double, flat, zero, tiny and huge matrices; values fall, axes are right-handed and rebuild the matrix."""
-    from motefield.functions.eigen import symmetric_eigen
+    from motefield.functions.eigen import symmetric_eigen, symmetric_eigenvalues
 
     rng = np.random.default_rng(12)
     mats = [m + m.T for m in rng.normal(size=(40, 3, 3))]
@@ -146,11 +146,14 @@ def test_eigenvectors_in_columns(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)] + [(-1, None, 0.0, 0.0, 1.0, 0.0, 1.0)], "id int, xx double, xy double, xz double, yy double, yz double, zz double")
     rows = {r["id"]: r for r in symmetric_eigen(df).collect()}
     assert rows[-1]["eigenvalues"] is None and rows[-1]["axes"] is None
+    alone = {r["id"]: [r["a"], r["b"], r["c"]] for r in symmetric_eigenvalues(df, ("xx", "xy", "xz", "yy", "yz", "zz"), "abc").collect()}
+    assert alone[-1] == [None] * 3
     for i, (xx, xy, xz, yy, yz, zz) in enumerate(cells):
         m = np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]])
         size = max(np.abs(m).max(), 1e-300)
         values, axes = np.array(rows[i]["eigenvalues"]), np.array(rows[i]["axes"]).reshape(3, 3)
         assert np.allclose(values / size, np.linalg.eigvalsh(m)[::-1] / size, atol=1e-9)
+        assert np.allclose(np.array(alone[i]) / size, values / size, atol=1e-7)
         assert np.allclose(axes @ axes.T, np.eye(3), atol=1e-9) and np.linalg.det(axes) > 0
         assert np.allclose(axes @ np.diag(values) @ axes.T / size, m / size, atol=1e-9)
         assert all(axes[np.abs(axes[:, k]).argmax(), k] > 0 for k in (0, 1))

@@ -62,6 +62,28 @@ def test_exact_percentiles(skewed):
     assert len(got) == 20
 
 
+@pytest.mark.parametrize("few", [0, 40, 10_000])
+def test_percentiles_by_leading_bits(spark, few):
+    """Ties, nulls, both zeros, infinities, close values, negative ones, and one value alone; no bucket is finished early with few=0."""
+    rng = np.random.default_rng(4)
+    groups = {
+        "ties": [1.5] * 70 + [2.5] * 30, "zeros": [-0.0, 0.0, -0.0, 0.0, -1.0], "close": (1.0 + np.arange(200) * 2.0**-52).tolist(), "mixed": (rng.normal(size=300) * 10.0 ** rng.integers(-200, 200, 300)).tolist(),
+        "one": [-7.25], "ends": [float("-inf"), -1.0, 3.0, float("inf")], None: rng.normal(size=50).tolist(),
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("ties", None), ("none", None)]
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = exact_percentiles(spark.createDataFrame(rows, "k string, v double").repartition(7), ["k"], "v", shares, few=few).collect()
+    assert len(got) == len(groups) * len(shares)
+    for r in got:
+        ordered = sorted(groups[r["k"]])
+        place = r["share"] * (len(ordered) - 1)
+        low, part = ordered[int(place)], place - int(place)
+        want = low + part * (ordered[int(place) + 1] - low) if part else low
+        assert r["value"] == want or r["value"] == pytest.approx(want, rel=1e-12, nan_ok=True), r
+    whole = exact_percentiles(spark.createDataFrame([(0, 3.0), (1, float("nan")), (2, 1.0)], "i int, v double"), [], "v", [0.5, 1.0], few=few).orderBy("share").collect()
+    assert whole[0]["value"] == 3.0 and np.isnan(whole[1]["value"])
+
+
 def test_fill_forward(spark):
     rng = np.random.default_rng(1)
     frame = pd.DataFrame({"t": np.arange(200, dtype="int64"), "a": np.where(rng.random(200) < 0.05, rng.random(200), np.nan)})
