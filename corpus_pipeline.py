@@ -2,8 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 last return the columns of ``docs``. A row is named by a hash of its id, text
-and language, so stages also work on null and repeated ids: rows that agree in
-all of them are judged alike.
+and language, so stages also work on null and repeated ids and on ids of any
+type: rows that agree in all of them are judged alike. Whole texts are read,
+however long, and an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie in the perplexity band of their language."""
+    """Documents that pass the base rules and lie in the perplexity band of their language; null and empty texts have too few words and go."""
     ship_package(spark)
     keyed = _keyed(docs)
     verdict = quality(keyed, id_col=_KEY)
@@ -40,7 +41,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of recurring templates; one of which no line is left goes, its lines stand elsewhere."""
+    """Documents without lines of recurring templates; one of which no line is left goes, its lines stand elsewhere.
+
+    A null or empty text has nothing to lose and stays; of rows without an id each text is a document.
+    """
     ship_package(spark)
     left = drop_recurring_lines(docs, min_docs=3)
     empty = (F.size("dropped_lines") > 0) & (F.size("dropped_lines") == F.col("n_lines"))
@@ -48,7 +52,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of near-duplicates the row of least id; of repeated rows one."""
+    """Of every class of near-duplicates the row of least id, a null id last; of repeated rows one. Null and empty texts are classes of their own."""
     ship_package(spark)
     keyed = _keyed(docs)
     classes = near_duplicates(keyed, id_col=_KEY).distinct()
@@ -58,13 +62,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced."""
+    """All documents, secrets in their texts replaced; null and empty texts stay as they are."""
     ship_package(spark)
     return _sized(redacted(docs, scan(docs))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place of every document in the batches of its length bucket."""
+    """Place of every document in the batches of its length bucket; null and empty texts have length 0, longer ones than a bucket are cut into segments."""
     ship_package(spark)
     return pack(docs, token_count(F.col("text")))
 
