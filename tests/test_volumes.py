@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -86,6 +87,26 @@ def test_curve_with_one_shell_and_all_above(spark):
     assert got == pytest.approx({1: 80.0, 2: 40.0, 3: 80.0, 4: 60.0, 5: 40.0})
 
 
+def test_augmented_volumes_follow_plan_and_seed(spark):
+    """Turn, noise by the seed of the volume, contrast and brightness, one after the other; the noise has the planned deviation."""
+    rng = np.random.default_rng(31)
+    volumes = rng.normal(3.0, 2.0, size=(6, 12, 12, 12))
+    df = packed(spark, volumes)
+    config = {"noise_prob": 1.0, "contrast_prob": 0.5, "rotation_prob": 0.7}
+    plan = {r["vol"]: r for r in ops.augment_plan(df.select("vol"), 5, **config).collect()}
+    got = {r["vol"]: np.asarray(r["data"]).reshape(r["shape"]) for r in ops.augment(df, 5, **config).collect()}
+    assert set(got) == set(range(6)) and any(plan[i]["turns"] for i in plan) and all(plan[i]["noise"] > 0 for i in plan)
+    for i, volume in enumerate(volumes):
+        p = plan[i]
+        turned = np.rot90(volume, k=p["turns"], axes=(0, 1))
+        source = np.random.Generator(np.random.Philox(int.from_bytes(hashlib.md5(f"{i}|5".encode()).digest()[:8], "big")))
+        noise = source.normal(0.0, p["noise"] * volume.std(), volume.shape)
+        noisy = turned + noise
+        want = p["contrast"] * (noisy - noisy.mean()) + noisy.mean() + p["brightness"] * noisy.std()
+        assert np.allclose(got[i], want, atol=1e-12)
+        assert noise.std() == pytest.approx(p["noise"] * volume.std(), rel=0.08)
+
+
 def test_constant_pair_has_no_correlation(spark, cubes):
     df = packed(spark, [cubes[1]], "data_a").join(packed(spark, [cubes[0]], "data_b").drop("shape"), "vol")
     assert vm.pair_metrics(df).first()["correlation"] == 0.0
