@@ -7,6 +7,8 @@ template: the tail is cut into five blocks, and a line belongs to the five
 templates that put a wildcard in place of one block. A template is the hash of
 its path, and the leaf is never held in one place: counting the documents of
 each template is a plain aggregation, added up in each task before rows move.
+A long line recurs from its second document on; a short one, which documents
+may share by chance, needs more.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from motefield.session import written
 DEPTH = 3
 BLOCKS = 5
 #: Lines with fewer tokens belong to no template.
-LEAST_TOKENS = 4
-#: Lines with fewer tokens have no wildcard but variable fields.
+LEAST_TOKENS = 2
+#: Lines with fewer tokens belong to one only if they have no variable field.
+MASKED_TOKENS = 4
+#: Lines with fewer tokens have no wildcard but variable fields; the others are long.
 WILD_TOKENS = 10
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -35,6 +39,11 @@ def tokens_of(lines: Column) -> Column:
     return F.transform(masked, lambda x: F.split(x, " "))
 
 
+def is_long(line: Column) -> Column:
+    """Whether a line has tokens enough for wildcards."""
+    return F.size(F.split(F.trim(F.regexp_replace(line, _SPACE, " ")), " ")) >= WILD_TOKENS
+
+
 def _joined(hashes: Column, start: Column, length: Column) -> Column:
     return F.aggregate(F.slice(hashes, start, length), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
 
@@ -56,12 +65,14 @@ def _templates(part: Column) -> Column:
         return F.xxhash64(F.lit(i), n, head, rest)
 
     none = F.array().cast("array<bigint>")
-    return F.when(n < LEAST_TOKENS, none).when(n < WILD_TOKENS, F.array(wild(-1))).otherwise(F.array(*[wild(i) for i in range(BLOCKS)]))
+    long = F.array(*[wild(i).bitwiseOR(F.lit(1)) for i in range(BLOCKS)])
+    return F.when(n < LEAST_TOKENS, none).when(n < WILD_TOKENS, F.array(wild(-1).bitwiseAND(F.lit(-2)))).otherwise(long)
 
 
 def line_templates(lines: Column) -> Column:
-    """For each line the hashes of its templates. A token is hashed once, with its place; blocks are joined by exclusive or."""
-    hashed = F.transform(tokens_of(lines), lambda t: F.transform(t, lambda x, j: F.xxhash64(j, x)))
+    """For each line the hashes of its templates, odd ones for long lines. A token is hashed once, with its place; blocks are joined by exclusive or."""
+    parsed = F.transform(tokens_of(lines), lambda t: F.when((F.size(t) < MASKED_TOKENS) & F.array_contains(t, "<*>"), F.slice(t, 1, 0)).otherwise(t))
+    hashed = F.transform(parsed, lambda t: F.transform(t, lambda x, j: F.xxhash64(j, x)))
     return F.transform(F.transform(hashed, _parts), _templates)
 
 
@@ -74,14 +85,15 @@ def _row_key(df: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
     return {"__id": F.coalesce(F.concat(F.lit("1"), F.col(id_col).cast("string")), F.concat(F.lit("0"), F.hex(text))), "__sum": text}
 
 
-def drop_recurring_lines(df: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(df: DataFrame, min_docs: int = 3, long_docs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with recurring lines taken out of ``text``, plus ``n_lines`` and ``dropped_lines``.
 
     Lines are what stands between newlines. A line recurs if one of its
-    templates occurs in at least ``min_docs`` rows; it stays in the row of
-    smallest id among those and goes from all others. ``dropped_lines`` are the
-    0-based numbers of the lines taken out. Lines of fewer than four tokens
-    always stay. A null text stays null and has no lines, an empty text has one
+    templates occurs in at least ``min_docs`` rows, or ``long_docs`` if it has
+    ten tokens or more; it stays in the row of smallest id among those and goes
+    from all others. ``dropped_lines`` are the 0-based numbers of the lines
+    taken out. Lines of fewer than two tokens always stay, and so do lines of
+    two or three of which one has a digit. A null text stays null and has no lines, an empty text has one
     empty line. Rows of equal id are one document, and treated alike if they
     repeat the text too; ids may have any type, and each text without an id is
     a document of its own, before all others. Input columns named like the two
@@ -94,7 +106,7 @@ def drop_recurring_lines(df: DataFrame, min_docs: int = 3, id_col: str = "doc_id
     counted = (
         found.select("__id", F.explode(F.array_distinct(F.flatten("templates"))).alias("template"))
         .groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))
-        .filter(F.col("n") >= min_docs).select("template", "first")
+        .filter(F.col("n") >= F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, long_docs).otherwise(min_docs)).select("template", "first")
     )
     lines = found.select("__id", "__sum", F.posexplode("templates").alias("line", "t")).select("__id", "__sum", "line", F.explode("t").alias("template"))
     gone = (

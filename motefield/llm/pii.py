@@ -5,8 +5,9 @@ numbers found in the texts. How strongly a term reveals an entity is estimated
 from co-occurrence in the corpus: with ``p`` the share of documents, the
 pointwise mutual information ``log2 p(e, t) / (p(e) p(t))`` over the
 information ``-log2 p(e)`` of the entity. It is 1 if the term occurs with the
-entity only. A term near an entity is generalised above one threshold and
-removed above the next. All of it is DataFrame functions.
+entity only. Every occurrence of such a term in a text that holds the entity is
+generalised above one threshold and removed above the next. All of it is
+DataFrame functions.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motefield.llm.spans import disjoint, parts_of, replaced, row_key, term_counts, with_matches
+from motefield.llm.spans import disjoint, replaced, row_key, with_matches
 from motefield.session import only_row, written
 
 # The patterns of the contract, anchored and possessive so that long runs take linear time; the matches are the same.
@@ -28,9 +29,7 @@ KINDS = [*PATTERNS, "term"]
 _NEEDS = {"email": "@", "phone": "+", "ip": "."}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?!\p{N})"
-#: Code points on each side of an entity in which terms are judged, and code points of a cell of text.
-CONTEXT, CELL = 100, 256
-#: Documents in which a term and an entity meet at least.
+#: Texts in which a term and an entity meet at least; what stands in one text only says nothing about co-occurrence.
 SUPPORT = 2
 GENERALIZE, REMOVE = 0.7, 0.9
 
@@ -72,55 +71,64 @@ def find_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("__id", "__sum", "doc_id", "text", F.array_sort(F.concat(*[_named(F.col(k), k) for k in PATTERNS])).alias("entities"))
 
 
-def with_windows(found: DataFrame) -> DataFrame:
-    """``__id, __sum, doc_id, entities, windows, length``: the text within ``CONTEXT`` code points of each entity, and no more of it."""
+def masked(text: Column) -> Column:
+    """The text with the letters and digits of e-mail addresses as ``0``, so that no term is found in or across one. The other kinds hold no letters."""
+    gaps, hits = F.split(text, PATTERNS["email"], -1), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0))
+    joined = F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(F.regexp_replace(h, "[A-Za-z0-9]", "0"), F.lit("")))), "")
+    return F.when(text.contains("@"), joined).otherwise(text)
 
-    bounds = F.transform("entities", lambda e: F.struct(F.greatest(F.lit(0), e["start"] - CONTEXT).alias("begin"), (e["end"] + CONTEXT).alias("end")))
-    windows = F.zip_with(bounds, parts_of(F.col("text"), bounds), lambda b, w: F.struct(b["begin"], w.alias("window")))
-    some = F.when(F.size("entities") > 0, windows).otherwise(F.array().cast("array<struct<begin:int,window:string>>"))
-    return found.select("__id", "__sum", "doc_id", "entities", some.alias("windows"), F.length("text").alias("length"))
 
+def holder_terms(found: DataFrame) -> DataFrame:
+    """``(__id, __sum, term, start, end)``: every occurrence of a term in the texts that hold an entity; rows of equal id and text once."""
+    once = found.filter(F.size("entities") > 0).dropDuplicates(["__id", "__sum"]).select("__id", "__sum", "masked")
+    terms = with_matches(once, F.col("masked"), {"terms": TERM}).select("__id", "__sum", F.explode("terms").alias("t"))
+    return terms.select("__id", "__sum", F.lower("t.value").alias("term"), "t.start", "t.end")
 
-def _cells(begin: Column, end: Column) -> Column:
-    return F.explode(F.sequence(F.floor(begin / CELL), F.floor((end - 1) / CELL))).alias("cell")
 
+def _classes(members: DataFrame, name: str, size: str, own: Column, support: int) -> DataFrame:
+    """``(name, size, class)`` of what occurs in ``support`` texts at least: members of the same texts and size are one class.
 
-def context_terms(found: DataFrame) -> DataFrame:
-    """``(__id, __sum, entity, term, start, end)``: terms within ``CONTEXT`` code points of an entity; rows of equal id and text once.
-
-    Terms that overlap an entity, or that the edge of the context may have cut, don't count. A window meets only the
-    entities of the cells of text it covers, so the work follows the number of entities, not its square.
+    What stands in the same texts meets everything equally often, so a list of
+    thousands of addresses, or the private words of a group of copies, count once.
     """
-    keys = ["__id", "__sum"]
-    once = found.filter(F.size("entities") > 0).dropDuplicates(keys)
-    each = once.select(*keys, "length", F.posexplode(F.arrays_zip("entities", "windows")).alias("i", "x"))
-    each = each.select(*keys, "length", "i", F.col("x.entities.entity").alias("entity"), F.col("x.windows.begin").alias("begin"), F.col("x.windows.window").alias("window"))
-    covered = each.select(*keys, "i", _cells(F.col("begin"), F.col("begin") + F.length("window")))
-    spans = once.select(*keys, F.explode("entities").alias("e")).select(*keys, F.struct("e.start", "e.end").alias("span"), _cells(F.col("e.start"), F.col("e.end")))
-    local = covered.join(spans, [*keys, "cell"]).groupBy(*keys, "i").agg(F.collect_set("span").alias("local"))
-    terms = with_matches(each.join(local, [*keys, "i"]), F.col("window"), {"terms": TERM})
-    whole = F.filter(
-        "terms",
-        lambda t: ((t["start"] > 0) | (F.col("begin") == 0))
-        & ((t["end"] < F.length("window")) | (F.col("begin") + F.length("window") == F.col("length")))
-        & ~F.exists("local", lambda x: (x["start"] < t["end"] + F.col("begin")) & (x["end"] > t["start"] + F.col("begin"))),
-    )
-    near = terms.select(*keys, "entity", "begin", F.explode(whole).alias("t"))
-    return near.select(*keys, "entity", F.lower("t.value").alias("term"), (F.col("begin") + F.col("t.start")).alias("start"), (F.col("begin") + F.col("t.end")).alias("end"))
+    row = F.xxhash64("__id", "__sum")
+    grouped = members.groupBy(name).agg(F.count(F.lit(1)).alias("texts"), F.bit_xor(row).alias("a"), F.bit_xor(F.xxhash64(row, F.lit(1))).alias("b"), own.alias(size))
+    return grouped.filter(F.col("texts") >= support).select(name, size, F.xxhash64("texts", "a", "b", size).alias("class"))
 
 
-def disclosure(found: DataFrame, near: DataFrame, df: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """``(entity, term, disclosure)`` of terms that meet an entity in at least ``support`` documents."""
-    documents = only_row(df.agg(F.count(F.lit(1)).alias("n")))["n"]
-    # Rows of equal id and text are one document here; they are found together anyway.
-    joint = near.select("__id", "__sum", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
-    holders = found.select("__id", "__sum", F.explode(F.array_distinct(F.transform("entities", lambda x: x["entity"]))).alias("entity")).distinct()
-    entities = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    terms = term_counts(df, F.col(text_col), TERM).withColumnRenamed("n", "of_term")
-    met = joint.join(entities, "entity").join(terms, "term")
-    information = F.log2(F.lit(float(max(documents, 1))) / F.col("of_entity"))
-    mutual = F.log2(F.lit(float(max(documents, 1))) * F.col("both") / (F.col("of_entity") * F.col("of_term")))
-    return met.select("entity", "term", F.when(information > 0, mutual / information).otherwise(F.lit(0.0)).alias("disclosure"))
+def revealing_terms(found: DataFrame, occurrences: DataFrame, df: DataFrame, text_col: str, threshold: float, support: int = SUPPORT) -> DataFrame:
+    """``(__id, __sum, term, disclosure)``: terms of a text that reveal one of its entities by at least ``threshold``, with the greatest value.
+
+    Co-occurrence is counted over whole texts and classes of terms and entities.
+    As a term and an entity meet in no more texts than the entity has, a term of
+    more than ``N (of_entity / N) ** threshold`` texts can't reach the threshold;
+    such pairs are left out before they are counted, and no others.
+    """
+    keys = ["__id", "__sum"]
+    documents = float(max(only_row(df.agg(F.count(F.lit(1)).alias("n")))["n"], 1))
+    holders = found.select(*keys, F.explode(F.array_distinct(F.transform("entities", lambda x: x["entity"]))).alias("entity")).distinct()
+    entities = _classes(holders, "entity", "of_entity", F.count(F.lit(1)), support)
+    held = written(holders.join(entities, "entity").select(*keys, "of_entity", F.col("class").alias("entity_class")).distinct(), "held")
+    most = F.lit(documents) * F.pow(F.col("of_entity") / documents, F.lit(threshold)) * (1 + 1e-9)
+    widest = only_row(held.agg(F.max(most).alias("most")))["most"] or 0.0
+    counts = document_counts(df, F.col(text_col)).filter(F.col("n") <= widest)
+    within = occurrences.select(*keys, "term").distinct().join(counts, "term")
+    classes = _classes(within, "term", "of_term", F.first("n"), support)
+    terms = written(within.select(*keys, "term").join(classes, "term").select(*keys, "term", "of_term", F.col("class").alias("term_class")), "terms")
+    met = held.join(terms.select(*keys, "of_term", "term_class").distinct(), keys).filter(F.col("of_term") <= most)
+    information = F.log2(F.lit(documents) / F.col("of_entity"))
+    mutual = F.log2(F.lit(documents) * F.col("both") / (F.col("of_entity") * F.col("of_term")))
+    pairs = met.groupBy("entity_class", "term_class", "of_entity", "of_term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
+    risky = pairs.withColumn("disclosure", F.when(information > 0, mutual / information).otherwise(F.lit(0.0))).filter(F.col("disclosure") >= threshold)
+    marked = met.join(written(risky.select("entity_class", "term_class", "disclosure"), "risky"), ["entity_class", "term_class"])
+    marked = marked.groupBy(*keys, "term_class").agg(F.max("disclosure").alias("disclosure"))
+    return terms.join(marked, [*keys, "term_class"]).select(*keys, "term", "disclosure")
+
+
+def document_counts(df: DataFrame, text: Column) -> DataFrame:
+    """``(term, n)``: in how many rows each term stands outside addresses, over all rows."""
+    terms = F.array_distinct(F.transform(F.regexp_extract_all(masked(text), F.lit(TERM), F.lit(0)), F.lower))
+    return df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sanitize(
@@ -128,19 +136,21 @@ def sanitize(
 ) -> DataFrame:
     """``(__id, __sum, doc_id, entities, terms)`` of every row; apply with ``sanitized_text`` or read the spans.
 
-    ``entities`` are the personal data, ``terms`` the revealing terms near them
-    as ``struct(start, kind, end, action)`` with action ``generalize`` or
+    ``entities`` are the personal data, ``terms`` all occurrences, in the texts
+    that hold an entity, of the terms that reveal it, wherever they stand, as
+    ``struct(start, kind, end, action)`` with action ``generalize`` or
     ``remove``. A null text is empty and has neither; rows that repeat id and
     text have the same spans; a null id is an id like any other. Ties of
     disclosure with a threshold count as exceeding. An empty table gives no
     rows. Other columns are left out.
     """
-    found = written(with_windows(find_entities(df, id_col, text_col)), "entities")
-    near = written(context_terms(found), "near")
-    risky = disclosure(found, near, df, text_col, support).filter(F.col("disclosure") >= generalize)
+    entities = find_entities(df, id_col, text_col)
+    found = written(entities.select("__id", "__sum", "doc_id", "entities", F.when(F.size("entities") > 0, masked(F.col("text"))).alias("masked")), "entities")
+    occurrences = written(holder_terms(found), "occurrences")
+    risky = revealing_terms(found, occurrences, df, text_col, generalize, support)
     action = F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalize"))
-    marked = near.join(risky, ["entity", "term"]).groupBy("__id", "__sum", "start", "end").agg(F.max(action).alias("action"))
-    span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", "action")
+    marked = occurrences.join(risky, ["__id", "__sum", "term"])
+    span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", action.alias("action"))
     terms = marked.groupBy("__id", "__sum").agg(F.array_sort(F.collect_list(span)).alias("terms"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>")
     return found.join(terms, ["__id", "__sum"], "left").select("__id", "__sum", "doc_id", "entities", F.coalesce("terms", none).alias("terms"))

@@ -78,12 +78,13 @@ t AS (
     SELECT doc_id, text, n, line, list_transform(string_split(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), ' '),
         lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tok FROM l),
 k AS (
-    SELECT doc_id, text, n, line, CASE WHEN len(tok) < 4 THEN [] WHEN len(tok) < 10 THEN ['-1|' || array_to_string(tok, ' ')]
+    SELECT doc_id, text, n, line, CASE WHEN len(tok) < 2 OR (len(tok) < 4 AND list_contains(tok, '<*>')) THEN [] WHEN len(tok) < 10 THEN ['-1|' || array_to_string(tok, ' ')]
         ELSE list_transform(range(0, 5), lambda i: i || '|' || len(tok) || '|' || array_to_string(list_slice(tok, 1, 3), ' ') || '|'
             || array_to_string(list_slice(tok, 4, 3 + CAST(floor((len(tok) - 3) * i / 5) AS INTEGER)), ' ') || '|'
             || array_to_string(list_slice(tok, 4 + CAST(floor((len(tok) - 3) * (i + 1) / 5) AS INTEGER), len(tok)), ' ')) END AS keys FROM t),
 c AS (
-    SELECT key, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM (SELECT doc_id, unnest(keys) AS key FROM k) GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+    SELECT key, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM (SELECT doc_id, unnest(keys) AS key FROM k) GROUP BY key
+    HAVING count(DISTINCT doc_id) >= CASE WHEN starts_with(key, '-1|') THEN 3 ELSE 2 END),
 gone AS (
     SELECT DISTINCT doc_id, n FROM (SELECT doc_id, n, unnest(keys) AS key FROM k) JOIN c USING (key) WHERE doc_id <> first)
 SELECT k.doc_id, count(*) AS n_lines, count(gone.n) AS n_dropped,
@@ -93,7 +94,7 @@ FROM k LEFT JOIN gone ON k.doc_id = gone.doc_id AND k.n = gone.n GROUP BY k.doc_
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from motefield.llm.linededup import drop_recurring_lines
 
-    left = drop_recurring_lines(read_table(spark, sf_dir, "documents"), min_docs=3)
+    left = drop_recurring_lines(read_table(spark, sf_dir, "documents"), min_docs=3, long_docs=2)
     return left.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("dropped_lines").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -145,18 +146,17 @@ tu AS (SELECT doc_id, n, unnest(hits) AS v, unnest(list_transform(gaps[:len(hits
 tp AS (
     SELECT doc_id, n, v, CAST(sum(g) OVER w + sum(length(v)) OVER w - length(v) AS BIGINT) AS s FROM tu WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 tm AS (SELECT doc_id, n, lower(v) AS term, s, s + length(v) AS e FROM tp WHERE regexp_full_match(v, '\\p{L}{3,}')),
-nr AS (
-    SELECT ok.doc_id, ok.entity, tm.term, tm.s, tm.e FROM ok JOIN tm ON ok.doc_id = tm.doc_id
-    WHERE (tm.s > ok.s - 100 OR (ok.s <= 100 AND tm.s >= 0)) AND (tm.e < ok.e + 100 OR (ok.e + 100 >= tm.n AND tm.e <= tm.n))
-    AND NOT EXISTS (SELECT 1 FROM ok o2 WHERE o2.doc_id = tm.doc_id AND o2.s < tm.e AND o2.e > tm.s)),
-j AS (SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM nr GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2),
-oe AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM ok GROUP BY ALL),
-ot AS (SELECT term, count(DISTINCT doc_id) AS n_t FROM tm GROUP BY ALL),
+nr AS (SELECT * FROM tm WHERE NOT EXISTS (SELECT 1 FROM ok o2 WHERE o2.doc_id = tm.doc_id AND o2.s < tm.e AND o2.e > tm.s)),
+oh AS (SELECT DISTINCT doc_id, entity FROM ok),
+th AS (SELECT DISTINCT doc_id, term FROM nr),
+j AS (SELECT entity, term, count(*) AS n_both FROM oh JOIN th USING (doc_id) GROUP BY ALL HAVING count(*) >= 2),
+oe AS (SELECT entity, count(*) AS n_e FROM oh GROUP BY ALL),
+ot AS (SELECT term, count(*) AS n_t FROM th GROUP BY ALL),
 al AS (SELECT CAST(count(*) AS DOUBLE) AS n_all FROM d),
 rk AS (
     SELECT entity, term FROM j JOIN oe USING (entity) JOIN ot USING (term), al
     WHERE n_all > n_e AND log2(n_all * n_both / (n_e * n_t)) / log2(n_all / n_e) >= 0.7),
-st AS (SELECT DISTINCT doc_id, 'term' AS kind, 4 AS ord, s, e FROM nr JOIN rk USING (entity, term)),
+st AS (SELECT DISTINCT nr.doc_id, 'term' AS kind, 4 AS ord, s, e FROM nr JOIN rk USING (term) JOIN oh ON oh.doc_id = nr.doc_id AND oh.entity = rk.entity),
 sp AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans, count(*) FILTER (WHERE kind = 'term') AS n_terms
     FROM (SELECT doc_id, kind, ord, s, e FROM ok UNION ALL SELECT * FROM st) GROUP BY doc_id)
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card,

@@ -61,6 +61,23 @@ def test_revealing_terms(spark, odd, none):
     assert pii.sanitize(odd).count() == odd.count() and pii.sanitize(none).collect() == []
 
 
+def test_terms_far_from_an_entity_and_lists_of_addresses(spark):
+    """Whole texts count, every occurrence is marked, and lists that two texts share are judged as one."""
+    far = " ".join(["common words of a text"] * 60)
+    rows = [(i, f"{far} {i}") for i in range(60)]
+    rows += [(100 + i, f"Quagmire {far} quagmire ann@host.org {far} QUAGMIRE {i}") for i in range(2)]
+    rows += [(200 + i, " ".join(f"m{j}@list.org name{chr(97 + j % 26)}" for j in range(20_000)) + f" Bellwether{i * ' '} x") for i in range(2)]
+    spans = {r["doc_id"]: r for r in pii.sanitize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for i in (100, 101):
+        assert [texts[i][t["start"] : t["end"]] for t in spans[i]["terms"]] == ["Quagmire", "quagmire", "QUAGMIRE"]
+        assert {t["action"] for t in spans[i]["terms"]} == {"remove"}
+    for i in (200, 201):
+        found = [texts[i][t["start"] : t["end"]] for t in spans[i]["terms"]]
+        assert len(spans[i]["entities"]) == 20_000 and found.count("Bellwether") == 1 and len(found) == 20_001
+    assert all(spans[i]["terms"] == [] for i in range(60))
+
+
 def plain_top(rows, k):
     best = {}
     for i, v in rows:

@@ -69,6 +69,17 @@ def test_lines_of_templates(spark, odd, none):
     assert linededup.drop_recurring_lines(none).collect() == []
 
 
+def test_long_lines_of_two_documents_and_short_ones_of_three(spark):
+    passage = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}" for i in range(55))
+    changed = passage.replace("wordcl", "another")
+    rows = [
+        (1, f"{passage}\nShare this article"), (2, f"own\n{passage}\nShare this article"), (3, "Share this article\nPage 3"), (4, "Page 4\nPage 4\nfive words in two documents"),
+        (5, "Page 5\nfive words in two documents\nonly here and nowhere else as a line of more than ten tokens"), (6, changed),
+    ]
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "own", 3: "Page 3", 4: rows[3][1], 5: rows[4][1], 6: ""}
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=MODEL)
