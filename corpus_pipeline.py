@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motefield.llm.linededup import drop_recurring_lines
+from motefield.llm.linededup import drop_recurring_lines, is_long
 from motefield.llm.neardup import near_duplicates
 from motefield.llm.packing import pack, token_count
 from motefield.llm.quality import quality
 from motefield.llm.secrets import redacted, scan
 from motefield.session import ship_package, written
 
-_KEY = "__row"
+_KEY, _LENGTH = "__row", "__length"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -43,12 +43,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates; one of which no line is left goes, its lines stand elsewhere.
 
+    So does one that has lost all its long lines and over nine tenths of its length: what is left are the headings of a copy.
     A null or empty text has nothing to lose and stays; of rows without an id each text is a document.
     """
     ship_package(spark)
-    left = drop_recurring_lines(docs, min_docs=3)
-    empty = (F.size("dropped_lines") > 0) & (F.size("dropped_lines") == F.col("n_lines"))
-    return _sized(left.filter(~empty)).select(*docs.columns)
+    left = drop_recurring_lines(docs.withColumn(_LENGTH, F.length("text")), min_docs=3, long_docs=2)
+    lost = F.size("dropped_lines") > 0
+    rest = (10 * F.length("text") < F.col(_LENGTH)) & ~F.exists(F.split("text", "\n"), is_long)
+    gone = F.coalesce(lost & ((F.size("dropped_lines") == F.col("n_lines")) | rest), F.lit(False))
+    return _sized(left.filter(~gone)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
