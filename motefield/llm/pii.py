@@ -78,11 +78,11 @@ def masked(text: Column) -> Column:
     return F.when(text.contains("@"), joined).otherwise(text)
 
 
-def holder_terms(found: DataFrame) -> DataFrame:
-    """``(__id, __sum, term, start, end)``: every occurrence of a term in the texts that hold an entity; rows of equal id and text once."""
-    once = found.filter(F.size("entities") > 0).dropDuplicates(["__id", "__sum"]).select("__id", "__sum", "masked")
-    terms = with_matches(once, F.col("masked"), {"terms": TERM}).select("__id", "__sum", F.explode("terms").alias("t"))
-    return terms.select("__id", "__sum", F.lower("t.value").alias("term"), "t.start", "t.end")
+def with_terms(entities: DataFrame) -> DataFrame:
+    """``__id, __sum, doc_id, entities, words``: for texts that hold an entity every occurrence of a term, found where the text lies."""
+    holding = entities.withColumn("masked", F.when(F.size("entities") > 0, masked(F.col("text"))))
+    words = F.transform("words", lambda t: F.struct(F.lower(t["value"]).alias("term"), t["start"], t["end"]))
+    return with_matches(holding, F.col("masked"), {"words": TERM}).select("__id", "__sum", "doc_id", "entities", words.alias("words"))
 
 
 def _classes(members: DataFrame, name: str, size: str, own: Column, support: int) -> DataFrame:
@@ -144,14 +144,13 @@ def sanitize(
     disclosure with a threshold count as exceeding. An empty table gives no
     rows. Other columns are left out.
     """
-    entities = find_entities(df, id_col, text_col)
-    found = written(entities.select("__id", "__sum", "doc_id", "entities", F.when(F.size("entities") > 0, masked(F.col("text"))).alias("masked")), "entities")
-    occurrences = written(holder_terms(found), "occurrences")
+    found = written(with_terms(find_entities(df, id_col, text_col)), "entities")
+    occurrences = found.select("__id", "__sum", F.explode("words").alias("t")).select("__id", "__sum", "t.*")
     risky = revealing_terms(found, occurrences, df, text_col, generalize, support)
     action = F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalize"))
     marked = occurrences.join(risky, ["__id", "__sum", "term"])
     span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", action.alias("action"))
-    terms = marked.groupBy("__id", "__sum").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    terms = marked.groupBy("__id", "__sum").agg(F.array_sort(F.collect_set(span)).alias("terms"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>")
     return found.join(terms, ["__id", "__sum"], "left").select("__id", "__sum", "doc_id", "entities", F.coalesce("terms", none).alias("terms"))
 
