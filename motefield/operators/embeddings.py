@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from motefield.functions.tails import chi2_upper
 from motefield.functions.vectors import euclidean, let
-from motefield.operators.pairs import distances, map_block_pairs, map_with_table, stack
+from motefield.operators.pairs import CELLS, class_runs, class_sorted, distances, map_block_pairs, map_blocks, map_with_table, stack, strips
 from motefield.session import only_row, written
 
 
@@ -53,38 +53,63 @@ def davies_bouldin(df: DataFrame, vec_col: str = "feature", class_col: str = "cl
     return worst.agg(F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("davies_bouldin"))
 
 
+def distance_kernel(id_col: str, vec_col: str, class_col: str) -> Callable[[pd.DataFrame, pd.DataFrame, bool], Iterator[pd.DataFrame]]:
+    """Sums of two blocks for ``distance_sums``."""
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
+        left, l_names, l_first = class_sorted(left, class_col)
+        right, r_names, r_first = (left, l_names, l_first) if same else class_sorted(right, class_col)
+        x = stack(left[vec_col])
+        y = x if same else stack(right[vec_col])
+        width = max(1, CELLS // max(len(left), len(right)))
+        for l_run, l_rows in class_runs(l_first, len(left), width):
+            for r_run, r_rows in class_runs(r_first, len(right), width):
+                l_starts, r_starts = l_first[l_run] - l_rows.start, r_first[r_run] - r_rows.start
+                there, back = _tile_sums(x[l_rows], l_starts, y[r_rows], r_starts, both=not same)
+                sides = [(left, l_rows, r_names[r_run], np.diff(np.append(r_starts, r_rows.stop - r_rows.start)), there)]
+                if back is not None:
+                    sides.append((right, r_rows, l_names[l_run], np.diff(np.append(l_starts, l_rows.stop - l_rows.start)), back))
+                for rows, chosen, others, sizes, (s, q) in sides:
+                    ids, own = rows[id_col].to_numpy()[chosen], rows[class_col].to_numpy()[chosen]
+                    # A block that meets itself has every pair both ways, and every row with itself, at distance 0.
+                    n = sizes[None, :] - ((own[:, None] == others[None, :]) & same)
+                    r, c = np.nonzero(n)
+                    yield pd.DataFrame({"id": ids[r], "own": own[r], "other": others[c], "n": n[r, c].astype("int64"), "s": s[r, c], "q": q[r, c]})
+
+    return kernel
+
+
 def distance_sums(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
     """``(id, own, other, n, s, q)``: count, sum and sum of squares of the distances of each row to each class.
 
     The one all-pairs pass behind separation, silhouette and pairwise
-    diversity. A task adds up its strips, so a row leaves a block pair once for each class.
+    diversity. The rows of a block are sorted by class, and a task adds up its
+    strips in one array of rows and classes for each side, so a row leaves a
+    block pair once for each class and memory is that of two blocks, whatever their pairs.
     """
     id_type, kind = dict(df.dtypes)[id_col], dict(df.dtypes)[class_col]
 
-    def one_way(rows: pd.DataFrame, cols: pd.DataFrame, d: np.ndarray, used: np.ndarray) -> pd.DataFrame:
-        names, codes = np.unique(cols[class_col].to_numpy(), return_inverse=True)
-        hot = np.eye(len(names))[codes]
-        d = d * used
-        sums, squares, counts = d @ hot, (d * d) @ hot, used.astype(float) @ hot
-        r, c = np.nonzero(counts)
-        return pd.DataFrame({
-            "id": rows[id_col].to_numpy()[r], "own": rows[class_col].to_numpy()[r], "other": names[c],
-            "n": counts[r, c].astype("int64"), "s": sums[r, c], "q": squares[r, c],
-        })
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, keep: np.ndarray | None) -> pd.DataFrame:
-        d = distances(stack(left[vec_col]), stack(right[vec_col]))
-        used = np.ones(d.shape, bool) if keep is None else keep
-        return pd.concat([one_way(left, right, d, used), one_way(right, left, d.T, used.T)], ignore_index=True)
-
-    def combine(parts: pd.DataFrame) -> pd.DataFrame:
-        return parts.groupby(["id", "own", "other"], as_index=False, sort=False)[["n", "s", "q"]].sum()
-
     schema = f"id {id_type}, own {kind}, other {kind}, n long, s double, q double"
-    sums = map_block_pairs(df, id_col, [vec_col, class_col], kernel, schema, combine=combine)
+    sums = map_blocks(df, id_col, [vec_col, class_col], distance_kernel(id_col, vec_col, class_col), schema)
     return sums.groupBy("id", "own", "other").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
 
 
+def _tile_sums(x: np.ndarray, x_starts: np.ndarray, y: np.ndarray, y_starts: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Sums of distances and of their squares of each row of ``x`` by class of ``y``, and of ``y`` by class of ``x`` if ``both``."""
+    there, back = np.zeros((2, len(x), len(y_starts))), np.zeros((2, len(x_starts), len(y))) if both else None
+    code = np.repeat(np.arange(len(x_starts)), np.diff(np.append(x_starts, len(x))))
+    for part, _ in strips(len(x), len(y), False):
+        d = distances(x[part], y)
+        own = code[part]
+        for i, value in enumerate((d, d * d)):
+            there[i, part] = np.add.reduceat(value, y_starts, axis=1)
+            if both:
+                cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
+                for lo, hi in zip(cuts[:-1], cuts[1:]):
+                    back[i, own[lo]] += value[lo:hi].sum(axis=0)
+    return there, None if back is None else back.transpose(0, 2, 1)
+
+
 def cosine_sums(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
     """``(id, own, other, n, s)`` of cosine distances without any pair: a row against the sum of the unit rows of each class."""
     kind = dict(df.dtypes)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from motefield.functions.tails import chi2_upper, incomplete_beta, t_quantile, t_two_sided
 from motefield.operators import embeddings as ops
+from motefield.operators import joins as jo
+from motefield.operators import pairs
 from motefield.operators import prototypes as pr
 from motefield.operators import similarity as sim
 from motefield.operators.pairs import map_with_table, small_table
@@ -226,3 +229,45 @@ def test_agreement_with_a_table_beyond_the_bound(spark, clusters, monkeypatch):
     far = {(r["c1"], r["c2"]): (r["n_pairs"], r["mean_l1"]) for r in sim.affinity_agreement(df, aff).collect()}
     assert set(near) == set(far) and len(near) == 10
     assert all(near[k][0] == far[k][0] and near[k][1] == pytest.approx(far[k][1]) for k in near)
+
+
+def test_block_pairs_send_strips_and_small_sums():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    x[200:] = x[:100]
+    left, right = (pd.DataFrame({"id": ids, "cls": ids % 3, "feature": list(x[ids])}) for ids in (np.arange(150), np.arange(150, 300)))
+    frames = list(ops.distance_kernel("id", "feature", "cls")(left, right, False))
+    assert sum(len(f) for f in frames) == 2 * 150 * 3  # a row once for each class, not once for each strip
+    sizes = [part.stop - part.start for part, _ in pairs.strips(10_000, 1 << 20, False)]
+    assert set(sizes) == {1}  # a strip is bounded in pairs, not in rows
+    runs = list(pairs.class_runs(np.array([0, 3, 5, 9]), 12, 3))
+    assert [(r.start, r.stop) for _, r in runs] == [(0, 9), (9, 12)]
+
+
+def test_reductions_of_all_pairs_equal_those_of_the_table(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 6))
+    x[40:80] = x[:40]
+    df = spark.createDataFrame([(i, i % 4, v.tolist()) for i, v in enumerate(x)], "id long, cls int, feature array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.triu_indices(90, 1)
+    cos = np.clip((unit[i] * unit[j]).sum(axis=1), -1, 1)
+    row = sim.all_pairs_summary(df).first()
+    assert row["n_pairs"] == 4005 and np.allclose([row["min_affinity"], row["max_affinity"], row["mean_affinity"], row["std_affinity"]], [cos.min(), cos.max(), cos.mean(), cos.std()])
+    assert sum(r["n_pairs"] for r in sim.all_pairs_histogram(df, 20).collect()) == 4005
+    assert sim.completeness(df, sim.pair_counts(df)).first().asDict() == {"n_features": 90, "n_pairs": 4005, "complete": True}
+    assert sorted(r["id"] for r in sim.paired_ids(df).collect()) == list(range(90))
+    # 40 pairs of equal rows are ties: the smaller ids win.
+    assert [(r["id1"], r["id2"], r["affinity"]) for r in sim.all_pairs_ranked(df, 10).collect()] == [(n, n + 40, 1.0) for n in range(10)]
+    least = sorted((r["affinity"], r["id1"], r["id2"]) for r in sim.all_pairs_extremes(df, 5).filter("side = 'least'").collect())
+    assert np.allclose([a for a, _, _ in least], np.sort(cos)[:5])
+
+
+def test_known_pairs_are_left_out_without_a_join_of_all_pairs(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)], "id long, feature array<double>")
+    known = spark.createDataFrame([(i, j, -2.0) for i in range(0, 60, 3) for j in range(i + 1, 60)] + [(5, 1000, -2.0)], "id1 long, id2 long, affinity double")
+    gaps = jo.missing_pairs(df, known)
+    assert {tuple(r) for r in gaps.select("id1", "id2").collect()} == {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 3}
+    assert "BroadcastHashJoin" not in gaps._jdf.queryExecution().toString() and "Join" not in gaps._jdf.queryExecution().toString()
+    aff = sim.pairwise_affinity(df, existing=known)
+    assert aff.count() == 60 * 59 // 2 + 1 and aff.filter("affinity = -2").count() == known.count()
