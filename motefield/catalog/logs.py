@@ -17,6 +17,11 @@ S = t.SEED
 KEYS = ("click", "error", "purchase", "signup", "view")
 
 
+def _stream(spark, sf, table, schema):
+    """Rows of a table as a stream. A pattern, as a stream takes no single file by its plain name; it matches a file and a folder of files alike."""
+    return spark.readStream.schema(schema).parquet(f"{sf}/{table}.parque[t]")
+
+
 @query(
     "k1_epoch_metrics",
     "SELECT epoch, " + ", ".join(f"arg_max(value, step) FILTER (key = '{k}') AS {k}" for k in KEYS) + " FROM metric_log GROUP BY epoch",
@@ -45,7 +50,7 @@ def k1_last_per_epoch(spark, sf):
 )
 def k1_epoch_metrics_stream(spark, sf):
     schema = t.read(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = _stream(spark, sf, "events", schema)
     log = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("step"), F.col("event_type").alias("key"), "value")
     return epoch_metric_stream(spark, log, scratch_path(spark, "epoch-metrics"), scratch_path(spark, "epoch-metrics-checkpoint"))
 
@@ -90,7 +95,7 @@ def k4_prototypes(spark, sf):
 
 def _feature_stream(spark, sf):
     schema = t.read(spark, sf, "embeddings").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+    rows = _stream(spark, sf, "embeddings", schema)
     return rows.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("step"), (F.col("label") - 1).cast("int").alias("cls"), F.col("embedding").cast("array<double>").alias("feature"))
 
 

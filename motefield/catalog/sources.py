@@ -35,12 +35,15 @@ def _particle_rows(spark, sf):
 
 
 def _tree(spark, sf, layout):
-    """Write the rows as ``<structure>/snr_<x>`` or ``<structure>_snr_<x>`` folders."""
+    """Write the rows as ``<structure>/snr_<x>`` or ``<structure>_snr_<x>`` folders, in the order of their ids.
+
+    A scan deals out its files by size, so the rows of a table of several files come in no order of their own.
+    """
     root = scratch_path(spark, "tree")
     rows = _particle_rows(spark, sf)
     for s, level in sorted(tuple(r) for r in rows.select("structure", "snr").distinct().collect()):
         part = rows.filter((F.col("structure") == s) & (F.col("snr") == level)).drop("structure", "snr")
-        part.coalesce(1).write.parquet(f"{root}/{s}/snr_{level}" if layout == "nested" else f"{root}/{s}_snr_{level}")
+        part.coalesce(1).sortWithinPartitions("vec_id").write.parquet(f"{root}/{s}/snr_{level}" if layout == "nested" else f"{root}/{s}_snr_{level}")
     return root
 
 
@@ -126,7 +129,7 @@ def a5_read_validation(spark, sf):
     root = scratch_path(spark, "validation")
     rows = _particle_rows(spark, sf).withColumn("pdb_code", F.upper("structure")).drop("structure")
     for level in range(3):
-        rows.filter(F.col("snr") == level).drop("snr").coalesce(1).write.parquet(f"{root}/validation_set_snr{level}.parquet")
+        rows.filter(F.col("snr") == level).drop("snr").coalesce(1).sortWithinPartitions("vec_id").write.parquet(f"{root}/validation_set_snr{level}.parquet")
     return src.read_validation(spark, root, "1", ["S2", "s5"], 7).select("vec_id", "structure_id")
 
 

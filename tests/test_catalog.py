@@ -47,3 +47,23 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 7
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """A table folder whose embeddings are a folder of files of unequal sizes, the largest with the last ids."""
+    path = tmp_path_factory.mktemp("tables")
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").toPandas().sort_values("vec_id")
+    (path / "embeddings.parquet").mkdir()
+    cuts = [0, 60, 180, len(rows)]
+    for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+        rows.iloc[lo:hi].to_parquet(path / "embeddings.parquet" / f"part-{i}.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["a1_read_particles_flat", "a5_read_validation", "k4_prototypes_stream", "k5_prototypes_v2_stream"])
+def test_tables_in_folders_of_files(spark, folder, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    want = con.execute(ORACLES[name]).df()
+    assert len(want) and canonical(QUERIES[name](spark, folder).toPandas()) == canonical(want)
