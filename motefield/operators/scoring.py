@@ -13,6 +13,9 @@ from motefield.operators.volumes import per_volume
 
 OUTPUTS = "embedding array<double>, log_var array<double>, pose array<double>, global_weight double"
 
+#: Bytes of outputs that are sent on together.
+SENT_BYTES = 16 << 20
+
 
 def score(df: DataFrame, encoder: Callable[[], Callable], batch_size: int = 64, data_col: str = "data") -> DataFrame:
     """Add ``embedding, log_var, pose, global_weight`` for every volume.
@@ -32,12 +35,25 @@ def score(df: DataFrame, encoder: Callable[[], Callable], batch_size: int = 64,
             if batch[data_col].isna().any() or batch["shape"].isna().any():
                 raise ValueError("a volume or its shape is null; set such rows apart with validate() first")
             shapes = batch["shape"].map(lambda s: tuple(int(x) for x in s))
+            done, held = [], 0
             for shape, rows in batch.groupby(shapes, sort=False):
                 for start in range(0, len(rows), batch_size):
                     part = rows.iloc[start : start + batch_size]
                     volumes = np.stack([np.asarray(v, dtype=np.float64).reshape(shape) for v in part[data_col]])
-                    mu, log_var, pose, weight = model(volumes)
-                    yield part[kept].assign(embedding=list(np.asarray(mu)), log_var=list(np.asarray(log_var)), pose=list(np.asarray(pose)), global_weight=np.asarray(weight, dtype=float))
+                    outputs = [np.asarray(x, dtype=float) for x in model(volumes)]
+                    done.append((part.index, *outputs))
+                    held += sum(x.nbytes for x in outputs)
+                    if held > SENT_BYTES:
+                        yield together(batch, done)
+                        done, held = [], 0
+            if done:
+                yield together(batch, done)
+
+    def together(batch: pd.DataFrame, done: list) -> pd.DataFrame:
+        """The outputs of many calls of the encoder as one frame; a frame for each call costs more than the call."""
+        index, mu, log_var, pose, weight = zip(*done)
+        arrays = {name: [row for x in parts for row in x] for name, parts in (("embedding", mu), ("log_var", log_var), ("pose", pose))}
+        return batch.loc[np.concatenate(index), kept].assign(**arrays, global_weight=np.concatenate(weight))
 
     return df.mapInPandas(run, schema)
 
