@@ -14,6 +14,7 @@ from motefield.operators import pairs
 from motefield.operators import prototypes as pr
 from motefield.operators import similarity as sim
 from motefield.operators.pairs import map_with_table, small_table
+from motefield.operators.scoring import score
 
 
 def table(spark, x, labels):
@@ -271,3 +272,14 @@ def test_known_pairs_are_left_out_without_a_join_of_all_pairs(spark):
     assert "BroadcastHashJoin" not in gaps._jdf.queryExecution().toString() and "Join" not in gaps._jdf.queryExecution().toString()
     aff = sim.pairwise_affinity(df, existing=known)
     assert aff.count() == 60 * 59 // 2 + 1 and aff.filter("affinity = -2").count() == known.count()
+
+
+def test_outputs_of_many_encoder_calls_stay_with_their_rows(spark):
+    def encoder():
+        return lambda v: (v.reshape(len(v), -1)[:, :2], v.reshape(len(v), -1)[:, :1], v.reshape(len(v), -1)[:, :4], v.max(axis=(1, 2, 3)))
+
+    rows = [(i, [2, 2, 2] if i % 2 else [1, 2, 3], [float(i)] * (8 if i % 2 else 6)) for i in range(30)]
+    df = spark.createDataFrame(rows, "vol long, shape array<int>, data array<double>").coalesce(1)
+    got = score(df, encoder, 4).collect()
+    assert sorted((r["vol"], r["global_weight"], r["embedding"][1]) for r in got) == [(i, float(i), float(i)) for i in range(30)]
+    assert [r["vol"] for r in got] == [*range(0, 30, 2), *range(1, 30, 2)]
