@@ -159,17 +159,36 @@ def silhouette(df: DataFrame, metric: str = "euclidean", **columns) -> DataFrame
     return _mean_silhouette(silhouette_samples(df, metric, **columns))
 
 
+def pair_sums(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
+    """``(same, n, s, q)``: ``distance_sums`` added up within and between classes inside the tasks.
+
+    A task sends a row or two for each tile of classes, so what is shuffled after the blocks does not grow with the rows.
+    """
+    by_row = distance_kernel(id_col, vec_col, class_col)
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
+        for part in by_row(left, right, same):
+            within = (part["own"] == part["other"]).astype("boolean").mask(part[["own", "other"]].isna().any(axis=1))
+            yield part[["n", "s", "q"]].groupby(within.rename("same"), dropna=False).sum().reset_index()
+
+    return map_blocks(df, id_col, [vec_col, class_col], kernel, "same boolean, n long, s double, q double")
+
+
 def moments_of(sums: DataFrame) -> DataFrame:
-    """Count, mean and population deviation of pair distances within and between classes; every pair is in the sums twice."""
+    """Count, mean and population deviation of pair distances within and between classes, from ``distance_sums`` or ``pair_sums``.
+
+    Every pair is in the sums twice.
+    """
+    same = F.col("same") if "same" in sums.columns else F.col("own") == F.col("other")
     mean = F.sum("s") / F.sum("n")
     spread = F.sqrt(F.greatest(F.sum("q") / F.sum("n") - mean * mean, F.lit(0.0)))
-    return sums.groupBy((F.col("own") == F.col("other")).alias("same")).agg(
+    return sums.groupBy(same.alias("same")).agg(
         (F.sum("n") / 2).cast("long").alias("n_pairs"), mean.alias("mean_distance"), spread.alias("std_distance")
     )
 
 
 def pair_moments(df: DataFrame, id_col: str = "id", vec_col: str = "feature", class_col: str = "cls") -> DataFrame:
-    return moments_of(distance_sums(df, id_col, vec_col, class_col))
+    return moments_of(pair_sums(df, id_col, vec_col, class_col))
 
 
 def separation_of(moments: DataFrame) -> DataFrame:
@@ -271,7 +290,7 @@ def mahalanobis_overlap(df: DataFrame, vec_col: str = "feature", class_col: str
 
 
 def mean_distance_of(sums: DataFrame) -> DataFrame:
-    """Mean distance of all pairs from ``distance_sums``."""
+    """Mean distance of all pairs from ``distance_sums`` or ``pair_sums``."""
     return sums.agg(F.coalesce(F.sum("s") / F.sum("n"), F.lit(0.0)).alias("diversity"))
 
 
@@ -284,7 +303,7 @@ def diversity(df: DataFrame, method: str = "variance", id_col: str = "id", vec_c
         return row.select(F.when(F.col("n") < 2, F.lit(0.0)).otherwise(mean).alias("diversity"))
     everyone = df.withColumn("__all", F.lit(0))
     if method == "pairwise":
-        return mean_distance_of(distance_sums(everyone, id_col, vec_col, "__all"))
+        return mean_distance_of(pair_sums(everyone, id_col, vec_col, "__all"))
     if method == "determinant":
         row = only_row(class_covariance(everyone, vec_col, "__all"))
         if row is None or row["n"] < 2:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -245,6 +247,42 @@ def test_block_pairs_send_strips_and_small_sums():
     assert [(r.start, r.stop) for _, r in runs] == [(0, 9), (9, 12)]
 
 
+def test_separation_sends_sums_of_block_pairs_and_no_rows(spark):
+    x = np.random.default_rng(11).normal(size=(200, 5))
+    y = np.arange(200) % 3
+    df = table(spark, x, y)
+    sums = ops.pair_sums(df)
+    assert sums.count() <= 2 * sums.rdd.getNumPartitions() and sums.count() < 200
+    whole, rows = ({r["same"]: r for r in ops.moments_of(s).collect()} for s in (sums, ops.distance_sums(df)))
+    assert set(whole) == set(rows) == {True, False}
+    for flag, row in rows.items():
+        assert whole[flag]["n_pairs"] == row["n_pairs"] == ((y[:, None] == y) == flag)[np.triu_indices(200, 1)].sum()
+        assert np.allclose(whole[flag][2:], row[2:])
+    assert ops.mean_distance_of(sums).first()[0] == pytest.approx(all_distances(x)[np.triu_indices(200, 1)].mean())
+    # A row without a class is neither within nor between.
+    some = df.withColumn("cls", F.when(F.col("id") >= 50, F.col("cls")))
+    counts = {r["same"]: r["n_pairs"] for r in ops.pair_moments(some).collect()}
+    assert counts == {r["same"]: r["n_pairs"] for r in ops.moments_of(ops.distance_sums(some)).collect()} and counts[True] + counts[False] == 150 * 149 // 2
+
+
+@pytest.mark.parametrize("name", ["distances", "extremes", "cosines"])
+def test_a_block_pair_takes_memory_by_rows_not_by_pairs(name):
+    peaks = []
+    for n in (2048, 8192):
+        x = np.random.default_rng(12).normal(size=(2 * n, 8))
+        left, right = (pd.DataFrame({"id": ids, "cls": ids % 3, "feature": list(x[ids])}) for ids in (np.arange(n), np.arange(n, 2 * n)))
+        kernel = {"distances": ops.distance_kernel("id", "feature", "cls"), "extremes": sim.extremes_kernel(10, ("most", "least"), "id", "feature")}.get(
+            name, lambda a, b, same: sim._cosines(a, b, same, "feature")
+        )
+        tracemalloc.start()
+        for _ in kernel(left, right, False):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 8 * n * n / 4  # a quarter of one matrix of all pairs
+    assert peaks[1] < 4 * peaks[0]  # 16 times the pairs
+
+
 def test_reductions_of_all_pairs_equal_those_of_the_table(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(90, 6))
