@@ -9,6 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from motefield.catalog import load
+from motefield.catalog.registry import QUERIES
 from motefield.functions.tails import chi2_upper, incomplete_beta, t_quantile, t_two_sided
 from motefield.operators import embeddings as ops
 from motefield.operators import joins as jo
@@ -312,6 +314,26 @@ def test_known_pairs_are_left_out_without_a_join_of_all_pairs(spark):
     assert aff.count() == 60 * 59 // 2 + 1 and aff.filter("affinity = -2").count() == known.count()
 
 
+def test_written_pairs_of_a_block_pair_come_in_the_order_of_their_affinity(spark, tmp_path):
+    x = np.random.default_rng(13).normal(size=(400, 64))
+    rows = [(i, [float(v) for v in r], i % 4) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    load()
+    parts = QUERIES["f2_pairwise_affinity"](spark, str(tmp_path)).rdd.glom().collect()
+    found = {(r["id1"], r["id2"]): r["affinity"] for part in parts for r in part}
+    unit = x.astype("float32").astype("float64")
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert len(found) == sum(len(part) for part in parts) == 400 * 399 // 2
+    assert all(abs(v - unit[i] @ unit[j]) < 1e-6 for (i, j), v in found.items())
+    n = pairs.block_count(spark.range(400), None, None, pairs.PAIR_ROWS)
+    falls = sum(a["affinity"] > b["affinity"] for part in parts for a, b in zip(part, part[1:]))
+    assert falls < n * (n + 1) // 2  # equal values lie together in a file
+    # Tiles and frames are bounded, whatever the blocks.
+    left, right = (pd.DataFrame({"id": ids, "feature": list(x[ids])}) for ids in (np.arange(100), np.arange(100, 400)))
+    sizes = [len(f) for f in sim._affinities(left, right, False, "id", "feature", True)]
+    assert sum(sizes) == 100 * 300 and max(sizes) <= pairs.STRIP_PAIRS
+
+
 def test_outputs_of_many_encoder_calls_stay_with_their_rows(spark):
     def encoder():
         return lambda v: (v.reshape(len(v), -1)[:, :2], v.reshape(len(v), -1)[:, :1], v.reshape(len(v), -1)[:, :4], v.max(axis=(1, 2, 3)))
