@@ -331,7 +331,28 @@ def test_written_pairs_of_a_block_pair_come_in_the_order_of_their_affinity(spark
     # Tiles and frames are bounded, whatever the blocks.
     left, right = (pd.DataFrame({"id": ids, "feature": list(x[ids])}) for ids in (np.arange(100), np.arange(100, 400)))
     sizes = [len(f) for f in sim._affinities(left, right, False, "id", "feature", True)]
-    assert sum(sizes) == 100 * 300 and max(sizes) <= pairs.STRIP_PAIRS
+    assert sum(sizes) == 100 * 300 and max(sizes) <= sim.FRAME_PAIRS
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_known_pairs_travel_packed(spark, kind):
+    rng = np.random.default_rng(14)
+    name = int if kind == "long" else "n{:04d}".format
+    ids = [name(i) for i in range(300)]
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4)]) for i in ids], f"id {kind}, feature array<double>")
+    every = [(ids[i], ids[j]) for i in range(300) for j in range(i + 1, 300)]
+    named = {every[i] for i in np.flatnonzero(rng.random(len(every)) < 0.5)}
+    # Pairs that come twice, the other way round, with ids that are not in the table, or without an id.
+    odd = [*list(named)[:50], *[(b, a) for a, b in every[:500:7] if (a, b) not in named], (ids[0], name(5000)), (name(5001), name(5000)), (None, ids[1]), (ids[1], None)]
+    known = spark.createDataFrame([(a, b, -2.0) for a, b in [*named, *odd]], f"id1 {kind}, id2 {kind}, affinity double").repartition(5)
+    gaps = [tuple(r) for r in jo.missing_pairs(df, known).select("id1", "id2").collect()]
+    assert len(gaps) == len(set(gaps)) and set(gaps) == set(every) - named
+    aff = sim.pairwise_affinity(df, existing=known, by_value=True)
+    assert aff.count() == known.count() + len(gaps) and {(r["id1"], r["id2"]) for r in aff.filter("affinity <> -2").collect()} == set(gaps)
+    # Less than four bytes for a pair leave the tasks that hold the known pairs, ids and all; two ids alone take sixteen.
+    packs = pairs._packed(known, dict(df.dtypes)["id"], 1).filter("size(__p) > 2").collect()
+    assert sum(len(r["__gaps"]) + 8 * (len(r["__p"]) + len(r["__q"])) for r in packs) < 4 * len(named)
+    assert pairs._packed(known.limit(0), dict(df.dtypes)["id"], 1).count() == 0
 
 
 def test_outputs_of_many_encoder_calls_stay_with_their_rows(spark):
