@@ -355,6 +355,16 @@ def test_known_pairs_travel_packed(spark, kind):
     assert pairs._packed(known.limit(0), dict(df.dtypes)["id"], 1).count() == 0
 
 
+def test_missing_pairs_take_little_when_written(spark, tmp_path):
+    ids = spark.range(3000)
+    known = ids.selectExpr("id AS id1", "id + 1 AS id2").filter("id1 % 5 = 0")
+    jo.missing_pairs(ids, known).coalesce(4).write.parquet(f"{tmp_path}/gaps")
+    gaps = spark.read.parquet(f"{tmp_path}/gaps")
+    n = 3000 * 2999 // 2 - 600
+    assert gaps.count() == gaps.distinct().count() == n and gaps.filter("id1 >= id2 OR id1 % 5 = 0 AND id2 = id1 + 1").isEmpty()
+    assert sum(p.stat().st_size for p in tmp_path.glob("gaps/*.parquet")) < 0.26 * n  # the same few ids come again and again
+
+
 def test_outputs_of_many_encoder_calls_stay_with_their_rows(spark):
     def encoder():
         return lambda v: (v.reshape(len(v), -1)[:, :2], v.reshape(len(v), -1)[:, :1], v.reshape(len(v), -1)[:, :4], v.max(axis=(1, 2, 3)))
